@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from twinsieve.llm import mixing, packing, sharding, token_output, topk
+from twinsieve.llm import exact_dedup, mixing, packing, sharding, suffix_dedup, token_output, topk
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_consistent_hash_sharding": sharding.op4_consistent_hash_sharding,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_mixing": mixing.op7_mixing,
+    "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_token_output": token_output.op9_token_output,
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
 
 ORACLE_SQL = {
+    "op1_exact_dedup": exact_dedup.ORACLE_OP1,
     "op10_exact_top_k": topk.ORACLE_OP10,
 }
