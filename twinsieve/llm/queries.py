@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from twinsieve.llm import exact_dedup, mixing, packing, sharding, suffix_dedup, token_output, topk
+from twinsieve.llm import exact_dedup, jaccard, mixing, packing, quality, sharding, suffix_dedup, token_output, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_consistent_hash_sharding": sharding.op4_consistent_hash_sharding,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
     "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_token_output": token_output.op9_token_output,

@@ -8,46 +8,15 @@ name, so attempts may overlap.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session, as a URI or path without a closing slash."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get().rstrip("/")
-        root = "file://" + tempfile.mkdtemp(prefix="twinsieve-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-    return root.rstrip("/")
-
-
-class Workspace:
-    """A folder of one operator run: tables written with Spark, and files written by tasks."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/twinsieve-{name}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a DataFrame and read it back, which cuts its lineage."""
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        """Delete one table or file folder, or all of them."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+from twinsieve.plans.workspace import Workspace, shared_root
+
+__all__ = ["Workspace", "open_fs", "read_part", "shared_root", "write_file", "write_part"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

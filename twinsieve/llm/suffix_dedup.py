@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import storage
+from twinsieve.llm import exchange, storage
 
 MIN_LENGTH = 50
 ANCHOR = 16
@@ -35,7 +35,6 @@ FLUSH_ANCHORS = 1_500_000
 FLUSH_CONTEXTS = 150_000
 TRANSFORM_BYTES = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
-_NULL_ID = np.iinfo(np.int64).min
 
 
 def hashes(buf: np.ndarray) -> np.ndarray:
@@ -74,17 +73,9 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_length: i
     return places, h[places]
 
 
-def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a binary column without nulls."""
-    column = column.fill_null(b"").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
-
-
 def _anchors_of(column: pa.Array, min_length: int):
     """(row, place in the row's text, hash) arrays for the texts of a column, chunk by chunk."""
-    data, offsets = _plain(column)
+    data, offsets = exchange.bytes_of(column)
     row, n = 0, len(offsets) - 1
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
@@ -101,50 +92,11 @@ def _anchors_of(column: pa.Array, min_length: int):
         row = last
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _payload_rows(batches):
-    """Rows (key, from, payload) of Arrow batches, by key."""
-    found: dict[int, list] = {}
-    for batch in batches:
-        for key, origin, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found.setdefault(key, []).append((origin, payload))
-    return found
-
-
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "origin", "payload"]
-    )
-
-
-_ROW = "key int, origin int, payload binary"
-
-
-def _split(buckets: np.ndarray, count: int):
-    """(bucket, indices) for each bucket that occurs."""
-    order = np.argsort(buckets, kind="stable")
-    cuts = np.searchsorted(buckets[order], np.arange(count + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        yield int(b), order[cuts[b] : cuts[b + 1]]
-
-
 def _find_anchors(folder: str, buckets: int, min_length: int):
     """Keep the part's rows in a file, and send its distinct anchor hashes."""
 
     def flush(held, part):
-        h, docs = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-        order = np.lexsort((docs, h))
-        h, docs = h[order], docs[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        last = np.concatenate([first[1:], [len(h)]]) - 1
-        several, h = docs[first] != docs[last], h[first]
-        rows = []
-        for b, at in _split((h % np.uint64(buckets)).astype(np.int64), buckets):
-            rows.append((b, part, (h[at] >> np.uint64(32)).astype("<u4").tobytes() + np.packbits(several[at]).tobytes()))
-        return _batch(rows)
+        return exchange.send_hashes(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), part, buckets)
 
     def run(batches):
         part, held, size, out = TaskContext.get().partitionId(), [], 0, []
@@ -154,7 +106,7 @@ def _find_anchors(folder: str, buckets: int, min_length: int):
             nonlocal held, size
             for batch in batches:
                 batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], schema=schema)
-                ids = _ids(batch.column(0))
+                ids = exchange.ids_of(batch.column(0))
                 for rows, _, h in _anchors_of(batch.column(1), min_length):
                     held.append((h, ids[rows]))
                     size += len(h)
@@ -166,36 +118,12 @@ def _find_anchors(folder: str, buckets: int, min_length: int):
         storage.write_part(f"{folder}/part-{part:06d}", passing(), schema)
         if size:
             out.append(flush(held, part))
-        yield _batch([(-1, part, b"")])
+        yield exchange.batch_of([(-1, part, b"")])
         yield from out
 
     return run
 
 
-def _shared_anchors(batches):
-    """For each part, which of its hashes in this block other parts, or several documents of it, have."""
-    for key, rows in _payload_rows(batches).items():
-        lists, flags = [], []
-        for _, payload in rows:
-            n = len(payload) * 8 // 33  # 32 bits and one flag bit for each hash
-            while 4 * n + (n + 7) // 8 > len(payload):
-                n -= 1
-            lists.append(np.frombuffer(payload, "<u4", n))
-            flags.append(np.unpackbits(np.frombuffer(payload, np.uint8, offset=4 * n), count=n).astype(bool))
-        both = np.concatenate(lists)
-        values, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-        shared = counts[inverse] > 1
-        shared |= np.concatenate(flags)
-        wanted = np.zeros(len(values), bool)
-        wanted[inverse[shared]] = True
-        at = 0
-        for (origin, _), own in zip(rows, lists, strict=True):
-            mine = own[wanted[inverse[at : at + len(own)]]]
-            at += len(own)
-            if len(mine):
-                yield _batch([(origin, key, mine.astype("<u4").tobytes())])
-
-
 class _Contexts:
     """Distinct contexts of a part: bytes, anchor place, hash, smallest document, and whether several documents have it."""
 
@@ -225,7 +153,7 @@ class _Contexts:
         h = np.array(self.hash, dtype=np.uint64)
         low, high = np.array(self.low, dtype="<i8"), np.array(self.high, dtype="<i8")
         keys, out = list(self.at), []
-        for b, at in _split((h % np.uint64(self.buckets)).astype(np.int64), self.buckets):
+        for b, at in exchange.split(exchange.block_of(h, self.buckets), self.buckets):
             sent = [keys[i] for i in at]
             raw = b"".join(
                 [
@@ -249,18 +177,16 @@ def _send_contexts(folder: str, buckets: int, min_length: int):
     """Send the part's distinct contexts around shared anchors, and keep where they are."""
 
     def run(batches):
-        for part, rows in _payload_rows(batches).items():
-            shared = [(np.frombuffer(payload, "<u4").astype(np.uint64) << np.uint64(32)) | np.uint64(b) for b, payload in rows if b >= 0]
-            if not shared:
+        for part, rows in exchange.payload_rows(batches).items():
+            known = exchange.known_keys(rows)
+            if not len(known):
                 continue
-            known = np.unique(np.concatenate(shared))
             found, base, places = _Contexts(part, buckets), 0, []
             for batch in storage.read_part(f"{folder}/part-{part:06d}"):
-                data, offsets = _plain(batch.column(1))
-                ids, raw = _ids(batch.column(0)), memoryview(data)
+                data, offsets = exchange.bytes_of(batch.column(1))
+                ids, raw = exchange.ids_of(batch.column(0)), memoryview(data)
                 for row, at, h in _anchors_of(batch.column(1), min_length):
-                    key = (h & ~np.uint64(0xFFFFFFFF)) | (h % np.uint64(buckets))
-                    hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                    hit = exchange.is_in(exchange.short_key(h, buckets), known)
                     row, at, h = row[hit], at[hit], h[hit]
                     lo = np.maximum(0, at - (min_length - ANCHOR)) + offsets[row]
                     hi = np.minimum(at + min_length + offsets[row], offsets[row + 1])
@@ -268,12 +194,12 @@ def _send_contexts(folder: str, buckets: int, min_length: int):
                     index = [found.add(p, bytes(raw[a:b]), x, d) for p, a, b, x, d in zip(pre, lo.tolist(), hi.tolist(), h.tolist(), docs, strict=True)]
                     places.append(np.stack([row + base, lo - offsets[row], hi - lo, np.array(index, dtype=np.int64)]).astype("<u4"))
                     if len(found.at) >= FLUSH_CONTEXTS:
-                        yield _batch(found.rows())
+                        yield exchange.batch_of(found.rows())
                 base += len(ids)
             kept = np.concatenate(places, axis=1) if places else np.empty((4, 0), "<u4")
             storage.write_file(f"{folder}/place-{part:06d}", [pa.compress(np.ascontiguousarray(kept).tobytes(), codec="zstd", asbytes=True), kept.nbytes.to_bytes(8, "little")])
             if found.at:
-                yield _batch(found.rows())
+                yield exchange.batch_of(found.rows())
 
     return run
 
@@ -374,7 +300,7 @@ def _compare_contexts(min_length: int):
     """For each part, the smallest document and the earlier strings of its contexts, where any byte may go."""
 
     def run(batches):
-        for rows in _payload_rows(batches).values():
+        for rows in exchange.payload_rows(batches).values():
             columns, data = [], []
             for turn, (_, payload) in enumerate(rows):
                 raw = pa.decompress(payload[4:], decompressed_size=int.from_bytes(payload[:4], "little"), codec="zstd", asbytes=True)
@@ -415,7 +341,7 @@ def _compare_contexts(min_length: int):
             for t, (origin, _) in enumerate(rows):
                 at = np.flatnonzero(matters & (turn == t))
                 if len(at):
-                    yield _batch([(origin, 0, index[at].astype("<u4").tobytes() + least[context[at]].astype("<i8").tobytes() + mask[context[at]].astype("<u8").tobytes())])
+                    yield exchange.batch_of([(origin, 0, index[at].astype("<u4").tobytes() + least[context[at]].astype("<i8").tobytes() + mask[context[at]].astype("<u8").tobytes())])
 
     return run
 
@@ -431,7 +357,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _remove(folder: str, min_length: int, with_text: bool):
     def run(batches):
-        for part, rows in _payload_rows(batches).items():
+        for part, rows in exchange.payload_rows(batches).items():
             replies = [p for origin, p in rows if origin >= 0]
             cut_rows, cut_lo, cut_hi = (np.empty(0, np.int64),) * 3
             if replies:
@@ -448,7 +374,7 @@ def _remove(folder: str, min_length: int, with_text: bool):
                 at = np.minimum(np.searchsorted(index, kept[3]), len(index) - 1)
                 known = index[at] == kept[3]
                 kept, at = kept[:, known], at[known]
-                ids = np.concatenate([_ids(b.column(0)) for b in storage.read_part(f"{folder}/part-{part:06d}")])
+                ids = np.concatenate([exchange.ids_of(b.column(0)) for b in storage.read_part(f"{folder}/part-{part:06d}")])
                 later = ids[kept[0]] > least[at]
                 found = [(kept[0][later], kept[1][later], kept[1][later] + kept[2][later])]
                 for o in range(min_length - ANCHOR + 1):
@@ -495,26 +421,21 @@ def suffix_dedup(docs: DataFrame, work: storage.Workspace, min_length: int = MIN
     if not ANCHOR + 7 <= min_length <= ANCHOR + 63:
         raise ValueError("min_length is out of its range")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), plain.rdd.getNumPartitions())
+    buckets = exchange.blocks_for(plain)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<long>, kept binary" if with_text else "")
     folder = f"{work.path}/parts"
-    sent = work.table(plain.mapInArrow(_find_anchors(folder, buckets, min_length), _ROW), "anchors")
-    marks = sent.where("key < 0").select(F.col("origin").alias("key"), F.lit(-1).alias("origin"), "payload")
-    last = marks.agg(F.max("key")).first()[0]
+    sent = work.table(plain.mapInArrow(_find_anchors(folder, buckets, min_length), exchange.ROW), "anchors")
+    marks = sent.where("key < 0")
+    last = marks.agg(F.max("origin")).first()[0]
     if last is None:
         return docs.sparkSession.createDataFrame([], schema)
     parts = last + 1
-    shared = sent.where("key >= 0").repartitionById(buckets, F.col("key")).mapInArrow(_shared_anchors, _ROW)
-    contexts = shared.repartitionById(parts, F.col("key")).mapInArrow(_send_contexts(folder, buckets, min_length), _ROW)
-    answers = contexts.repartitionById(buckets, F.col("key")).mapInArrow(_compare_contexts(min_length), _ROW)
+    shared = sent.where("key >= 0").repartitionById(buckets, F.col("key")).mapInArrow(exchange.shared_hashes, exchange.ROW)
+    contexts = shared.repartitionById(parts, F.col("key")).mapInArrow(_send_contexts(folder, buckets, min_length), exchange.ROW)
+    answers = contexts.repartitionById(buckets, F.col("key")).mapInArrow(_compare_contexts(min_length), exchange.ROW)
     answers = work.table(answers, "answers")
     work.drop("anchors")
-    return answers.unionByName(_marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key")).mapInArrow(_remove(folder, min_length, with_text), schema)
-
-
-def _marks(spark: SparkSession, parts: int) -> DataFrame:
-    """A row for each part, so that parts without answers return their documents too."""
-    return spark.range(parts).select(F.col("id").cast("int").alias("key"), F.lit(-1).alias("origin"), F.lit(b"").alias("payload"))
+    return answers.unionByName(exchange.marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key")).mapInArrow(_remove(folder, min_length, with_text), schema)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
