@@ -12,11 +12,23 @@ import re
 
 import numpy as np
 
-#: Entries that one worker keeps before it starts again; bounds its memory, and has no effect on results.
-CACHE_ENTRIES = 250_000
+#: Entries that a worker's caches hold each; bounds its memory, and has no effect on results.
+CACHE_ENTRIES = 360_000
 
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
-_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Texts of these characters stay as they are under NFC, have one-to-one small letters, and white space is ASCII.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_alphabet() -> list[str]:
+    """The characters that stand for the 256 bytes in byte-level vocabularies: printable ones stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+_BYTES = _byte_alphabet()
 
 
 def default_path() -> str:
@@ -39,8 +51,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_entries
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.words, self.old_words = {}, {}
+        self.pieces, self.old_pieces = {}, {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
@@ -59,25 +71,28 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: bytes) -> bytes:
-        """Ids of one pre-token of lower-case ASCII, for which the byte-level alphabet is the text itself."""
-        found = self.pieces.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token of small letters, or of other plain characters."""
+        found = self.old_pieces.get(piece)
         if found is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(piece.decode("ascii"))]
-            found = np.asarray(ids, dtype="<u4").tobytes()
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            name = piece if piece.isascii() else "".join([_BYTES[b] for b in piece.encode()])
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(name)], dtype="<u4").tobytes()
+        if len(self.pieces) >= self.limit // 2:
+            self.old_pieces, self.pieces = self.pieces, {}
+        self.pieces[piece] = found
         return found
 
-    def _word(self, word: bytes) -> bytes:
-        # Control characters have other names in the byte-level alphabet, so such words take the whole way.
-        if word.isascii() and word.decode("ascii").isprintable():
-            found = b"".join(map(self._piece, _ASCII_PIECES.findall(word.lower())))
-        else:
-            found = self._whole(word.decode("utf-8"))
-        if len(self.words) >= self.limit:
-            self.words.clear()
+    def _word(self, word) -> bytes:
+        """Ids of a word that the younger cache lacks: plain ones are strings in small letters, others bytes."""
+        found = self.old_words.get(word)
+        if found is None:
+            if isinstance(word, str):
+                get, make = self.pieces.get, self._piece
+                found = b"".join([ids if (ids := get(p)) is not None else make(p) for p in _PIECES.findall(word)])
+            else:
+                found = self._whole(word.decode("utf-8"))
+        if len(self.words) >= self.limit // 2:
+            self.old_words, self.words = self.words, {}
         self.words[word] = found
         return found
 
@@ -85,10 +100,9 @@ class Encoder:
         """Ids of a text in UTF-8 as little-endian unsigned 32-bit integers; none for a null."""
         if not text:
             return b""
+        whole = text.decode("utf-8")
         if not self.by_word or any(s in text for s in self.special):
-            return self._whole(text.decode("utf-8"))
-        words = text.split()
-        if text.isascii():
-            words = text.lower().split()
+            return self._whole(whole)
+        words = whole.lower().split() if _PLAIN.fullmatch(whole) else text.split()
         get, make = self.words.get, self._word
-        return b"".join([found if (found := get(w)) is not None else make(w) for w in words])
+        return b"".join([ids if (ids := get(w)) is not None else make(w) for w in words])
