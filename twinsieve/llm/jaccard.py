@@ -97,7 +97,7 @@ def _words_of_long(data: np.ndarray) -> np.ndarray:
 
 def _combined(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of each run of ``size`` words."""
-    n, h = len(words) - size + 1, np.uint64(size)
+    n, h = len(words) - size + 1, np.full(1, size, np.uint64)
     for k in range(size):
         h = mixed(words[k : k + n] + h * np.uint64(0xFF51AFD7ED558CCD))
     return h
@@ -134,7 +134,7 @@ def prefix_length(n, threshold: int):
 
 
 def _measure(folder: str, size: int, threshold: int):
-    """Keep the part's texts and first shingles in files; returns each row's number, set size and the set's digest."""
+    """Keep the part's texts and first shingles in files; returns each row's numbers, set size and the set's digest."""
 
     def run(batches):
         part, first, sizes = TaskContext.get().partitionId(), [], []
@@ -152,7 +152,7 @@ def _measure(folder: str, size: int, threshold: int):
                     keep = prefix_length(len(shingles), threshold) if len(shingles) else 0
                     sizes.append(keep)
                     first.append(shingles[:keep])
-                out.append(pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], names=["uid", "doc_id", "n", "digest"]))
+                out.append(pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], names=["uid", "doc_id", "row", "n", "digest"]))
                 yield pa.RecordBatch.from_arrays([text], schema=schema)
 
         storage.write_part(f"{folder}/text-{part:06d}", passing(), schema)
@@ -522,7 +522,7 @@ def _grouped(clusters: DataFrame, threshold: int, work: storage.Workspace) -> Da
     return alone.unionByName(cut)
 
 
-def jaccard_components(docs: DataFrame, work: storage.Workspace, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def jaccard_components(docs: DataFrame, work: storage.Workspace, shingle: int = SHINGLE, threshold: int = THRESHOLD, row: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, n_links, first``.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A set is the distinct shingles of ``shingle``
@@ -530,20 +530,22 @@ def jaccard_components(docs: DataFrame, work: storage.Workspace, shingle: int =
     link when the intersection is at least ``threshold`` percent of the union. ``component_id`` is the smallest
     ``doc_id`` reachable by links (null only if all are null), ``n_links`` the number of rows linked to, and ``first``
     is true for one row of each component, that with the smallest ``doc_id`` (nulls last). Repeated rows are rows of
-    their own. Other columns are ignored; an empty table gives no rows.
+    their own. Other columns are ignored, but ``row`` names one with 64-bit integers that is returned too, as ``row``.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own_row = (F.col(row) if row else F.lit(None)).cast("long").alias("row")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), own_row)
     blocks, folder = exchange.blocks_for(plain), f"{work.path}/parts"
-    rows = work.table(plain.mapInArrow(_measure(folder, shingle, threshold), "uid long, doc_id long, n long, digest binary"), "rows")
+    rows = work.table(plain.mapInArrow(_measure(folder, shingle, threshold), "uid long, doc_id long, row long, n long, digest binary"), "rows")
     last = rows.agg(F.max(F.shiftright("uid", 32))).first()[0]
     if last is None:
-        return spark.createDataFrame([], "doc_id long, n_shingles long, component_id long, n_links long, first boolean")
+        return spark.createDataFrame([], "doc_id long, n_shingles long, component_id long, n_links long, first boolean" + (", row long" if row else ""))
     parts = int(last) + 1
     marks = exchange.marks(spark, parts)
     same = rows.where("n > 0").groupBy("digest", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("weight"))
     same = work.table(same, "same")
-    merged = rows.join(same, ["digest", "n"], "left").select("uid", "doc_id", "n", F.coalesce("rep", "uid").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    merged = rows.join(same, ["digest", "n"], "left").select("uid", "doc_id", "row", "n", F.coalesce("rep", "uid").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
     merged = work.table(merged, "merged")
 
     def to_part(df: DataFrame, origin: int, payload) -> DataFrame:
@@ -577,14 +579,23 @@ def jaccard_components(docs: DataFrame, work: storage.Workspace, shingle: int =
     asked = by_part(to_part(groups, _TO_CLUSTER, payload))
     compared = by_block(asked.mapInArrow(_send_sets(folder, blocks, shingle), exchange.ROW)).mapInArrow(_compare(threshold), "id1 long, id2 long, links long")
     compared = work.table(compared, "compared")
+    work.drop("parts")
     roots = connected_components(compared.where("id2 IS NOT NULL"), storage.Workspace(spark, "links"))
     links = compared.where("id2 IS NULL").groupBy("id1").agg(F.sum("links").alias("links"))
     named = merged.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links.select(F.col("id1").alias("rep"), "links"), "rep", "left")
-    named = work.table(named.select("uid", "doc_id", "n", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
+    named = work.table(named.select("uid", "doc_id", "row", "n", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
     least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("least"))
     least = work.table(least, "least")
     out = named.join(least, "root")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "n_links", (F.col("least.uid") == F.col("uid")).alias("first"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "n_links", (F.col("least.uid") == F.col("uid")).alias("first"), *([F.col("row")] if row else []))
+
+
+def near_dedup(docs: DataFrame, work: storage.Workspace, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, with their own columns."""
+    row = storage.free_name(docs.columns, "row")
+    base = work.table(docs.withColumn(row, F.monotonically_increasing_id()), "base")
+    kept = jaccard_components(base, work, shingle, threshold, row).where("first").select(F.col("row").alias(row))
+    return base.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int | None) ->
     return plain.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int | None = 1) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int | None = 1, work: storage.Workspace | None = None) -> DataFrame:
     """Pack all rows' tokens into sequences of at most ``capacity``.
 
     Only documents longer than the capacity are cut. Null and empty texts are packed as ``end_id`` alone (without an
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     ignored; an empty table gives no rows. Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
     """
     spark = docs.sparkSession
-    work = storage.Workspace(spark, "packing")
+    work = work or storage.Workspace(spark, "packing")
     pieces = work.table(pieces_of(docs, path or tokens.default_path(), capacity, end_id), "pieces")
     cells: dict[int, dict[int, int]] = {}
     for row in pieces.groupBy("length", "salt").count().collect():  # at most capacity * SALTS rows

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_ROWS = 6000
 DIMENSIONS = 48
@@ -140,17 +141,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
     return LatentVotes(matrix, np.array([r["y"] for r in found]), dimensions)
 
 
-def scored(docs: DataFrame, model: LatentVotes | None, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS) -> DataFrame:
-    """The documents' columns plus ``score`` (0 to 1, higher: better). Without a model every score is 0.5.
+def scored(docs: DataFrame, model: LatentVotes | None, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS, column: str = "score") -> DataFrame:
+    """The documents' columns plus ``column``, the score: 0 to 1, higher is better. Without a model it is 0.5.
 
-    A null or empty text is scored like any other, by the vector of no terms. Scores see the text alone. A column
-    named ``score`` is replaced. An empty table gives no rows.
+    A null or empty text is scored like any other, by the vector of no terms. Scores see the text alone. A column of
+    the score's name is replaced. An empty table gives no rows.
     """
-    own = [c for c in docs.columns if c != "score"]
+    own = [c for c in docs.columns if c.lower() != column.lower()]
     if model is None:
-        return docs.select(*own, F.lit(0.5).alias("score"))
+        return docs.select(*own, F.lit(0.5).alias(column))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.select(*own).schema
     width = len(own)
 
     def run(batches):
@@ -160,11 +160,12 @@ def scored(docs: DataFrame, model: LatentVotes | None, neighbours: int = NEIGHBO
                 part = batch.slice(at, BLOCK_ROWS)
                 matrix = np.stack([terms(t.as_py()) for t in part.column(width)])
                 scores = np.clip(votes.score(matrix, neighbours, sharpness), 0, 1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(scores)], names=[f"c{i}" for i in range(width)] + ["score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(scores)], names=[f"c{i}" for i in range(width + 1)])
 
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col("text").cast("binary").alias(f"c{width}"))
-    shape = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", score double"
-    return plain.mapInArrow(run, shape).toDF(*own, "score")
+    fields = docs.select(*own).schema.fields
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.col("text").cast("binary").alias(f"c{width}"))
+    shape = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField(f"c{width}", T.DoubleType())])
+    return plain.mapInArrow(run, shape).toDF(*own, column)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,15 @@ import pyarrow.ipc as ipc
 
 from twinsieve.plans.workspace import Workspace, shared_root
 
-__all__ = ["Workspace", "open_fs", "read_part", "shared_root", "write_file", "write_part"]
+__all__ = ["Workspace", "free_name", "open_fs", "read_part", "shared_root", "write_file", "write_part"]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
