@@ -1,6 +1,429 @@
-"""Named queries over the test tables, and the SQL that gives the same rows."""
+"""Named queries over the test tables, and the SQL that gives the same rows.
+
+The tables hold no pictures. A row of ``embeddings`` stands for a picture's vector, 8x8 luma grid or descriptor, its
+``label`` for a video or picture; ``documents`` stand for files, ``events`` of a user for the frames of a video, and
+``pages.url`` for paths. Scores are rounded to 6 decimals on both sides.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from twinsieve.functions import kernels, scalars
+from twinsieve.operators import blocklist, groups, pairs, video
+from twinsieve.plans import report, resources
+from twinsieve.plans.workspace import Workspace
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select("id1", "id2", F.round("score", 6).alias("score"))
+
+
+# Pairs ------------------------------------------------------------------------------------------------------------
+
+_COSINE = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, (greatest(-1.0, least(1.0, list_cosine_similarity(a.v, b.v))) + 1) / 2 AS score
+      FROM e a JOIN e b ON a.vec_id < b.vec_id)
+"""
+_EDGES = _COSINE.replace("WITH e", "WITH RECURSIVE e", 1) + """,
+s AS (SELECT id1, id2 FROM p WHERE score >= 0.70),
+both_ways AS (SELECT id1 AS u, id2 AS v FROM s UNION SELECT id2, id1 FROM s),
+reach AS (SELECT u AS id, u AS r FROM both_ways UNION SELECT b.v, reach.r FROM reach JOIN both_ways b ON b.u = reach.id),
+g AS (SELECT id, min(r) AS root FROM reach GROUP BY id)
+"""
+
+
+def _vectors(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("f"))
+
+
+@query(_COSINE + "SELECT id1, id2, round(score, 6) AS score FROM p WHERE score >= 0.70")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(pairs.cosine_pairs(_vectors(spark, sf_dir), 0.70))
+
+
+@query(_EDGES + "SELECT root, id FROM g")
+def cosine_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.group_members(pairs.cosine_pairs(_vectors(spark, sf_dir), 0.70))
+
+
+@query(_EDGES + "SELECT root, count(*) AS size, max(id) AS last_id FROM g GROUP BY root HAVING count(*) > 1")
+def cosine_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = groups.larger_than_one(groups.group_members(pairs.cosine_pairs(_vectors(spark, sf_dir), 0.70)))
+    return members.groupBy("root").agg(F.count("*").alias("size"), F.max("id").alias("last_id"))
+
+
+@query(_EDGES + "SELECT g.root, arg_max(g.id, e.label * 100000 - g.id) AS keeper FROM g JOIN embeddings e ON e.vec_id = g.id GROUP BY g.root")
+def cosine_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near vectors, and in each the row to keep: the largest by label, the first of equals."""
+    members = groups.group_members(pairs.cosine_pairs(_vectors(spark, sf_dir), 0.70))
+    labels = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("width"), F.lit(1).alias("height"), F.col("vec_id").alias("ord"))
+    return groups.keep_best_image(members.join(labels, "id"))
+
+
+def hashed(df: DataFrame, method: str) -> DataFrame:
+    """``id, f``: hashes of 8x8 grids (``id, f`` with 64 numbers)."""
+
+    def run(batches):
+        for batch in batches:
+            grids = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kernels.grid_hashes(grids, method))], names=["id", "f"])
+
+    return df.where(F.size("f") == 64).select("id", "f").mapInArrow(run, "id long, f long")
+
+
+def _hash_pairs(spark, sf_dir, method, threshold=0.70):
+    return _scored(pairs.hash_pairs(hashed(_vectors(spark, sf_dir), method), threshold))
+
+
+_E = "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_HASH_TAIL = """
+SELECT a.id AS id1, b.id AS id2, round(1 - hamming(a.h, b.h) / 64.0, 6) AS score
+FROM hashes a JOIN hashes b ON a.id < b.id WHERE 1 - hamming(a.h, b.h) / 64.0 >= {t}
+"""
+_AHASH = _E + """, hashes AS (
+  SELECT id, array_to_string(list_transform(v, lambda x: CASE WHEN x > list_avg(v) THEN '1' ELSE '0' END), '') AS h FROM e)
+"""
+_DHASH = _E + """, hashes AS (
+  SELECT id, array_to_string(list_transform(list_filter(range(1, 64), lambda i: i % 8 <> 0),
+         lambda i: CASE WHEN v[i + 1] > v[i] THEN '1' ELSE '0' END), '') AS h FROM e)
+"""
+_PHASH = _E + """, basis AS (
+  SELECT k, list(4 * cos(pi() * (k // 8) * (2 * (p // 8) + 1) / 16) * cos(pi() * (k % 8) * (2 * (p % 8) + 1) / 16) ORDER BY p) AS b
+  FROM range(64) t(k), range(64) u(p) GROUP BY k),
+coefficients AS (SELECT e.id, list(list_dot_product(e.v, basis.b) ORDER BY k) AS c FROM e, basis GROUP BY e.id),
+middle AS (SELECT id, c, list_aggregate(c, 'median') AS m FROM coefficients),
+hashes AS (SELECT id, array_to_string(list_transform(c, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS h FROM middle)
+"""
+_WHASH = _E + """, middle AS (SELECT id, list_transform(v, lambda x: x - list_avg(v)) AS c FROM e),
+hashes AS (SELECT id, array_to_string(list_transform(c, lambda x: CASE WHEN x > list_aggregate(c, 'median') THEN '1' ELSE '0' END), '') AS h FROM middle)
+"""
+
+
+@query(_AHASH + _HASH_TAIL.format(t=0.70))
+def ahash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hash_pairs(spark, sf_dir, "ahash")
+
+
+@query(_DHASH + _HASH_TAIL.format(t=0.70))
+def dhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hash_pairs(spark, sf_dir, "dhash")
+
+
+@query(_PHASH + _HASH_TAIL.format(t=0.70))
+def phash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hash_pairs(spark, sf_dir, "phash")
+
+
+@query(_WHASH + _HASH_TAIL.format(t=0.70))
+def whash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hash_pairs(spark, sf_dir, "whash")
+
+
+@query(_AHASH + _HASH_TAIL.format(t=0.75))
+def hamming_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The banded equi-join, at a threshold low enough to have rows here."""
+    return _scored(pairs.hash_pairs(hashed(_vectors(spark, sf_dir), "ahash"), 0.75, band_from=0.0))
+
+
+@query("""
+WITH h AS (SELECT vec_id AS id, list_transform(range(8), lambda b: CAST(len(list_filter(embedding, lambda x: floor((CAST(x AS DOUBLE) + 0.4) / 0.1) = b)) AS DOUBLE)) AS c FROM embeddings),
+z AS (SELECT id, list_transform(c, lambda x: x - list_avg(c)) AS c FROM h),
+p AS (SELECT a.id AS id1, b.id AS id2, CASE WHEN list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c) = 0 THEN 1.0
+      ELSE greatest(0.0, list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c))) END AS score
+      FROM z a JOIN z b ON a.id < b.id)
+SELECT id1, id2, round(score, 6) AS score FROM p WHERE score >= 0.99
+""")
+def histogram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter("f", lambda x: F.floor((x.cast("double") + 0.4) / 0.1) == b)).cast("double"))
+    return _scored(pairs.histogram_pairs(_vectors(spark, sf_dir).select("id", bins.alias("f")), 0.99))
+
+
+@query(_AHASH + """, d AS (SELECT e.label AS image, e.vec_id AS idx, hashes.h FROM hashes JOIN embeddings e ON e.vec_id = hashes.id),
+b AS (SELECT a.image AS id1, c.image AS id2, a.idx AS x, c.idx AS y, hamming(a.h, c.h) AS dist FROM d a JOIN d c ON a.image < c.image),
+m AS (SELECT *, row_number() OVER (PARTITION BY id1, id2, x ORDER BY dist, y) AS rx, row_number() OVER (PARTITION BY id1, id2, y ORDER BY dist, x) AS ry FROM b),
+n AS (SELECT image, count(*) AS c FROM d GROUP BY image)
+SELECT CAST(id1 AS BIGINT) AS id1, CAST(id2 AS BIGINT) AS id2, round(count(*) / CAST(least(any_value(p.c), any_value(q.c)) AS DOUBLE), 6) AS score
+FROM m JOIN n p ON p.image = id1 JOIN n q ON q.image = id2 WHERE rx = 1 AND ry = 1 AND dist < 20 GROUP BY id1, id2
+""")
+def orb_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("image_id"))
+    rows = hashed(_vectors(spark, sf_dir), "ahash").join(labels, "id").select("image_id", F.col("id").alias("idx"), F.col("f").alias("h"))
+    return _scored(pairs.descriptor_pairs(Workspace(spark, "orb").table(rows, "descriptors"), 20))
+
+
+# Video ------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH f AS (SELECT CAST(label AS BIGINT) AS vid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vid AS id1, b.vid AS id2, a.vec_id AS x, max((greatest(-1.0, least(1.0, list_cosine_similarity(a.v, b.v))) + 1) / 2) AS best
+      FROM f a JOIN f b ON a.vid < b.vid GROUP BY a.vid, b.vid, a.vec_id)
+SELECT id1, id2, round(avg(best), 6) AS score FROM s GROUP BY id1, id2
+""")
+def video_meanmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame_idx"), F.col("embedding").alias("v"))
+    return _scored(video.mean_max_pairs(frames, 0.0))
+
+
+@query("""
+WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+t AS (SELECT *, greatest(4, least(32, CAST(floor(total / 2.0) AS INTEGER))) AS target FROM f),
+w AS (SELECT DISTINCT user_id, CASE WHEN target >= total THEN k ELSE least(CAST(floor(k * (total / CAST(target AS DOUBLE))) AS BIGINT), total - 1) END AS frame_idx
+      FROM (SELECT user_id, any_value(total) AS total, any_value(target) AS target FROM t GROUP BY user_id) u, range(0, 100000) r(k) WHERE k < least(target, total))
+SELECT t.user_id, CAST(w.frame_idx AS INTEGER) AS frame_idx, t.event_id FROM w JOIN t ON t.user_id = w.user_id AND t.i = w.frame_idx
+""")
+def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    events = _read(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(order) - 1).alias("frame_idx"))
+    totals = events.groupBy("user_id").agg(F.count("*").alias("total"))
+    target = video.target_frames(F.col("total"), rate=0.5)
+    wanted = totals.select("user_id", F.explode(video.keyframe_indices(F.col("total"), target)).alias("frame_idx")).distinct()
+    return events.join(wanted, ["user_id", "frame_idx"]).select("user_id", "frame_idx", "event_id")
+
+
+@query("""
+SELECT CAST(coalesce(floor(avg(w)), 1920) AS INTEGER) AS width, CAST(coalesce(floor(avg(h)), 1080) AS INTEGER) AS height
+FROM (SELECT n_chars AS w, n_chars // 2 AS h FROM documents WHERE n_chars > 3000 AND n_chars // 2 > 0 ORDER BY doc_id LIMIT 3)
+""")
+def average_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").where("n_chars > 3000")
+    return video.average_resolution(docs.select(F.col("n_chars").alias("width"), F.floor(F.col("n_chars") / 2).alias("height"), F.col("doc_id").alias("ord")))
+
+
+# Groups -----------------------------------------------------------------------------------------------------------
+
+_FILES = """
+WITH f AS (SELECT doc_id AS id, md5(text) AS root, n_chars, source || '/' || CASE WHEN doc_id % 3 = 0 THEN 'a (' || doc_id || ').txt' ELSE 'a' || doc_id || '.txt' END AS path,
+           n_chars + doc_id % 7 AS size, doc_id % 5 + 1 AS width, doc_id % 4 + 1 AS height, doc_id AS ord, CAST(doc_id % 11 AS DOUBLE) AS ctime,
+           CASE WHEN doc_id % 3 = 0 THEN 'a (' || doc_id || ').txt' ELSE 'a' || doc_id || '.txt' END AS name FROM documents),
+d AS (SELECT * FROM f WHERE root IN (SELECT root FROM f GROUP BY root HAVING count(*) > 1))
+"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: equal texts form a group; sizes, pixels and names differ within it."""
+    i = F.col("doc_id")
+    name = F.when(i % 3 == 0, F.concat(F.lit("a ("), i, F.lit(").txt"))).otherwise(F.concat(F.lit("a"), i, F.lit(".txt")))
+    files = _read(spark, sf_dir, "documents").select(
+        i.alias("id"), F.md5("text").alias("root"), "n_chars", F.concat_ws("/", "source", name).alias("path"), name.alias("name"), (F.col("n_chars") + i % 7).alias("size"),
+        (i % 5 + 1).alias("width"), (i % 4 + 1).alias("height"), i.alias("ord"), (i % 11).cast("double").alias("ctime"),
+    )
+    return groups.larger_than_one(files)
+
+
+@query(_FILES + "SELECT root, count(*) AS size, min(id) AS first_id FROM d GROUP BY root")
+def exact_dup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("first_id"))
+
+
+@query(_FILES + "SELECT id, path FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ord) AS rn FROM f) WHERE rn = 1")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    name = F.when(i % 3 == 0, F.concat(F.lit("a ("), i, F.lit(").txt"))).otherwise(F.concat(F.lit("a"), i, F.lit(".txt")))
+    files = docs.select(F.md5("text").alias("root"), F.struct(i.alias("id"), F.concat_ws("/", "source", name).alias("path")).alias("row"))
+    return files.groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.path")
+
+
+@query(_FILES + "SELECT root, min(ord) AS keeper FROM d GROUP BY root")
+def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.keep_first(_files(spark, sf_dir))
+
+
+@query(_FILES + "SELECT root, id AS keeper FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY width * height DESC, ord) AS rn FROM d) WHERE rn = 1")
+def keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.keep_best_image(_files(spark, sf_dir))
+
+
+@query(_FILES + "SELECT root, id AS keeper FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY size DESC, ord) AS rn FROM d) WHERE rn = 1")
+def keep_best_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.keep_best_video(_files(spark, sf_dir))
+
+
+@query(_FILES + """SELECT root, id, CAST(rn AS INTEGER) AS "rank", rn > 1 AS selected FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY size DESC, width * height DESC,
+CAST(regexp_matches(name, '\\(\\d+\\)') AS INTEGER), ctime, ord) AS rn FROM d)""")
+def group_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.preselected(groups.ranked(_files(spark, sf_dir))).select("root", "id", "rank", "selected")
+
+
+@query(_FILES + """, t AS (SELECT root, CASE WHEN min(ord) % 2 = 0 THEN 'image' ELSE 'video' END AS type, min(ord) AS first FROM d GROUP BY root)
+SELECT root, type, row_number() OVER (ORDER BY type, first) AS ordinal FROM t""")
+def emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    kind = files.groupBy("root").agg(F.when(F.min("ord") % 2 == 0, "image").otherwise("video").alias("type"))
+    return groups.emission_order(files.join(kind, "root"))
+
+
+@query(_FILES + "SELECT CASE WHEN ord % 2 = 0 THEN 'image' ELSE 'video' END AS type, count(DISTINCT root) AS groups, count(*) AS items FROM d GROUP BY 1")
+def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.result_counts(_files(spark, sf_dir).withColumn("type", F.when(F.col("ord") % 2 == 0, "image").otherwise("video")))
+
+
+@query(_FILES + """SELECT CASE WHEN rn = 1 THEN 'keep' ELSE 'move' END AS action, path AS src, CASE WHEN rn > 1 THEN '/out/' || name END AS dest
+FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ord) AS rn FROM d)""")
+def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    return groups.action_plan(files.drop("name"), groups.keep_first(files), "/out")
+
+
+@query(_FILES + "SELECT d.id, d.path, c.n_chars AS height, c.doc_id % 2 AS width FROM d LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 1) c ON c.doc_id = d.id".replace("c.n_chars AS height", "coalesce(c.n_chars, 0) AS height").replace("c.doc_id % 2 AS width", "coalesce(c.doc_id % 2, 0) AS width"))
+def metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = _read(spark, sf_dir, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("height"), (F.col("doc_id") % 2).alias("width"))
+    return groups.enrich(_files(spark, sf_dir).select("id", "path"), meta, "id").select("id", "path", "height", "width")
+
+
+# Blocklist --------------------------------------------------------------------------------------------------------
+
+_LISTS = """
+WITH f AS (SELECT md5(text) AS root, 'p' || doc_id AS path, doc_id FROM documents),
+g AS (SELECT root, list(path ORDER BY path) AS paths, min(doc_id) AS first FROM f GROUP BY root HAVING count(*) > 1),
+e AS (SELECT first AS entry_id, CASE WHEN first % 4 = 0 THEN paths[1:1] WHEN first % 4 = 1 THEN list_append(paths, 'other') WHEN first % 4 = 2 THEN ['x' || first] ELSE ['', paths[1]] END AS paths FROM g WHERE first % 3 <> 0),
+n AS (SELECT entry_id, list_filter(paths, lambda p: p <> '') AS paths FROM e)
+"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal documents, and entries made from some of them: parts, supersets, strangers."""
+    f = _read(spark, sf_dir, "documents").select(F.md5("text").alias("root"), F.concat(F.lit("p"), "doc_id").alias("path"), "doc_id")
+    g = f.groupBy("root").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    g = Workspace(spark, "lists").table(g, "groups")
+    p, k = F.col("paths"), F.col("first") % 4
+    made = F.when(k == 0, F.slice(p, 1, 1)).when(k == 1, F.array_append(p, F.lit("other"))).when(k == 2, F.array(F.concat(F.lit("x"), "first"))).otherwise(F.array(F.lit(""), p[0]))
+    return g, g.where("first % 3 <> 0").select(F.col("first").alias("entry_id"), made.alias("paths"), F.lit(0.0).alias("timestamp"))
+
+
+_BLOCKED = "EXISTS (SELECT 1 FROM n WHERE len(n.paths) > 0 AND (list_has_all(g.paths, n.paths) OR list_has_all(n.paths, g.paths)))"
+
+
+@query(_LISTS + f"SELECT root, first FROM g WHERE NOT {_BLOCKED}")
+def blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, e = _lists(spark, sf_dir)
+    return blocklist.unblocked(g, e).select("root", "first")
+
+
+@query(_LISTS + f"SELECT count(*) FILTER (WHERE {_BLOCKED}) AS blocked, count(*) FILTER (WHERE NOT {_BLOCKED}) AS kept FROM g")
+def blocklist_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, e = _lists(spark, sf_dir)
+    return blocklist.blocked_count(g, e)
+
+
+@query(_LISTS + """, h AS (SELECT g.root, min(n.entry_id) AS entry_id FROM g JOIN n ON len(n.paths) > 0 AND (list_has_all(g.paths, n.paths) OR list_has_all(n.paths, g.paths)) GROUP BY g.root)
+SELECT g.root, CASE WHEN h.entry_id IS NULL THEN 'added' WHEN list_has_all(n.paths, g.paths) THEN 'covered' ELSE 'replaced' END AS status, h.entry_id
+FROM g LEFT JOIN h ON h.root = g.root LEFT JOIN n ON n.entry_id = h.entry_id""")
+def blocklist_add_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, e = _lists(spark, sf_dir)
+    return blocklist.classify(g, e)
+
+
+@query(_LISTS + "SELECT entry_id FROM e ORDER BY entry_id DESC LIMIT 15 OFFSET 15")
+def blocklist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocklist.page(_lists(spark, sf_dir)[1], 1).select("entry_id")
+
+
+@query(_LISTS + "SELECT entry_id FROM n WHERE NOT (list_has_all(paths, ['x2']) AND list_has_all(['x2'], paths))")
+def blocklist_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocklist.removed(_lists(spark, sf_dir)[1], ["x2", ""]).select("entry_id")
+
+
+@query("SELECT page_id FROM pages WHERE starts_with(lower(url), 'https://site1')")
+def folder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _read(spark, sf_dir, "pages").select("page_id", F.array("url").alias("paths"))
+    return blocklist.in_folders(entries, ["HTTPS:\\\\Site1"]).select("page_id")
+
+
+# Scalars ----------------------------------------------------------------------------------------------------------
+
+_NAMES = """
+WITH x AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'b.tif' WHEN 2 THEN '.png' WHEN 3 THEN 'c.d.mkv' WHEN 4 THEN '..gif' WHEN 5 THEN 'e' WHEN 6 THEN '.f.Png' ELSE 'g (2).m2ts' END AS name FROM documents)
+"""
+
+
+@query(_NAMES + r"""SELECT doc_id, name, lower(regexp_extract(name, '^\.*[^.].*?(\.[^.]+)$', 1)) AS ext,
+CASE WHEN lower(regexp_extract(name, '^\.*[^.].*?(\.[^.]+)$', 1)) IN ('.jpg','.jpeg','.png','.bmp','.gif','.tiff','.webp','.heic') THEN 'image'
+     WHEN lower(regexp_extract(name, '^\.*[^.].*?(\.[^.]+)$', 1)) IN ('.mp4','.avi','.mov','.mkv','.wmv','.flv','.webm','.m4v','.ts','.m2ts','.3gp','.ogv') THEN 'video' END AS media_type,
+regexp_matches(name, '\(\d+\)') AS numbered FROM x""")
+def ext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in ("a.JPG", "b.tif", ".png", "c.d.mkv", "..gif", "e", ".f.Png", "g (2).m2ts")])
+    x = _read(spark, sf_dir, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 8).cast("int")).alias("name"))
+    n = F.col("name")
+    return x.select("doc_id", "name", scalars.extension(n).alias("ext"), scalars.media_type(n).alias("media_type"), scalars.has_copy_number(n).alias("numbered"))
+
+
+_S = "CAST(n_chars AS BIGINT) * CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 65536 ELSE 1048576 END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_S} AS s FROM documents)
+SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.1f B', CAST(s AS DOUBLE)) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576.0)
+ELSE printf('%.1f GB', s / 1073741824.0) END AS size_formatted FROM x""")
+def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.get(F.array(*[F.lit(n) for n in (1, 64, 65536, 1048576)]), (F.col("doc_id") % 4).cast("int"))
+    return _read(spark, sf_dir, "documents").select("doc_id", scalars.format_size(F.col("n_chars") * by).alias("size_formatted"))
+
+
+@query("""WITH x AS (SELECT doc_id, n_chars * 3 - 600 AS s FROM documents)
+SELECT doc_id, CASE WHEN s <= 0 THEN '00:00' WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0')
+ELSE lpad(CAST(s // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS duration_formatted FROM x""")
+def format_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", scalars.format_duration(F.col("n_chars") * 3 - 600).alias("duration_formatted"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN (doc_id % 3) || 'x' || (doc_id % 5) ELSE '未知' END AS resolution, CASE WHEN source = '' THEN 'x' ELSE source || ' · x' END AS meta FROM documents")
+def labels_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return _read(spark, sf_dir, "documents").select("doc_id", scalars.resolution_label(i % 3, i % 5).alias("resolution"), scalars.meta_label(F.col("source"), F.lit(""), F.lit("x")).alias("meta"))
+
+
+# Resources, reports -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id = 0 THEN 0 ELSE greatest(1, least((1000000 // greatest(n_chars, 1)) * 2, doc_id)) END AS batch,
+CAST(floor(CAST(doc_id AS DOUBLE) * 64 * 48 * 3 * 1.05) AS BIGINT) AS frames_bytes, doc_id * 32 * 2048 * 4 AS feature_bytes FROM documents""")
+def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id", resources.batch_size(F.lit(1000000), F.greatest("n_chars", F.lit(1)), i).alias("batch"),
+        resources.keyframe_bytes(i, F.lit(64), F.lit(48)).alias("frames_bytes"), resources.feature_bytes(i, F.lit(32), F.lit(2048)).alias("feature_bytes"),
+    )
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 0.6 + (event_id % 50) / 100.0 AS ratio FROM events WHERE user_id < 20),
+s AS (SELECT DISTINCT user_id, 0 AS i, CAST(64 AS BIGINT) AS size, false AS reduced FROM r
+ UNION ALL SELECT s.user_id, s.i + 1,
+   CASE WHEN ratio > 0.95 THEN greatest(1, CAST(floor(size * 0.5) AS BIGINT)) WHEN ratio > 0.90 THEN greatest(1, CAST(floor(size * 0.75) AS BIGINT))
+        WHEN reduced AND ratio < 0.70 THEN least(64, greatest(CAST(floor(size * 1.25) AS BIGINT), size)) ELSE size END,
+   CASE WHEN ratio > 0.90 THEN true WHEN reduced AND ratio < 0.70 THEN least(64, CAST(floor(size * 1.25) AS BIGINT)) < 64 ELSE reduced END
+ FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+SELECT user_id, arg_max(size, i) AS batch FROM s GROUP BY user_id
+""")
+def adaptive_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = 0.6 + (F.col("event_id") % 50) / 100.0
+    rows = _read(spark, sf_dir, "events").where("user_id < 20").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", ratio.alias("r")))), lambda x: x["r"]).alias("ratios"))
+    return rows.select("user_id", resources.adapted_batch(F.col("ratios"), F.lit(64)).alias("batch"))
+
+
+@query(_COSINE + "SELECT id1 AS image1, id2 AS image2, round(score, 4) AS similarity FROM p WHERE score >= 0.70")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_rows(pairs.cosine_pairs(_vectors(spark, sf_dir), 0.70))
