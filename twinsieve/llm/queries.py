@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from twinsieve.llm import exact_dedup, jaccard, mixing, packing, quality, sharding, suffix_dedup, token_output, topk
+from twinsieve.llm import exact_dedup, jaccard, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_output, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_consistent_hash_sharding": sharding.op4_consistent_hash_sharding,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
