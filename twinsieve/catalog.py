@@ -347,10 +347,10 @@ def blocklist_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocklist.removed(_lists(spark, sf_dir)[1], ["x2", ""]).select("entry_id")
 
 
-@query("SELECT page_id FROM pages WHERE starts_with(lower(url), 'https://site1')")
+@query("SELECT page_id FROM pages WHERE starts_with(lower(url), 'https://m.')")
 def folder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _read(spark, sf_dir, "pages").select("page_id", F.array("url").alias("paths"))
-    return blocklist.in_folders(entries, ["HTTPS:\\\\Site1"]).select("page_id")
+    return blocklist.in_folders(entries, ["HTTPS:\\\\M."]).select("page_id")
 
 
 # Scalars ----------------------------------------------------------------------------------------------------------
