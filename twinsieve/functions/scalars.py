@@ -34,12 +34,21 @@ def media_type(name: Column) -> Column:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals, ties to even on the binary value as in C's printf.
+    """A number with so many decimals, rounded by its exact binary value, ties to even, as C's printf does.
 
-    The decimal expansion of a double has at most 1074 places; 30 of them settle any tie that can occur here.
+    The fraction of a double is a whole number of 2**-62 (of all but tiny values), so the rounding is done in integers.
     """
-    exact = x.cast("decimal(38,20)")
-    return F.bround(exact, digits).cast(f"decimal(38,{digits})").cast("string")
+    v = F.abs(x.cast("double"))
+    whole = F.floor(v)
+    wide = "decimal(38,0)"
+    scaled = F.floor((v - whole) * F.lit(2.0**62)).cast("long").cast(wide) * F.lit(10**digits).cast(wide)
+    unit = F.lit(2**62).cast(wide)
+    rest = scaled % unit
+    below = ((scaled - rest) / unit).cast("long")
+    up = (rest > unit / 2) | ((rest == unit / 2) & (below % 2 == 1))
+    total = whole.cast("long") * 10**digits + below + up.cast("long")
+    text = F.concat_ws(".", F.floor(total / 10**digits).cast("string"), F.lpad((total % 10**digits).cast("string"), digits, "0"))
+    return F.when(x.isNotNull(), F.concat(F.when((x < 0) & (total > 0), "-").otherwise(""), text))
 
 
 def format_size(size: Column) -> Column:

@@ -108,13 +108,13 @@ def _close_pairs(features: DataFrame, most: int, bits: int) -> DataFrame:
         width = bits // bands + (k < bits % bands)
         cuts.append((at, width))
         at += width
-    keyed = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("f", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (s, w) in enumerate(cuts)]
-    rows = features.where("f IS NOT NULL AND id IS NOT NULL").select("id", "f", F.array(*keyed).alias("bands"))
+    keys = [F.shiftrightunsigned("f", s).bitwiseAND(F.lit((1 << min(w, 63)) - 1 if w < 64 else -1)) for s, w in cuts]
+    rows = features.where("f IS NOT NULL AND id IS NOT NULL").select("id", "f", F.array(*keys).alias("bands"))
     left = rows.select("id", "f", "bands", F.posexplode("bands").alias("band", "key"))
     right = rows.select(F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("bands").alias("bands2"), F.posexplode("bands").alias("band", "key"))
     found = left.join(right, ["band", "key"]).where(F.col("id") < F.col("id2"))
     # A pair counts only in the first band in which it agrees, so no pair needs to be made distinct.
-    first = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x["value"] == y["value"]), True) - 1
+    first = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) - 1
     close = F.bit_count(F.col("f").bitwiseXOR(F.col("f2"))) <= most
     return found.where(close & (first == F.col("band"))).select(F.col("id").alias("id1"), "id2", hash_score(F.col("f"), F.col("f2"), bits).alias("score"))
 

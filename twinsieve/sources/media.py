@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsieve.functions import scalars
+from twinsieve.plans.workspace import Workspace
 
 LISTING = "path string, name string, size long, mtime double, ctime double, at long"
 
@@ -57,42 +58,51 @@ def media_of(files: DataFrame, kind: str | None = None) -> DataFrame:
 
 def first_by_path(files: DataFrame, order: str = "at") -> DataFrame:
     """One row for each absolute path, the first in order."""
-    key = F.udf(lambda p: os.path.normcase(os.path.abspath(p)), "string") if os.name == "nt" else None
-    path = key(F.col("path")) if key else F.when(F.col("path").rlike(r"^/(?!.*(//|/\.{1,2}(/|$)|/$))"), F.col("path")).otherwise(_absolute(F.col("path")))
-    ranked = files.withColumn("_rn", F.row_number().over(Window.partitionBy(path).orderBy(order)))
-    return ranked.where("_rn = 1").drop("_rn")
 
+    def absolute(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: os.path.normcase(os.path.abspath(p)))
 
-@F.pandas_udf("string")
-def _absolute(paths: pd.Series) -> pd.Series:
-    return paths.map(os.path.abspath)
+    first = Window.partitionBy(F.pandas_udf(absolute, T.StringType())("path")).orderBy(order)
+    return files.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
 def plain_path(origin):
     """A path without scheme and URI escapes: the image source gives file:///a%20b.png, binaryFile file:/a b.png."""
 
-    @F.pandas_udf("string")
     def plain(values: pd.Series) -> pd.Series:
         return values.map(lambda s: unquote(urlparse(s).path) if s.startswith("file:///") else s.removeprefix("file:"))
 
-    return plain(origin)
+    return F.pandas_udf(plain, T.StringType())(origin)
+
+
+def _visible(path: str, number: int, folder: str) -> str:
+    """The path, or a plain-named link to it where a name begins with a dot or underscore: Spark passes over those."""
+    if not any(name[:1] in "._" for name in path.split(os.sep) if name):
+        return path
+    os.makedirs(folder, exist_ok=True)
+    link = os.path.join(folder, f"{number}{os.path.splitext(path)[1]}")
+    if not os.path.lexists(link):
+        os.symlink(path, link)
+    return link
 
 
 def decode_images(spark: SparkSession, media: DataFrame) -> DataFrame:
-    """``path, width, height, data`` for listed images; data is BGR rows, null where a file can't be decoded.
+    """``path, width, height, channels, data`` for listed images; data is BGR rows, null where a file can't be decoded.
 
     Spark's image source decodes what the JVM can (JPEG, PNG, BMP, GIF); other formats come out with 0x0.
     """
     files = [r["path"] for r in media.where("media_type = 'image'").select("path").collect()]  # the listing came from the driver
     if not files:
         return spark.createDataFrame([], "path string, width int, height int, channels int, data binary")
-    image = spark.read.format("image").option("dropInvalid", False).load(files)
-    i = F.col("image")
-    fine = i["height"] > 0
-    return image.select(
-        plain_path(i["origin"]).alias("path"), F.when(fine, i["width"]).otherwise(0).alias("width"), F.when(fine, i["height"]).otherwise(0).alias("height"),
+    links = Workspace(spark, "links").path.removeprefix("file://")
+    shown = [(_visible(p, i, links), p) for i, p in enumerate(files)]
+    image = spark.read.format("image").option("dropInvalid", False).load([s for s, _ in shown])
+    i, fine = F.col("image"), F.col("image.height") > 0
+    decoded = image.select(
+        plain_path(i["origin"]).alias("shown"), F.when(fine, i["width"]).otherwise(0).alias("width"), F.when(fine, i["height"]).otherwise(0).alias("height"),
         F.when(fine, i["nChannels"]).otherwise(0).alias("channels"), F.when(fine, i["data"]).alias("data"),
     )
+    return spark.createDataFrame(shown, "shown string, path string").join(decoded, "shown").drop("shown")
 
 
 def image_metadata(media: DataFrame, images: DataFrame) -> DataFrame:

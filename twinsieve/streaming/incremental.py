@@ -18,7 +18,7 @@ def store_pairs(new: DataFrame, store: DataFrame, most: int, bands: int | None =
         at += width
 
     def keyed(df: DataFrame, i: str, f: str) -> DataFrame:
-        keys = F.array(*[F.shiftrightunsigned(F.col("f"), s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in cuts])
+        keys = F.array(*[F.shiftrightunsigned(F.col("f"), s).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) for s, w in cuts])
         return df.where("f IS NOT NULL").select(F.col("id").alias(i), F.col("f").alias(f), F.posexplode(keys).alias("band", "key"))
 
     joined = keyed(new, "id1", "f1").join(keyed(store, "id2", "f2"), ["band", "key"])
