@@ -244,7 +244,7 @@ def test_decoding(spark, folder):
 
 @pytest.mark.parametrize("method", ["phash", "dhash", "ahash", "whash", "histogram", "ssim", "orb", "gpu"])
 def test_scan_with_each_method(spark, folder, method):
-    job = scan.DuplicateScan(spark, ScanConfig((str(folder),), method=method, threshold=0.95 if method != "orb" else 0.3))
+    job = scan.DuplicateScan(spark, ScanConfig((str(folder),), method=method, threshold=0.95 if method != "orb" else 0.9))
     names = {r["ord"]: r["name"] for r in job.media().collect()}
     found = {frozenset((names[r["id1"]], names[r["id2"]])): r["score"] for r in job.find_duplicates().collect()}
     # Equal descriptors within a picture aren't mutual nearest to themselves.

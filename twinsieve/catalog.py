@@ -205,10 +205,10 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CAST(coalesce(floor(avg(w)), 1920) AS INTEGER) AS width, CAST(coalesce(floor(avg(h)), 1080) AS INTEGER) AS height
-FROM (SELECT n_chars AS w, n_chars // 2 AS h FROM documents WHERE n_chars > 3000 AND n_chars // 2 > 0 ORDER BY doc_id LIMIT 3)
+FROM (SELECT n_chars AS w, n_chars // 2 AS h FROM documents WHERE n_chars // 2 > 0 ORDER BY doc_id LIMIT 3)
 """)
 def average_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").where("n_chars > 3000")
+    docs = _read(spark, sf_dir, "documents")
     return video.average_resolution(docs.select(F.col("n_chars").alias("width"), F.floor(F.col("n_chars") / 2).alias("height"), F.col("doc_id").alias("ord")))
 
 
@@ -288,10 +288,11 @@ def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.action_plan(files.drop("name"), groups.keep_first(files), "/out")
 
 
-@query(_FILES + "SELECT d.id, d.path, c.n_chars AS height, c.doc_id % 2 AS width FROM d LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 1) c ON c.doc_id = d.id".replace("c.n_chars AS height", "coalesce(c.n_chars, 0) AS height").replace("c.doc_id % 2 AS width", "coalesce(c.doc_id % 2, 0) AS width"))
+@query(_FILES + "SELECT d.id, d.path, coalesce(l.quality + 1, 0) AS width, coalesce(l.toxic + 1, 0) AS height FROM d LEFT JOIN labels l ON l.doc_id = d.id")
 def metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = _read(spark, sf_dir, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("height"), (F.col("doc_id") % 2).alias("width"))
-    return groups.enrich(_files(spark, sf_dir).select("id", "path"), meta, "id").select("id", "path", "height", "width")
+    """Labels, which only some documents have, stand for metadata that could be read."""
+    meta = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") + 1).alias("width"), (F.col("toxic") + 1).alias("height"))
+    return groups.enrich(_files(spark, sf_dir).select("id", "path"), meta, "id").select("id", "path", "width", "height")
 
 
 # Blocklist --------------------------------------------------------------------------------------------------------
@@ -299,19 +300,19 @@ def metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTS = """
 WITH f AS (SELECT md5(text) AS root, 'p' || doc_id AS path, doc_id FROM documents),
 g AS (SELECT root, list(path ORDER BY path) AS paths, min(doc_id) AS first FROM f GROUP BY root HAVING count(*) > 1),
-e AS (SELECT first AS entry_id, CASE WHEN first % 4 = 0 THEN paths[1:1] WHEN first % 4 = 1 THEN list_append(paths, 'other') WHEN first % 4 = 2 THEN ['x' || first] ELSE ['', paths[1]] END AS paths FROM g WHERE first % 3 <> 0),
+e AS (SELECT first AS entry_id, CASE WHEN first % 4 = 0 THEN paths[1:1] WHEN first % 4 = 1 THEN list_append(paths, 'other') WHEN first % 4 = 2 THEN ['x' || first] ELSE ['', paths[1]] END AS paths FROM g),
 n AS (SELECT entry_id, list_filter(paths, lambda p: p <> '') AS paths FROM e)
 """
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal documents, and entries made from some of them: parts, supersets, strangers."""
+    """Groups of equal documents, and an entry made from each: a part of it, a superset, a stranger."""
     f = _read(spark, sf_dir, "documents").select(F.md5("text").alias("root"), F.concat(F.lit("p"), "doc_id").alias("path"), "doc_id")
     g = f.groupBy("root").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     g = Workspace(spark, "lists").table(g, "groups")
     p, k = F.col("paths"), F.col("first") % 4
     made = F.when(k == 0, F.slice(p, 1, 1)).when(k == 1, F.array_append(p, F.lit("other"))).when(k == 2, F.array(F.concat(F.lit("x"), "first"))).otherwise(F.array(F.lit(""), p[0]))
-    return g, g.where("first % 3 <> 0").select(F.col("first").alias("entry_id"), made.alias("paths"), F.lit(0.0).alias("timestamp"))
+    return g, g.select(F.col("first").alias("entry_id"), made.alias("paths"), F.lit(0.0).alias("timestamp"))
 
 
 _BLOCKED = "EXISTS (SELECT 1 FROM n WHERE len(n.paths) > 0 AND (list_has_all(g.paths, n.paths) OR list_has_all(n.paths, g.paths)))"
@@ -409,7 +410,7 @@ def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 0.6 + (event_id % 50) / 100.0 AS ratio FROM events WHERE user_id < 20),
+WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 0.6 + (event_id % 50) / 100.0 AS ratio FROM events),
 s AS (SELECT DISTINCT user_id, 0 AS i, CAST(64 AS BIGINT) AS size, false AS reduced FROM r
  UNION ALL SELECT s.user_id, s.i + 1,
    CASE WHEN ratio > 0.95 THEN greatest(1, CAST(floor(size * 0.5) AS BIGINT)) WHEN ratio > 0.90 THEN greatest(1, CAST(floor(size * 0.75) AS BIGINT))
@@ -420,7 +421,7 @@ SELECT user_id, arg_max(size, i) AS batch FROM s GROUP BY user_id
 """)
 def adaptive_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = 0.6 + (F.col("event_id") % 50) / 100.0
-    rows = _read(spark, sf_dir, "events").where("user_id < 20").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", ratio.alias("r")))), lambda x: x["r"]).alias("ratios"))
+    rows = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", ratio.alias("r")))), lambda x: x["r"]).alias("ratios"))
     return rows.select("user_id", resources.adapted_batch(F.col("ratios"), F.lit(64)).alias("batch"))
 
 
