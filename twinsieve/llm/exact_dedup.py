@@ -69,36 +69,40 @@ def document_names(base: DataFrame, work: storage.Workspace, block: int = BLOCK,
         current = work.table(pairs.join(names, ["a", "b"]).select("row", "pos", "n", "name"), f"level{level}")
 
 
-def exact_groups(docs: DataFrame, work: storage.Workspace, block: int = BLOCK, carry: bool = False, digest=F.xxhash64) -> DataFrame:
+def _placed(base: DataFrame, work: storage.Workspace, block: int, digest) -> DataFrame:
+    """``row, keep_id, group_size, kept`` for ``row, doc_id, norm``."""
+    names = work.table(document_names(base.select("row", "norm"), work, block, digest), "names")
+    ids = work.table(base.select("row", "doc_id").join(names, "row"), "ids")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    groups = work.table(ids.groupBy("level", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size")), "groups")
+    return ids.join(groups, ["level", "name"]).select("row", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first.row") == F.col("row")).alias("kept"))
+
+
+def exact_groups(docs: DataFrame, work: storage.Workspace, block: int = BLOCK, digest=F.xxhash64) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are so after each run of ASCII white space has become one space; null counts as empty.
     Of equal texts the row with the smallest ``doc_id`` stays (nulls last; of repeated rows with that id, one). The
-    sum is of the normalised text in UTF-8. An empty table gives no rows. With ``carry``, the documents' own columns
-    come along, in a struct ``doc``.
+    sum is of the normalised text in UTF-8. Other columns are ignored. An empty table gives no rows.
     """
-    own = [F.struct(*docs.columns).alias("doc")] if carry else []
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"), *own)
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
     base = work.table(base, "base")
-    names = work.table(document_names(base.select("row", "norm"), work, block, digest), "names")
-    ids = base.select("row", "doc_id").join(names, "row")
-    ids = work.table(ids, "ids")
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    groups = work.table(ids.groupBy("level", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size")), "groups")
-    placed = ids.join(groups, ["level", "name"]).select("row", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first.row") == F.col("row")).alias("kept"))
-    kept = [F.col("doc")] if carry else []
-    sums = base.select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256"), *kept)
-    return sums.join(placed, "row").select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *kept)
+    sums = base.select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256"))
+    return sums.join(_placed(base, work, block, digest), "row").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, work: storage.Workspace, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    return exact_groups(docs, work, block, carry=True).where("kept").select("doc.*")
+    """The rows of ``docs`` that stay, with their own columns; equal texts and the row that stays as above."""
+    row = storage.free_name(docs.columns, "row")
+    base = work.table(docs.withColumn(row, F.monotonically_increasing_id()), "base")
+    plain = base.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
+    kept = _placed(plain, work, block, F.xxhash64).where("kept").select(F.col("row").alias(row))
+    return base.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_groups(docs.select("doc_id", "text"), storage.Workspace(spark, "exact"))
+    return exact_groups(docs, storage.Workspace(spark, "exact"))
 
 
 ORACLE_OP1 = r"""
