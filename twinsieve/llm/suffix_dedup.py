@@ -5,15 +5,17 @@
    same place in it. Anchors that occur in one document only are dropped: each part of the input sends its distinct
    anchor hashes once, in blocks by hash, and learns which of them others have too.
 2. Around each anchor that is left lies its context, the union of the strings of ``min_length`` bytes that hold it.
-   A part sends each distinct context once, with the smallest ``doc_id`` that has it there.
-3. Contexts with one anchor meet in one task. Where they differ, the task builds the suffix array and Burrows-Wheeler
-   transform of the contexts in a row and derives common prefixes by increasing length: intervals of suffixes that
-   share l bytes are extended backward by the bytes of the transform to those that share l + 1, breadth first, and
-   this stops at ``min_length``. Each remaining interval is one repeated string, and its smallest ``doc_id`` is known.
+   A part sends a 64-bit digest of each distinct context once, with the smallest ``doc_id`` that has it there. Most
+   anchors have one context wherever they occur; nothing more is needed for those.
+3. Where the contexts of an anchor differ, their bytes meet in one task, which builds the suffix array and
+   Burrows-Wheeler transform of the contexts in a row and derives common prefixes by increasing length: intervals of
+   suffixes that share l bytes are extended backward by the bytes of the transform to those that share l + 1, breadth
+   first, and this stops at ``min_length``. Each remaining interval is one repeated string, and its smallest ``doc_id``
+   is known.
 4. Each part learns, for its contexts, which strings an earlier document has, and removes the bytes they cover.
 
-Everything is compared byte by byte in the end; hashes only bring candidates together. Tasks hold a part's or block's
-numbers, never a group of documents, and copies of a context are merged before they are sent.
+Contexts of one anchor are told apart by their digests; all else is compared byte by byte. Tasks hold a part's or
+block's numbers, never a group of documents, and copies of a context are merged before they are sent.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,8 @@ ANCHOR = 16
 CHUNK = 1 << 20
 FLUSH_ANCHORS = 1_500_000
 FLUSH_CONTEXTS = 150_000
-TRANSFORM_BYTES = 1_000_000
+TRANSFORM_BYTES = 250_000
+HOT_BYTES = 4_000_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -125,20 +129,20 @@ def _find_anchors(folder: str, buckets: int, min_length: int):
 
 
 class _Contexts:
-    """Distinct contexts of a part: bytes, anchor place, hash, smallest document, and whether several documents have it."""
+    """Distinct contexts of a part: bytes, the anchor's hash, smallest and largest document."""
 
     def __init__(self, part: int, buckets: int):
         self.part, self.buckets, self.base = part, buckets, 0
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[tuple[int, bytes], int] = {}
+        self.at: dict[bytes, int] = {}
         self.hash: list[int] = []
         self.low: list[int] = []
         self.high: list[int] = []
 
-    def add(self, pre: int, data: bytes, h: int, doc: int) -> int:
-        i = self.at.setdefault((pre, data), len(self.at))
+    def add(self, data: bytes, h: int, doc: int) -> int:
+        i = self.at.setdefault(data, len(self.at))
         if i == len(self.low):
             self.hash.append(h)
             self.low.append(doc)
@@ -150,29 +154,102 @@ class _Contexts:
         return self.base + i
 
     def rows(self) -> list[tuple[int, int, bytes]]:
-        h = np.array(self.hash, dtype=np.uint64)
-        low, high = np.array(self.low, dtype="<i8"), np.array(self.high, dtype="<i8")
-        keys, out = list(self.at), []
+        digest = np.array([xxhash.xxh3_64_intdigest(data) for data in self.at], dtype=np.uint64)
+        h, low, high = np.array(self.hash, dtype=np.uint64), np.array(self.low, dtype=np.int64), np.array(self.high, dtype=np.int64)
+        out = []
         for b, at in exchange.split(exchange.block_of(h, self.buckets), self.buckets):
-            sent = [keys[i] for i in at]
-            raw = b"".join(
-                [
-                    np.array([len(at)], dtype="<u4").tobytes(),
-                    (at + self.base).astype("<u4").tobytes(),
-                    (h[at] >> np.uint64(32)).astype("<u4").tobytes(),
-                    low[at].tobytes(),
-                    high[at].tobytes(),
-                    np.array([p for p, _ in sent], dtype="<u2").tobytes(),
-                    np.array([len(d) for _, d in sent], dtype="<u2").tobytes(),
-                    *[d for _, d in sent],
-                ]
-            )
-            out.append((b, self.part, len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)))
+            out.append((b, self.part, _packed((at + self.base, h[at] >> np.uint64(32), digest[at], low[at], high[at]), _DIGESTS)))
         self.base += len(self.at)
         self.clear()
         return out
 
 
+_DIGESTS = ("<u4", "<u4", "<u8", "<i8", "<i8")
+_ASKED = ("<u4", "<u4", "<i8", "<i8")
+_BYTES = ("<u4", "<u4", "<i8", "<i8", "<u2")
+_ANSWERS = ("<u4", "<i8", "<u8")
+
+
+def _packed(columns, kinds, tail: bytes = b"") -> bytes:
+    raw = len(columns[0]).to_bytes(4, "little") + b"".join([np.asarray(c).astype(k).tobytes() for c, k in zip(columns, kinds, strict=True)]) + tail
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(payload: bytes, kinds) -> tuple[list[np.ndarray], bytes, int]:
+    """The columns, and the bytes and place of what follows them."""
+    raw = pa.decompress(payload[4:], decompressed_size=int.from_bytes(payload[:4], "little"), codec="zstd", asbytes=True)
+    n, at, columns = int.from_bytes(raw[:4], "little"), 4, []
+    for kind in kinds:
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return columns, raw, at
+
+
+def _match_digests(batches):
+    """Per part: answers (origin 0) for contexts that are alone with their anchor, and which others to send to this
+    block (origin: the block's number plus 1)."""
+    for block, rows in exchange.payload_rows(batches).items():
+        columns = [_unpacked(payload, _DIGESTS)[0] for _, payload in rows]
+        turn = np.repeat(np.arange(len(rows)), [len(c[0]) for c in columns])
+        index, h, digest, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
+        order = np.lexsort((digest, h))
+        new_h = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        new = new_h | np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
+        least = np.empty(len(h), np.int64)
+        least[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        several = np.empty(len(h), bool)
+        several[order] = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_h)) > 1)[np.cumsum(new_h) - 1]
+        matters = ~several & (high > least)
+        for t, (origin, _) in enumerate(rows):
+            own = turn == t
+            at = np.flatnonzero(matters & own)
+            if len(at):
+                yield exchange.batch_of([(origin, 0, _packed((index[at], least[at], np.zeros(len(at))), _ANSWERS))])
+            at = np.flatnonzero(several & own)
+            if len(at):
+                yield exchange.batch_of([(origin, block + 1, _packed((index[at], h[at], low[at], high[at]), _ASKED))])
+
+
+def _places(folder: str, part: int) -> np.ndarray:
+    """Rows, starts, lengths and context numbers of a part's contexts where they occur."""
+    fs, name = storage.open_fs(f"{folder}/place-{part:06d}")
+    with fs.open_input_file(name) as file:
+        raw = file.read()
+    return np.frombuffer(pa.decompress(raw[:-8], decompressed_size=int.from_bytes(raw[-8:], "little"), codec="zstd"), "<u4").reshape(4, -1).astype(np.int64)
+
+
+def _send_bytes(folder: str, buckets: int, min_length: int):
+    """Send the bytes of the contexts that were asked for."""
+
+    def run(batches):
+        for part, rows in exchange.payload_rows(batches).items():
+            columns, block = [], []
+            for key, payload in rows:
+                if key > 0:
+                    columns.append(_unpacked(payload, _ASKED)[0])
+                    block.append(np.full(len(columns[-1][0]), key - 1))
+            if not columns:
+                continue
+            index, h, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
+            block, place = np.concatenate(block), _places(folder, part)
+            number, first = np.unique(place[3], return_index=True)
+            row, start, length = place[:3, first[np.searchsorted(number, index)]]
+            data, base = [b""] * len(index), 0
+            order = np.argsort(row, kind="stable")
+            for batch in storage.read_part(f"{folder}/part-{part:06d}"):
+                text, offsets = exchange.bytes_of(batch.column(1))
+                raw = memoryview(text)
+                for i in order[np.searchsorted(row[order], base) : np.searchsorted(row[order], base + len(batch))].tolist():
+                    at = int(offsets[row[i] - base] + start[i])
+                    data[i] = bytes(raw[at : at + int(length[i])])
+                base += len(batch)
+            for b, at in exchange.split(block, buckets):
+                sent = [data[i] for i in at]
+                yield exchange.batch_of([(b, part, _packed((index[at], h[at], low[at], high[at], [len(d) for d in sent]), _BYTES, b"".join(sent)))])
+
+    return run
+
+
 def _send_contexts(folder: str, buckets: int, min_length: int):
     """Send the part's distinct contexts around shared anchors, and keep where they are."""
 
@@ -190,8 +267,8 @@ def _send_contexts(folder: str, buckets: int, min_length: int):
                     row, at, h = row[hit], at[hit], h[hit]
                     lo = np.maximum(0, at - (min_length - ANCHOR)) + offsets[row]
                     hi = np.minimum(at + min_length + offsets[row], offsets[row + 1])
-                    pre, docs = (at + offsets[row] - lo).tolist(), ids[row].tolist()
-                    index = [found.add(p, bytes(raw[a:b]), x, d) for p, a, b, x, d in zip(pre, lo.tolist(), hi.tolist(), h.tolist(), docs, strict=True)]
+                    docs = ids[row].tolist()
+                    index = [found.add(bytes(raw[a:b]), x, d) for a, b, x, d in zip(lo.tolist(), hi.tolist(), h.tolist(), docs, strict=True)]
                     places.append(np.stack([row + base, lo - offsets[row], hi - lo, np.array(index, dtype=np.int64)]).astype("<u4"))
                     if len(found.at) >= FLUSH_CONTEXTS:
                         yield exchange.batch_of(found.rows())
@@ -205,22 +282,22 @@ def _send_contexts(folder: str, buckets: int, min_length: int):
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of a text of 16-bit symbols, sorted by the ``depth`` (or some more) symbols from there on."""
-    n, span = len(text), 1
-    rank = text.astype(np.int64)
+    """Positions of a text of symbols 0..256, sorted by the ``depth`` (or some more) symbols from there on."""
+    n, span = len(text), 7
+    rank, padded = np.zeros(n, np.int64), np.concatenate([text.astype(np.int64), np.zeros(span, np.int64)])
+    for k in range(span):  # seven symbols of nine bits at once
+        rank = (rank << 9) | padded[k : k + n]
     while True:
-        second = np.zeros(n, np.int64)
-        if span < n:
-            second[:-span] = rank[span:] + 1
-        key = rank * (int(rank.max(initial=0)) + 2) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        span *= 2
+        order = np.argsort(rank, kind="stable")
+        ordered = rank[order]
         new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
         if span >= depth or (n and new[-1] == n - 1):
             return order
+        rank[order] = new
+        second = np.zeros(n, np.int64)
+        second[:-span] = rank[span:] + 1
+        rank = rank * (n + 2) + second
+        span *= 2
 
 
 def repeated_intervals(text: np.ndarray, min_length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,24 +310,25 @@ def repeated_intervals(text: np.ndarray, min_length: int) -> tuple[np.ndarray, n
     """
     n = len(text)
     order = suffix_order(text, min_length)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     transform = text[order - 1]  # the symbol before each suffix, cyclically
     back = place[order - 1]
-    source = np.empty(n, np.int64)
-    source[back] = np.arange(n)
+    source = np.empty(n, np.int32)
+    source[back] = np.arange(n, dtype=np.int32)
     boundary = np.ones(n, bool)
     got = transform[source]
     boundary[1:] = got[1:] != got[:-1]  # length 1: the symbols prepended to the empty prefix
     open_ = np.flatnonzero(~boundary)
-    interval = np.cumsum(boundary)
+    mine, other = source[open_], source[open_ - 1]
+    interval = np.cumsum(boundary, dtype=np.int32)
     for _ in range(1, min_length):
-        if not len(open_):
-            break
-        apart = interval[source[open_]] != interval[source[open_ - 1]]
-        boundary[open_[apart]] = True
-        open_ = open_[~apart]
-        interval = np.cumsum(boundary)
+        apart = interval[mine] != interval[other]
+        if apart.any():
+            boundary[open_[apart]] = True
+            together = ~apart
+            open_, mine, other = open_[together], mine[together], other[together]
+            interval = np.cumsum(boundary, dtype=np.int32)
     return order, boundary
 
 
@@ -276,24 +354,26 @@ def earlier_strings(contexts: list[bytes], docs: np.ndarray, min_length: int) ->
     return mask
 
 
-def earlier_strings_of_hot(contexts: list[bytes], pre: np.ndarray, docs: np.ndarray, min_length: int) -> np.ndarray:
-    """The same for contexts of one anchor, however many: a string has the anchor at one offset, so offset by offset."""
-    mask = np.zeros(len(contexts), np.uint64)
-    for before in range(min_length - ANCHOR + 1):
+def earlier_strings_of_hot(contexts: list[bytes], docs: np.ndarray, min_length: int, at_once: int = 1_000_000) -> np.ndarray:
+    """The same for very many contexts of one anchor: string by string, in shares by the strings' hashes."""
+    mask = [0] * len(contexts)
+    strings = sum(max(0, len(c) - min_length + 1) for c in contexts)
+    shares = max(1, -(-strings // at_once))
+    for share in range(shares):
         least: dict[bytes, int] = {}
         own = []
-        for i, (c, p) in enumerate(zip(contexts, pre.tolist(), strict=True)):
-            at = p - before
-            if at >= 0 and at + min_length <= len(c):
-                s = c[at : at + min_length]
-                own.append((i, at, s))
-                d = int(docs[i])
-                if d < least.get(s, d + 1):
-                    least[s] = d
-        for i, at, s in own:
-            if least[s] < docs[i]:
-                mask[i] |= np.uint64(1) << np.uint64(at)
-    return mask
+        for i, c in enumerate(contexts):
+            d = int(docs[i])
+            for at in range(len(c) - min_length + 1):
+                x = c[at : at + min_length]
+                if shares == 1 or xxhash.xxh3_64_intdigest(x) % shares == share:
+                    own.append((i, at, x))
+                    if d < least.get(x, d + 1):
+                        least[x] = d
+        for i, at, x in own:
+            if least[x] < docs[i]:
+                mask[i] |= 1 << at
+    return np.array(mask, dtype=np.uint64)
 
 
 def _compare_contexts(min_length: int):
@@ -303,45 +383,41 @@ def _compare_contexts(min_length: int):
         for rows in exchange.payload_rows(batches).values():
             columns, data = [], []
             for turn, (_, payload) in enumerate(rows):
-                raw = pa.decompress(payload[4:], decompressed_size=int.from_bytes(payload[:4], "little"), codec="zstd", asbytes=True)
-                n, at, parts = int.from_bytes(raw[:4], "little"), 4, []
-                for kind in ("<u4", "<u4", "<i8", "<i8", "<u2", "<u2"):
-                    parts.append(np.frombuffer(raw, kind, n, at))
-                    at += n * np.dtype(kind).itemsize
-                ends = at + np.cumsum(parts[5].astype(np.int64))
-                data += [raw[e - s : e] for e, s in zip(ends.tolist(), parts[5].tolist(), strict=True)]
-                columns.append([np.full(n, turn), *parts[:5]])
-            turn, index, h, low, high, pre = (np.concatenate(c) for c in zip(*columns, strict=True))
-            same: dict[tuple[int, int, bytes], int] = {}
-            context = np.array([same.setdefault(key, len(same)) for key in zip(h.tolist(), pre.tolist(), data, strict=True)])
+                parts, raw, at = _unpacked(payload, _BYTES)
+                ends = at + np.cumsum(parts[4].astype(np.int64))
+                data += [raw[e - s : e] for e, s in zip(ends.tolist(), parts[4].tolist(), strict=True)]
+                columns.append([np.full(len(parts[0]), turn), *parts[:4]])
+            turn, index, h, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
+            same: dict[tuple[int, bytes], int] = {}
+            context = np.array([same.setdefault(key, len(same)) for key in zip(h.tolist(), data, strict=True)])
             distinct = list(same)
             least = np.full(len(distinct), np.iinfo(np.int64).max)
             np.minimum.at(least, context, low)
             mask = np.zeros(len(distinct), np.uint64)
             groups: dict[int, list[int]] = {}
-            for i, (x, _, _) in enumerate(distinct):
+            for i, (x, _) in enumerate(distinct):
                 groups.setdefault(x, []).append(i)
             waiting: list[int] = []
             size = 0
             todo = [g for g in groups.values() if len(g) > 1]
             for k, group in enumerate(todo):
-                weight = sum(len(distinct[i][2]) for i in group)
-                if weight > TRANSFORM_BYTES:
+                weight = sum(len(distinct[i][1]) for i in group)
+                if weight > HOT_BYTES:
                     own = np.array(group)
-                    mask[own] = earlier_strings_of_hot([distinct[i][2] for i in group], np.array([distinct[i][1] for i in group]), least[own], min_length)
+                    mask[own] = earlier_strings_of_hot([distinct[i][1] for i in group], least[own], min_length)
                 else:
                     waiting += group
                     size += weight
                 if waiting and (size > TRANSFORM_BYTES or k == len(todo) - 1):
                     own = np.array(waiting)
-                    mask[own] = earlier_strings([distinct[i][2] for i in waiting], least[own], min_length)
+                    mask[own] = earlier_strings([distinct[i][1] for i in waiting], least[own], min_length)
                     waiting, size = [], 0
             # A context's other documents lose all of it; the first one loses what earlier strings cover.
             matters = (mask[context] != 0) | (high > least[context])
             for t, (origin, _) in enumerate(rows):
                 at = np.flatnonzero(matters & (turn == t))
                 if len(at):
-                    yield exchange.batch_of([(origin, 0, index[at].astype("<u4").tobytes() + least[context[at]].astype("<i8").tobytes() + mask[context[at]].astype("<u8").tobytes())])
+                    yield exchange.batch_of([(origin, 0, _packed((index[at], least[context[at]], mask[context[at]]), _ANSWERS))])
 
     return run
 
@@ -361,16 +437,11 @@ def _remove(folder: str, min_length: int, with_text: bool):
             replies = [p for origin, p in rows if origin >= 0]
             cut_rows, cut_lo, cut_hi = (np.empty(0, np.int64),) * 3
             if replies:
-                sizes = [len(p) // 20 for p in replies]
-                index = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(replies, sizes, strict=True)]).astype(np.int64)
-                least = np.concatenate([np.frombuffer(p, "<i8", n, 4 * n) for p, n in zip(replies, sizes, strict=True)])
-                mask = np.concatenate([np.frombuffer(p, "<u8", n, 12 * n) for p, n in zip(replies, sizes, strict=True)])
+                index, least, mask = (np.concatenate(c) for c in zip(*[_unpacked(p, _ANSWERS)[0] for p in replies], strict=True))
+                index = index.astype(np.int64)
                 order = np.argsort(index)
                 index, least, mask = index[order], least[order], mask[order]
-                fs, name = storage.open_fs(f"{folder}/place-{part:06d}")
-                with fs.open_input_file(name) as file:
-                    raw = file.read()
-                kept = np.frombuffer(pa.decompress(raw[:-8], decompressed_size=int.from_bytes(raw[-8:], "little"), codec="zstd"), "<u4").reshape(4, -1).astype(np.int64)
+                kept = _places(folder, part)
                 at = np.minimum(np.searchsorted(index, kept[3]), len(index) - 1)
                 known = index[at] == kept[3]
                 kept, at = kept[:, known], at[known]
@@ -432,9 +503,12 @@ def suffix_dedup(docs: DataFrame, work: storage.Workspace, min_length: int = MIN
     parts = last + 1
     shared = sent.where("key >= 0").repartitionById(buckets, F.col("key")).mapInArrow(exchange.shared_hashes, exchange.ROW)
     contexts = shared.repartitionById(parts, F.col("key")).mapInArrow(_send_contexts(folder, buckets, min_length), exchange.ROW)
-    answers = contexts.repartitionById(buckets, F.col("key")).mapInArrow(_compare_contexts(min_length), exchange.ROW)
-    answers = work.table(answers, "answers")
+    matched = work.table(contexts.repartitionById(buckets, F.col("key")).mapInArrow(_match_digests, exchange.ROW), "matched")
     work.drop("anchors")
+    asked = matched.where("origin > 0").unionByName(exchange.marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key"))
+    sent_bytes = asked.mapInArrow(_send_bytes(folder, buckets, min_length), exchange.ROW)
+    compared = sent_bytes.repartitionById(buckets, F.col("key")).mapInArrow(_compare_contexts(min_length), exchange.ROW)
+    answers = work.table(compared, "answers").unionByName(matched.where("origin = 0"))
     return answers.unionByName(exchange.marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key")).mapInArrow(_remove(folder, min_length, with_text), schema)
 
 
