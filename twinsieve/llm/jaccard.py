@@ -602,3 +602,22 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = jaccard_components(docs, storage.Workspace(spark, "jaccard"))
     return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+ORACLE_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM both_have JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
+ends AS (SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT u AS id, u AS r FROM ends UNION SELECT ends.v, reach.r FROM reach JOIN ends ON ends.u = reach.id),
+least AS (SELECT id, min(r) AS r FROM reach GROUP BY id),
+degree AS (SELECT u, count(*) AS n FROM ends GROUP BY u)
+SELECT sizes.doc_id, sizes.n AS n_shingles, coalesce(least.r, sizes.doc_id) AS component_id, coalesce(degree.n, 0) AS n_links
+FROM sizes LEFT JOIN least ON least.id = sizes.doc_id LEFT JOIN degree ON degree.u = sizes.doc_id
+"""

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_OP1,
+    "op6_ngram_jaccard_join": jaccard.ORACLE_OP6,
     "op10_exact_top_k": topk.ORACLE_OP10,
 }
