@@ -7,7 +7,7 @@
 2. Around each anchor that is left lies its context, the union of the strings of ``min_length`` bytes that hold it.
    A part sends a 64-bit digest of each distinct context once, with the smallest ``doc_id`` that has it there. Most
    anchors have one context wherever they occur; nothing more is needed for those.
-3. Where the contexts of an anchor differ, their bytes meet in one task, which builds the suffix array and
+3. Where the contexts of an anchor differ, one part sends the bytes of each to one task, which builds the suffix array and
    Burrows-Wheeler transform of the contexts in a row and derives common prefixes by increasing length: intervals of
    suffixes that share l bytes are extended backward by the bytes of the transform to those that share l + 1, breadth
    first, and this stops at ``min_length``. Each remaining interval is one repeated string, and its smallest ``doc_id``
@@ -165,8 +165,9 @@ class _Contexts:
 
 
 _DIGESTS = ("<u4", "<u4", "<u8", "<i8", "<i8")
-_ASKED = ("<u4", "<u4", "<i8", "<i8")
-_BYTES = ("<u4", "<u4", "<i8", "<i8", "<u2")
+_ASKED = ("<u4", "<u4", "<u4", "<i8")
+_HOLDERS = ("<u4", "<u4", "<u4", "<i8")
+_BYTES = ("<u4", "<u4", "<i8", "<u2")
 _ANSWERS = ("<u4", "<i8", "<u8")
 
 
@@ -186,8 +187,8 @@ def _unpacked(payload: bytes, kinds) -> tuple[list[np.ndarray], bytes, int]:
 
 
 def _match_digests(batches):
-    """Per part: answers (origin 0) for contexts that are alone with their anchor, and which others to send to this
-    block (origin: the block's number plus 1)."""
+    """Answers for contexts that are alone with their anchor (origin 0). Of each other one, one part is asked for the
+    bytes (origin: the block's number plus 1), and who has it stays with the block (origin -2)."""
     for block, rows in exchange.payload_rows(batches).items():
         columns = [_unpacked(payload, _DIGESTS)[0] for _, payload in rows]
         turn = np.repeat(np.arange(len(rows)), [len(c[0]) for c in columns])
@@ -205,9 +206,19 @@ def _match_digests(batches):
             at = np.flatnonzero(matters & own)
             if len(at):
                 yield exchange.batch_of([(origin, 0, _packed((index[at], least[at], np.zeros(len(at))), _ANSWERS))])
-            at = np.flatnonzero(several & own)
-            if len(at):
-                yield exchange.batch_of([(origin, block + 1, _packed((index[at], h[at], low[at], high[at]), _ASKED))])
+        at = np.flatnonzero(several)
+        if not len(at):
+            continue
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        _, first = np.unique(number[at], return_index=True)
+        asked = at[first]
+        for t, (origin, _) in enumerate(rows):
+            own = asked[turn[asked] == t]
+            if len(own):
+                yield exchange.batch_of([(origin, block + 1, _packed((index[own], number[own], h[own], least[own]), _ASKED))])
+        part = np.array([origin for origin, _ in rows])
+        yield exchange.batch_of([(block, -2, _packed((number[at], part[turn[at]], index[at], high[at]), _HOLDERS))])
 
 
 def _places(folder: str, part: int) -> np.ndarray:
@@ -230,7 +241,7 @@ def _send_bytes(folder: str, buckets: int, min_length: int):
                     block.append(np.full(len(columns[-1][0]), key - 1))
             if not columns:
                 continue
-            index, h, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
+            index, number_of, h, least = (np.concatenate(c) for c in zip(*columns, strict=True))
             block, place = np.concatenate(block), _places(folder, part)
             number, first = np.unique(place[3], return_index=True)
             row, start, length = place[:3, first[np.searchsorted(number, index)]]
@@ -245,7 +256,7 @@ def _send_bytes(folder: str, buckets: int, min_length: int):
                 base += len(batch)
             for b, at in exchange.split(block, buckets):
                 sent = [data[i] for i in at]
-                yield exchange.batch_of([(b, part, _packed((index[at], h[at], low[at], high[at], [len(d) for d in sent]), _BYTES, b"".join(sent)))])
+                yield exchange.batch_of([(b, part, _packed((number_of[at], h[at], least[at], [len(d) for d in sent]), _BYTES, b"".join(sent)))])
 
     return run
 
@@ -377,47 +388,47 @@ def earlier_strings_of_hot(contexts: list[bytes], docs: np.ndarray, min_length:
 
 
 def _compare_contexts(min_length: int):
-    """For each part, the smallest document and the earlier strings of its contexts, where any byte may go."""
+    """For each part that has them, the smallest document and the earlier strings of contexts, where any byte may go."""
 
     def run(batches):
         for rows in exchange.payload_rows(batches).values():
-            columns, data = [], []
-            for turn, (_, payload) in enumerate(rows):
+            columns, held, data = [], [], []
+            for origin, payload in rows:
+                if origin == -2:
+                    held.append(_unpacked(payload, _HOLDERS)[0])
+                    continue
                 parts, raw, at = _unpacked(payload, _BYTES)
-                ends = at + np.cumsum(parts[4].astype(np.int64))
-                data += [raw[e - s : e] for e, s in zip(ends.tolist(), parts[4].tolist(), strict=True)]
-                columns.append([np.full(len(parts[0]), turn), *parts[:4]])
-            turn, index, h, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
-            same: dict[tuple[int, bytes], int] = {}
-            context = np.array([same.setdefault(key, len(same)) for key in zip(h.tolist(), data, strict=True)])
-            distinct = list(same)
-            least = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(least, context, low)
+                ends = at + np.cumsum(parts[3].astype(np.int64))
+                data += [raw[e - n : e] for e, n in zip(ends.tolist(), parts[3].tolist(), strict=True)]
+                columns.append(parts[:3])
+            number, h, least = (np.concatenate(c) for c in zip(*columns, strict=True))
+            order = np.argsort(number)
+            number, h, least, distinct = number[order], h[order], least[order], [data[i] for i in order.tolist()]
             mask = np.zeros(len(distinct), np.uint64)
             groups: dict[int, list[int]] = {}
-            for i, (x, _) in enumerate(distinct):
+            for i, x in enumerate(h.tolist()):
                 groups.setdefault(x, []).append(i)
             waiting: list[int] = []
-            size = 0
-            todo = [g for g in groups.values() if len(g) > 1]
+            size, todo = 0, list(groups.values())
             for k, group in enumerate(todo):
-                weight = sum(len(distinct[i][1]) for i in group)
+                weight = sum(len(distinct[i]) for i in group)
                 if weight > HOT_BYTES:
                     own = np.array(group)
-                    mask[own] = earlier_strings_of_hot([distinct[i][1] for i in group], least[own], min_length)
+                    mask[own] = earlier_strings_of_hot([distinct[i] for i in group], least[own], min_length)
                 else:
                     waiting += group
                     size += weight
                 if waiting and (size > TRANSFORM_BYTES or k == len(todo) - 1):
                     own = np.array(waiting)
-                    mask[own] = earlier_strings([distinct[i][1] for i in waiting], least[own], min_length)
+                    mask[own] = earlier_strings([distinct[i] for i in waiting], least[own], min_length)
                     waiting, size = [], 0
             # A context's other documents lose all of it; the first one loses what earlier strings cover.
-            matters = (mask[context] != 0) | (high > least[context])
-            for t, (origin, _) in enumerate(rows):
-                at = np.flatnonzero(matters & (turn == t))
-                if len(at):
-                    yield exchange.batch_of([(origin, 0, _packed((index[at], least[context[at]], mask[context[at]]), _ANSWERS))])
+            which, part, index, high = (np.concatenate(c) for c in zip(*held, strict=True))
+            which = np.searchsorted(number, which)
+            matters = (mask[which] != 0) | (high > least[which])
+            for origin in np.unique(part[matters]).tolist():
+                at = np.flatnonzero(matters & (part == origin))
+                yield exchange.batch_of([(origin, 0, _packed((index[at], least[which[at]], mask[which[at]]), _ANSWERS))])
 
     return run
 
@@ -507,7 +518,8 @@ def suffix_dedup(docs: DataFrame, work: storage.Workspace, min_length: int = MIN
     work.drop("anchors")
     asked = matched.where("origin > 0").unionByName(exchange.marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key"))
     sent_bytes = asked.mapInArrow(_send_bytes(folder, buckets, min_length), exchange.ROW)
-    compared = sent_bytes.repartitionById(buckets, F.col("key")).mapInArrow(_compare_contexts(min_length), exchange.ROW)
+    held = matched.where("origin = -2")
+    compared = sent_bytes.unionByName(held).repartitionById(buckets, F.col("key")).mapInArrow(_compare_contexts(min_length), exchange.ROW)
     answers = work.table(compared, "answers").unionByName(matched.where("origin = 0"))
     return answers.unionByName(exchange.marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key")).mapInArrow(_remove(folder, min_length, with_text), schema)
 
