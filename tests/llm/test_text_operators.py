@@ -315,6 +315,19 @@ def test_mixing(spark, odd, small, empty):
     assert mixing.mix(empty, work(spark)).count() == 0
 
 
+def test_mixing_loses_none_of_many_sources(spark):
+    """Several range partitions: each source is numbered once, in order, whatever the plan makes of the partitions."""
+    n, before = 300_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("s%07d", "id").alias("source"), F.lit("one two").alias("text"))
+        mixed = mixing.mix(docs, work(spark), keep=["doc_id", "source"])
+        got = {(r["turn"], round(r["target"], 6)): r["count"] for r in mixed.groupBy((F.col("doc_id") % 3).alias("turn"), "target").count().collect()}
+        assert got == {(i, round(t, 6)): n // 3 for i, t in enumerate(_water([2] * 3, 1.5, 2.0, [5, 2, 1]))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_mixing_keeps_clashing_columns_on_request(spark, odd):
     whole = odd.select("doc_id", "source", "text", F.struct(*odd.columns).alias("doc"))
     assert mixing.mix(whole, work(spark), keep=["doc"]).select("doc.*").columns == odd.columns

@@ -29,10 +29,11 @@ def words(text):
     return (F.length(F.regexp_replace(text, WORD, "x")) - F.length(F.regexp_replace(text, WORD, ""))).cast("long")
 
 
-def cyclic_weights(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
+def cyclic_weights(sources: DataFrame, work: storage.Workspace, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
     """``source, weight`` for one row a source: the weights in turn, sources by code point, the null source last.
 
-    Sources are numbered in range partitions whose counts are added up, so that no task needs to hold them all.
+    Sources are numbered in range partitions whose counts are added up, so that no task needs to hold them all. The
+    partitions are written first: evaluated once for the counts and once for the rows, they would not be the same.
     """
     key = F.encode(F.col("source"), "UTF-8")
     nulls = F.col("source").isNull()
@@ -40,6 +41,7 @@ def cyclic_weights(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1
     placed = placed.repartitionByRange("missing", "key").sortWithinPartitions("missing", "key")
     placed = placed.withColumn("at", F.monotonically_increasing_id())
     placed = placed.withColumns({"part": F.shiftright("at", 33), "row": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = work.table(placed.select("source", "part", "row"), "placed")
     sizes = placed.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, work: storage.Workspace, share: float = 1.5, max_epochs
     base = work.table(base, "documents")
     small = base.select(F.col(src).alias("source"), "size", F.col(u).alias("u"), F.col(cell).alias("b"), F.col(row).alias("r"))
     per = work.table(small.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    weighed = work.table(_join(per, cyclic_weights(per, weights), "source"), "weighed")
+    weighed = work.table(_join(per, cyclic_weights(per, work, weights), "source"), "weighed")
     plan = targets(weighed, share, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
