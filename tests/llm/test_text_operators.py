@@ -441,6 +441,76 @@ def test_near_passage_is_found(spark):
     assert got[0]["start_word"] <= 34 and got[0]["end_word"] >= 150
 
 
+def _edited(rng, base, fresh):
+    out = list(base)
+    for _ in range(rng.randint(1, 3)):
+        at = rng.randrange(len(out) + 1)
+        kind = rng.randrange(3)
+        out[at : at + (kind > 0)] = [next(fresh)] if kind < 2 else []
+    return out
+
+
+def _near(a, b, similarity):
+    return len(a & b) >= similarity * len(a | b) - 1e-9
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_chained_sequences_by_brute_force(seed):
+    """Sequences of any lengths with insertions, deletions, changes and repeats; each is found, and nothing else is."""
+    rng, width, similarity = random.Random(seed), 7, 0.7
+    fresh = iter(range(10**6, 10**7))
+    base = [rng.choice(range(6 if seed % 3 == 0 else 1000)) for _ in range(16)]
+    x = [next(fresh) for _ in range(3)] + base + [next(fresh) for _ in range(3)]
+    y = [next(fresh) for _ in range(4)] + _edited(rng, base, fresh) + [next(fresh) for _ in range(2)]
+    if seed % 4 == 1:
+        y = y[11:] + y[:11]
+    got = np.zeros(len(x), bool)
+    others = [(k, m, set(y[k:m])) for k in range(len(y)) for m in range(k + width, len(y) + 1)]
+    for first, last in substring_dedup.chained(np.array(x, np.uint64), np.array(y, np.uint64), width, similarity):
+        got[first : last + width] = True
+        assert any(_near(set(x[first : last + width]), b, similarity) for _, _, b in others)
+    want = np.zeros(len(x), bool)
+    for i in range(len(x)):
+        for j in range(i + width, len(x) + 1):
+            a = set(x[i:j])
+            if any(x[i] == y[k] and x[j - 1] == y[m - 1] and _near(a, b, similarity) for k, m, b in others):
+                want[i:j] = True
+    assert not (want & ~got).any()
+
+
+def test_sequences_with_inserted_and_deleted_words_are_found(spark):
+    rng = random.Random(4)
+    word = (f"u{i}" for i in range(10**6))
+    fill = lambda n: [next(word) for _ in range(n)]
+    rows, spans = [], {}
+
+    def plant(base, other):
+        d = len(rows)
+        rows.append((d, " ".join(fill(60) + base + fill(60))))
+        rows.append((d + 1, " ".join(fill(rng.randint(30, 90)) + other + fill(60))))
+        at = rows[-1][1].split().index(other[0])
+        spans[d + 1] = (d, at, at + len(other))
+
+    for back in (False, True):
+        for words, places in ((88, [44]), (880, range(44, 880, 44)), (88, [44, 44]), (200, [44, 88, 132])):
+            base, other = fill(words), []
+            for i, w in enumerate(base):
+                other += fill(sum(p == i for p in places)) + [w]
+            plant(*((other, base) if back else (base, other)))
+    got = {r["doc_id"]: (r["source_id"], r["start_word"], r["end_word"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string"), work(spark)).collect()}
+    assert set(got) == set(spans)
+    for d, (source, start, end) in spans.items():
+        assert got[d][0] == source and got[d][1] <= start and got[d][2] >= end, d
+
+
+def test_equal_places_of_one_repeated_shingle_are_not_similarity():
+    rng = np.random.default_rng(1)
+    x, y = (np.full(46, 5, np.uint64) for _ in range(2))
+    for t in (x, y):
+        t[[3, 13, 23, 33, 43]] = rng.integers(10, 2**60, 5, dtype=np.uint64)
+    assert substring_dedup.near_passages([x, y], np.array([1, 2]), np.zeros(2, int), 46, 8, 1, 0.8) == []
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------
 
 

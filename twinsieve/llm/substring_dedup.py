@@ -9,9 +9,10 @@ minima, since exactly those nodes are the smallest of some sequence of that leng
 2. A sequence that shares under ``ENOUGH`` of its values with others can't be near any; what is left are segments.
 3. Segments with values in common form clusters (distributed connected components). A cluster's segments meet in one
    task, or, where there are many, in one task for each pair of blocks.
-4. There, compact windows with one value are joined as intervals: they vouch, at their shift, for the starts that lie
-   in both. Starts that enough hash functions vouch for are verified: of the shingles of the two sequences, counted at
-   equal places, the share in common must be ``SIMILARITY`` or more.
+4. There, compact windows with one value are joined as intervals: they vouch for the starts that lie in them. Where
+   enough hash functions vouch for a start with one other segment, sequences of the two are verified: first those of the
+   minimal length, at the shifts of the windows, and where starts are left, sequences of any lengths from there on,
+   between ends of runs in common. The Jaccard similarity of their shingle sets must be ``SIMILARITY`` or more.
 
 Result: passages of a document that are near one of a document with a smaller ``doc_id``.
 """
@@ -245,10 +246,95 @@ class _Lists:
         self.cuts = np.searchsorted(self.segment, np.arange(len(segments) + 1))
 
 
+def _previous(tokens: np.ndarray) -> np.ndarray:
+    """The last earlier place of each token, -1 for none."""
+    order = np.argsort(tokens, kind="stable")
+    out = np.full(len(tokens), -1, np.int64)
+    again = tokens[order[1:]] == tokens[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
+    return out
+
+
+def _distinct(previous: np.ndarray, width: int) -> np.ndarray:
+    """How many distinct tokens the sequence of ``width`` from each start has."""
+    # A token counts for the starts between its last occurrence and itself.
+    change, at = np.zeros(len(previous) + 1, np.int64), np.arange(len(previous))
+    np.add.at(change, np.maximum(previous + 1, at - width + 1).clip(0), 1)
+    np.add.at(change, at + 1, -1)
+    return np.cumsum(change)[: len(previous) - width + 1]
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sequences' token sets is enough."""
+    a, b = set(x.tolist()), set(y.tolist())
+    both = len(a & b)
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last places (exclusive), in x and in y, of the maximal runs that both have, by place in x."""
+    order = np.argsort(y, kind="stable")
+    lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    n = hi - lo
+    p = np.repeat(np.arange(len(x)), n)
+    q = order[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
+    at = np.lexsort((p, q - p))
+    p, q = p[at], q[at]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(q) != 1)])) if len(p) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(p)))
+    p, q = p[first], q[first]
+    at = np.lexsort((q, p))
+    return p[at], p[at] + size[at], q[at], q[at] + size[at]
+
+
+def chained(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> list[tuple[int, int]]:
+    """(first, last) starts in x of sequences near one of y, where both have ``width`` tokens or more, not equally many.
+
+    Two near sequences that begin and end with tokens in common stay near when both are drawn out to the ends of the
+    runs in common there, so only those ends are tried, with bounds from the distinct tokens, and then the sets are
+    compared. What is shorter than ``width`` is filled up with what lies around it.
+    """
+    p, pe, q, qe = _runs(x, y)
+    if not len(p):
+        return []
+    px, py = _previous(x), _previous(y)
+    in_y, in_x = np.isin(x, y), np.isin(y, x)
+    least_x, least_y = int(_distinct(px, width).min()), int(_distinct(py, width).min())
+    tried = []
+    for a in range(len(p)):
+        new_x, new_y = px[p[a] :] < p[a], py[q[a] :] < q[a]
+        d, e = np.cumsum(new_x), np.cumsum(new_x & in_y[p[a] :])
+        straight = np.flatnonzero((pe > p[a]) & (qe > q[a]))
+        # Besides the end of each run, what spans all runs from here on, whatever their order in y.
+        from_ = np.concatenate([np.full(len(straight), q[a]), np.minimum.accumulate(q[a:])])
+        to = np.concatenate([qe[straight], np.maximum.accumulate(qe[a:])])
+        end = np.concatenate([pe[straight], np.maximum.accumulate(pe[a:])])
+        dx, ex = d[end - p[a] - 1], e[end - p[a] - 1]
+        dy = np.cumsum(new_y)[to.clip(q[a] + 1) - q[a] - 1]  # at most what the sequence has, where it begins earlier
+        ey = np.where(from_ == q[a], np.cumsum(new_y & in_x[q[a] :])[to.clip(q[a] + 1) - q[a] - 1], len(y))
+        both = np.minimum(ex, ey)
+        dx, dy = np.where(end - p[a] < width, np.maximum(dx, least_x), dx), np.where(to - from_ < width, np.maximum(dy, least_y), dy)
+        fine = both >= similarity * (np.maximum(dx + dy - both, np.maximum(dx, dy))) - 1e-9
+        tried.append(np.stack([np.full(int(fine.sum()), p[a]), end[fine], from_[fine], to[fine]], 1))
+    found: list[tuple[int, int]] = []
+    tried = np.unique(np.concatenate(tried), axis=0)
+    for i, j, k, m in tried[np.argsort(tried[:, 0] - tried[:, 1], kind="stable")].tolist():
+        starts = range(i, i + 1) if j - i >= width else range(max(0, j - width), min(i, len(x) - width) + 1)
+        others = range(k, k + 1) if m - k >= width else range(max(0, m - width), min(k, len(y) - width) + 1)
+        for s in starts:
+            last = max(s, j - width)
+            if any(f <= s and last <= t for f, t in found):
+                continue
+            if any(_similar(x[s : max(j, s + width)], y[t : max(m, t + width)], similarity) for t in others):
+                found.append((s, last))
+    return found
+
+
 def near_passages(segments: list[np.ndarray], docs: np.ndarray, sides: np.ndarray, width: int, hashes: int, enough: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """(segment, first start, last start, earlier document) for the starts of sequences near one of an earlier document."""
     lists, found = _Lists(segments, width, hashes), []
     needed = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))  # equal places for e / (2 * width - e) to reach it
+    repeats = [_distinct(_previous(t), width) < width for t in segments]
     for x in range(len(segments)):
         own = slice(lists.cuts[x], lists.cuts[x + 1])
         value = lists.value[own]
@@ -261,35 +347,41 @@ def near_passages(segments: list[np.ndarray], docs: np.ndarray, sides: np.ndarra
         if sides[x]:
             keep &= sides[y] != sides[x]
         mine, other, y = mine[keep], other[keep], y[keep]
-        if not len(y):
-            continue
-        shift = lists.place[other] - lists.place[mine]
-        a = np.maximum(lists.first[mine], lists.first[other] - shift)
-        b = np.minimum(lists.last[mine], lists.last[other] - shift)
-        fine = a <= b
-        y, shift, a, b = y[fine], shift[fine], a[fine], b[fine]
-        # Sweep over the starts of each (segment, shift): +1 where a window begins, -1 after it ends.
-        pair, inverse = np.unique(y * (1 << 32) + (shift + (1 << 31)), return_inverse=True)
-        votes = np.bincount(inverse, b - a + 1)
-        worth = np.flatnonzero(votes >= enough)
-        order = np.argsort(inverse, kind="stable")
-        edges = np.searchsorted(inverse[order], np.arange(len(pair) + 1))
         tokens = segments[x]
-        for p in worth[np.argsort(docs[(pair[worth] >> 32)], kind="stable")].tolist():
-            own_rows = order[edges[p] : edges[p + 1]]
+        order = np.argsort(y, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(y[order])) + 1):
+            if len(rows) < enough:
+                continue
+            # Sweep over the starts: +1 where a window begins, -1 after it ends, wherever the other segment has its value.
             count = np.zeros(len(tokens) - width + 2, np.int64)
-            np.add.at(count, a[own_rows], 1)
-            np.add.at(count, b[own_rows] + 1, -1)
+            np.add.at(count, lists.first[mine[rows]], 1)
+            np.add.at(count, lists.last[mine[rows]] + 1, -1)
             vouched = np.cumsum(count[:-1]) >= enough
             if not vouched.any():
                 continue
-            seg, move = int(pair[p] >> 32), int(pair[p] & 0xFFFFFFFF) - (1 << 31)
-            partner = segments[seg]
-            from_, to = max(0, -move), min(len(tokens), len(partner) - move)
-            same = np.zeros(len(tokens) + 1, np.int64)
-            same[from_ + 1 : to + 1] = tokens[from_:to] == partner[from_ + move : to + move]
-            total = np.cumsum(same)
-            near = vouched & (total[width:] - total[:-width] >= needed)
+            seg = int(y[rows[0]])
+            partner, near = segments[seg], np.zeros(len(vouched), bool)
+            shifts, votes = np.unique(lists.place[other[rows]] - lists.place[mine[rows]], return_counts=True)
+            for move in shifts[np.argsort(-votes, kind="stable")].tolist():
+                if not (vouched & ~near).any():
+                    break
+                from_, to = max(0, -move), min(len(tokens), len(partner) - move)
+                if to - from_ < needed:
+                    continue
+                same = np.zeros(len(tokens) + 1, np.int64)
+                same[from_ + 1 : to + 1] = tokens[from_:to] == partner[from_ + move : to + move]
+                total = np.cumsum(same)
+                at = np.flatnonzero(total[width:] - total[:-width] >= needed)
+                at = at[~near[at]]
+                there = (at + move).clip(0, len(partner) - width)  # a sequence beyond an end of the other segment is drawn inside
+                # Equal places say how many tokens two sets share only where tokens don't repeat.
+                unsure = repeats[x][at] | repeats[seg][there]
+                for i in np.flatnonzero(unsure).tolist():
+                    unsure[i] = not _similar(tokens[at[i] : at[i] + width], partner[there[i] : there[i] + width], similarity)
+                near[at[~unsure]] = True
+            if (vouched & ~near).any():
+                for first, last in chained(tokens, partner, width, similarity):
+                    near[first : last + 1] = True
             at = np.flatnonzero(near)
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1) + 1
@@ -329,7 +421,8 @@ def _compare(size: int, width: int, hashes: int, enough: int, similarity: float)
 def passages(docs: DataFrame, work: storage.Workspace, words: int = PASSAGE_WORDS, shingle: int = SHINGLE, similarity: float = SIMILARITY, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """``doc_id, source_id, start_word, end_word``: maximal passages near one of a document with a smaller id.
 
-    A passage is a run of words, each in some ``words`` long sequence that has a near one in an earlier document;
+    A passage is a run of words, each in some sequence of ``words`` or more that has a near one in an earlier document;
+    the two needn't be equally long.
     ``source_id`` is the smallest such document. Words are runs of bytes other than ASCII white space, A-Z lower-cased.
     Null, empty and shorter texts have no passages. Rows with equal ``doc_id`` aren't near one another; a null
     ``doc_id`` counts as smaller than all others and is returned as null. Other columns are ignored. Identical passages
