@@ -397,7 +397,7 @@ def test_strings_of_hot_anchors():
 @pytest.mark.parametrize("seed", range(4))
 def test_transform_intervals(seed):
     rng = np.random.default_rng(seed)
-    text = rng.integers(0, 3, 300).astype(np.uint16)
+    text = np.append(rng.integers(1, 4, 300), 0).astype(np.uint16)  # symbols from 1, and a terminator, as required
     order, boundary = suffix_dedup.repeated_intervals(text, 6)
     padded = np.concatenate([text, np.full(6, 9, np.uint16)])
     for i in range(1, len(text)):
@@ -409,12 +409,11 @@ def test_transform_intervals(seed):
 # 2 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block_tokens", [60_000, 40])
-def test_passages(spark, odd, small, empty, block_tokens, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BLOCK_TOKENS", block_tokens)
+@pytest.mark.parametrize("sources", [4, 1])
+def test_passages(spark, odd, small, empty, sources):
     for docs in (small, odd):
         rows = rows_of(docs)
-        got = [tuple(r) for r in substring_dedup.passages(docs, work(spark)).collect()]
+        got = [tuple(r) for r in substring_dedup.passages(docs, work(spark), sources=sources).collect()]
         spans, n, first = collections.defaultdict(list), 50, {}
         for d, s, a, b in got:
             spans[d].append((a, b))
@@ -503,12 +502,98 @@ def test_sequences_with_inserted_and_deleted_words_are_found(spark):
         assert got[d][0] == source and got[d][1] <= start and got[d][2] >= end, d
 
 
+def _rule(**changed):
+    given = {"folder": "", "blocks": 1, "size": 5, "width": 46, "similarity": 0.8, "hashes": 8, "enough": 4, "sources": 4}
+    return substring_dedup.Rule(**(given | changed))
+
+
 def test_equal_places_of_one_repeated_shingle_are_not_similarity():
     rng = np.random.default_rng(1)
     x, y = (np.full(46, 5, np.uint64) for _ in range(2))
     for t in (x, y):
         t[[3, 13, 23, 33, 43]] = rng.integers(10, 2**60, 5, dtype=np.uint64)
-    assert substring_dedup.near_passages([x, y], np.array([1, 2]), np.zeros(2, int), 46, 8, 1, 0.8) == []
+    near = np.zeros(1, bool)
+    substring_dedup.near_starts(substring_dedup.Segment(y, _rule()), substring_dedup.Segment(x, _rule()), near, 1)
+    assert not near.any()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_compact_windows_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    h, width = rng.integers(0, 9 if seed % 2 else 2**60, 70, dtype=np.uint64) << np.uint64(30), 7
+    left, place, right = (x.tolist() for x in substring_dedup.compact_windows(h, width))
+    holds = collections.Counter()
+    for a, c, b in zip(left, place, right, strict=True):
+        assert b - a + 1 >= width
+        holds.update((i, j, c) for i in range(a, c + 1) for j in range(c, b + 1))
+    for i in range(len(h)):
+        for j in range(i + width - 1, len(h)):
+            assert holds[i, j, i + int(np.argmin(h[i : j + 1]))] == 1  # the first of equals
+
+
+def _passage_truth(texts, words=50, size=5, similarity=0.8):
+    """Starts of sequences of 50 words, by document, near one of 50 or 51 or 49 and what is around in an earlier one."""
+    sets = []
+    for t in texts:
+        g = [tuple(t[i : i + size]) for i in range(len(t) - size + 1)]
+        width = words - size + 1
+        sets.append([set(g[i : i + width]) for i in range(len(g) - width + 1)])
+    out = collections.defaultdict(set)
+    for d in range(len(texts)):
+        for e in range(d):
+            index = collections.defaultdict(set)
+            for j, b in enumerate(sets[e]):
+                for x in b:
+                    index[x].add(j)
+            for i, a in enumerate(sets[d]):
+                if i in out[d]:
+                    continue
+                at = set().union(*[index[x] for x in a]) if a else ()
+                if any(_near(a, sets[e][j], similarity) for j in at):
+                    out[d].add(i)
+    return out
+
+
+def _near_somewhere(x, y, words=50, most=65, size=5, similarity=0.8):
+    """Whether any sequence of x of 50 words or more is near one of y, whatever their lengths."""
+    gx, gy = ([tuple(t[i : i + size]) for i in range(len(t) - size + 1)] for t in (x, y))
+    if len(set(gx) & set(gy)) < similarity * (words - size + 1):
+        return False
+    lengths = range(words - size + 1, most)
+    others = [set(gy[i : i + n]) for n in lengths for i in range(len(gy) - n + 1)]
+    return any(_near(set(gx[i : i + n]), b, similarity) for n in lengths for i in range(len(gx) - n + 1) for b in others)
+
+
+@pytest.mark.parametrize("kind", ["insert", "delete", "change", "two changes", "mixed"])
+@pytest.mark.parametrize("sources", [4, 1])
+def test_recall_of_near_passages_by_brute_force(spark, kind, sources):
+    """All pairs of sequences of 50 words: what is reported is near, and at least nine tenths of what is near is found."""
+    rng = random.Random(len(kind))
+    fresh = (f"n{i}" for i in range(10**6))
+    fill = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        base = fill(60 if kind == "two changes" else 50)
+        for copy in range(3):
+            own = list(base)
+            if copy:
+                edits = {"insert": "i", "delete": "d", "change": "c", "two changes": "cc", "mixed": rng.choice("idc")}[kind]
+                for e in edits:
+                    at = rng.randrange(1, len(own) - 1)
+                    own[at : at + (e != "i")] = fill(e != "d")
+            texts.append(fill(rng.randint(20, 60)) + own + fill(rng.randint(20, 60)))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in substring_dedup.passages(docs, work(spark), sources=sources).collect():
+        got[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    truth = _passage_truth(texts)
+    found = sum(any(a <= s and s + 50 <= b for a, b in got[d]) for d in truth for s in truth[d])
+    total = sum(map(len, truth.values()))
+    assert total and found >= 0.9 * total
+    for d, spans in got.items():
+        for a, b in spans:
+            assert any(a <= s < b for s in truth[d]) or any(_near_somewhere(texts[d][a:b], texts[e]) for e in range(d))
 
 
 # 3 ----------------------------------------------------------------------------------------------------------------

@@ -29,6 +29,30 @@ def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "origin", "payload"])
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """One-dimensional arrays of plain numbers as compressed bytes, with their kinds and lengths."""
+    arrays = [np.ascontiguousarray(a) for a in arrays]
+    head = ",".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
+    raw = len(head).to_bytes(4, "little") + head + b"".join([a.tobytes() for a in arrays])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(payload: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    found = []
+    for kind in raw[4:at].decode().split(","):
+        found.append(np.frombuffer(raw, kind[:3], int(kind[3:]), at))
+        at += found[-1].nbytes
+    return found
+
+
+def gathered(payloads: list[bytes], columns: int) -> list[np.ndarray]:
+    """The columns of several packed payloads, one after another; none of them gives empty columns."""
+    parts = [unpack(p) for p in payloads]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(columns)]
+
+
 def split(blocks: np.ndarray, count: int):
     """(block, indices) for each block that occurs."""
     order = np.argsort(blocks, kind="stable")

@@ -1,24 +1,32 @@
 """Near-duplicate passages by compact windows.
 
 Tokens are hashes of five-word shingles. Under each of ``HASHES`` hash functions, a node of the Cartesian tree over a
-text's hash values spans the sequences whose smallest value is the node's: its compact window. Nodes whose span holds a
-sequence of the minimal passage length are kept, with the range of starts of such sequences; they follow from sliding
-minima, since exactly those nodes are the smallest of some sequence of that length.
-
-1. Each part sends the distinct smallest values of its sequences once; values that one document alone has are dropped.
-2. A sequence that shares under ``ENOUGH`` of its values with others can't be near any; what is left are segments.
-3. Segments with values in common form clusters (distributed connected components). A cluster's segments meet in one
-   task, or, where there are many, in one task for each pair of blocks.
-4. There, compact windows with one value are joined as intervals: they vouch for the starts that lie in them. Where
-   enough hash functions vouch for a start with one other segment, sequences of the two are verified: first those of the
-   minimal length, at the shifts of the windows, and where starts are left, sequences of any lengths from there on,
-   between ends of runs in common. The Jaccard similarity of their shingle sets must be ``SIMILARITY`` or more.
-
-Result: passages of a document that are near one of a document with a smaller ``doc_id``.
+text's hash values spans the sequences whose smallest value is the node's: its compact window (l, c, r) holds all
+sequences that begin in l to c and end in c to r. Nodes whose span has at least the minimal passage length are kept.
+
+1. Texts with the same words are one from here on: the row with the smallest ``doc_id`` stands for all.
+2. Each part sends the distinct values of its windows once; values that one document alone has are dropped. A sequence
+   that shares under ``ENOUGH`` of its values with others can't be near any.
+3. The shingles of what is left are counted over all documents. A sequence of the minimal length too few of whose
+   shingles others have goes too; runs of the rest are segments.
+4. Each part sends, for each value of its segments' windows, the ``SOURCES`` smallest documents that have it, and learns
+   the smallest of all. The parts then ask one another for the segments of those, a segment once for each part.
+5. Compact windows of two segments with one value are joined as intervals: they vouch for the sequences that lie in
+   them. Where enough hash functions do, sequences of the two are verified: at the shifts of the windows, sequences of
+   any length with enough tokens in the same places, and where starts are left, sequences of differing lengths between
+   ends of runs in common. The Jaccard similarity of their shingle sets must be ``SIMILARITY`` or more.
+6. Starts that no smallest document settles, and whose values more documents have, go on: a sequence near one of those
+   has one of its rarest shingles in common with it (the prefix that the similarity leaves), so the documents with
+   these shingles, all of them, are asked for and verified in the same way.
+
+No cluster and no pair list of a value's documents is ever made: a value that a third of all documents have costs each
+part ``SOURCES`` numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,18 +34,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsieve.llm import exchange, jaccard, storage
-from twinsieve.operators.components import connected_components
 
 SHINGLE = 5
 PASSAGE_WORDS = 50
 SIMILARITY = 0.8
 HASHES = 8
 ENOUGH = 4
-BLOCK_TOKENS = 60_000
+SOURCES = 4
 FLUSH = 1_500_000
+MATCHES = 2_000_000
 _SLICE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64)
+_TWINS, _QUERY = -2, -3
 
 
 def values_of(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -88,162 +97,343 @@ def _starts_of(cuts: np.ndarray, total: int, size: int, width: int) -> tuple[np.
     return np.arange(int(n.sum())) + np.repeat(cuts[:-1] - (np.cumsum(n) - n), n), rows
 
 
-def _send_values(folder: str, blocks: int, size: int, width: int, hashes: int):
+class Rule:
+    """The parameters of one run."""
+
+    def __init__(self, folder: str, blocks: int, size: int, width: int, similarity: float, hashes: int, enough: int, sources: int):
+        self.folder, self.blocks, self.size, self.width = folder, blocks, size, width
+        self.similarity, self.hashes, self.enough, self.sources = similarity, hashes, enough, sources
+        # Of two sequences of the minimal length, so many tokens of each must be common; one less where lengths differ.
+        self.common = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+
+    def file(self, kind: str, part: int) -> str:
+        return f"{self.folder}/{kind}-{part:06d}"
+
+
+class Windows:
+    """The compact windows of a token sequence under all hash functions, as value, l, c, r."""
+
+    def __init__(self, tokens: np.ndarray, rule: Rule):
+        columns = []
+        for k in range(rule.hashes):
+            h = values_of(tokens, k)
+            columns.append((h, *compact_windows(h, rule.width)))
+        self.value = np.concatenate([h[c] for h, _, c, _ in columns])
+        self.left, self.place, self.right = (np.concatenate([x[i] for x in columns]) for i in (1, 2, 3))
+        # The starts of sequences of the minimal length that lie in each window.
+        self.first, self.last = np.maximum(self.left, self.place - rule.width + 1), np.minimum(self.place, self.right - rule.width + 1)
+
+    def by_value(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct values, and the first and the last place of each."""
+        order = np.lexsort((self.place, self.value))
+        value = self.value[order]
+        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        end = np.append(at[1:], len(value)) - 1
+        return value[at], self.place[order[at]], self.place[order[end]]
+
+
+def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the nodes of the Cartesian tree over h whose span is ``width`` or more, in order of c.
+
+    The first of equal values is the smaller. Exactly the nodes that are the smallest of some sequence of ``width`` have
+    such a span, and the nodes that bound a span (its ancestors) have larger ones, so a stack over those few is enough.
+    """
+    at = minima(h, width)
+    c = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+    value, n = h[c].tolist(), len(c)
+    left, right, stack = [0] * n, [len(h) - 1] * n, []
+    places = c.tolist()
+    for i in range(n):
+        while stack and value[stack[-1]] > value[i]:
+            right[stack.pop()] = places[i] - 1
+        left[i] = places[stack[-1]] + 1 if stack else 0
+        stack.append(i)
+    return np.array(left, np.int64), c, np.array(right, np.int64)
+
+
+def _measure(folder: str, size: int, words: int):
+    """Keep the part's rows in a file; returns number, document, words and a digest of the words of each row that has
+    enough words, and one row for the part."""
+
     def run(batches):
-        part, held, weight, out, base = TaskContext.get().partitionId(), [], 0, [], 0
+        part, out, base = TaskContext.get().partitionId(), [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
         def passing():
-            nonlocal held, weight, base
+            nonlocal base
             for batch in batches:
                 batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).fill_null(b"").cast(pa.binary())], schema=schema)
-                ids = exchange.ids_of(batch.column(0))
-                for first, tokens, cuts, total in token_chunks(batch.column(1), size):
-                    starts, rows = _starts_of(cuts, total, size, width)
-                    if not len(starts):
-                        continue
-                    for k in range(hashes):
-                        h = values_of(tokens, k)
-                        at = minima(h, width)[starts]
-                        new = np.concatenate([[True], (at[1:] != at[:-1]) | (rows[1:] != rows[:-1])])
-                        held.append((h[at[new]], ids[first + rows[new]]))
-                        weight += int(new.sum())
-                    if weight >= FLUSH:
-                        out.append(exchange.send_hashes(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), part, blocks))
-                        held, weight = [], 0
+                ids, found = exchange.ids_of(batch.column(0)), []
+                for first, tokens, cuts, _ in token_chunks(batch.column(1), size):
+                    n = np.diff(cuts)
+                    for i in np.flatnonzero(n >= words).tolist():
+                        digest = hashlib.blake2b(tokens[cuts[i] : cuts[i + 1] - size + 1].tobytes(), digest_size=16).digest()
+                        found.append(((part << 32) | (base + first + i), int(ids[first + i]), int(n[i]), digest))
+                out.append(found)
                 base += len(batch)
                 yield batch
 
         storage.write_part(f"{folder}/part-{part:06d}", passing(), schema)
-        if held:
-            out.append(exchange.send_hashes(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), part, blocks))
-        yield exchange.batch_of([(-1, part, b"")])
-        yield from out
+        for rows in [[((part << 32), 0, -1, b"")], *out]:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["uid", "doc", "n", "digest"])
 
     return run
 
 
-def _segments(folder: str, part: int, known: np.ndarray, blocks: int, size: int, width: int, hashes: int, enough: int):
-    """(row, doc, start, tokens, shared values) of the segments of a part."""
-    base = 0
-    for batch in storage.read_part(f"{folder}/part-{part:06d}"):
+def _row_numbers(rows: list[tuple[int, bytes]], origin: int) -> np.ndarray:
+    return np.frombuffer(b"".join([p for o, p in rows if o == origin]), "<u4").astype(np.int64)
+
+
+def _sequences(rule: Rule, part: int, twins: np.ndarray):
+    """(number of the chunk's first row, ids, tokens, cuts, starts of sequences, their rows) of the part's own texts."""
+    base, twin = 0, np.sort(twins)
+    for batch in storage.read_part(rule.file("part", part)):
         ids = exchange.ids_of(batch.column(0))
-        for first, tokens, cuts, total in token_chunks(batch.column(1), size):
-            starts, rows = _starts_of(cuts, total, size, width)
-            if not len(starts):
-                continue
-            votes, found = np.zeros(len(starts), np.int64), []
-            for k in range(hashes):
-                h = values_of(tokens, k)
-                at = minima(h, width)[starts]
-                shared = exchange.is_in(exchange.short_key(h[at], blocks), known)
-                votes += shared
-                found.append((h, at, shared))
-            good = np.flatnonzero(votes >= enough)
-            if not len(good):
-                continue
-            breaks = np.flatnonzero((np.diff(starts[good]) > width) | (np.diff(rows[good]) != 0)) + 1
-            for some in np.split(good, breaks):
-                lo, hi, row = int(starts[some[0]]), int(starts[some[-1]]) + width, int(rows[some[0]])
-                values = np.unique(np.concatenate([h[at[some]][shared[some]] for h, at, shared in found]))
-                yield base + first + row, int(ids[first + row]), lo - int(cuts[row]), tokens[lo:hi], values
+        for first, tokens, cuts, total in token_chunks(batch.column(1), rule.size):
+            starts, rows = _starts_of(cuts, total, rule.size, rule.width)
+            if len(twin) and len(starts):
+                place = np.minimum(np.searchsorted(twin, base + first + rows), len(twin) - 1)
+                own = twin[place] != base + first + rows
+                starts, rows = starts[own], rows[own]
+            if len(starts):
+                yield base + first, ids[first:], tokens, cuts, starts, rows
         base += len(batch)
 
 
-def _keep_segments(folder: str, blocks: int, size: int, width: int, hashes: int, enough: int):
-    """Keep a part's segments in a file, and send their shared values to find who has them too."""
+def _send_values(rule: Rule):
+    def run(batches):
+        for part, sent in exchange.payload_rows(batches).items():
+            held, weight = [], 0
+            for _, ids, tokens, _, starts, rows in _sequences(rule, part, _row_numbers(sent, _TWINS)):
+                for k in range(rule.hashes):
+                    h = values_of(tokens, k)
+                    at = minima(h, rule.width)[starts]
+                    new = np.concatenate([[True], (at[1:] != at[:-1]) | (rows[1:] != rows[:-1])])
+                    held.append((h[at[new]], ids[rows[new]]))
+                    weight += int(new.sum())
+                if weight >= FLUSH:
+                    yield exchange.send_hashes(*(np.concatenate(x) for x in zip(*held, strict=True)), part, rule.blocks)
+                    held, weight = [], 0
+            if held:
+                yield exchange.send_hashes(*(np.concatenate(x) for x in zip(*held, strict=True)), part, rule.blocks)
+
+    return run
+
+
+_SEGMENT = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("tokens", pa.binary()), ("often", pa.binary())])
+
+
+def _segment_batch(row: int, doc: int, start: int, tokens: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([x], pa.int64()) for x in (row, doc, start)] + [pa.array([x], pa.binary()) for x in (tokens.astype("<u8").tobytes(), often.astype("<u2").tobytes())]
+    return pa.RecordBatch.from_arrays(columns, schema=_SEGMENT)
+
+
+def _read_segments(uri: str):
+    """(row, doc, start, tokens, how many documents have each) of a file, in order."""
+    for batch in storage.read_part(uri):
+        for row, doc, start, tokens, often in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            yield row, doc, start, np.frombuffer(tokens, "<u8"), np.frombuffer(often, "<u2")
+
+
+def _pieces(good: np.ndarray, starts: np.ndarray, rows: np.ndarray, width: int):
+    """Runs of good starts of one row without wide gaps, as indices."""
+    if len(good):
+        yield from np.split(good, np.flatnonzero((np.diff(starts[good]) > width) | (np.diff(rows[good]) != 0)) + 1)
+
+
+def _keep_shared(rule: Rule):
+    """Keep the sequences that share enough values in a file, and count their shingles by document."""
 
     def run(batches):
-        schema = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("tokens", pa.binary())])
-        for part, rows in exchange.payload_rows(batches).items():
-            known, sent = exchange.known_keys(rows), []
+        for part, sent in exchange.payload_rows(batches).items():
+            known, counted = exchange.known_keys([(o, p) for o, p in sent if o >= 0]), []
 
             def kept():
-                number = 0
-                for row, doc, start, tokens, values in _segments(folder, part, known, blocks, size, width, hashes, enough) if len(known) else ():
-                    sent.append((np.full(len(values), number, "<u4"), values))
-                    number += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc]), pa.array([start]), pa.array([tokens.astype("<u8").tobytes()], pa.binary())], schema=schema)
-
-            storage.write_part(f"{folder}/segments-{part:06d}", kept(), schema)
-            if sent:
-                number, values = (np.concatenate(x) for x in zip(*sent, strict=True))
-                out = []
-                for b, at in exchange.split(exchange.block_of(values, blocks), blocks):
-                    out.append((b, part, len(at).to_bytes(4, "little") + values[at].astype("<u8").tobytes() + number[at].tobytes()))
-                yield exchange.batch_of(out)
+                for first, ids, tokens, cuts, starts, rows in _sequences(rule, part, _row_numbers(sent, _TWINS)) if len(known) else ():
+                    votes = np.zeros(len(starts), np.int64)
+                    for k in range(rule.hashes):
+                        h = values_of(tokens, k)
+                        at = minima(h, rule.width)[starts]
+                        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                        shared = exchange.is_in(exchange.short_key(h[at[new]], rule.blocks), known)
+                        votes += np.repeat(shared, np.diff(np.append(new, len(at))))
+                    for some in _pieces(np.flatnonzero(votes >= rule.enough), starts, rows, rule.width):
+                        lo, hi, row = int(starts[some[0]]), int(starts[some[-1]]) + rule.width, int(rows[some[0]])
+                        counted.append((first + row, tokens[lo:hi]))
+                        yield _segment_batch(first + row, int(ids[row]), lo - int(cuts[row]), tokens[lo:hi], np.empty(0))
+
+            storage.write_part(rule.file("shared", part), kept(), _SEGMENT)
+            held, weight, at = [], 0, 0
+            while at < len(counted):
+                end = at
+                while end < len(counted) and counted[end][0] == counted[at][0]:
+                    end += 1
+                held.append(np.unique(np.concatenate([t for _, t in counted[at:end]])))
+                weight, at = weight + len(held[-1]), end
+                if weight >= FLUSH:
+                    yield jaccard._counts(held, part, rule.blocks)
+                    held, weight = [], 0
+            if held:
+                yield jaccard._counts(held, part, rule.blocks)
 
     return run
 
 
-def _connect(batches):
-    """Edges that connect the segments with a value in common."""
-    for rows in exchange.payload_rows(batches).values():
-        h, uid = [], []
-        for part, p in rows:
-            n = int.from_bytes(p[:4], "little")
-            h.append(np.frombuffer(p, "<u8", n, 4))
-            uid.append((part << 32) | np.frombuffer(p, "<u4", n, 4 + 8 * n).astype(np.int64))
-        h, uid = np.concatenate(h), np.concatenate(uid)
-        order = np.lexsort((uid, h))
-        h, uid = h[order], uid[order]
-        nodes, local = np.unique(uid, return_inverse=True)
-        forest, edges = jaccard.Forest(len(nodes)), []
-        for i in np.flatnonzero(h[1:] == h[:-1]).tolist():
-            x, y = int(local[i]), int(local[i + 1])
-            if forest.join(x, y):
-                edges.append((int(nodes[x]), int(nodes[y])))
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["id1", "id2"])
-
-
-def _sizes(folder: str):
-    """``uid, n`` of the segments of each part."""
+def dense_starts(tokens: np.ndarray, often: np.ndarray, rule: Rule) -> np.ndarray:
+    """For each sequence of the minimal length, whether enough of its distinct tokens occur in other documents too."""
+    previous = _previous(tokens)
+    shared = _distinct(previous, rule.width, often > 1)
+    n = _distinct(previous, rule.width)
+    return shared >= np.where(n < rule.width, np.ceil(rule.similarity * n - 1e-9), rule.common - 1)
+
+
+def _refine(rule: Rule):
+    """Keep the segments in a file, and send the smallest documents that have each value of their windows."""
 
     def run(batches):
-        for part in exchange.payload_rows(batches):
-            n = [len(t.as_py()) // 8 for b in storage.read_part(f"{folder}/segments-{part:06d}") for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | i for i in range(len(n))], pa.int64()), pa.array(n, pa.int64())], names=["uid", "n"])
+        for part, sent in exchange.payload_rows(batches).items():
+            keys, counts = jaccard._frequencies(sent)
+            found: list[tuple[np.ndarray, int, int]] = []
+
+            def kept():
+                for row, doc, start, tokens, _ in _read_segments(rule.file("shared", part)) if len(keys) else ():
+                    short = exchange.short_key(tokens, rule.blocks)
+                    at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+                    often = np.where(keys[at] == short, counts[at], 1)
+                    good = np.flatnonzero(dense_starts(tokens, often, rule))
+                    places = np.arange(len(tokens))
+                    for some in _pieces(good, places, np.zeros(len(places), int), rule.width):
+                        lo, hi = int(some[0]), int(some[-1]) + rule.width
+                        own = tokens[lo:hi]
+                        found.append((np.unique(Windows(own, rule).value), doc, len(found)))
+                        yield _segment_batch(row, doc, start + lo, own, often[lo:hi])
+
+            storage.write_part(rule.file("segments", part), kept(), _SEGMENT)
+            if not found:
+                continue
+            n = [len(v) for v, _, _ in found]
+            value = np.concatenate([v for v, _, _ in found])
+            doc, number = np.repeat(np.array([d for _, d, _ in found]), n), np.repeat(np.arange(len(found)), n)
+            value, listed, total, at = _smallest(value, doc, number, rule.sources)
+            ends = np.cumsum(listed)
+            out = []
+            for b, own in exchange.split(exchange.block_of(value, rule.blocks), rule.blocks):
+                some = _ranges(ends[own] - listed[own], listed[own])
+                out.append((b, part, exchange.pack(value[own], listed[own].astype("<u1"), total[own].astype("<u4"), doc[at[some]], number[at[some]].astype("<u4"))))
+            yield exchange.batch_of(out)
 
     return run
 
 
-def _send_segments(folder: str, blocks: int):
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., starts[1], ...: so many places from each start."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _smallest(value: np.ndarray, doc: np.ndarray, uid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, how many segments are listed for each (at most ``most``, those of the smallest documents), how
+    many there are, and the places of the listed ones."""
+    order = np.lexsort((uid, doc, value))
+    v = value[order]
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    total = np.diff(np.append(start, len(v)))
+    rank = np.arange(len(v)) - np.repeat(start, total)
+    return v[start], np.minimum(total, most), total, order[rank < most]
+
+
+def _choose(rule: Rule):
+    """Answer each part with the smallest documents that have its values, where others than its own do."""
+
     def run(batches):
-        for part, rows in exchange.payload_rows(batches).items():
-            asked: dict[int, list[tuple[int, int]]] = {}
-            for origin, p in rows:
-                if origin >= 0:
-                    number, side = np.frombuffer(p, "<u4", 2).tolist()
-                    asked.setdefault(number, []).append((int(np.frombuffer(p, "<i8", 1, 8)[0]), side))
-            number = 0
-            for batch in storage.read_part(f"{folder}/segments-{part:06d}"):
-                for row, doc, start, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    out = [(int(g % blocks), part, np.array([g, (part << 32) | row, doc, start, side], "<i8").tobytes() + tokens) for g, side in asked.get(number, ())]
-                    if out:
-                        yield exchange.batch_of(out)
-                    number += 1
+        for block, rows in exchange.payload_rows(batches).items():
+            columns = [exchange.unpack(p) for _, p in rows]
+            sizes = [len(c[0]) for c in columns]
+            value, listed, total = (np.concatenate([c[i] for c in columns]) for i in range(3))
+            listed, total = listed.astype(np.int64), total.astype(np.int64)
+            part = np.repeat([o for o, _ in rows], sizes)
+            doc = np.concatenate([c[3] for c in columns])
+            uid = (np.repeat(part, listed) << 32) | np.concatenate([c[4] for c in columns]).astype(np.int64)
+            known, n, _, at = _smallest(np.repeat(value, listed), doc, uid, rule.sources)
+            which = np.searchsorted(known, value)
+            every = np.bincount(which, total, len(known)).astype(np.int64)
+            begins = np.cumsum(n) - n
+            least = uid[at[begins]]
+            # A part needs no answer for a value that one segment has, or all of whose own is the smallest one.
+            asks = (every[which] > 1) & ~((total == 1) & (least[which] >> 32 == part))
+            for turn, (origin, _) in enumerate(rows):
+                own = np.flatnonzero(asks[sum(sizes[:turn]) : sum(sizes[: turn + 1])]) + sum(sizes[:turn])
+                if len(own):
+                    w = which[own]
+                    some = at[_ranges(begins[w], n[w])]
+                    yield exchange.batch_of([(origin, block, exchange.pack(value[own], n[w].astype("<u1"), (every[w] > n[w]).astype("<u1"), doc[some], uid[some]))])
 
     return run
 
 
-class _Lists:
-    """Compact windows of segments by hash value: for each value, the (segment, place, first start, last start)."""
+def _requests(part: int, uid: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows that ask other parts for their segments."""
+    uid = np.unique(uid)
+    at = np.flatnonzero(np.concatenate([[True], uid[1:] >> 32 != uid[:-1] >> 32])) if len(uid) else uid
+    return [(int(some[0] >> 32), part, (some & 0xFFFFFFFF).astype("<u4").tobytes()) for some in np.split(uid, at[1:]) if len(some)]
 
-    def __init__(self, segments: list[np.ndarray], width: int, hashes: int):
-        columns = []
-        for i, tokens in enumerate(segments):
-            for k in range(hashes):
-                h = values_of(tokens, k)
-                at = minima(h, width)
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                last = np.concatenate([first[1:], [len(at)]]) - 1
-                n = len(first)
-                columns.append((h[at[first]], np.full(n, i), at[first], first, last, np.full(n, k)))
-        self.value, self.segment, self.place, self.first, self.last, self.k = (np.concatenate(c) for c in zip(*columns, strict=True))
-        self.order = np.argsort(self.value, kind="stable")
-        self.sorted = self.value[self.order]
-        self.cuts = np.searchsorted(self.segment, np.arange(len(segments) + 1))
+
+def _ask(rule: Rule):
+    """Keep which segments of other documents each segment is to be compared with, and ask for those."""
+
+    def run(batches):
+        for part, sent in exchange.payload_rows(batches).items():
+            value, n, more, doc, uid = exchange.gathered([p for o, p in sent if o >= 0], 5)
+            order = np.argsort(value)
+            begins = (np.cumsum(n, dtype=np.int64) - n)[order] if len(n) else order
+            value, n, more = value[order], n[order].astype(np.int64), more[order].astype(bool)
+            pairs = [[], [], [], []]
+            for x, (_, own, _, tokens, _) in enumerate(_read_segments(rule.file("segments", part))) if len(value) else ():
+                mine = Windows(tokens, rule).value
+                at = np.minimum(np.searchsorted(value, mine), len(value) - 1)
+                at = at[value[at] == mine]
+                some = _ranges(begins[at], n[at])
+                some = some[doc[some] < own]
+                y, first, votes = np.unique(uid[some], return_index=True, return_counts=True)
+                # What a document that isn't listed may have in common besides can only be as much as is cut off.
+                fine = votes + int(more[at].sum()) >= rule.enough
+                for column, new in zip(pairs, (np.full(int(fine.sum()), x), y[fine], doc[some][first][fine], votes[fine]), strict=True):
+                    column.append(new)
+            x, y, d, votes = (np.concatenate([np.empty(0, np.int64), *c]) for c in pairs)
+            order = np.lexsort((d, -votes, x))
+            _save(rule.file("pairs", part), x[order], y[order], d[order], value[more] if len(value) else np.empty(0, np.uint64))
+            if len(y):
+                yield exchange.batch_of(_requests(part, y))
+
+    return run
+
+
+def _save(uri: str, *arrays: np.ndarray) -> None:
+    storage.write_file(uri, [exchange.pack(*arrays)])
+
+
+def _load(uri: str) -> list[np.ndarray]:
+    fs, name = storage.open_fs(uri)
+    with fs.open_input_file(name) as file:
+        return exchange.unpack(file.read())
+
+
+def _serve(rule: Rule):
+    """Send the segments that other parts asked for."""
+
+    def run(batches):
+        for part, sent in exchange.payload_rows(batches).items():
+            asked = [(o, np.frombuffer(p, "<u4").astype(np.int64)) for o, p in sent if o >= 0]
+            if not asked:
+                continue
+            wanted = np.unique(np.concatenate([n for _, n in asked]))
+            own = set(wanted.tolist())
+            held = {i: (doc, tokens) for i, (_, doc, _, tokens, _) in enumerate(_read_segments(rule.file("segments", part))) if i in own}
+            for origin, numbers in asked:
+                some = [held[i] for i in numbers.tolist()]
+                yield exchange.batch_of([(origin, part, exchange.pack((part << 32) | numbers, np.array([len(t) for _, t in some], "<u4"), np.concatenate([t for _, t in some])))])
+
+    return run
 
 
 def _previous(tokens: np.ndarray) -> np.ndarray:
@@ -255,11 +445,13 @@ def _previous(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(previous: np.ndarray, width: int) -> np.ndarray:
-    """How many distinct tokens the sequence of ``width`` from each start has."""
+def _distinct(previous: np.ndarray, width: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """How many distinct tokens the sequence of ``width`` from each start has, of those that count."""
     # A token counts for the starts between its last occurrence and itself.
     change, at = np.zeros(len(previous) + 1, np.int64), np.arange(len(previous))
-    np.add.at(change, np.maximum(previous + 1, at - width + 1).clip(0), 1)
+    if counts is not None:
+        at = at[counts]
+    np.add.at(change, np.maximum(previous[at] + 1, at - width + 1).clip(0), 1)
     np.add.at(change, at + 1, -1)
     return np.cumsum(change)[: len(previous) - width + 1]
 
@@ -272,10 +464,15 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 
 def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last places (exclusive), in x and in y, of the maximal runs that both have, by place in x."""
+    """First and last places (exclusive), in x and in y, of the maximal runs that both have, by place in x.
+
+    Where tokens repeat so often that there are over ``MATCHES`` pairs of places, each counts at its first place in y.
+    """
     order = np.argsort(y, kind="stable")
     lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
     n = hi - lo
+    if int(n.sum()) > MATCHES:
+        n = np.minimum(n, 1)
     p = np.repeat(np.arange(len(x)), n)
     q = order[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
     at = np.lexsort((p, q - p))
@@ -325,114 +522,321 @@ def chained(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> list
             last = max(s, j - width)
             if any(f <= s and last <= t for f, t in found):
                 continue
-            if any(_similar(x[s : max(j, s + width)], y[t : max(m, t + width)], similarity) for t in others):
-                found.append((s, last))
+            for t in others:
+                a, b = set(x[s : max(j, s + width)].tolist()), set(y[t : max(m, t + width)].tolist())
+                both = len(a & b)
+                spare = int(np.floor(both / similarity - (len(a) + len(b) - both) + 1e-9))
+                if spare >= 0:  # so many more tokens on either side leave it near
+                    found.append((max(0, s - spare), last))
+                    found.append((s, min(len(x) - width, last + spare)))
+                    break
     return found
 
 
-def near_passages(segments: list[np.ndarray], docs: np.ndarray, sides: np.ndarray, width: int, hashes: int, enough: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """(segment, first start, last start, earlier document) for the starts of sequences near one of an earlier document."""
-    lists, found = _Lists(segments, width, hashes), []
-    needed = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))  # equal places for e / (2 * width - e) to reach it
-    repeats = [_distinct(_previous(t), width) < width for t in segments]
-    for x in range(len(segments)):
-        own = slice(lists.cuts[x], lists.cuts[x + 1])
-        value = lists.value[own]
-        lo, hi = np.searchsorted(lists.sorted, value, "left"), np.searchsorted(lists.sorted, value, "right")
-        n = hi - lo
-        mine = np.repeat(np.arange(len(value)), n) + lists.cuts[x]
-        other = lists.order[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
-        y = lists.segment[other]
-        keep = docs[y] < docs[x]
-        if sides[x]:
-            keep &= sides[y] != sides[x]
-        mine, other, y = mine[keep], other[keep], y[keep]
-        tokens = segments[x]
-        order = np.argsort(y, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(y[order])) + 1):
-            if len(rows) < enough:
-                continue
-            # Sweep over the starts: +1 where a window begins, -1 after it ends, wherever the other segment has its value.
-            count = np.zeros(len(tokens) - width + 2, np.int64)
-            np.add.at(count, lists.first[mine[rows]], 1)
-            np.add.at(count, lists.last[mine[rows]] + 1, -1)
-            vouched = np.cumsum(count[:-1]) >= enough
-            if not vouched.any():
+def aligned(same: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of sequences of ``width`` or more places, so many of them the same that the two are near where no
+    token repeats; for each first place the longest."""
+    total = np.concatenate([[0.0], np.cumsum(same - 2 * similarity / (1 + similarity))])
+    most = np.maximum.accumulate(total[::-1])[::-1]
+    end = np.searchsorted(-most, -(total - 1e-7), "right") - 1
+    first = np.flatnonzero(end - np.arange(len(total)) >= width)
+    return first, end[first]
+
+
+class Segment:
+    """Tokens with what verifying needs of them, worked out when it is first needed."""
+
+    def __init__(self, tokens: np.ndarray, rule: Rule):
+        self.tokens, self.rule = tokens, rule
+        self._windows = self._values = self._repeats = None
+
+    @property
+    def windows(self) -> Windows:
+        if self._windows is None:
+            self._windows = Windows(self.tokens, self.rule)
+        return self._windows
+
+    @property
+    def values(self):
+        if self._values is None:
+            self._values = self.windows.by_value()
+        return self._values
+
+    @property
+    def repeats(self) -> bool:
+        if self._repeats is None:
+            self._repeats = len(np.unique(self.tokens)) < len(self.tokens)
+        return self._repeats
+
+
+def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
+    """Mark in ``near`` the starts in x of sequences of the minimal length that lie in one near a sequence of y."""
+    rule, width, similarity = x.rule, x.rule.width, x.rule.similarity
+    value, first, last = y.values
+    at = np.minimum(np.searchsorted(value, x.windows.value), len(value) - 1)
+    hit = np.flatnonzero(value[at] == x.windows.value)
+    if len(hit) < enough:
+        return
+    # Sweep over the starts: +1 where a window begins, -1 after it ends, wherever y has a window with its value.
+    count = np.zeros(len(near) + 1, np.int64)
+    np.add.at(count, x.windows.first[hit], 1)
+    np.add.at(count, x.windows.last[hit] + 1, -1)
+    vouched = np.cumsum(count[:-1]) >= enough
+    if not (vouched & ~near).any():
+        return
+    a, b, at = x.tokens, y.tokens, at[hit]
+    shifts = np.concatenate([first[at] - x.windows.place[hit], (last[at] - x.windows.place[hit])[last[at] != first[at]]])
+    shifts, votes = np.unique(shifts, return_counts=True)
+    unsure = x.repeats or y.repeats
+    room = width - rule.common
+    for move in shifts[np.argsort(-votes, kind="stable")].tolist():
+        from_, to = max(0, -move), min(len(a), len(b) - move)
+        if to - from_ < rule.common or not (vouched & ~near).any():
+            continue
+        # A sequence that reaches beyond an end of a segment is drawn inside there, hence some room on both sides.
+        same = np.zeros(to - from_ + 2 * room, bool)
+        same[room : room + to - from_] = a[from_:to] == b[from_ + move : to + move]
+        begin, end = aligned(same, width, similarity)
+        longest = end > np.concatenate([[-1], np.maximum.accumulate(end)[:-1]]) if len(end) else end
+        for i, j in zip((begin[longest] + from_ - room).tolist(), (end[longest] + from_ - room).tolist(), strict=True):
+            s = max(0, min(i, len(a) - width))
+            e = max(s + width, min(j, len(a)))
+            if near[s : e - width + 1].all():
                 continue
-            seg = int(y[rows[0]])
-            partner, near = segments[seg], np.zeros(len(vouched), bool)
-            shifts, votes = np.unique(lists.place[other[rows]] - lists.place[mine[rows]], return_counts=True)
-            for move in shifts[np.argsort(-votes, kind="stable")].tolist():
-                if not (vouched & ~near).any():
+            if unsure and not _similar_at(a, b, s, e, move, width, similarity):
+                # Equal places say how many tokens two sets share only where tokens don't repeat.
+                for p in range(s, e - width + 1):
+                    near[p] = near[p] or _similar_at(a, b, p, p + width, move, width, similarity)
+            else:
+                near[s : e - width + 1] = True
+    left = vouched & ~near
+    if left.any() and (left & _possible(a, b, width, similarity, unsure)).any():
+        for first_, last_ in chained(a, b, width, similarity):
+            near[first_ : last_ + 1] = True
+
+
+def _similar_at(a: np.ndarray, b: np.ndarray, s: int, e: int, move: int, width: int, similarity: float) -> bool:
+    """Whether a from s to e is near the places of b that it lies upon, drawn inside b."""
+    t = max(0, min(s + move, len(b) - width))
+    return _similar(a[s:e], b[t : max(t + width, e + move)], similarity)
+
+
+def _possible(a: np.ndarray, b: np.ndarray, width: int, similarity: float, repeats: bool) -> np.ndarray:
+    """Starts in a that sequences of differing lengths may cover: enough of their tokens are in b, on several shifts."""
+    n, in_b = len(a) - width + 1, np.isin(a, b)
+    if repeats:
+        return np.full(n, bool(in_b.any()))
+    at = np.argsort(b)
+    moves = at[np.searchsorted(b[at], a[in_b])] - np.flatnonzero(in_b)
+    if len(moves) < 2 or (moves == moves[0]).all():
+        return np.zeros(n, bool)
+    share, fine = similarity / (1 + similarity), np.ones(n, bool)
+    # Of the union, so many tokens are common; and the sequence of b has ``width`` or more.
+    for part, more in ((similarity, 0.0), (share, share * width)):
+        total = np.concatenate([[0.0], np.cumsum(in_b - part)])
+        most = np.maximum.accumulate(total[::-1])[::-1]
+        end = np.searchsorted(-most, -(total + more - 1e-7), "right") - 1
+        begin = np.flatnonzero(end - np.arange(len(total)) >= width)
+        cover = np.zeros(n + 1, np.int64)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, end[begin] - width + 1, -1)
+        fine &= np.cumsum(cover[:-1]) > 0
+    return fine
+
+
+def _rarest(tokens: np.ndarray, often: np.ndarray, starts: np.ndarray, rule: Rule) -> np.ndarray:
+    """Tokens one of which a sequence near one from these starts has: the rarest of each, as many as needed."""
+    found, prefix = [np.empty(0, np.uint64)], rule.width - (rule.common - 1) + 1
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((tokens, often))] = np.arange(len(tokens))
+    unique = _distinct(_previous(tokens), rule.width)[starts] == rule.width
+    for some in np.array_split(starts[unique], -(-int(unique.sum()) // 4096) or 1):
+        at = some[:, None] + np.arange(rule.width)
+        first = np.argpartition(rank[at], prefix - 1, axis=1)[:, :prefix] if len(some) else at
+        found.append(tokens[np.unique(np.take_along_axis(at, first, 1))])
+    for start in starts[~unique].tolist():
+        found.append(tokens[start : start + rule.width])
+    out = np.unique(np.concatenate(found))
+    return out[np.isin(out, tokens[often > 1])]
+
+
+def _verify(rule: Rule, again: bool):
+    """Find the passages of the part's segments near those that were sent (origin -1: found). The first time, ask for
+    the holders of the rarest tokens of starts that are left and whose values have more documents (origin -3)."""
+
+    def run(batches):
+        for part, sent in exchange.payload_rows(batches).items():
+            y_uid, y_size, y_tokens = exchange.gathered([p for o, p in sent if o >= 0], 3)
+            ends = np.cumsum(y_size, dtype=np.int64)
+            others, place = {}, {u: i for i, u in enumerate(y_uid.tolist())}
+            x_of, y_of, d_of, more = _load(rule.file("more" if again else "pairs", part))
+            found, open_x, open_near, queries = [], [], [], []
+            settled = dict(zip(*_load_open(rule, part), strict=True)) if again else {}
+            cuts = np.searchsorted(x_of, np.arange(int(x_of[-1]) + 2)) if len(x_of) else np.zeros(1, np.int64)
+            for number, (row, doc, start, tokens, often) in enumerate(_read_segments(rule.file("segments", part))):
+                if number + 1 >= len(cuts):
                     break
-                from_, to = max(0, -move), min(len(tokens), len(partner) - move)
-                if to - from_ < needed:
+                if cuts[number] == cuts[number + 1]:
                     continue
-                same = np.zeros(len(tokens) + 1, np.int64)
-                same[from_ + 1 : to + 1] = tokens[from_:to] == partner[from_ + move : to + move]
-                total = np.cumsum(same)
-                at = np.flatnonzero(total[width:] - total[:-width] >= needed)
-                at = at[~near[at]]
-                there = (at + move).clip(0, len(partner) - width)  # a sequence beyond an end of the other segment is drawn inside
-                # Equal places say how many tokens two sets share only where tokens don't repeat.
-                unsure = repeats[x][at] | repeats[seg][there]
-                for i in np.flatnonzero(unsure).tolist():
-                    unsure[i] = not _similar(tokens[at[i] : at[i] + width], partner[there[i] : there[i] + width], similarity)
-                near[at[~unsure]] = True
-            if (vouched & ~near).any():
-                for first, last in chained(tokens, partner, width, similarity):
-                    near[first : last + 1] = True
-            at = np.flatnonzero(near)
-            if len(at):
-                cut = np.flatnonzero(np.diff(at) > 1) + 1
-                found += [(x, int(r[0]), int(r[-1]), int(docs[seg])) for r in np.split(at, cut)]
-    return found
+                x = Segment(tokens, rule)
+                near = settled[number].copy() if again else np.zeros(len(tokens) - rule.width + 1, bool)
+                for i in range(cuts[number], cuts[number + 1]):
+                    u = int(y_of[i])
+                    if u not in others:
+                        k = place[u]
+                        others[u] = Segment(y_tokens[ends[k] - int(y_size[k]) : ends[k]], rule)
+                    before = near.copy()
+                    near_starts(x, others[u], near, rule.enough)
+                    at = np.flatnonzero(near & ~before)
+                    if len(at):
+                        found += [((part << 32) | row, doc, start + int(r[0]), start + int(r[-1]) + rule.width + rule.size - 1, int(d_of[i])) for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)]
+                    if near.all():
+                        break
+                if again or near.all() or not len(more):
+                    continue
+                # Starts of which enough values have documents that weren't listed.
+                w = x.windows
+                cut, count = np.flatnonzero(exchange.is_in(w.value, more)), np.zeros(len(near) + 1, np.int64)
+                np.add.at(count, w.first[cut], 1)
+                np.add.at(count, w.last[cut] + 1, -1)
+                left = np.flatnonzero((np.cumsum(count[:-1]) >= rule.enough) & ~near & dense_starts(tokens, often, rule))
+                if len(left):
+                    asked = _rarest(tokens, often, left, rule)
+                    if len(asked):
+                        open_x.append(number)
+                        open_near.append(near)
+                        queries.append(asked)
+            if found:
+                yield exchange.batch_of([(part, -1, exchange.pack(*(np.array(c, np.int64) for c in zip(*found, strict=True))))])
+            if not again:
+                n = [len(q) for q in queries]
+                tokens = np.concatenate([np.empty(0, np.uint64), *queries])
+                _save(rule.file("open", part), np.array(open_x, np.int64), np.array([len(v) for v in open_near], np.int64), np.concatenate([np.empty(0, bool), *open_near]).view(np.uint8), np.repeat(np.array(open_x, np.int64), n), tokens)
+                wanted = np.unique(tokens)
+                rows = [(b, _QUERY - part, (wanted[at] >> np.uint64(32)).astype("<u4").tobytes()) for b, at in exchange.split(exchange.block_of(wanted, rule.blocks), rule.blocks)]
+                if rows:
+                    yield exchange.batch_of(rows)
+
+    return run
+
+
+def _load_open(rule: Rule, part: int) -> tuple[list[int], list[np.ndarray]]:
+    number, size, near, _, _ = _load(rule.file("open", part))
+    return number.tolist(), np.split(near.view(bool), np.cumsum(size)[:-1]) if len(number) else []
+
+
+def _holders(batches):
+    """Tell each part which of its shingles are wanted (rows from ``_add_counts``, and queries)."""
+    for block, rows in exchange.payload_rows(batches).items():
+        wanted = [np.frombuffer(p, "<u4") for o, p in rows if o <= _QUERY]
+        if wanted:
+            wanted = np.unique(np.concatenate(wanted))
+            for part, p in rows:
+                if part >= 0:
+                    own = np.frombuffer(p, "<u4", int.from_bytes(p[:4], "little"), 4)
+                    own = own[exchange.is_in(own, wanted)]
+                    if len(own):
+                        yield exchange.batch_of([(part, block, own.tobytes())])
+
 
+def _post(rule: Rule):
+    """Send where the wanted shingles are."""
 
-def _compare(size: int, width: int, hashes: int, enough: int, similarity: float):
     def run(batches):
-        groups: dict[int, dict] = {}
-        for rows in exchange.payload_rows(batches).values():
-            for _, p in rows:
-                group, uid, doc, start, side = np.frombuffer(p, "<i8", 5).tolist()
-                # Segments with the same tokens are one: (document, place) pairs behind it share its windows.
-                groups.setdefault(group, {}).setdefault((p[40:], side), []).append((doc, uid, start))
-        for members in groups.values():
-            keys = sorted(members, key=lambda m: (min(members[m])[0], m[1], m[0]))
-            segments = [np.frombuffer(t, "<u8") for t, _ in keys]
-            least = np.array([min(members[m])[0] for m in keys])
-            sides = np.array([side for _, side in keys])
-            out = []
-            for x, first, last, source in near_passages(segments, least, sides, width, hashes, enough, similarity):
-                out += [(uid, doc, start + first, start + last + width + size - 1, source) for doc, uid, start in members[keys[x]]]
-            by_tokens: dict[bytes, list] = {}
-            for tokens, side in keys:
-                by_tokens.setdefault(tokens, []).extend(members[tokens, side])
-            for tokens, places in by_tokens.items():
-                first = min(places)[0]
-                n = len(tokens) // 8 + size - 1
-                out += [(uid, doc, start, start + n, first) for doc, uid, start in places if doc > first]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["uid", "doc_id", "start_word", "end_word", "source_id"])
+        for part, sent in exchange.payload_rows(batches).items():
+            wanted, columns = exchange.known_keys([(o, p) for o, p in sent if o >= 0]), [[], [], []]
+            for number, (_, doc, _, tokens, _) in enumerate(_read_segments(rule.file("segments", part))) if len(wanted) else ():
+                short = np.unique(exchange.short_key(tokens, rule.blocks))
+                short = short[exchange.is_in(short, wanted)]
+                for column, new in zip(columns, (short, np.full(len(short), number, "<u4"), np.full(len(short), doc)), strict=True):
+                    column.append(new)
+            if columns[0]:
+                short, number, doc = (np.concatenate(c) for c in columns)
+                block = (short & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                rows = [(b, part, exchange.pack((short[at] >> np.uint64(32)).astype("<u4"), number[at], doc[at])) for b, at in exchange.split(block, rule.blocks)]
+                if rows:
+                    yield exchange.batch_of(rows)
+
+    return run
+
+
+def _answer(batches):
+    """Answer each query with all segments that have its shingle."""
+    for block, rows in exchange.payload_rows(batches).items():
+        held = [(o, exchange.unpack(p)) for o, p in rows if o >= 0]
+        if not held:
+            continue
+        short, doc = (np.concatenate([c[i] for _, c in held]) for i in (0, 2))
+        uid = np.concatenate([(o << 32) | c[1].astype(np.int64) for o, c in held])
+        order = np.lexsort((uid, doc, short))
+        short, doc, uid = short[order], doc[order], uid[order]
+        for origin, p in rows:
+            if origin <= _QUERY:
+                own = np.unique(np.frombuffer(p, "<u4"))
+                lo, hi = np.searchsorted(short, own, "left"), np.searchsorted(short, own, "right")
+                some = _ranges(lo, hi - lo)
+                if len(some):
+                    yield exchange.batch_of([(_QUERY - origin, block, exchange.pack(own, (hi - lo).astype("<u4"), doc[some], uid[some]))])
+
+
+def _ask_more(rule: Rule):
+    """Ask for the segments that hold one of the rarest tokens of a segment's starts that are left."""
+
+    def run(batches):
+        for part, sent in exchange.payload_rows(batches).items():
+            answers = [(o, exchange.unpack(p)) for o, p in sent if o >= 0]
+            _, _, _, x, token = _load(rule.file("open", part))
+            pairs = [np.empty(0, np.int64)] * 3
+            if answers and len(x):
+                short = np.concatenate([(c[0].astype(np.uint64) << np.uint64(32)) | np.uint64(b) for b, c in answers])
+                n, doc, uid = (np.concatenate([c[i] for _, c in answers]) for i in (1, 2, 3))
+                order = np.argsort(short)
+                begins, n, short = (np.cumsum(n, dtype=np.int64) - n)[order], n[order].astype(np.int64), short[order]
+                own = {i: d for i, (_, d, _, _, _) in enumerate(_read_segments(rule.file("segments", part)))}
+                mine = exchange.short_key(token, rule.blocks)
+                at = np.minimum(np.searchsorted(short, mine), len(short) - 1)
+                hit = short[at] == mine
+                x, at = x[hit], at[hit]
+                some, x = _ranges(begins[at], n[at]), np.repeat(x, n[at])
+                some, x = (v[doc[some] < np.array([own[i] for i in x.tolist()], np.int64)] for v in (some, x))
+                pairs = [x, uid[some], doc[some]]
+            done = _load(rule.file("pairs", part))
+            pairs = np.unique(np.stack(pairs), axis=1) if len(pairs[0]) else np.empty((3, 0), np.int64)
+            tried = {(a, b) for a, b in zip(done[0].tolist(), done[1].tolist(), strict=True)}
+            fresh = np.array([(a, b) not in tried for a, b in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True)], bool)
+            x, y, d = (p[fresh] for p in pairs)
+            order = np.lexsort((y, d, x))
+            _save(rule.file("more", part), x[order], y[order], d[order], np.empty(0, np.uint64))
+            if len(y):
+                yield exchange.batch_of(_requests(part, y))
 
     return run
 
 
-def passages(docs: DataFrame, work: storage.Workspace, words: int = PASSAGE_WORDS, shingle: int = SHINGLE, similarity: float = SIMILARITY, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
+def _found_rows(batches):
+    for rows in exchange.payload_rows(batches).values():
+        for _, p in rows:
+            columns = exchange.unpack(p)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "doc_id", "start_word", "end_word", "source_id"])
+
+
+def passages(docs: DataFrame, work: storage.Workspace, words: int = PASSAGE_WORDS, shingle: int = SHINGLE, similarity: float = SIMILARITY, hashes: int = HASHES, enough: int = ENOUGH, sources: int = SOURCES) -> DataFrame:
     """``doc_id, source_id, start_word, end_word``: maximal passages near one of a document with a smaller id.
 
-    A passage is a run of words, each in some sequence of ``words`` or more that has a near one in an earlier document;
-    the two needn't be equally long.
-    ``source_id`` is the smallest such document. Words are runs of bytes other than ASCII white space, A-Z lower-cased.
-    Null, empty and shorter texts have no passages. Rows with equal ``doc_id`` aren't near one another; a null
-    ``doc_id`` counts as smaller than all others and is returned as null. Other columns are ignored. Identical passages
-    are always found; others with the recall that ``enough`` of ``hashes`` equal values give.
+    A passage is a run of words, each in some sequence of ``words`` or more that has a near one in an earlier document:
+    the Jaccard similarity of the two sequences' sets of ``shingle`` words is ``similarity`` or more; the two needn't be
+    equally long. ``source_id`` is the smallest document that a sequence of the passage was found near to; not all have
+    to be looked at, so it needn't be the smallest there is. Words are runs of bytes other than ASCII white space, A-Z
+    lower-cased. Null, empty and shorter texts have no passages; texts of any length are looked at whole. Rows with
+    equal ``doc_id`` aren't near one another, each has its own passages; a null ``doc_id`` counts as smaller than all
+    others and is returned as null. Other columns are ignored. An empty table gives no rows. Identical passages are
+    always found; others with the recall that ``enough`` of ``hashes`` equal values give.
     """
     spark, width = docs.sparkSession, words - shingle + 1
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    blocks, folder = exchange.blocks_for(plain), f"{work.path}/parts"
-    sent = work.table(plain.mapInArrow(_send_values(folder, blocks, shingle, width, hashes), exchange.ROW), "values")
-    last = sent.where("key < 0").agg(F.max("origin")).first()[0]
+    rule = Rule(f"{work.path}/parts", exchange.blocks_for(plain), shingle, width, similarity, hashes, enough, sources)
+    rows = work.table(plain.mapInArrow(_measure(rule.folder, shingle, words), "uid long, doc long, n long, digest binary"), "rows")
+    last = rows.agg(F.max(F.shiftright("uid", 32))).first()[0]
     if last is None:
         return spark.createDataFrame([], "doc_id long, source_id long, start_word long, end_word long")
     parts = int(last) + 1
@@ -442,40 +846,46 @@ def passages(docs: DataFrame, work: storage.Workspace, words: int = PASSAGE_WORD
         return df.unionByName(marks).repartitionById(parts, F.col("key"))
 
     def by_block(df: DataFrame) -> DataFrame:
-        return df.repartitionById(blocks, F.col("key"))
-
-    shared = by_block(sent.where("key >= 0")).mapInArrow(exchange.shared_hashes, exchange.ROW)
-    index = by_part(shared).mapInArrow(_keep_segments(folder, blocks, shingle, width, hashes, enough), exchange.ROW)
-    edges = work.table(by_block(index).mapInArrow(_connect, "id1 long, id2 long"), "edges")
-    work.drop("values")
-    clusters = connected_components(edges, work).withColumnRenamed("node", "uid")
-    sizes = work.table(marks.repartitionById(parts, F.col("key")).mapInArrow(_sizes(folder), "uid long, n long"), "sizes")
-    clusters = work.table(clusters.join(sizes, "uid"), "clusters")
-    cuts = work.table(clusters.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("cuts")), "cuts")
-    placed = clusters.join(cuts, "root").withColumn("cut", F.pmod(F.xxhash64("uid"), F.col("cuts")).cast("int"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("cuts") - 1),
-        lambda k: F.struct(F.least("cut", k).alias("a"), F.greatest("cut", k).alias("b"), F.when(k == F.col("cut"), 0).when(F.col("cut") < k, 1).otherwise(2).alias("side")),
-    )
-    grouped = placed.select("uid", "root", F.explode(pairs).alias("p"))
-
-    def little(number, digits: int):
-        big = F.lpad(F.hex(number), digits, "0")
-        return F.unhex(F.concat(*[F.substring(big, digits - 1 - i, 2) for i in range(0, digits, 2)]))
-
-    payload = F.concat(little(F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF)), 8), little(F.col("p.side"), 8), little(F.xxhash64("root", "p.a", "p.b"), 16))
-    asked = grouped.select(F.shiftright("uid", 32).cast("int").alias("key"), F.lit(0).alias("origin"), payload.alias("payload"))
-    members = by_part(asked).mapInArrow(_send_segments(folder, blocks), exchange.ROW)
-    found = by_block(members).mapInArrow(_compare(shingle, width, hashes, enough, similarity), "uid long, doc_id long, start_word long, end_word long, source_id long")
-    found = work.table(found, "found")
-    work.drop("parts")
+        return df.repartitionById(rule.blocks, F.col("key"))
+
+    texts = rows.where("n >= 0").groupBy("digest", "n").agg(F.min(F.struct("doc", "uid")).alias("least"), F.count("*").alias("copies"))
+    texts = work.table(texts.where("copies > 1"), "texts")
+    copies = work.table(rows.join(texts, ["digest", "n"]).where("uid <> least.uid").select("uid", "doc", "n", "least"), "copies")
+    number = F.lpad(F.hex(F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    payload = F.unhex(F.concat(*[F.substring(number, i, 2) for i in (7, 5, 3, 1)]))
+    twins = work.table(copies.select(F.shiftright("uid", 32).cast("int").alias("key"), F.lit(_TWINS).alias("origin"), payload.alias("payload")), "twins")
+    sent = by_part(twins).mapInArrow(_send_values(rule), exchange.ROW)
+    shared = by_block(sent).mapInArrow(exchange.shared_hashes, exchange.ROW)
+    counted = by_part(shared.unionByName(twins)).mapInArrow(_keep_shared(rule), exchange.ROW)
+    counts = work.table(by_block(counted).mapInArrow(jaccard._add_counts, exchange.ROW), "counts")
+    chosen = by_block(by_part(counts).mapInArrow(_refine(rule), exchange.ROW)).mapInArrow(_choose(rule), exchange.ROW)
+    asked = work.table(by_part(chosen).mapInArrow(_ask(rule), exchange.ROW), "asked")
+    served = by_part(asked).mapInArrow(_serve(rule), exchange.ROW)
+    first = work.table(by_part(served).mapInArrow(_verify(rule, False), exchange.ROW), "first")
+    found, queries = first.where("origin = -1"), first.where("origin <> -1")
+    if not queries.isEmpty():
+        queries = work.table(queries, "queries")
+        held = counts.select(F.col("origin").alias("key"), F.col("key").alias("origin"), "payload")
+        posted = by_part(by_block(held.unionByName(queries)).mapInArrow(_holders, exchange.ROW)).mapInArrow(_post(rule), exchange.ROW)
+        answers = by_block(posted.unionByName(queries)).mapInArrow(_answer, exchange.ROW)
+        asked = work.table(by_part(answers).mapInArrow(_ask_more(rule), exchange.ROW), "asked_more")
+        served = by_part(asked).mapInArrow(_serve(rule), exchange.ROW)
+        found = found.unionByName(work.table(by_part(served).mapInArrow(_verify(rule, True), exchange.ROW), "second"))
+    found = work.table(found.mapInArrow(_found_rows, "uid long, doc_id long, start_word long, end_word long, source_id long"), "found")
+    for name in ("parts", "counts"):
+        work.drop(name)
     order = Window.partitionBy("uid").orderBy("start_word", "end_word")
     before = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", (before.isNull() | (F.col("start_word") > before)).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = runs.groupBy("uid", "run").agg(F.first("doc_id").alias("doc_id"), F.min("source_id").alias("source_id"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    spans = work.table(spans.select("uid", "doc_id", "source_id", "start_word", "end_word"), "spans")
+    # A copy of a text with a smaller document is near it as a whole; one with the same document has the same passages.
+    whole = copies.where("doc > least.doc").select(F.col("doc").alias("doc_id"), F.col("least.doc").alias("source_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"))
+    again = copies.where("doc = least.doc").select(F.col("least.uid").alias("uid")).join(spans, "uid")
     null = F.lit(int(exchange.NULL_ID))
-    return spans.select(F.nullif("doc_id", null).alias("doc_id"), F.nullif("source_id", null).alias("source_id"), "start_word", "end_word")
+    columns = [F.nullif("doc_id", null).alias("doc_id"), F.nullif("source_id", null).alias("source_id"), "start_word", "end_word"]
+    return spans.select(*columns).unionByName(whole.select(*columns)).unionByName(again.select(*columns))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
