@@ -43,6 +43,8 @@ ENOUGH = 4
 SOURCES = 4
 FLUSH = 1_500_000
 MATCHES = 2_000_000
+RUNS = 48
+SHIFTS = 8
 _SLICE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64)
@@ -448,11 +450,9 @@ def _previous(tokens: np.ndarray) -> np.ndarray:
 def _distinct(previous: np.ndarray, width: int, counts: np.ndarray | None = None) -> np.ndarray:
     """How many distinct tokens the sequence of ``width`` from each start has, of those that count."""
     # A token counts for the starts between its last occurrence and itself.
-    change, at = np.zeros(len(previous) + 1, np.int64), np.arange(len(previous))
-    if counts is not None:
-        at = at[counts]
-    np.add.at(change, np.maximum(previous[at] + 1, at - width + 1).clip(0), 1)
-    np.add.at(change, at + 1, -1)
+    n, at = len(previous) + 1, np.arange(len(previous)) if counts is None else np.flatnonzero(counts)
+    change = np.bincount(np.maximum(previous[at] + 1, at - width + 1).clip(0), minlength=n)
+    change[at + 1] -= 1
     return np.cumsum(change)[: len(previous) - width + 1]
 
 
@@ -589,7 +589,8 @@ def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
     shifts, votes = np.unique(shifts, return_counts=True)
     unsure = x.repeats or y.repeats
     room = width - rule.common
-    for move in shifts[np.argsort(-votes, kind="stable")].tolist():
+    shifts = shifts[np.argsort(-votes, kind="stable")]
+    for move in shifts[: SHIFTS if unsure else None].tolist():
         from_, to = max(0, -move), min(len(a), len(b) - move)
         if to - from_ < rule.common or not (vouched & ~near).any():
             continue
@@ -603,18 +604,40 @@ def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
             e = max(s + width, min(j, len(a)))
             if near[s : e - width + 1].all():
                 continue
-            if unsure and not _similar_at(a, b, s, e, move, width, similarity):
-                # Equal places say how many tokens two sets share only where tokens don't repeat.
-                for p in range(s, e - width + 1):
-                    near[p] = near[p] or _similar_at(a, b, p, p + width, move, width, similarity)
-            else:
+            # Equal places say how many tokens two sets share only where tokens don't repeat.
+            if not unsure or _similar_at(a, b, s, e, move, width, similarity):
                 near[s : e - width + 1] = True
     left = vouched & ~near
+    if unsure and left.any():
+        near[_window_by_window(a, b, np.flatnonzero(left), width, similarity)] = True
+        left &= ~near
+        if len(_runs(a, b)[0]) > RUNS:
+            return
     if left.any() and (left & _possible(a, b, width, similarity, unsure)).any():
         for first_, last_ in chained(a, b, width, similarity):
             near[first_ : last_ + 1] = True
 
 
+def _window_by_window(a: np.ndarray, b: np.ndarray, starts: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """The starts whose sequence of ``width`` is near one of b of ``width`` or a quarter more, wherever it is."""
+    previous, own = _previous(b), _previous(a)
+    sizes = [(w, _distinct(previous, w)) for w in (width, width + width // 4) if w <= len(b)]
+    in_b = np.isin(a, b)
+    most, all_ = _distinct(own, width, in_b), _distinct(own, width)  # at most so many are common, of so many
+    least = int(sizes[0][1].min())
+    fine = most >= similarity * (all_ + np.maximum(most, least) - most) - 1e-9
+    number = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    x, y = number[: len(a)], number[len(a) :]
+    found, has = [], np.zeros(int(number.max()) + 1, bool)
+    for s in starts[fine[starts]].tolist():
+        has[x[s : s + width]] = True
+        common = has[y]
+        has[x[s : s + width]] = False
+        if any((both >= similarity * (int(all_[s]) + d - both) - 1e-9).any() for both, d in ((_distinct(previous, w, common), d) for w, d in sizes)):
+            found.append(s)
+    return np.array(found, np.int64)
+
+
 def _similar_at(a: np.ndarray, b: np.ndarray, s: int, e: int, move: int, width: int, similarity: float) -> bool:
     """Whether a from s to e is near the places of b that it lies upon, drawn inside b."""
     t = max(0, min(s + move, len(b) - width))
@@ -830,7 +853,9 @@ def passages(docs: DataFrame, work: storage.Workspace, words: int = PASSAGE_WORD
     lower-cased. Null, empty and shorter texts have no passages; texts of any length are looked at whole. Rows with
     equal ``doc_id`` aren't near one another, each has its own passages; a null ``doc_id`` counts as smaller than all
     others and is returned as null. Other columns are ignored. An empty table gives no rows. Identical passages are
-    always found; others with the recall that ``enough`` of ``hashes`` equal values give.
+    always found; others with the recall that ``enough`` of ``hashes`` equal values give. Where two texts repeat
+    themselves so much that they have over ``RUNS`` runs in common, sequences of ``words`` are compared with those of as
+    many and a quarter more, not with those of all other lengths.
     """
     spark, width = docs.sparkSession, words - shingle + 1
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
