@@ -25,6 +25,7 @@ part ``SOURCES`` numbers.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -112,26 +113,29 @@ class Rule:
         return f"{self.folder}/{kind}-{part:06d}"
 
 
-class Windows:
-    """The compact windows of a token sequence under all hash functions, as value, l, c, r."""
-
-    def __init__(self, tokens: np.ndarray, rule: Rule):
-        columns = []
+def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Value and place of the nodes that have a compact window, under all hash functions."""
+    n = len(tokens) - rule.width + 1
+    if len(tokens) > _SLICE:
+        each = []
         for k in range(rule.hashes):
             h = values_of(tokens, k)
-            columns.append((h, *compact_windows(h, rule.width)))
-        self.value = np.concatenate([h[c] for h, _, c, _ in columns])
-        self.left, self.place, self.right = (np.concatenate([x[i] for x in columns]) for i in (1, 2, 3))
-        # The starts of sequences of the minimal length that lie in each window.
-        self.first, self.last = np.maximum(self.left, self.place - rule.width + 1), np.minimum(self.place, self.right - rule.width + 1)
-
-    def by_value(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct values, and the first and the last place of each."""
-        order = np.lexsort((self.place, self.value))
-        value = self.value[order]
-        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        end = np.append(at[1:], len(value)) - 1
-        return value[at], self.place[order[at]], self.place[order[end]]
+            at = minima(h, rule.width)
+            c = at[np.concatenate([[True], at[1:] != at[:-1]])]
+            each.append((h[c], c))
+        return tuple(np.concatenate(x) for x in zip(*each, strict=True))
+    h = jaccard.mixed(tokens[None, :] + _SEEDS[: rule.hashes, None])
+    low, span = (h & ~_LOW) | np.arange(len(tokens), dtype=np.uint64), 1
+    while 2 * span <= rule.width:
+        low = np.minimum(low[:, :-span], low[:, span:])
+        span *= 2
+    if span < rule.width:
+        low = np.minimum(low[:, :n], low[:, rule.width - span :])
+    at = (low & _LOW).astype(np.int64)
+    new = np.ones(at.shape, bool)
+    new[:, 1:] = at[:, 1:] != at[:, :-1]
+    k, start = np.nonzero(new)
+    return h[k, at[k, start]], at[k, start]
 
 
 def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,7 +312,7 @@ def _refine(rule: Rule):
                     for some in _pieces(good, places, np.zeros(len(places), int), rule.width):
                         lo, hi = int(some[0]), int(some[-1]) + rule.width
                         own = tokens[lo:hi]
-                        found.append((np.unique(Windows(own, rule).value), doc, len(found)))
+                        found.append((np.unique(smallest_of_all(own, rule)[0]), doc, len(found)))
                         yield _segment_batch(row, doc, start + lo, own, often[lo:hi])
 
             storage.write_part(rule.file("segments", part), kept(), _SEGMENT)
@@ -316,6 +320,7 @@ def _refine(rule: Rule):
                 continue
             n = [len(v) for v, _, _ in found]
             value = np.concatenate([v for v, _, _ in found])
+            _save(rule.file("values", part), value, np.array(n, np.int64), np.array([d for _, d, _ in found], np.int64))
             doc, number = np.repeat(np.array([d for _, d, _ in found]), n), np.repeat(np.arange(len(found)), n)
             value, listed, total, at = _smallest(value, doc, number, rule.sources)
             ends = np.cumsum(listed)
@@ -389,19 +394,20 @@ def _ask(rule: Rule):
             order = np.argsort(value)
             begins = (np.cumsum(n, dtype=np.int64) - n)[order] if len(n) else order
             value, n, more = value[order], n[order].astype(np.int64), more[order].astype(bool)
-            pairs = [[], [], [], []]
-            for x, (_, own, _, tokens, _) in enumerate(_read_segments(rule.file("segments", part))) if len(value) else ():
-                mine = Windows(tokens, rule).value
-                at = np.minimum(np.searchsorted(value, mine), len(value) - 1)
-                at = at[value[at] == mine]
-                some = _ranges(begins[at], n[at])
-                some = some[doc[some] < own]
-                y, first, votes = np.unique(uid[some], return_index=True, return_counts=True)
-                # What a document that isn't listed may have in common besides can only be as much as is cut off.
-                fine = votes + int(more[at].sum()) >= rule.enough
-                for column, new in zip(pairs, (np.full(int(fine.sum()), x), y[fine], doc[some][first][fine], votes[fine]), strict=True):
-                    column.append(new)
-            x, y, d, votes = (np.concatenate([np.empty(0, np.int64), *c]) for c in pairs)
+            pairs = [[np.empty(0, np.int64)] for _ in range(4)]
+            if len(value):
+                all_values, sizes, owners = _load(rule.file("values", part))
+                for x, (mine, own) in enumerate(zip(np.split(all_values, np.cumsum(sizes)[:-1]), owners.tolist(), strict=True)):
+                    at = np.minimum(np.searchsorted(value, mine), len(value) - 1)
+                    at = at[value[at] == mine]
+                    some = _ranges(begins[at], n[at])
+                    some = some[doc[some] < own]
+                    y, first, votes = np.unique(uid[some], return_index=True, return_counts=True)
+                    # What a segment that isn't listed has in common besides can only be as much as is cut off.
+                    fine = votes + int(more[at].sum()) >= rule.enough
+                    for column, new in zip(pairs, (np.full(int(fine.sum()), x), y[fine], doc[some][first][fine], votes[fine]), strict=True):
+                        column.append(new)
+            x, y, d, votes = (np.concatenate(c) for c in pairs)
             order = np.lexsort((d, -votes, x))
             _save(rule.file("pairs", part), x[order], y[order], d[order], value[more] if len(value) else np.empty(0, np.uint64))
             if len(y):
@@ -548,44 +554,63 @@ class Segment:
 
     def __init__(self, tokens: np.ndarray, rule: Rule):
         self.tokens, self.rule = tokens, rule
-        self._windows = self._values = self._repeats = None
 
-    @property
-    def windows(self) -> Windows:
-        if self._windows is None:
-            self._windows = Windows(self.tokens, self.rule)
-        return self._windows
+    @functools.cached_property
+    def windows(self) -> tuple[np.ndarray, ...]:
+        """Value and place of the compact windows, and the first and last start of sequences of the minimal length in each."""
+        columns = []
+        for k in range(self.rule.hashes):
+            h = values_of(self.tokens, k)
+            left, place, right = compact_windows(h, self.rule.width)
+            columns.append((h[place], place, np.maximum(left, place - self.rule.width + 1), np.minimum(place, right - self.rule.width + 1)))
+        return tuple(np.concatenate(c) for c in zip(*columns, strict=True))
+
+    @functools.cached_property
+    def values(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct values of the windows, and the first and the last place of each."""
+        value, place = smallest_of_all(self.tokens, self.rule)
+        order = np.lexsort((place, value))
+        value = value[order]
+        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        return value[at], place[order[at]], place[order[np.append(at[1:], len(value)) - 1]]
 
-    @property
-    def values(self):
-        if self._values is None:
-            self._values = self.windows.by_value()
-        return self._values
+    @functools.cached_property
+    def distinct(self) -> np.ndarray:
+        return np.unique(self.tokens)
 
     @property
     def repeats(self) -> bool:
-        if self._repeats is None:
-            self._repeats = len(np.unique(self.tokens)) < len(self.tokens)
-        return self._repeats
+        return len(self.distinct) < len(self.tokens)
+
+    @functools.cached_property
+    def needed(self):
+        """How many places of a sequence of the minimal length at least hold tokens that a near one has too."""
+        if not self.repeats:
+            return self.rule.common - 1
+        return np.ceil(self.rule.similarity * _distinct(_previous(self.tokens), self.rule.width) - 1e-9)
 
 
 def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
     """Mark in ``near`` the starts in x of sequences of the minimal length that lie in one near a sequence of y."""
     rule, width, similarity = x.rule, x.rule.width, x.rule.similarity
+    common = np.cumsum(np.concatenate([[False], exchange.is_in(x.tokens, y.distinct)]))
+    if not (~near & (common[width:] - common[:-width] >= x.needed)).any():
+        return
     value, first, last = y.values
-    at = np.minimum(np.searchsorted(value, x.windows.value), len(value) - 1)
-    hit = np.flatnonzero(value[at] == x.windows.value)
+    own, place, begin, end = x.windows
+    at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+    hit = np.flatnonzero(value[at] == own)
     if len(hit) < enough:
         return
     # Sweep over the starts: +1 where a window begins, -1 after it ends, wherever y has a window with its value.
     count = np.zeros(len(near) + 1, np.int64)
-    np.add.at(count, x.windows.first[hit], 1)
-    np.add.at(count, x.windows.last[hit] + 1, -1)
+    np.add.at(count, begin[hit], 1)
+    np.add.at(count, end[hit] + 1, -1)
     vouched = np.cumsum(count[:-1]) >= enough
     if not (vouched & ~near).any():
         return
     a, b, at = x.tokens, y.tokens, at[hit]
-    shifts = np.concatenate([first[at] - x.windows.place[hit], (last[at] - x.windows.place[hit])[last[at] != first[at]]])
+    shifts = np.concatenate([first[at] - place[hit], (last[at] - place[hit])[last[at] != first[at]]])
     shifts, votes = np.unique(shifts, return_counts=True)
     unsure = x.repeats or y.repeats
     room = width - rule.common
@@ -718,10 +743,10 @@ def _verify(rule: Rule, again: bool):
                 if again or near.all() or not len(more):
                     continue
                 # Starts of which enough values have documents that weren't listed.
-                w = x.windows
-                cut, count = np.flatnonzero(exchange.is_in(w.value, more)), np.zeros(len(near) + 1, np.int64)
-                np.add.at(count, w.first[cut], 1)
-                np.add.at(count, w.last[cut] + 1, -1)
+                value, _, begin, end = x.windows
+                cut, count = np.flatnonzero(exchange.is_in(value, more)), np.zeros(len(near) + 1, np.int64)
+                np.add.at(count, begin[cut], 1)
+                np.add.at(count, end[cut] + 1, -1)
                 left = np.flatnonzero((np.cumsum(count[:-1]) >= rule.enough) & ~near & dense_starts(tokens, often, rule))
                 if len(left):
                     asked = _rarest(tokens, often, left, rule)
