@@ -1,5 +1,8 @@
 """Removal of byte strings that an earlier document also has, found with a Burrows-Wheeler transform.
 
+Texts that are copies of an earlier document's lose all their bytes and are left out of all else, so that no copy is
+ever sent: the earliest stands for them.
+
 1. Winnowing: of the ``min_length - k + 1`` k-byte windows of every string of ``min_length`` bytes, the one with the
    smallest hash (the leftmost of equals) is an anchor. Two documents that share such a string share its anchor at the
    same place in it. Anchors that occur in one document only are dropped: each part of the input sends its distinct
@@ -96,34 +99,56 @@ def _anchors_of(column: pa.Array, min_length: int):
         row = last
 
 
-def _find_anchors(folder: str, buckets: int, min_length: int):
-    """Keep the part's rows in a file, and send its distinct anchor hashes."""
+_TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
+_TWINS = -4
+
 
-    def flush(held, part):
-        return exchange.send_hashes(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), part, buckets)
+def _keep_texts(folder: str):
+    """Keep the part's rows in a file; returns number, document, bytes and digest of each row, and one row for the part."""
 
     def run(batches):
-        part, held, size, out = TaskContext.get().partitionId(), [], 0, []
-        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
+        part, base = TaskContext.get().partitionId(), 0
+        out = [[(part << 32, 0, -1, b"")]]
 
         def passing():
-            nonlocal held, size
+            nonlocal base
             for batch in batches:
-                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], schema=schema)
+                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], schema=_TEXT)
+                ids, texts = exchange.ids_of(batch.column(0)).tolist(), batch.column(1).to_pylist()
+                out.append([((part << 32) | (base + i), d, len(t or b""), hashlib.blake2b(t or b"", digest_size=16).digest()) for i, (d, t) in enumerate(zip(ids, texts, strict=True))])
+                base += len(batch)
+                yield batch
+
+        storage.write_part(f"{folder}/part-{part:06d}", passing(), _TEXT)
+        for rows in out:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["uid", "doc", "n", "digest"])
+
+    return run
+
+
+def _twins_of(rows: list[tuple[int, bytes]]) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join([p for o, p in rows if o == _TWINS]), "<u4").astype(np.int64))
+
+
+def _find_anchors(folder: str, buckets: int, min_length: int):
+    """Send the distinct anchor hashes of a part's texts, without those that are copies of an earlier document's."""
+
+    def run(batches):
+        for part, rows in exchange.payload_rows(batches).items():
+            twins, held, size, base = _twins_of(rows), [], 0, 0
+            for batch in storage.read_part(f"{folder}/part-{part:06d}"):
                 ids = exchange.ids_of(batch.column(0))
-                for rows, _, h in _anchors_of(batch.column(1), min_length):
-                    held.append((h, ids[rows]))
+                for row, _, h in _anchors_of(batch.column(1), min_length):
+                    own = ~exchange.is_in(row + base, twins)
+                    held.append((h[own], ids[row[own]]))
                     size += len(h)
+                base += len(batch)
                 if size >= FLUSH_ANCHORS:
-                    out.append(flush(held, part))
+                    yield exchange.send_hashes(*(np.concatenate(x) for x in zip(*held, strict=True)), part, buckets)
                     held, size = [], 0
-                yield batch
-
-        storage.write_part(f"{folder}/part-{part:06d}", passing(), schema)
-        if size:
-            out.append(flush(held, part))
-        yield exchange.batch_of([(-1, part, b"")])
-        yield from out
+            if size:
+                yield exchange.send_hashes(*(np.concatenate(x) for x in zip(*held, strict=True)), part, buckets)
 
     return run
 
@@ -266,7 +291,7 @@ def _send_contexts(folder: str, buckets: int, min_length: int):
 
     def run(batches):
         for part, rows in exchange.payload_rows(batches).items():
-            known = exchange.known_keys(rows)
+            known, twins = exchange.known_keys(rows), _twins_of(rows)
             if not len(known):
                 continue
             found, base, places = _Contexts(part, buckets), 0, []
@@ -274,7 +299,7 @@ def _send_contexts(folder: str, buckets: int, min_length: int):
                 data, offsets = exchange.bytes_of(batch.column(1))
                 ids, raw = exchange.ids_of(batch.column(0)), memoryview(data)
                 for row, at, h in _anchors_of(batch.column(1), min_length):
-                    hit = exchange.is_in(exchange.short_key(h, buckets), known)
+                    hit = exchange.is_in(exchange.short_key(h, buckets), known) & ~exchange.is_in(row + base, twins)
                     row, at, h = row[hit], at[hit], h[hit]
                     lo = np.maximum(0, at - (min_length - ANCHOR)) + offsets[row]
                     hi = np.minimum(at + min_length + offsets[row], offsets[row + 1])
@@ -317,7 +342,8 @@ def repeated_intervals(text: np.ndarray, min_length: int) -> tuple[np.ndarray, n
     Breadth-first backward extension: at each length, an interval holds the suffixes with one prefix. Prepending the
     symbols of the Burrows-Wheeler transform sends suffix i to place ``back[i]``, and two neighbours there share one
     symbol more exactly if they got the same symbol and came from one interval. A boundary that has been found stays,
-    so only places without one are looked at again.
+    so only places without one are looked at again. The text has to end with a symbol that occurs nowhere else in a
+    repeat: 0, with symbols from 1 otherwise.
     """
     n = len(text)
     order = suffix_order(text, min_length)
@@ -445,7 +471,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _remove(folder: str, min_length: int, with_text: bool):
     def run(batches):
         for part, rows in exchange.payload_rows(batches).items():
-            replies = [p for origin, p in rows if origin >= 0]
+            replies, twins = [p for origin, p in rows if origin >= 0], set(_twins_of(rows).tolist())
             cut_rows, cut_lo, cut_hi = (np.empty(0, np.int64),) * 3
             if replies:
                 index, least, mask = (np.concatenate(c) for c in zip(*[_unpacked(p, _ANSWERS)[0] for p in replies], strict=True))
@@ -467,14 +493,16 @@ def _remove(folder: str, min_length: int, with_text: bool):
                 cut_rows, cut_lo, cut_hi = cut_rows[order], cut_lo[order], cut_hi[order]
             base = 0
             for batch in storage.read_part(f"{folder}/part-{part:06d}"):
-                cuts = np.searchsorted(cut_rows, np.arange(base, base + len(batch) + 1))
+                cuts, first = np.searchsorted(cut_rows, np.arange(base, base + len(batch) + 1)), base
                 base += len(batch)
                 out = [[], [], [], [], [], []]
                 for i, text in enumerate(batch.column(1)):
                     text, (a, b) = text.as_py() or b"", cuts[i : i + 2]
                     runs = []
                     rest = text
-                    if b > a:
+                    if first + i in twins and len(text) >= min_length:  # all of a copy of an earlier document goes
+                        runs, rest = [(0, len(text))], b""
+                    elif b > a:
                         runs = list(zip(*(x.tolist() for x in merged(cut_lo[a:b], cut_hi[a:b])), strict=True))
                         edges = [0, *[e for r in runs for e in r], len(text)]
                         rest = b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
@@ -506,22 +534,29 @@ def suffix_dedup(docs: DataFrame, work: storage.Workspace, min_length: int = MIN
     buckets = exchange.blocks_for(plain)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<long>, kept binary" if with_text else "")
     folder = f"{work.path}/parts"
-    sent = work.table(plain.mapInArrow(_find_anchors(folder, buckets, min_length), exchange.ROW), "anchors")
-    marks = sent.where("key < 0")
-    last = marks.agg(F.max("origin")).first()[0]
+    rows = work.table(plain.mapInArrow(_keep_texts(folder), "uid long, doc long, n long, digest binary"), "rows")
+    last = rows.agg(F.max(F.shiftright("uid", 32))).first()[0]
     if last is None:
         return docs.sparkSession.createDataFrame([], schema)
-    parts = last + 1
-    shared = sent.where("key >= 0").repartitionById(buckets, F.col("key")).mapInArrow(exchange.shared_hashes, exchange.ROW)
-    contexts = shared.repartitionById(parts, F.col("key")).mapInArrow(_send_contexts(folder, buckets, min_length), exchange.ROW)
+    parts = int(last) + 1
+    marks = exchange.marks(docs.sparkSession, parts)
+    texts = rows.where("n >= 0").groupBy("digest", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    texts = work.table(texts.where("least < most").select("digest", "n", "least"), "texts")
+    number = F.lpad(F.hex(F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    payload = F.unhex(F.concat(*[F.substring(number, i, 2) for i in (7, 5, 3, 1)]))
+    copies = rows.join(texts, ["digest", "n"]).where("doc > least")
+    twins = work.table(copies.select(F.shiftright("uid", 32).cast("int").alias("key"), F.lit(_TWINS).alias("origin"), payload.alias("payload")), "twins")
+    work.drop("rows")
+    sent = twins.unionByName(marks).repartitionById(parts, F.col("key")).mapInArrow(_find_anchors(folder, buckets, min_length), exchange.ROW)
+    shared = sent.repartitionById(buckets, F.col("key")).mapInArrow(exchange.shared_hashes, exchange.ROW)
+    contexts = shared.unionByName(twins).repartitionById(parts, F.col("key")).mapInArrow(_send_contexts(folder, buckets, min_length), exchange.ROW)
     matched = work.table(contexts.repartitionById(buckets, F.col("key")).mapInArrow(_match_digests, exchange.ROW), "matched")
-    work.drop("anchors")
-    asked = matched.where("origin > 0").unionByName(exchange.marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key"))
+    asked = matched.where("origin > 0").unionByName(marks).repartitionById(parts, F.col("key"))
     sent_bytes = asked.mapInArrow(_send_bytes(folder, buckets, min_length), exchange.ROW)
     held = matched.where("origin = -2")
     compared = sent_bytes.unionByName(held).repartitionById(buckets, F.col("key")).mapInArrow(_compare_contexts(min_length), exchange.ROW)
     answers = work.table(compared, "answers").unionByName(matched.where("origin = 0"))
-    return answers.unionByName(exchange.marks(docs.sparkSession, parts)).repartitionById(parts, F.col("key")).mapInArrow(_remove(folder, min_length, with_text), schema)
+    return answers.unionByName(twins).unionByName(marks).repartitionById(parts, F.col("key")).mapInArrow(_remove(folder, min_length, with_text), schema)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
