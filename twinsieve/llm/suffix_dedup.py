@@ -8,9 +8,10 @@ ever sent: the earliest stands for them.
    same place in it. Anchors that occur in one document only are dropped: each part of the input sends its distinct
    anchor hashes once, in blocks by hash, and learns which of them others have too.
 2. Around each anchor that is left lies its context, the union of the strings of ``min_length`` bytes that hold it.
-   A part sends a 64-bit digest of each distinct context once, with the smallest ``doc_id`` that has it there. Most
-   anchors have one context wherever they occur; nothing more is needed for those.
-3. Where the contexts of an anchor differ, one part sends the bytes of each to one task, which builds the suffix array and
+   A part sends a 64-bit digest of each distinct context once, with the smallest ``doc_id`` that has it there, and short
+   digests of the anchor with half the rest of a string on its left and on its right: of two contexts that share a
+   string, one of these is the same. Most contexts share none with another one, and nothing more is needed for them.
+3. Where contexts of an anchor may share a string, one part sends the bytes of each to one task, which builds the suffix array and
    Burrows-Wheeler transform of the contexts in a row and derives common prefixes by increasing length: intervals of
    suffixes that share l bytes are extended backward by the bytes of the transform to those that share l + 1, breadth
    first, and this stops at ``min_length``. Each remaining interval is one repeated string, and its smallest ``doc_id``
@@ -153,6 +154,11 @@ def _find_anchors(folder: str, buckets: int, min_length: int):
     return run
 
 
+def _short(data: bytes, half: int) -> int:
+    """32 bits of an anchor and ``half`` bytes beside it; 0 where the text ends before."""
+    return (xxhash.xxh3_64_intdigest(data) & 0xFFFFFFFF or 1) if len(data) == ANCHOR + half else 0
+
+
 class _Contexts:
     """Distinct contexts of a part: bytes, the anchor's hash, smallest and largest document."""
 
@@ -165,11 +171,14 @@ class _Contexts:
         self.hash: list[int] = []
         self.low: list[int] = []
         self.high: list[int] = []
+        self.sides: list[tuple[int, int]] = []
 
-    def add(self, data: bytes, h: int, doc: int) -> int:
+    def add(self, data: bytes, h: int, doc: int, place: int, half: int) -> int:
         i = self.at.setdefault(data, len(self.at))
         if i == len(self.low):
             self.hash.append(h)
+            left, right = data[place - half : place + ANCHOR] if place >= half else b"", data[place : place + ANCHOR + half]
+            self.sides.append((_short(left, half), _short(right, half)))
             self.low.append(doc)
             self.high.append(doc)
         elif doc < self.low[i]:
@@ -181,15 +190,16 @@ class _Contexts:
     def rows(self) -> list[tuple[int, int, bytes]]:
         digest = np.array([xxhash.xxh3_64_intdigest(data) for data in self.at], dtype=np.uint64)
         h, low, high = np.array(self.hash, dtype=np.uint64), np.array(self.low, dtype=np.int64), np.array(self.high, dtype=np.int64)
+        left, right = np.array(self.sides, dtype=np.uint32).T
         out = []
         for b, at in exchange.split(exchange.block_of(h, self.buckets), self.buckets):
-            out.append((b, self.part, _packed((at + self.base, h[at] >> np.uint64(32), digest[at], low[at], high[at]), _DIGESTS)))
+            out.append((b, self.part, _packed((at + self.base, h[at] >> np.uint64(32), digest[at], low[at], high[at], left[at], right[at]), _DIGESTS)))
         self.base += len(self.at)
         self.clear()
         return out
 
 
-_DIGESTS = ("<u4", "<u4", "<u8", "<i8", "<i8")
+_DIGESTS = ("<u4", "<u4", "<u8", "<i8", "<i8", "<u4", "<u4")
 _ASKED = ("<u4", "<u4", "<u4", "<i8")
 _HOLDERS = ("<u4", "<u4", "<u4", "<i8")
 _BYTES = ("<u4", "<u4", "<i8", "<u2")
@@ -212,19 +222,24 @@ def _unpacked(payload: bytes, kinds) -> tuple[list[np.ndarray], bytes, int]:
 
 
 def _match_digests(batches):
-    """Answers for contexts that are alone with their anchor (origin 0). Of each other one, one part is asked for the
-    bytes (origin: the block's number plus 1), and who has it stays with the block (origin -2)."""
+    """Answers for contexts that share no string with another one of their anchor, which follows from the digests of
+    their anchor with one side (origin 0). Of each other one, one part is asked for the bytes (origin: the block's number plus 1), and who has it stays with the block (origin -2)."""
     for block, rows in exchange.payload_rows(batches).items():
         columns = [_unpacked(payload, _DIGESTS)[0] for _, payload in rows]
         turn = np.repeat(np.arange(len(rows)), [len(c[0]) for c in columns])
-        index, h, digest, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
+        index, h, digest, low, high, left, right = (np.concatenate(c) for c in zip(*columns, strict=True))
         order = np.lexsort((digest, h))
-        new_h = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        new = new_h | np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (digest[order][1:] != digest[order][:-1])])
         least = np.empty(len(h), np.int64)
         least[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        # Of a string that two contexts of an anchor share, half of what isn't the anchor lies on one of its sides.
+        one, linked = order[new], np.zeros(int(new.sum()), bool)
+        for side in (left[one], right[one]):
+            by = np.lexsort((side, h[one]))
+            same = (side[by[1:]] == side[by[:-1]]) & (h[one][by[1:]] == h[one][by[:-1]]) & (side[by[1:]] != 0)
+            linked[by[1:][same]] = linked[by[:-1][same]] = True
         several = np.empty(len(h), bool)
-        several[order] = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_h)) > 1)[np.cumsum(new_h) - 1]
+        several[order] = linked[np.cumsum(new) - 1]
         matters = ~several & (high > least)
         for t, (origin, _) in enumerate(rows):
             own = turn == t
@@ -288,6 +303,7 @@ def _send_bytes(folder: str, buckets: int, min_length: int):
 
 def _send_contexts(folder: str, buckets: int, min_length: int):
     """Send the part's distinct contexts around shared anchors, and keep where they are."""
+    half = -(-(min_length - ANCHOR) // 2)
 
     def run(batches):
         for part, rows in exchange.payload_rows(batches).items():
@@ -304,7 +320,8 @@ def _send_contexts(folder: str, buckets: int, min_length: int):
                     lo = np.maximum(0, at - (min_length - ANCHOR)) + offsets[row]
                     hi = np.minimum(at + min_length + offsets[row], offsets[row + 1])
                     docs = ids[row].tolist()
-                    index = [found.add(bytes(raw[a:b]), x, d) for a, b, x, d in zip(lo.tolist(), hi.tolist(), h.tolist(), docs, strict=True)]
+                    places_in = (at + offsets[row] - lo).tolist()
+                    index = [found.add(bytes(raw[a:b]), x, d, p, half) for a, b, x, d, p in zip(lo.tolist(), hi.tolist(), h.tolist(), docs, places_in, strict=True)]
                     places.append(np.stack([row + base, lo - offsets[row], hi - lo, np.array(index, dtype=np.int64)]).astype("<u4"))
                     if len(found.at) >= FLUSH_CONTEXTS:
                         yield exchange.batch_of(found.rows())
