@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from twinsieve.config import ScanConfig, slider_to_threshold, threshold_to_slider
 from twinsieve.functions import scalars
-from twinsieve.operators import blocklist, groups, pairs, video
+from twinsieve.operators import blocklist, components, groups, pairs, video
 from twinsieve.operators.components import connected_components
-from twinsieve.plans import resources, scan
+from twinsieve.plans import report, resources, scan
 from twinsieve.plans.workspace import Workspace
 from twinsieve.sources import media
 from twinsieve.streaming import incremental
@@ -322,3 +322,17 @@ def test_workspace(spark):
     w = Workspace(spark, "test")
     assert w.table(spark.range(4), "t").count() == 4
     w.drop("t")
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_by_contraction_and_in_one_task(spark, local, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+    chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (None, 3)]
+    got = {tuple(r) for r in components.connected_components(spark.createDataFrame(chain, "id1 long, id2 long")).collect()}
+    assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
+
+
+def test_report_rounds_by_the_exact_value(spark):
+    values = [0.12345, 0.99995, 0.5, 0.00005, 0.66665, 1.0]
+    pairs = spark.createDataFrame([(str(i), "z", v) for i, v in enumerate(values)], "id1 string, id2 string, score double")
+    assert {r["image1"]: r["similarity"] for r in report.report_rows(pairs).collect()} == {str(i): round(v, 4) for i, v in enumerate(values)}

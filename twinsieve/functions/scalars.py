@@ -36,13 +36,15 @@ def media_type(name: Column) -> Column:
 def _fixed(x: Column, digits: int) -> Column:
     """A number with so many decimals, rounded by its exact binary value, ties to even, as C's printf does.
 
-    The fraction of a double is a whole number of 2**-62 (of all but tiny values), so the rounding is done in integers.
+    The fraction of a double is a whole number of 2**-82 (of all but tiny values), so the rounding is done in integers.
     """
     v = F.abs(x.cast("double"))
     whole = F.floor(v)
     wide = "decimal(38,0)"
-    scaled = F.floor((v - whole) * F.lit(2.0**62)).cast("long").cast(wide) * F.lit(10**digits).cast(wide)
-    unit = F.lit(2**62).cast(wide)
+    high = (v - whole) * F.lit(2.0**62)
+    low = F.floor((high - F.floor(high)) * F.lit(2.0**20))  # bits of small numbers that 62 places don't hold
+    scaled = (F.floor(high).cast("long").cast("decimal(28,0)") * F.lit(2**20).cast("decimal(7,0)") + low.cast("long").cast("decimal(7,0)")).cast(wide) * F.lit(10**digits).cast("decimal(6,0)")
+    scaled, unit = scaled.cast(wide), F.lit(str(2**82)).cast(wide)
     rest = scaled % unit
     below = ((scaled - rest) / unit).cast("long")
     up = (rest > unit / 2) | ((rest == unit / 2) & (below % 2 == 1))
@@ -51,6 +53,11 @@ def _fixed(x: Column, digits: int) -> Column:
     return F.when(x.isNotNull(), F.concat(F.when((x < 0) & (total > 0), "-").otherwise(""), text))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """The double nearest to x rounded to so many decimals, by the exact value of x."""
+    return _fixed(x, digits).cast("double")
+
+
 def format_size(size: Column) -> Column:
     """B, KB, MB or GB in steps of 1024 with one decimal, GB being the last."""
     s = size.cast("double")

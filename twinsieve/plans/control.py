@@ -36,7 +36,7 @@ class Run:
 
     def cancel(self) -> None:
         self._cancelled.set()
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def __call__(self, work: Callable[[], object], report: Callable[[Progress], None] | None = None, every: float = 0.5) -> object:
         if self._cancelled.is_set():
@@ -45,15 +45,20 @@ class Run:
         if report:
             watcher = threading.Thread(target=self._watch, args=(report, every, done), daemon=True)
             watcher.start()
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         try:
-            return work()
+            found = work()
+            if self._cancelled.is_set():
+                raise Cancelled(self.name)
+            return found
+        except Cancelled:
+            raise
         except Exception as error:
             if self._cancelled.is_set():
                 raise Cancelled(self.name) from error
             raise
         finally:
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
             done.set()
             if watcher:
                 watcher.join()

@@ -14,12 +14,12 @@ from twinsieve.functions import scalars
 def report_rows(pairs: DataFrame) -> DataFrame:
     """``image1, image2, similarity`` (4 decimals), best first."""
     named = pairs.orderBy(F.desc("score"), "id1", "id2")
-    return named.select(F.col("id1").alias("image1"), F.col("id2").alias("image2"), F.bround("score", 4).alias("similarity"))
+    return named.select(F.col("id1").alias("image1"), F.col("id2").alias("image2"), scalars.rounded(F.col("score"), 4).alias("similarity"))
 
 
 def report_json(pairs: DataFrame, threshold: float, method: str) -> DataFrame:
     """One row, the report as JSON text. For reports that someone reads; ``write_report`` streams larger ones."""
-    item = F.struct(F.col("id1").alias("image1"), F.col("id2").alias("image2"), F.bround("score", 4).alias("similarity"))
+    item = F.struct(F.col("id1").alias("image1"), F.col("id2").alias("image2"), scalars.rounded(F.col("score"), 4).alias("similarity"))
     listed = pairs.agg(F.count("*").alias("total_pairs"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("k"), F.col("id1").alias("a"), F.col("id2").alias("b"), item.alias("item")))).alias("d"))
     return listed.select(F.to_json(F.struct(F.lit(threshold).alias("threshold"), F.lit(method).alias("method"), "total_pairs", F.transform("d", lambda x: x["item"]).alias("duplicates"))).alias("report"))
 
@@ -32,7 +32,7 @@ def write_report(pairs: DataFrame, path: str, threshold: float, method: str) ->
         head = json.dumps({"threshold": threshold, "method": method, "total_pairs": n}, indent=2)
         file.write(head[:-2] + ',\n  "duplicates": [')
         for i, row in enumerate(report_rows(pairs).toLocalIterator()):
-            file.write((",\n    " if i else "\n    ") + json.dumps({"image1": row[0], "image2": row[1], "similarity": round(row[2], 4)}, ensure_ascii=False))
+            file.write((",\n    " if i else "\n    ") + json.dumps({"image1": row[0], "image2": row[1], "similarity": row[2]}, ensure_ascii=False))
         file.write("\n  ]\n}\n" if n else "]\n}\n")
     os.replace(temporary, path)
     return n
@@ -47,5 +47,5 @@ def result_items(members: DataFrame) -> DataFrame:
     """Members with the labels that a result shows."""
     m = members.withColumn("size_formatted", scalars.format_size(F.col("size"))).withColumn("resolution", scalars.resolution_label(F.col("width"), F.col("height")))
     if "duration" in members.columns:
-        m = m.withColumn("duration_formatted", scalars.format_duration(F.col("duration"))).withColumn("duration", F.bround("duration", 1))
+        m = m.withColumn("duration_formatted", scalars.format_duration(F.col("duration"))).withColumn("duration", scalars.rounded(F.col("duration"), 1))
     return m

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, without a closing slash; one is made and set only where there is none."""
+    """The folder in ``spark.checkpoint.dir``, without a closing slash; one is made and set only where there is
+    none and all runs on one machine; on a cluster there has to be one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="twinsieve-"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get().rstrip("/")
