@@ -315,6 +315,34 @@ def test_mixing(spark, odd, small, empty):
     assert mixing.mix(empty, work(spark)).count() == 0
 
 
+def test_layout_of_the_table_decides_nothing(spark):
+    """Mixing and sharding: whatever the parts and the order of rows, the same rows come out."""
+    rng = random.Random(12)
+    rows = [(i, f"s{min(i % 7, 3)}", " ".join("w" * rng.choice((0, 1, 1, 2, 3)) + f"{i}" for _ in range(rng.choice((0, 0, 3, 4, 5))))) for i in range(300)]
+    rows += [(i, "empty", "") for i in range(300, 340)] + [(400, "empty", "one two three"), (401, "big", "word " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed, dealt = [], []
+    for parts in (1, 3, 7):
+        own = docs.orderBy(F.xxhash64(F.lit(parts), "doc_id")).repartition(parts)
+        got = mixing.mix(own, work(spark), keep=["doc_id"]).collect()
+        assert all(r["copies"] <= 2 for r in got)
+        mixed.append(collections.Counter(tuple(r) for r in got))
+        dealt.append(collections.Counter(tuple(r) for r in sharding.shard(own).collect()))
+    assert mixed[0] == mixed[1] == mixed[2]
+    assert dealt[0] == dealt[1] == dealt[2]
+
+
+def test_few_rows_move_without_slack(spark, small):
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(small, n).collect()} for n in (8, 9))
+    moved = [d for d in before if before[d] != after[d]]
+    assert len(moved) <= 0.25 * len(before) and sum(after[d] == 8 for d in moved) >= len(moved) / 2
+
+
+def test_narrow_token_files_refuse_wide_ids():
+    with pytest.raises(ValueError):
+        token_output._narrow(np.array([1, 70000], "<u4").tobytes())
+
+
 def test_mixing_loses_none_of_many_sources(spark):
     """Several range partitions: each source is numbered once, in order, whatever the plan makes of the partitions."""
     n, before = 300_000, spark.conf.get("spark.sql.shuffle.partitions")

@@ -74,7 +74,8 @@ def mix(docs: DataFrame, work: storage.Workspace, share: float = 1.5, max_epochs
     """The documents' columns plus ``size, source_size, target, copies``: how often the mix takes each document.
 
     Sizes are words; a null or empty text has none, and is taken as often as its source's whole repetitions say. A null
-    source is a source of its own, after the others. Repeated rows are documents of their own. Columns named like the
+    source is a source of its own, after the others. Repeated rows are documents of their own. What is taken follows from
+    the seed, the ids and the texts, not from how the table is laid out; rows alike in both may stand for one another. Columns named like the
     added ones are replaced. An empty table gives no rows. ``keep`` names the columns to return, all by default.
     """
     added = ["size", "source_size", "target", "copies"]
@@ -96,14 +97,14 @@ def mix(docs: DataFrame, work: storage.Workspace, share: float = 1.5, max_epochs
     cells = small.groupBy("source", "b").agg(F.sum("size").alias("words"))
     up_to = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = _join(cells.withColumn("upto", F.sum("words").over(up_to)), plan.select("source", "rest"), "source")
-    state = F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") >= F.col("rest"), 0).otherwise(2)
+    state = F.when(F.col("rest") <= 0, 0).when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") >= F.col("rest"), 0).otherwise(2)
     cells = work.table(cells.select("source", "b", state.alias("state"), "rest", (F.col("upto") - F.col("words")).alias("below")), "cells")
     known = work.table(_join(small, cells, "source", "b"), "known")
     order = Window.partitionBy("source").orderBy("u", "r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = F.sum("size").over(order) - F.col("size") / 2 + F.col("below") <= F.col("rest")
     inside = known.where("state = 2").withColumn("extra", fits.cast("int"))
     chosen = known.where("state <> 2").withColumn("extra", F.col("state")).unionByName(inside)
-    chosen = work.table(chosen.select("source", "size", "r", "rest", "extra"), "chosen")
+    chosen = work.table(chosen.select("source", "size", "u", "r", "rest", "extra"), "chosen")
     gaps = chosen.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
     swaps = work.table(gaps.withColumn("swapped", F.array().cast("array<long>")), "swaps0")
     for turn in range(EXCHANGES):
@@ -131,7 +132,7 @@ def _exchange(chosen: DataFrame, swaps: DataFrame) -> DataFrame:
     step = F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size"))
     gain = F.abs("gap") - F.abs(F.col("gap") - step)
     offered = _join(chosen, swaps, "source").where((gain > 0) & ~F.array_contains("swapped", F.col("r")))
-    best = offered.groupBy("source").agg(F.max_by(F.struct(F.col("r"), step.alias("step")), F.struct(gain, F.col("r"))).alias("best"))
+    best = offered.groupBy("source").agg(F.max_by(F.struct(F.col("r"), step.alias("step")), F.struct(gain, F.col("u"), F.col("r"))).alias("best"))
     both = swaps.join(best.withColumnRenamed("source", "of"), swaps["source"].eqNullSafe(F.col("of")), "left")
     gap = F.col("gap") - F.coalesce(F.col("best.step"), F.lit(0))
     swapped = F.when(F.col("best").isNull(), F.col("swapped")).otherwise(F.array_append("swapped", F.col("best.r")))

@@ -4,7 +4,9 @@ A shard owns many virtual nodes on a ring of 64-bit positions; a row's arc is th
 which the hash of its ``doc_id`` lies, and its shards, in order of preference, are the owners met clockwise from there.
 A full shard passes rows on clockwise. Rows of one arc have the same preferences, so the loads are settled on the arcs'
 row counts alone (arcs x salts numbers on the driver, whatever the input), and each row then takes the shard that its
-rank within its cell of the arc falls to. Cells are salted: a ``doc_id`` that a third of all rows share is spread too.
+rank within its cell of the arc falls to. Cells are salted by a hash of
+id and text: different texts of a ``doc_id`` that a third of all rows share are spread too, and the layout of the table
+decides nothing.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NO
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         place.alias("place"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.lit("salt"), F.col("doc_id"), text), F.lit(SALTS)).cast("int").alias("salt"),
     )
     top = F.shiftright(F.col("place"), 52).cast("int") + 2048
     edges = [bisect.bisect_left(positions, (cell - 2048) << 52) for cell in range(4096)] + [len(positions)]

@@ -26,6 +26,13 @@ from pyspark.sql import functions as F
 from twinsieve.llm import storage, tokens
 
 
+def _narrow(raw: bytes) -> bytes:
+    ids = np.frombuffer(raw, dtype="<u4")
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError("an id needs more than 16 bits: write wide files")
+    return ids.astype("<u2").tobytes()
+
+
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int | None = 1, wide: bool = False) -> list[tuple[int, int, int, int]]:
     """Encode ``text`` of all rows and write it in ascending ``doc_id`` order (nulls first; equal ids by a hash of the text).
 
@@ -50,7 +57,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
                 for text in batch.column(1):
                     raw = encode(text.as_py()) + tail
                     lengths.append(len(raw) // 4)
-                    yield raw if wide else np.frombuffer(raw, dtype="<u4").astype(dtype).tobytes()
+                    yield raw if wide else _narrow(raw)
 
         first = next(stream := chunks(), None)
         if first is None and not lengths:
