@@ -46,6 +46,7 @@ FLUSH = 1_500_000
 MATCHES = 2_000_000
 RUNS = 48
 SHIFTS = 8
+SCREEN = 1_000_000
 _SLICE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64)
@@ -113,8 +114,8 @@ class Rule:
         return f"{self.folder}/{kind}-{part:06d}"
 
 
-def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Value and place of the nodes that have a compact window, under all hash functions."""
+def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, place and hash function of the nodes that have a compact window, by function and place."""
     n = len(tokens) - rule.width + 1
     if len(tokens) > _SLICE:
         each = []
@@ -122,7 +123,7 @@ def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndar
             h = values_of(tokens, k)
             at = minima(h, rule.width)
             c = at[np.concatenate([[True], at[1:] != at[:-1]])]
-            each.append((h[c], c))
+            each.append((h[c], c, np.full(len(c), k)))
         return tuple(np.concatenate(x) for x in zip(*each, strict=True))
     h = jaccard.mixed(tokens[None, :] + _SEEDS[: rule.hashes, None])
     low, span = (h & ~_LOW) | np.arange(len(tokens), dtype=np.uint64), 1
@@ -135,7 +136,7 @@ def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndar
     new = np.ones(at.shape, bool)
     new[:, 1:] = at[:, 1:] != at[:, :-1]
     k, start = np.nonzero(new)
-    return h[k, at[k, start]], at[k, start]
+    return h[k, at[k, start]], at[k, start], k
 
 
 def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,15 +147,23 @@ def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     """
     at = minima(h, width)
     c = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    value, n = h[c].tolist(), len(c)
-    left, right, stack = [0] * n, [len(h) - 1] * n, []
-    places = c.tolist()
-    for i in range(n):
-        while stack and value[stack[-1]] > value[i]:
-            right[stack.pop()] = places[i] - 1
-        left[i] = places[stack[-1]] + 1 if stack else 0
-        stack.append(i)
-    return np.array(left, np.int64), c, np.array(right, np.int64)
+    left, right = _spans(h[c], c, np.zeros(len(c), int), len(h))
+    return left, c, right
+
+
+def _spans(value: np.ndarray, place: np.ndarray, tree: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the span of each node; nodes are in order of tree and place."""
+    n, places = len(place), place.tolist()
+    left, right, stack, before = [0] * n, [size - 1] * n, [], -1
+    for i, (v, at, t) in enumerate(zip(value.tolist(), places, tree.tolist(), strict=True)):
+        if t != before:
+            stack, before = [], t
+        while stack and stack[-1][0] > v:
+            right[stack.pop()[1]] = at - 1
+        if stack:
+            left[i] = places[stack[-1][1]] + 1
+        stack.append((v, i))
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def _measure(folder: str, size: int, words: int):
@@ -558,17 +567,14 @@ class Segment:
     @functools.cached_property
     def windows(self) -> tuple[np.ndarray, ...]:
         """Value and place of the compact windows, and the first and last start of sequences of the minimal length in each."""
-        columns = []
-        for k in range(self.rule.hashes):
-            h = values_of(self.tokens, k)
-            left, place, right = compact_windows(h, self.rule.width)
-            columns.append((h[place], place, np.maximum(left, place - self.rule.width + 1), np.minimum(place, right - self.rule.width + 1)))
-        return tuple(np.concatenate(c) for c in zip(*columns, strict=True))
+        value, place, k = smallest_of_all(self.tokens, self.rule)
+        left, right = _spans(value, place, k, len(self.tokens))
+        return value, place, np.maximum(left, place - self.rule.width + 1), np.minimum(place, right - self.rule.width + 1)
 
     @functools.cached_property
     def values(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct values of the windows, and the first and the last place of each."""
-        value, place = smallest_of_all(self.tokens, self.rule)
+        value, place, _ = smallest_of_all(self.tokens, self.rule)
         order = np.lexsort((place, value))
         value = value[order]
         at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
@@ -590,12 +596,49 @@ class Segment:
         return np.ceil(self.rule.similarity * _distinct(_previous(self.tokens), self.rule.width) - 1e-9)
 
 
+class Others:
+    """The segments that a part was sent, with their tokens numbered."""
+
+    def __init__(self, uid: np.ndarray, size: np.ndarray, tokens: np.ndarray, rule: Rule):
+        self.size, self.rule, self.tokens = size.astype(np.int64), rule, tokens
+        self.begin = np.cumsum(self.size) - self.size
+        self.place = {u: i for i, u in enumerate(uid.tolist())}
+        self.known, number = np.unique(tokens, return_inverse=True)
+        self.number = number.astype(np.int32)
+        self.at = np.full(len(self.known), -1, np.int32)
+        self.made: dict[int, Segment] = {}
+
+    def segment(self, i: int) -> Segment:
+        if i not in self.made:
+            self.made[i] = Segment(self.tokens[self.begin[i] : self.begin[i] + self.size[i]], self.rule)
+        return self.made[i]
+
+    def screened(self, x: Segment, uid: np.ndarray):
+        """(turn, segment, starts of x that it may settle) of the segments ``uid`` in order that have, for one start at
+        least, as many of its tokens as are needed; the tokens of many segments are looked up at once."""
+        distinct, own = np.unique(x.tokens, return_inverse=True)
+        known = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+        has = np.flatnonzero(self.known[known] == distinct)
+        width, which = self.rule.width, np.array([self.place[u] for u in uid.tolist()], np.int64)
+        weight = np.cumsum(self.size[which] + len(x.tokens)) // SCREEN
+        for some in np.split(np.arange(len(uid)), np.flatnonzero(np.diff(weight)) + 1):
+            size = self.size[which[some]]
+            self.at[known[has]] = has
+            found = self.at[self.number[_ranges(self.begin[which[some]], size)]]
+            self.at[known[has]] = -1
+            held = np.zeros((len(some), len(distinct)), bool)
+            hit = np.flatnonzero(found >= 0)
+            held[np.repeat(np.arange(len(some)), size)[hit], found[hit]] = True
+            common = np.zeros((len(some), len(own) + 1), np.int32)
+            np.cumsum(held[:, own], axis=1, out=common[:, 1:])
+            may = common[:, width:] - common[:, :-width] >= x.needed
+            for i in np.flatnonzero(may.any(axis=1)).tolist():
+                yield int(some[i]), int(which[some[i]]), may[i]
+
+
 def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
     """Mark in ``near`` the starts in x of sequences of the minimal length that lie in one near a sequence of y."""
     rule, width, similarity = x.rule, x.rule.width, x.rule.similarity
-    common = np.cumsum(np.concatenate([[False], exchange.is_in(x.tokens, y.distinct)]))
-    if not (~near & (common[width:] - common[:-width] >= x.needed)).any():
-        return
     value, first, last = y.values
     own, place, begin, end = x.windows
     at = np.minimum(np.searchsorted(value, own), len(value) - 1)
@@ -715,8 +758,7 @@ def _verify(rule: Rule, again: bool):
     def run(batches):
         for part, sent in exchange.payload_rows(batches).items():
             y_uid, y_size, y_tokens = exchange.gathered([p for o, p in sent if o >= 0], 3)
-            ends = np.cumsum(y_size, dtype=np.int64)
-            others, place = {}, {u: i for i, u in enumerate(y_uid.tolist())}
+            others = Others(y_uid, y_size, y_tokens, rule)
             x_of, y_of, d_of, more = _load(rule.file("more" if again else "pairs", part))
             found, open_x, open_near, queries = [], [], [], []
             settled = dict(zip(*_load_open(rule, part), strict=True)) if again else {}
@@ -728,16 +770,15 @@ def _verify(rule: Rule, again: bool):
                     continue
                 x = Segment(tokens, rule)
                 near = settled[number].copy() if again else np.zeros(len(tokens) - rule.width + 1, bool)
-                for i in range(cuts[number], cuts[number + 1]):
-                    u = int(y_of[i])
-                    if u not in others:
-                        k = place[u]
-                        others[u] = Segment(y_tokens[ends[k] - int(y_size[k]) : ends[k]], rule)
+                lo, hi = cuts[number], cuts[number + 1]
+                for i, y, may in others.screened(x, y_of[lo:hi]):
+                    if not (may & ~near).any():
+                        continue
                     before = near.copy()
-                    near_starts(x, others[u], near, rule.enough)
+                    near_starts(x, others.segment(y), near, rule.enough)
                     at = np.flatnonzero(near & ~before)
                     if len(at):
-                        found += [((part << 32) | row, doc, start + int(r[0]), start + int(r[-1]) + rule.width + rule.size - 1, int(d_of[i])) for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)]
+                        found += [((part << 32) | row, doc, start + int(r[0]), start + int(r[-1]) + rule.width + rule.size - 1, int(d_of[lo + i])) for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)]
                     if near.all():
                         break
                 if again or near.all() or not len(more):
