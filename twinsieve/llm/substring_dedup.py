@@ -478,18 +478,29 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(x: np.ndarray, y: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last places (exclusive), in x and in y, of the maximal runs that both have, by place in x.
 
     Where tokens repeat so often that there are over ``MATCHES`` pairs of places, each counts at its first place in y.
     """
-    order = np.argsort(y, kind="stable")
-    lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    order = np.argsort(y, kind="stable") if order is None else order
+    ordered = y[order]
+    lo, hi = np.searchsorted(ordered, x, "left"), np.searchsorted(ordered, x, "right")
     n = hi - lo
-    if int(n.sum()) > MATCHES:
+    many = int(n.sum()) > MATCHES
+    if many:
         n = np.minimum(n, 1)
-    p = np.repeat(np.arange(len(x)), n)
-    q = order[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
+    p, q = np.repeat(np.arange(len(x)), n), order[_ranges(lo, n)]
+    if not many:  # a run begins where the tokens before differ and ends where those behind do, on the same diagonal
+        begins = (p == 0) | (q == 0) | (x[p - 1] != y[q - 1])
+        ends = (p == len(x) - 1) | (q == len(y) - 1) | (x[np.minimum(p + 1, len(x) - 1)] != y[np.minimum(q + 1, len(y) - 1)])
+        to, diagonal = p[ends], q[ends] - p[ends]
+        to = to[np.lexsort((to, diagonal))] + 1
+        p, q = p[begins], q[begins]
+        at = np.lexsort((p, q - p))
+        p, q = p[at], q[at]
+        at = np.lexsort((q, p))
+        return p[at], to[at], q[at], (q + to - p)[at]
     at = np.lexsort((p, q - p))
     p, q = p[at], q[at]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(q) != 1)])) if len(p) else np.empty(0, np.int64)
@@ -499,19 +510,21 @@ def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return p[at], p[at] + size[at], q[at], q[at] + size[at]
 
 
-def chained(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> list[tuple[int, int]]:
+def chained(x: np.ndarray, y: np.ndarray, width: int, similarity: float, runs: tuple | None = None, known: tuple | None = None) -> list[tuple[int, int]]:
     """(first, last) starts in x of sequences near one of y, where both have ``width`` tokens or more, not equally many.
+    ``runs`` and ``known`` (earlier places, which tokens the other has, fewest distinct ones) may be given.
 
     Two near sequences that begin and end with tokens in common stay near when both are drawn out to the ends of the
     runs in common there, so only those ends are tried, with bounds from the distinct tokens, and then the sets are
     compared. What is shorter than ``width`` is filled up with what lies around it.
     """
-    p, pe, q, qe = _runs(x, y)
+    p, pe, q, qe = runs or _runs(x, y)
     if not len(p):
         return []
-    px, py = _previous(x), _previous(y)
-    in_y, in_x = np.isin(x, y), np.isin(y, x)
-    least_x, least_y = int(_distinct(px, width).min()), int(_distinct(py, width).min())
+    if known is None:
+        px, py = _previous(x), _previous(y)
+        known = px, py, np.isin(x, y), np.isin(y, x), int(_distinct(px, width).min()), int(_distinct(py, width).min())
+    px, py, in_y, in_x, least_x, least_y = known
     tried = []
     for a in range(len(p)):
         new_x, new_y = px[p[a] :] < p[a], py[q[a] :] < q[a]
@@ -581,8 +594,31 @@ class Segment:
         return value[at], place[order[at]], place[order[np.append(at[1:], len(value)) - 1]]
 
     @functools.cached_property
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct tokens, and the number of each token among them."""
+        return np.unique(self.tokens, return_inverse=True)
+
+    @property
     def distinct(self) -> np.ndarray:
-        return np.unique(self.tokens)
+        return self.numbered[0]
+
+    @functools.cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.tokens, kind="stable")
+
+    @functools.cached_property
+    def previous(self) -> np.ndarray:
+        return _previous(self.tokens)
+
+    @functools.cached_property
+    def sizes(self) -> list[tuple[int, np.ndarray]]:
+        """Distinct tokens of the sequences of the minimal length, and of a quarter more."""
+        width = self.rule.width
+        return [(w, _distinct(self.previous, w)) for w in (width, width + width // 4) if w <= len(self.tokens)]
+
+    @functools.cached_property
+    def least(self) -> int:
+        return int(self.sizes[0][1].min())
 
     @property
     def repeats(self) -> bool:
@@ -593,7 +629,7 @@ class Segment:
         """How many places of a sequence of the minimal length at least hold tokens that a near one has too."""
         if not self.repeats:
             return self.rule.common - 1
-        return np.ceil(self.rule.similarity * _distinct(_previous(self.tokens), self.rule.width) - 1e-9)
+        return np.ceil(self.rule.similarity * self.sizes[0][1] - 1e-9)
 
 
 class Others:
@@ -616,7 +652,7 @@ class Others:
     def screened(self, x: Segment, uid: np.ndarray):
         """(turn, segment, starts of x that it may settle) of the segments ``uid`` in order that have, for one start at
         least, as many of its tokens as are needed; the tokens of many segments are looked up at once."""
-        distinct, own = np.unique(x.tokens, return_inverse=True)
+        distinct, own = x.numbered
         known = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
         has = np.flatnonzero(self.known[known] == distinct)
         width, which = self.rule.width, np.array([self.place[u] for u in uid.tolist()], np.int64)
@@ -676,32 +712,37 @@ def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
             if not unsure or _similar_at(a, b, s, e, move, width, similarity):
                 near[s : e - width + 1] = True
     left = vouched & ~near
-    if unsure and left.any():
-        near[_window_by_window(a, b, np.flatnonzero(left), width, similarity)] = True
+    if not left.any():
+        return
+    in_b = exchange.is_in(a, y.distinct)
+    if unsure:
+        near[_window_by_window(x, y, np.flatnonzero(left), in_b)] = True
         left &= ~near
-        if len(_runs(a, b)[0]) > RUNS:
+    if left.any() and (left & _possible(x, y, in_b, unsure)).any():
+        runs = _runs(a, b, y.order)
+        if unsure and len(runs[0]) > RUNS:
             return
-    if left.any() and (left & _possible(a, b, width, similarity, unsure)).any():
-        for first_, last_ in chained(a, b, width, similarity):
+        for first_, last_ in chained(a, b, width, similarity, runs, (x.previous, y.previous, in_b, exchange.is_in(b, x.distinct), x.least, y.least)):
             near[first_ : last_ + 1] = True
 
 
-def _window_by_window(a: np.ndarray, b: np.ndarray, starts: np.ndarray, width: int, similarity: float) -> np.ndarray:
-    """The starts whose sequence of ``width`` is near one of b of ``width`` or a quarter more, wherever it is."""
-    previous, own = _previous(b), _previous(a)
-    sizes = [(w, _distinct(previous, w)) for w in (width, width + width // 4) if w <= len(b)]
-    in_b = np.isin(a, b)
-    most, all_ = _distinct(own, width, in_b), _distinct(own, width)  # at most so many are common, of so many
-    least = int(sizes[0][1].min())
-    fine = most >= similarity * (all_ + np.maximum(most, least) - most) - 1e-9
-    number = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
-    x, y = number[: len(a)], number[len(a) :]
-    found, has = [], np.zeros(int(number.max()) + 1, bool)
-    for s in starts[fine[starts]].tolist():
-        has[x[s : s + width]] = True
-        common = has[y]
-        has[x[s : s + width]] = False
-        if any((both >= similarity * (int(all_[s]) + d - both) - 1e-9).any() for both, d in ((_distinct(previous, w, common), d) for w, d in sizes)):
+def _window_by_window(x: Segment, y: Segment, starts: np.ndarray, in_y: np.ndarray) -> np.ndarray:
+    """The starts whose sequence of the minimal length is near one of y of that length or a quarter more, wherever it
+    is."""
+    width, similarity, all_ = x.rule.width, x.rule.similarity, x.sizes[0][1]
+    most = _distinct(x.previous, width, in_y)  # at most so many are common
+    starts = starts[(most >= similarity * (all_ + np.maximum(most, y.least) - most) - 1e-9)[starts]]
+    if not len(starts):
+        return starts
+    distinct, own = x.numbered
+    at = np.minimum(np.searchsorted(distinct, y.tokens), len(distinct) - 1)
+    other = np.where(distinct[at] == y.tokens, at, len(distinct))
+    found, has = [], np.zeros(len(distinct) + 1, bool)
+    for s in starts.tolist():
+        has[own[s : s + width]] = True
+        common = has[other]
+        has[own[s : s + width]] = False
+        if any((both >= similarity * (int(all_[s]) + d - both) - 1e-9).any() for both, d in ((_distinct(y.previous, w, common), d) for w, d in y.sizes)):
             found.append(s)
     return np.array(found, np.int64)
 
@@ -712,12 +753,13 @@ def _similar_at(a: np.ndarray, b: np.ndarray, s: int, e: int, move: int, width:
     return _similar(a[s:e], b[t : max(t + width, e + move)], similarity)
 
 
-def _possible(a: np.ndarray, b: np.ndarray, width: int, similarity: float, repeats: bool) -> np.ndarray:
-    """Starts in a that sequences of differing lengths may cover: enough of their tokens are in b, on several shifts."""
-    n, in_b = len(a) - width + 1, np.isin(a, b)
+def _possible(x: Segment, y: Segment, in_b: np.ndarray, repeats: bool) -> np.ndarray:
+    """Starts in x that sequences of differing lengths may cover: enough of their tokens are in y, on several shifts."""
+    a, b, width, similarity = x.tokens, y.tokens, x.rule.width, x.rule.similarity
+    n = len(a) - width + 1
     if repeats:
         return np.full(n, bool(in_b.any()))
-    at = np.argsort(b)
+    at = y.order
     moves = at[np.searchsorted(b[at], a[in_b])] - np.flatnonzero(in_b)
     if len(moves) < 2 or (moves == moves[0]).all():
         return np.zeros(n, bool)
