@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinsieve.llm import exact_dedup, jaccard, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_output, topk
+from twinsieve.llm import exact_dedup, jaccard, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_output, topk, vector_codes
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_token_output": token_output.op9_token_output,
     "op10_exact_top_k": topk.op10_exact_top_k,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_OP1,
     "op6_ngram_jaccard_join": jaccard.ORACLE_OP6,
     "op10_exact_top_k": topk.ORACLE_OP10,
+    "op13_vector_codes": vector_codes.ORACLE_OP13,
 }
