@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinsieve.llm import exact_dedup, jaccard, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_output, topk, vector_codes
+from twinsieve.llm import exact_dedup, jaccard, lattice_lm, mixing, packing, quality, sharding, spelling, substring_dedup, suffix_dedup, token_output, topk, vector_codes
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_token_output": token_output.op9_token_output,
     "op10_exact_top_k": topk.op10_exact_top_k,
+    "op11_lattice_lm": lattice_lm.op11_lattice_lm,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
@@ -22,5 +24,6 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_OP1,
     "op6_ngram_jaccard_join": jaccard.ORACLE_OP6,
     "op10_exact_top_k": topk.ORACLE_OP10,
+    "op12_spelling_variants": spelling.ORACLE_OP12,
     "op13_vector_codes": vector_codes.ORACLE_OP13,
 }
