@@ -3,9 +3,10 @@
 All bigrams of the vocabulary are ordered by how often they occur, the rarest first. One inserted, deleted or replaced
 character destroys at most two bigrams of a word, so among the three rarest of either word there is one that both have,
 untouched, at positions that differ by one at most. An untouched bigram has the edit on one side of it: the other side
-is the same in both words. So a word sends out each of its three rarest bigrams twice, with what stands before it and
-with what stands behind it, and only words that agree in one of these meet. Pairs that meet are verified by edit
-distance. Everything is a join or a grouping of the vocabulary; nothing goes through the driver.
+is the same in both words, and half of the edited side is, too. So a word sends out each of its three rarest bigrams
+with what stands before it and with what stands behind it, and only words that agree in one of these, which fixes the
+bigram's position, meet. Pairs that meet are verified by edit distance. Everything is a join or a grouping of the
+vocabulary; nothing goes through the driver.
 
 A word's form is its near word with the largest count, where that is ``RATIO`` times its own or more; forms lead to
 roots, found by doubling: each round joins links to links, so chains shrink by half.
@@ -43,33 +44,47 @@ def counted(words: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN
     return words.where(F.char_length("word") >= min_length).groupBy("word").agg(F.count("word").alias("n")).where(F.col("n") >= min_count)
 
 
-def _sent(words: DataFrame, work: storage.Workspace) -> DataFrame:
-    """``word, n, gram, place, side, rest``: the rarest bigrams of each word, with a hash of what is on either side."""
+def _rarest(words: DataFrame, work: storage.Workspace) -> DataFrame:
+    """``word, n, place``: where the rarest bigrams of each word stand."""
     places = F.sequence(F.lit(0), F.char_length("word") - 2)
     grams = words.select("word", "n", F.explode(places).alias("place")).withColumn("gram", F.substring(F.col("word"), F.col("place") + 1, F.lit(2)))
     order = work.table(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")), "grams")
     ranked = grams.join(order, "gram").groupBy("word", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "gram", "place"))), 1, RAREST).alias("rarest"))
-    chosen = ranked.select("word", "n", F.explode("rarest").alias("g")).select("word", "n", "g.gram", "g.place")
-    word, place = F.col("word"), F.col("place")
-    before = F.struct(F.lit(0).alias("side"), F.xxhash64(F.substring(word, F.lit(1), place)).alias("rest"))
-    behind = F.struct(F.lit(1).alias("side"), F.xxhash64(F.substring(word, place + 3, F.char_length(word))).alias("rest"))
-    return chosen.withColumn("s", F.explode(F.array(before, behind))).select("word", "n", "gram", "place", "s.side", "s.rest")
+    return ranked.select("word", "n", F.explode("rarest").alias("g")).select("word", "n", "g.place")
+
+
+def _keys(word: Column, place: Column, longer: bool) -> Column:
+    """What a word sends out for a bigram, as hashes; ``longer`` if it is the one with a character more.
+
+    Two words meet by an untouched bigram and the side of it that is the same in both. The other side, ``size``
+    characters in the shorter word, has the edit: in its first half or in its second one, so that the other half, from
+    the word's end or the bigram on, is the same too. Where the same side is the longer one the halves are left out.
+    """
+    length = F.char_length(word)
+    found = []
+    for side, same, other in (
+        ("before", F.substring(word, F.lit(1), place + 2), F.substring(word, place + 3, length)),
+        ("behind", F.substring(word, place + 1, length), F.substring(word, F.lit(1), place)),
+    ):
+        size = F.char_length(other) - int(longer)
+        half = F.floor(size / 2).cast("int")
+        first, second = F.substring(other, F.lit(1), half), F.substring(other, F.char_length(other) - (size - half) + 1, length)
+        halves = F.array(*[F.xxhash64(F.lit(side), F.lit(name), size, same, part) for name, part in (("first", first), ("second", second))])
+        whole = F.array(F.xxhash64(F.lit(side), size, same))
+        found.append(F.when(size < 0, F.array().cast("array<bigint>")).when(F.char_length(same) >= size, whole).otherwise(halves))
+    return F.concat(*found)
 
 
 def near_pairs(words: DataFrame, work: storage.Workspace) -> DataFrame:
-    """``a, a_n, b, b_n``: all pairs a < b of distinct words of at least four characters that are one edit apart."""
-    sent = work.table(_sent(words, work), "sent")
-    a, b = sent.alias("a"), sent.alias("b")
-    meet = (
-        (F.col("a.gram") == F.col("b.gram"))
-        & (F.col("a.side") == F.col("b.side"))
-        & (F.col("a.rest") == F.col("b.rest"))
-        & (F.col("a.word") < F.col("b.word"))
-        & (F.abs(F.col("a.place") - F.col("b.place")) <= 1)
-        & (F.abs(F.char_length("a.word") - F.char_length("b.word")) <= 1)
-    )
-    met = a.join(b, meet).where(F.levenshtein("a.word", "b.word", 1) == 1)
-    return met.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n")).distinct()
+    """``a, a_n, b, b_n``: all pairs of distinct words of at least four characters that are one edit apart, each once."""
+    rarest = work.table(_rarest(words, work), "rarest")
+    own = rarest.select("word", "n", F.explode(_keys(F.col("word"), F.col("place"), False)).alias("key"))
+    longer = rarest.select("word", "n", F.explode(_keys(F.col("word"), F.col("place"), True)).alias("key"))
+    left = own.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "key")
+    right = own.withColumn("more", F.lit(0)).unionByName(longer.withColumn("more", F.lit(1))).select(F.col("word").alias("b"), F.col("n").alias("b_n"), "key", "more")
+    sizes = F.char_length("b") - F.char_length("a")
+    met = left.join(right, "key").where((sizes == F.col("more")) & ((F.col("more") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    return met.select("a", "a_n", "b", "b_n").distinct()
 
 
 def roots(links: DataFrame, work: storage.Workspace) -> DataFrame:
@@ -101,7 +116,7 @@ def spelling_groups(words: DataFrame, work: storage.Workspace, ratio: int = RATI
     if not words.where(F.char_length("word") < 4).isEmpty():
         raise ValueError("words need four characters")
     pairs = work.table(near_pairs(words, work), "pairs")
-    work.drop("sent")
+    work.drop("rarest")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("a").alias("b"), F.col("a_n").alias("b_n")))
     best = F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("form"))).alias("best")
     stats = both.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), best)
