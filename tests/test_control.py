@@ -32,12 +32,14 @@ def test_feature_store_extracts_new_files_only(spark, tmp_path):
     store, asked = FeatureStore(spark, f"file://{tmp_path}/store"), []
 
     def extract(new):
-        rows = [(r["ord"], len(r["path"])) for r in new.collect()]
-        asked.append(sorted(r[0] for r in rows))
-        return spark.createDataFrame(rows, "id long, f long")
+        rows = [(r["path"], len(r["path"])) for r in new.collect()]
+        asked.append(sorted(r["ord"] for r in new.collect()))
+        return spark.createDataFrame(rows, "path string, f long")
 
     media = spark.createDataFrame([(0, "/a", 1.0, 5), (1, "/bb", 1.0, 6)], "ord long, path string, mtime double, size long")
     assert {tuple(r) for r in store.features(media, "m", extract).collect()} == {(0, 2), (1, 3)}
     later = spark.createDataFrame([(0, "/a", 1.0, 5), (1, "/bb", 2.0, 6), (2, "/ccc", 1.0, 1)], media.schema)
     assert {tuple(r) for r in store.features(later, "m", extract).collect()} == {(0, 2), (1, 3), (2, 4)}
-    assert asked == [[0, 1], [1, 2]]
+    assert {tuple(r) for r in store.features(later, "m", extract).collect()} == {(0, 2), (1, 3), (2, 4)}
+    assert asked == [[0, 1], [1, 2]]  # nothing is asked for where all is known
+    assert store.features(media.limit(0), "other", extract).collect() == []

@@ -7,6 +7,8 @@ The tables hold no pictures. A row of ``embeddings`` stands for a picture's vect
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +18,7 @@ from twinsieve.functions import kernels, scalars
 from twinsieve.operators import blocklist, groups, pairs, video
 from twinsieve.plans import report, resources
 from twinsieve.plans.workspace import Workspace
+from twinsieve.sources import media
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,6 +144,13 @@ def whash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hash_pairs(spark, sf_dir, "whash")
 
 
+@query(_COSINE + "SELECT p.id1, p.id2, round(p.score, 6) AS score FROM p JOIN embeddings a ON a.vec_id = p.id1 JOIN embeddings b ON b.vec_id = p.id2 WHERE p.score >= 0.70 AND a.label % 2 = b.label % 2")
+def cosine_pairs_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with even and odd labels stand for images and videos, which never meet."""
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("f"), F.when(F.col("label") % 2 == 0, "image").otherwise("video").alias("kind"))
+    return _scored(pairs.cosine_pairs(vectors, 0.70))
+
+
 @query(_AHASH + _HASH_TAIL.format(t=0.75))
 def hamming_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The banded equi-join, at a threshold low enough to have rows here."""
@@ -160,17 +170,28 @@ def histogram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(pairs.histogram_pairs(_vectors(spark, sf_dir).select("id", bins.alias("f")), 0.99))
 
 
-@query(_AHASH + """, d AS (SELECT e.label AS image, e.vec_id AS idx, hashes.h FROM hashes JOIN embeddings e ON e.vec_id = hashes.id),
+#: How far apart the components lie that a made-up descriptor compares; 64 bits each.
+_COMPARED = (1, 8, 19, 30)
+
+
+@query(f"""
+WITH d AS (SELECT label AS image, vec_id AS idx, array_to_string(list_transform({list(_COMPARED)}, lambda s: array_to_string(list_transform(range(64), lambda i:
+  CASE WHEN embedding[i + 1] < embedding[(i + s) % 64 + 1] THEN '1' ELSE '0' END), '')), '') AS h FROM embeddings),
 b AS (SELECT a.image AS id1, c.image AS id2, a.idx AS x, c.idx AS y, hamming(a.h, c.h) AS dist FROM d a JOIN d c ON a.image < c.image),
 m AS (SELECT *, row_number() OVER (PARTITION BY id1, id2, x ORDER BY dist, y) AS rx, row_number() OVER (PARTITION BY id1, id2, y ORDER BY dist, x) AS ry FROM b),
 n AS (SELECT image, count(*) AS c FROM d GROUP BY image)
 SELECT CAST(id1 AS BIGINT) AS id1, CAST(id2 AS BIGINT) AS id2, round(count(*) / CAST(least(any_value(p.c), any_value(q.c)) AS DOUBLE), 6) AS score
-FROM m JOIN n p ON p.image = id1 JOIN n q ON q.image = id2 WHERE rx = 1 AND ry = 1 AND dist < 20 GROUP BY id1, id2
+FROM m JOIN n p ON p.image = id1 JOIN n q ON q.image = id2 WHERE rx = 1 AND ry = 1 AND dist < 96 GROUP BY id1, id2
 """)
 def orb_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("image_id"))
-    rows = hashed(_vectors(spark, sf_dir), "ahash").join(labels, "id").select("image_id", F.col("id").alias("idx"), F.col("f").alias("h"))
-    return _scored(pairs.descriptor_pairs(Workspace(spark, "orb").table(rows, "descriptors"), 20))
+    """A vector's descriptor compares its components, as one of a picture compares pixels: 256 bits in four words."""
+    e = F.col("embedding")
+    words = []
+    for apart in _COMPARED:
+        bits = [F.when(e[i] < e[(i + apart) % 64], F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
+        words.append(reduce(lambda x, y: x.bitwiseOR(y), bits))
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").alias("idx"), F.array(*words).alias("h"))
+    return _scored(pairs.descriptor_pairs(rows, 96))
 
 
 # Video ------------------------------------------------------------------------------------------------------------
@@ -212,6 +233,16 @@ def average_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.average_resolution(docs.select(F.col("n_chars").alias("width"), F.floor(F.col("n_chars") / 2).alias("height"), F.col("doc_id").alias("ord")))
 
 
+@query("""
+SELECT doc_id AS video_id, CAST(i - 1 AS INTEGER) AS frame_idx, len(line) AS n_chars
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+""")
+def flattened_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's lines stand for a video's frames."""
+    videos = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.split("text", "\n").alias("frames"))
+    return video.flattened(videos).select("video_id", "frame_idx", F.char_length("v").cast("long").alias("n_chars"))
+
+
 # Groups -----------------------------------------------------------------------------------------------------------
 
 _FILES = """
@@ -247,6 +278,16 @@ def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.path")
 
 
+@query("SELECT min(doc_id) AS ord, '/f/' || doc_id // 3 AS path FROM documents GROUP BY doc_id // 3")
+def path_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents stand for listings of one file, under paths that are written in different ways."""
+    i = F.floor(F.col("doc_id") / 3).cast("string")
+    turn = F.col("doc_id") % 4
+    path = F.when(turn == 0, F.concat(F.lit("/f/"), i)).when(turn == 1, F.concat(F.lit("/f//./"), i)).when(turn == 2, F.concat(F.lit("/f/x/../"), i)).otherwise(F.concat(F.lit("/g/../f/"), i, F.lit("/")))
+    first = media.first_by_path(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), path.alias("path")), "ord")
+    return first.select("ord", F.concat(F.lit("/f/"), F.floor(F.col("ord") / 3).cast("string")).alias("path"))
+
+
 @query(_FILES + "SELECT root, min(ord) AS keeper FROM d GROUP BY root")
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.keep_first(_files(spark, sf_dir))
@@ -338,6 +379,31 @@ def blocklist_add_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocklist.classify(g, e)
 
 
+@query("""
+WITH RECURSIVE u AS (SELECT page_id, list_filter(string_split(lower(url), '/'), lambda p: p <> '') AS p FROM pages),
+w AS (SELECT page_id, list_sort(list_distinct(list_transform(range(2, 2 + page_id % 3), lambda i: array_to_string(p[2 : i], '/')))) AS paths FROM u),
+g AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id AS ord, paths FROM w WHERE page_id % 5 <> 0 AND len(paths) > 0),
+start AS (SELECT list(page_id ORDER BY page_id) AS ids, list(paths ORDER BY page_id) AS sets FROM w WHERE page_id % 5 = 0 AND len(paths) > 0),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS i, sets, CAST(0 AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS hit, CAST(NULL AS VARCHAR) AS status FROM start
+  UNION ALL
+  SELECT i, CASE WHEN hit IS NULL THEN list_append(sets, paths) WHEN status = 'replaced' THEN list_concat(sets[1 : hit - 1], [paths], sets[hit + 1 :]) ELSE sets END, ord, coalesce(hit, len(sets) + 1), status
+  FROM (SELECT *, CASE WHEN hit IS NULL THEN 'added' WHEN list_has_all(sets[hit], paths) THEN 'covered' ELSE 'replaced' END AS status
+        FROM (SELECT g.i, g.ord, g.paths, f.sets, nullif(list_position(list_transform(f.sets, lambda s: list_has_all(s, g.paths) OR list_has_all(g.paths, s)), true), 0) AS hit
+              FROM fold f JOIN g ON g.i = f.i + 1))
+)
+SELECT ord, status, CASE WHEN hit <= len(ids) THEN ids[hit] ELSE (SELECT max(page_id) FROM w WHERE page_id % 5 = 0) + hit - len(ids) END AS entry_id FROM fold, start WHERE i > 0
+""")
+def blocklist_batch_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's host, and what is below it, stand for a group's paths; every fifth page is on the list before."""
+    parts = F.filter(F.split(F.lower("url"), "/"), lambda p: p != "")
+    upper = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(parts, 2, n), "/"))
+    pages = _read(spark, sf_dir, "pages").select("page_id", blocklist.path_set(F.slice(upper, 1, (F.col("page_id") % 3).cast("int"))).alias("paths"))
+    entries = pages.where("page_id % 5 = 0").select(F.col("page_id").alias("entry_id"), "paths", F.lit(0.0).alias("timestamp"))
+    groups_in_turn = pages.where("page_id % 5 <> 0").select(F.col("page_id").alias("ord"), "paths")
+    return blocklist.batch_added(entries, groups_in_turn, 1.0)[1]
+
+
 @query(_LISTS + "SELECT entry_id FROM e ORDER BY entry_id DESC LIMIT 15 OFFSET 15")
 def blocklist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocklist.page(_lists(spark, sf_dir)[1], 1).select("entry_id")
@@ -354,6 +420,12 @@ def folder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocklist.in_folders(entries, ["HTTPS:\\\\M."]).select("page_id")
 
 
+@query("SELECT (SELECT count(*) FROM pages) - (SELECT count(*) FROM pages WHERE starts_with(lower(url), 'https://m.') OR starts_with(lower(url), 'http://blog')) AS hidden")
+def hidden_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _read(spark, sf_dir, "pages").select("page_id", F.array("url").alias("paths"))
+    return blocklist.hidden_rows(entries, ["https://M.", "http:\\\\BLOG"])
+
+
 # Scalars ----------------------------------------------------------------------------------------------------------
 
 _NAMES = """
@@ -375,6 +447,32 @@ def ext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = "CAST(n_chars AS BIGINT) * CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 65536 ELSE 1048576 END"
 
 
+@query("""
+WITH x AS (SELECT doc_id, (doc_id % 2001) / 2000.0::DOUBLE AS score, n_chars * 977 AS ms, 'a' || CASE WHEN doc_id % 3 = 0 THEN '副本' ELSE '' END || doc_id AS name, n_chars % 400 AS done FROM documents)
+SELECT doc_id, printf('%.2f%%', score * 100) AS similarity, lpad(CAST(ms // 60000 AS VARCHAR), CAST(greatest(2, length(CAST(ms // 60000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') AS time,
+contains(name, '副本') AS copied, CAST(least(100, floor(done / 300.0 * 100)) AS INTEGER) AS percent FROM x
+""")
+def progress_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of scores, times and progress, and the copy mark in names."""
+    i, n = F.col("doc_id"), F.col("n_chars").cast("long")
+    score = (i % 2001).cast("double") / F.lit(2000.0)
+    name = F.concat(F.lit("a"), F.when(i % 3 == 0, scalars.COPY_SUFFIX).otherwise(""), i.cast("string"))
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id", scalars.format_similarity(score).alias("similarity"), scalars.format_milliseconds(n * 977).alias("time"),
+        scalars.has_copy_suffix(name).alias("copied"), scalars.progress_percent(n % 400, F.lit(300)).alias("percent"),
+    )
+
+
+@query("""
+WITH x AS (SELECT doc_id, n_chars * CAST(pow(1024, doc_id % 5) AS BIGINT) AS size FROM documents)
+SELECT doc_id, CASE WHEN size < 1024 THEN printf('%.1f B', CAST(size AS DOUBLE)) WHEN size < pow(1024, 2) THEN printf('%.1f KB', size / 1024.0) WHEN size < pow(1024, 3) THEN printf('%.1f MB', size / pow(1024, 2))
+     WHEN size < pow(1024, 4) THEN printf('%.1f GB', size / pow(1024, 3)) WHEN size < pow(1024, 5) THEN printf('%.1f TB', size / pow(1024, 4)) ELSE printf('%.1f PB', size / pow(1024, 5)) END AS bytes FROM x
+""")
+def byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("n_chars").cast("long") * F.pow(F.lit(1024.0), (F.col("doc_id") % 5).cast("double")).cast("long")
+    return _read(spark, sf_dir, "documents").select("doc_id", scalars.format_bytes(size).alias("bytes"))
+
+
 @query(f"""WITH x AS (SELECT doc_id, {_S} AS s FROM documents)
 SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.1f B', CAST(s AS DOUBLE)) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576.0)
 ELSE printf('%.1f GB', s / 1073741824.0) END AS size_formatted FROM x""")

@@ -23,8 +23,11 @@ class ScanConfig:
     video_min_frames: int = 4
 
     def __post_init__(self):
-        if self.method not in METHODS:
-            raise ValueError(f"unknown method: {self.method}")
+        for method in (self.method, self.video_method):
+            if method not in METHODS:  # it may have been registered
+                from twinsieve.plans import registry
+
+                registry.method(method)
         if not 0 <= self.threshold <= 1 or not 0 <= self.video_threshold <= 1:
             raise ValueError("thresholds lie between 0 and 1")
         if self.video_fps <= 0 or self.video_max_frames < 1:

@@ -19,15 +19,22 @@ def _lanczos(x: np.ndarray) -> np.ndarray:
     return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
 
 
-_FILTERS = {"bicubic": (_bicubic, 2.0), "lanczos": (_lanczos, 3.0)}
+def _bilinear(x: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1.0 - np.abs(x))
 
 
-def resample_weights(n_in: int, n_out: int, kind: str = "bicubic") -> np.ndarray:
-    """Weights (n_out, n_in) of a separable filter that is widened when shrinking, so that it also smooths."""
+_FILTERS = {"bicubic": (_bicubic, 2.0), "lanczos": (_lanczos, 3.0), "bilinear": (_bilinear, 1.0)}
+
+
+def resample_weights(n_in: int, n_out: int, kind: str = "bicubic", window: slice = slice(None)) -> np.ndarray:
+    """Weights (n_out, n_in) of a separable filter that is widened when shrinking, so that it also smooths.
+
+    With a window only the outputs in it have rows.
+    """
     kernel, support = _FILTERS[kind]
     scale = n_in / n_out
     wide = max(scale, 1.0)
-    centre = (np.arange(n_out)[:, None] + 0.5) * scale
+    centre = (np.arange(*window.indices(n_out))[:, None] + 0.5) * scale
     x = (np.arange(n_in)[None, :] + 0.5 - centre) / wide
     weights = np.where(np.abs(x) < support, kernel(x), 0.0)
     return weights / weights.sum(axis=1, keepdims=True)
@@ -42,6 +49,56 @@ def resize(image: np.ndarray, height: int, width: int, kind: str = "bicubic") ->
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 
+# What networks trained on natural pictures expect of the red, green and blue channel.
+CHANNEL_MEANS = (0.485, 0.456, 0.406)
+CHANNEL_DEVIATIONS = (0.229, 0.224, 0.225)
+#: Numbers that a matrix product of pictures holds at most.
+PICTURE_NUMBERS = 1 << 24
+
+
+def _shortened(height: int, width: int, short: int) -> tuple[int, int]:
+    """The size at which the shorter side is ``short``, the other one cut to whole pixels."""
+    return (short, int(short * width / height)) if height <= width else (int(short * height / width), short)
+
+
+def network_input(pictures: list[np.ndarray], short: int = 256, crop: int = 224) -> np.ndarray:
+    """BGR pictures as a batch (n, 3, crop, crop) of normalised red, green and blue planes.
+
+    The shorter side becomes ``short`` by a bilinear filter that is widened when shrinking, the middle is cut out, bytes
+    become 0 to 1 and are normalised by channel. Gray pictures (one channel or none) count as three equal ones, and
+    a fourth channel is dropped. Pictures of one size go together through one matrix product a side, of the rows and
+    columns that the cut keeps. A picture without pixels raises ValueError.
+    """
+    out = np.empty((len(pictures), 3, crop, crop), np.float32)
+    by_size: dict[tuple[int, int], list[int]] = {}
+    for i, picture in enumerate(pictures):
+        if picture.ndim not in (2, 3) or not picture.size or (picture.ndim == 3 and picture.shape[2] == 2):
+            raise ValueError("not a picture")
+        by_size.setdefault(picture.shape[:2], []).append(i)
+    for (height, width), members in by_size.items():
+        tall, wide = _shortened(height, width, short)
+        if min(tall, wide) < crop:
+            raise ValueError("the cut is larger than the picture")
+        top, left = round((tall - crop) / 2), round((wide - crop) / 2)
+        rows = resample_weights(height, tall, "bilinear", slice(top, top + crop)).astype(np.float32)
+        columns = resample_weights(width, wide, "bilinear", slice(left, left + crop)).astype(np.float32)
+        at_once = max(1, PICTURE_NUMBERS // (3 * height * width))
+        for at in range(0, len(members), at_once):
+            part = members[at : at + at_once]
+            planes = np.stack([_red_green_blue(pictures[i]) for i in part])
+            cut = np.matmul(np.matmul(rows, planes), columns.T)
+            out[part] = np.clip(np.floor(cut + 0.5), 0, 255) / 255
+    means, deviations = (np.array(x, np.float32)[:, None, None] for x in (CHANNEL_MEANS, CHANNEL_DEVIATIONS))
+    return (out - means) / deviations
+
+
+def _red_green_blue(picture: np.ndarray) -> np.ndarray:
+    """Planes (3, height, width) of a BGR picture."""
+    x = picture[..., None] if picture.ndim == 2 else picture
+    x = np.repeat(x[..., :1], 3, axis=2) if x.shape[2] == 1 else x[..., 2::-1]
+    return x.transpose(2, 0, 1).astype(np.float32)
+
+
 def gray(bgr: np.ndarray) -> np.ndarray:
     """Luma of a BGR picture."""
     return np.clip(np.floor(bgr[..., 2] * 0.299 + bgr[..., 1] * 0.587 + bgr[..., 0] * 0.114 + 0.5), 0, 255).astype(np.uint8)
@@ -131,21 +188,36 @@ def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, np.where(np.abs(scale) > 2.2e-16, r, 1.0))
 
 
-def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
-    """Mean structural similarity over the channels: uniform window, K1 0.01, K2 0.03, range 255, sample covariance."""
+def _window_means(x: np.ndarray, window: int) -> np.ndarray:
+    """Means over all whole windows of pictures (n, height, width, channels)."""
+    s = np.pad(x.cumsum(axis=1).cumsum(axis=2), ((0, 0), (1, 0), (1, 0), (0, 0)))
+    return (s[:, window:, window:] - s[:, :-window, window:] - s[:, window:, :-window] + s[:, :-window, :-window]) / window**2
 
-    def means(x: np.ndarray) -> np.ndarray:
-        s = np.pad(x.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0), (0, 0)))
-        return (s[window:, window:] - s[:-window, window:] - s[window:, :-window] + s[:-window, :-window]) / window**2
 
+def ssim_scores(a: np.ndarray, b: np.ndarray, window: int = 7) -> np.ndarray:
+    """Mean structural similarity of all pictures of a with all of b, (n, height, width, channels) each.
+
+    Uniform window, K1 0.01, K2 0.03, range 255, sample covariance; the mean is over the channels too. What one side
+    needs of itself is worked out once a picture, what two share for one picture of a and all of b at a time.
+    """
     x, y = a.astype(np.float64), b.astype(np.float64)
-    if x.ndim == 2:
-        x, y = x[..., None], y[..., None]
     n = window**2
-    ux, uy = means(x), means(y)
-    vx, vy, vxy = (n / (n - 1) * (means(p * q) - u * v) for p, q, u, v in ((x, x, ux, ux), (y, y, uy, uy), (x, y, ux, uy)))
+    ux, uy = _window_means(x, window), _window_means(y, window)
+    vx, vy = (n / (n - 1) * (_window_means(v * v, window) - u * u) for v, u in ((x, ux), (y, uy)))
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * ux * uy + c1) * (2 * vxy + c2)) / ((ux**2 + uy**2 + c1) * (vx + vy + c2))).mean())
+    out = np.empty((len(x), len(y)))
+    for i in range(len(x)):
+        both = ux[i] * uy
+        covariance = n / (n - 1) * (_window_means(x[i] * y, window) - both)
+        similar = (2 * both + c1) * (2 * covariance + c2) / ((ux[i] ** 2 + uy**2 + c1) * (vx[i] + vy + c2))
+        out[i] = similar.mean(axis=(1, 2, 3))
+    return out
+
+
+def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
+    """Mean structural similarity of two pictures of one size, gray or with channels."""
+    x, y = (v[None, ..., None] if v.ndim == 2 else v[None] for v in (a, b))
+    return float(ssim_scores(x, y, window)[0, 0])
 
 
 # Key points -------------------------------------------------------------------------------------------------------

@@ -70,13 +70,13 @@ def format_size(size: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """B to TB in steps of 1024 with one decimal, then PB."""
-    s, out = size.cast("double"), None
-    for power, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        label = F.concat(_fixed(s / 1024**power, 1), F.lit(f" {unit}"))
-        near = F.abs(s) < 1024.0 ** (power + 1)
-        out = F.when(near, label) if out is None else out.when(near, label)
-    return out.otherwise(F.concat(_fixed(s / 1024**5, 1), F.lit(" PB")))
+    """B to TB in steps of 1024 with one decimal, then PB. The unit is found first, so that one number is formatted."""
+    s, step, unit = size.cast("double"), None, None
+    for power, name in enumerate(("B", "KB", "MB", "GB", "TB")):
+        near, by = F.abs(s) < 1024.0 ** (power + 1), F.lit(1024.0**power)
+        step = F.when(near, by) if step is None else step.when(near, by)
+        unit = F.when(near, name) if unit is None else unit.when(near, name)
+    return F.concat(_fixed(s / step.otherwise(F.lit(1024.0**5)), 1), F.lit(" "), unit.otherwise("PB"))
 
 
 def _two(n: Column) -> Column:

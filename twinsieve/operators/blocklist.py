@@ -6,10 +6,17 @@ strings and repeats don't count.
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions import scalars
+from twinsieve.operators.components import connected_components
+from twinsieve.operators.pairs import with_order
+from twinsieve.plans.workspace import Workspace
 
 ADDED, COVERED, REPLACED = "added", "covered", "replaced"
 
@@ -69,34 +76,184 @@ def classify(groups: DataFrame, entries: DataFrame, key: str = "root") -> DataFr
     return own.select(key).join(first, key, "left").select(key, F.coalesce("_first.status", F.lit(ADDED)).alias("status"), F.col("_first.entry_id").alias("entry_id"))
 
 
+class Fold:
+    """Entries in order, to which groups are added in turn. Paths lead to the entries that hold them.
+
+    The first entry that holds the group covers it, the first that the group holds is replaced by it, whichever comes
+    first; otherwise the group becomes the last entry. Empty entries hold nothing and are passed over.
+    """
+
+    def __init__(self, entries: list[dict]):
+        self.entries = [dict(e) for e in entries]
+        self.sets = [{p for p in e["paths"] if p} for e in self.entries]
+        self.places: dict[str, set[int]] = {}
+        for i, own in enumerate(self.sets):
+            self._known(i, own)
+
+    def _known(self, place: int, paths: set[str]) -> None:
+        for path in paths:
+            self.places.setdefault(path, set()).add(place)
+
+    def add(self, paths: list[str], timestamp: float) -> tuple[str, int]:
+        """What became of a group that isn't empty, and the place of the entry that decided."""
+        new = {p for p in paths if p}
+        for i in sorted(set().union(*(self.places.get(p, ()) for p in new))):
+            if new <= self.sets[i]:
+                return COVERED, i
+            if self.sets[i] <= new:
+                self._put(i, paths, new, timestamp)
+                return REPLACED, i
+        self.entries.append({})
+        self.sets.append(set())
+        self._put(len(self.entries) - 1, paths, new, timestamp)
+        return ADDED, len(self.entries) - 1
+
+    def _put(self, place: int, paths: list[str], new: set[str], timestamp: float) -> None:
+        self.entries[place] = {**self.entries[place], "paths": list(paths), "timestamp": timestamp}
+        self.sets[place] = new
+        self._known(place, new)
+
+
 def add(entries: list[dict], paths: list[str], timestamp: float) -> tuple[list[dict], str]:
-    """Add one group to a list of entries; the order decides, so this runs over the (small) list on the driver."""
-    new = {p for p in paths if p}
-    if not new:
+    """Add one group to a list of entries. An empty entry before any other that decides is replaced by it."""
+    if not any(paths):
         raise ValueError("an entry needs a path")
-    out = list(entries)
-    for i, entry in enumerate(out):
-        old = {p for p in entry["paths"] if p}
-        if not old:
-            continue
-        if new <= old:
-            return out, COVERED
-        if old <= new:
-            out[i] = {"paths": sorted(new), "timestamp": timestamp}
-            return out, REPLACED
-    out.append({"paths": sorted(new), "timestamp": timestamp})
-    return out, ADDED
+    fold, empty = Fold(entries), next((i for i, e in enumerate(entries) if not any(e["paths"])), None)
+    if empty is not None:
+        alone = Fold(entries[:empty])
+        status, _ = alone.add(paths, timestamp)
+        if status == ADDED:
+            return [*entries[:empty], {**entries[empty], "paths": list(paths), "timestamp": timestamp}, *entries[empty + 1 :]], REPLACED
+    status, _ = fold.add(paths, timestamp)
+    return fold.entries, status
 
 
 def add_all(entries: list[dict], groups: list[list[str]], timestamp: float) -> tuple[list[dict], dict[str, int]]:
-    """Add groups in turn; returns the entries and how many were added, covered and replaced, and the total."""
-    counts = {ADDED: 0, COVERED: 0, REPLACED: 0, "total": 0}
+    """Add groups in turn, passing over empty ones; returns the entries, how many groups were added, covered and
+    replaced, and the total of entries then."""
+    fold, counts = Fold(entries), {ADDED: 0, COVERED: 0, REPLACED: 0}
     for paths in groups:
         if any(paths):
-            entries, status = add(entries, paths, timestamp)
-            counts[status] += 1
-            counts["total"] += 1
-    return entries, counts
+            counts[fold.add(paths, timestamp)[0]] += 1
+    return fold.entries, counts | {"total": len(fold.entries)}
+
+
+def cleared(entries: DataFrame) -> DataFrame:
+    """No entries."""
+    return entries.limit(0)
+
+
+def resolved(entries: DataFrame, paths: str = "paths") -> DataFrame:
+    """Entries whose paths are absolute, without links, dots and double slashes, as the machine that runs it sees them.
+
+    Empty paths stay empty, so that they still count for nothing.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(paths)
+            column = batch.column(at)
+            fixed = [None if own is None else [p and os.path.realpath(p) for p in own] for own in column.to_pylist()]
+            yield batch.set_column(at, paths, pa.array(fixed, column.type))
+
+    return entries.mapInArrow(run, entries.schema)
+
+
+#: Groups that share paths, and have so many in all or fewer, are added in turn by one task.
+LOCAL_PATHS = 200_000
+_DONE = pa.schema([("ord", pa.int64()), ("paths", pa.list_(pa.string())), ("status", pa.string()), ("slot", pa.int64())])
+
+
+def batch_added(entries: DataFrame, groups: DataFrame, timestamp: float, work: Workspace | None = None, local_paths: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add groups (``ord, paths``) in the order of ``ord``, which has to be unique: the entries then, and what became of each.
+
+    The first result is ``entry_id, paths, timestamp``, the second ``ord, status, entry_id``; new entries get the ids
+    behind the largest one, in order. Groups without paths are passed over, as empty entries are. Results equal those of
+    adding one by one, where the order counts: but a group depends only on earlier ones that share a path with it, or
+    with one that does. Such clusters are added side by side, each in turn by one task. A cluster of over
+    ``LOCAL_PATHS`` paths goes by rounds: each adds all groups that come first, of those still waiting, for each of
+    their paths; these share no path, and no entry, with one another. Groups meet entries by an equi-join on paths.
+    """
+    spark = entries.sparkSession
+    work = work or Workspace(spark, "blocklist")
+    local_paths = LOCAL_PATHS if local_paths is None else local_paths
+    state = work.table(entries.select(F.col("entry_id").cast("long").alias("slot"), F.col("entry_id").cast("long"), "paths", F.col("timestamp").cast("double")), "state0")
+    waiting = work.table(groups.select(F.col("ord").cast("long"), "paths", path_set(F.col("paths")).alias("own")).where(F.size("own") > 0), "waiting0")
+    offset = (state.agg(F.max("slot")).first()[0] or 0) + 1
+    shift = offset - (waiting.agg(F.min("ord")).first()[0] or 0)  # an added group's slot lies behind all entries, in order
+    waiting = work.table(_clustered(waiting, work), "clusters")
+    sizes = waiting.groupBy("root").agg(F.sum(F.size("own")).alias("n"))
+    large = work.table(sizes.where(F.col("n") > local_paths).select("root"), "large")
+    settled, step = [work.table(_added_in_turn(state, waiting.join(large, "root", "left_anti"), shift), "done0")], 0
+    state = work.table(_after(state, settled[0], timestamp), "state1")
+    waiting = work.table(waiting.join(large, "root", "left_semi"), "waiting1")
+    while not waiting.isEmpty():
+        step += 1
+        settled.append(work.table(_added_at_once(state, waiting, shift), f"done{step}"))
+        state = work.table(_after(state, settled[-1], timestamp), f"state{step + 1}")
+        waiting = work.table(waiting.join(settled[-1].select("ord"), "ord", "left_anti"), f"waiting{step + 1}")
+        work.drop(f"state{step}")
+        work.drop(f"waiting{step}")
+    slots = state.select("slot", "entry_id")
+    new = with_order(slots.where("entry_id IS NULL").select("slot"), "slot", work=work).select("slot", (F.col("ord") + offset).alias("entry_id"))
+    ids = work.table(slots.where("entry_id IS NOT NULL").unionByName(new), "ids")
+    out = state.drop("entry_id").join(ids, "slot").select("entry_id", "paths", "timestamp")
+    told = reduce(DataFrame.unionByName, [done.select("ord", "status", "slot") for done in settled])
+    return out, told.join(ids, "slot").select("ord", "status", "entry_id")
+
+
+def _clustered(waiting: DataFrame, work: Workspace) -> DataFrame:
+    """Add ``root``, the same for groups that share a path or are linked by others that do."""
+    each = waiting.select("ord", F.explode("own").alias("path"))
+    first = each.groupBy("path").agg(F.min("ord").alias("first"))
+    links = each.join(first, "path").where("first < ord").select(F.col("first").alias("id1"), F.col("ord").alias("id2")).distinct()
+    roots = connected_components(links, work).select(F.col("node").alias("ord"), F.col("root").alias("_root"))
+    return waiting.join(roots, "ord", "left").withColumn("root", F.coalesce("_root", "ord")).drop("_root")
+
+
+def _added_at_once(state: DataFrame, waiting: DataFrame, shift: int) -> DataFrame:
+    """``ord, paths, status, slot`` of the groups that are first for all of their paths."""
+    each = waiting.select("ord", F.size("own").alias("n"), F.explode("own").alias("path"))
+    first = each.groupBy("path").agg(F.min("ord").alias("first"))
+    ready = each.join(first, "path").groupBy("ord", "n").agg(F.min(F.col("first") == F.col("ord")).alias("ready")).where("ready").select("ord")
+    own = waiting.join(ready, "ord")
+    held = state.select("slot", path_set(F.col("paths")).alias("held")).where(F.size("held") > 0)
+    shared = own.select("ord", F.size("own").alias("n"), F.explode("own").alias("path")).join(held.select("slot", F.size("held").alias("m"), F.explode("held").alias("path")), "path")
+    hits = shared.groupBy("ord", "n", "slot", "m").agg(F.count("*").alias("both")).where("both = n OR both = m")
+    status = F.when(F.col("both") == F.col("n"), COVERED).otherwise(REPLACED)
+    best = hits.groupBy("ord").agg(F.min(F.struct("slot", status.alias("status"))).alias("best"))
+    return own.join(best, "ord", "left").select("ord", "paths", F.coalesce("best.status", F.lit(ADDED)).alias("status"), F.coalesce("best.slot", F.col("ord") + shift).alias("slot"))
+
+
+def _added_in_turn(state: DataFrame, waiting: DataFrame, shift: int) -> DataFrame:
+    """The same for clusters of groups, each one by one, against the entries that share a path with any of them."""
+    paths = waiting.select("root", F.explode("own").alias("path")).distinct()
+    touched = state.select("slot", F.explode("paths").alias("path")).join(paths, "path").select("root", "slot").distinct()
+    known = state.join(touched, "slot").select("root", F.lit(0).alias("kind"), F.col("slot").alias("at"), "paths")
+    rows = known.unionByName(waiting.select("root", F.lit(1).alias("kind"), F.col("ord").alias("at"), "paths"))
+
+    def run(table):
+        listed = sorted(table.select(["kind", "at", "paths"]).to_pylist(), key=lambda r: (r["kind"], r["at"]))
+        slots = [r["at"] for r in listed if r["kind"] == 0]
+        fold = Fold([{"paths": [p or "" for p in r["paths"]]} for r in listed if r["kind"] == 0])
+        out = []
+        for r in listed:
+            if r["kind"] == 1:
+                status, place = fold.add([p or "" for p in r["paths"]], 0.0)
+                if status == ADDED:
+                    slots.append(r["at"] + shift)
+                out.append({"ord": r["at"], "paths": r["paths"], "status": status, "slot": slots[place]})
+        return pa.Table.from_pylist(out, schema=_DONE)
+
+    return rows.groupBy("root").applyInArrow(run, "ord long, paths array<string>, status string, slot long")
+
+
+def _after(state: DataFrame, done: DataFrame, timestamp: float) -> DataFrame:
+    """The entries after a round: replaced ones with the last group that did, and the added groups."""
+    last = done.where(F.col("status") != COVERED).groupBy("slot").agg(F.max_by("paths", "ord").alias("_paths"))
+    joined = state.join(last, "slot", "full")
+    stamp = F.when(F.col("_paths").isNotNull(), F.lit(float(timestamp))).otherwise(F.col("timestamp"))
+    return joined.select("slot", "entry_id", F.coalesce("_paths", "paths").alias("paths"), stamp.alias("timestamp"))
 
 
 def removed(entries: DataFrame, paths: list[str]) -> DataFrame:
@@ -105,22 +262,23 @@ def removed(entries: DataFrame, paths: list[str]) -> DataFrame:
     return entries.where(~(path_set(F.col("paths")) == wanted))
 
 
+def _below(folders: list[str]) -> Column:
+    """Whether one of ``paths`` begins with one of the folders."""
+    starts = [f.lower().replace("\\", "/") for f in folders]
+
+    def hit(path: Column) -> Column:
+        plain = scalars.normalised_path(path)
+        return reduce(Column.__or__, [F.startswith(plain, F.lit(s)) for s in starts])
+
+    return F.exists("paths", hit) if starts else F.lit(True)
+
+
 def in_folders(entries: DataFrame, folders: list[str]) -> DataFrame:
     """Entries with a path that begins with one of the folders, whatever the case and slashes; all without folders.
 
     A folder is a plain prefix: ``/a/foo`` also finds ``/a/foobar/x``.
     """
-    if not folders:
-        return entries
-    starts = [f.lower().replace("\\", "/") for f in folders]
-
-    def hit(path: Column) -> Column:
-        found, plain = F.lit(False), scalars.normalised_path(path)
-        for s in starts:
-            found = found | F.startswith(plain, F.lit(s))
-        return found
-
-    return entries.where(F.exists("paths", hit))
+    return entries.where(_below(folders))
 
 
 def page(entries: DataFrame, number: int, size: int = 15) -> DataFrame:
@@ -128,6 +286,10 @@ def page(entries: DataFrame, number: int, size: int = 15) -> DataFrame:
     return entries.orderBy(F.desc("entry_id")).offset(number * size).limit(size)
 
 
+def hidden_rows(entries: DataFrame, folders: list[str]) -> DataFrame:
+    """One row, ``hidden``: how many entries a folder filter hides."""
+    return entries.agg(F.count_if(~F.coalesce(_below(folders), F.lit(False))).alias("hidden"))
+
+
 def hidden_count(entries: DataFrame, folders: list[str]) -> int:
-    """How many entries a folder filter hides."""
-    return entries.count() - in_folders(entries, folders).count()
+    return hidden_rows(entries, folders).first()[0]

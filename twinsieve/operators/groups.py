@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions import scalars
 from twinsieve.operators.components import connected_components
+from twinsieve.operators.pairs import with_order
 
 
 def group_members(pairs: DataFrame, work=None) -> DataFrame:
@@ -25,6 +26,11 @@ def larger_than_one(members: DataFrame, key: str = "root") -> DataFrame:
     return members.join(sizes, key, "left_semi")
 
 
+def of_type(members: DataFrame, kind: str) -> DataFrame:
+    """Groups of images or of videos."""
+    return members.where(F.col("type") == kind)
+
+
 def _first_of(members: DataFrame, *order: Column, key: str = "root") -> DataFrame:
     """``key, keeper``: the first id of each group in an order, by a partial aggregation; no group is sorted."""
     return members.groupBy(key).agg(F.min(F.struct(*order, F.col("id").alias("_id"))).alias("_first")).select(key, F.col("_first._id").alias("keeper"))
@@ -65,7 +71,7 @@ def preselected(ranked_members: DataFrame) -> DataFrame:
 def emission_order(members: DataFrame, key: str = "root") -> DataFrame:
     """``root, type, ordinal`` from 1: image groups before video groups, each by its first member."""
     firsts = members.groupBy(key, "type").agg(F.min("ord").alias("first"))
-    return firsts.select(key, "type", F.row_number().over(Window.orderBy(F.col("type"), F.col("first"))).cast("long").alias("ordinal"))
+    return with_order(firsts, "type", "first").select(key, "type", (F.col("ord") + 1).alias("ordinal"))
 
 
 def enrich(members: DataFrame, metadata: DataFrame, on: str = "path") -> DataFrame:
@@ -83,15 +89,24 @@ def result_counts(members: DataFrame, key: str = "root") -> DataFrame:
 def action_plan(members: DataFrame, keepers: DataFrame, output: str | None = None, key: str = "root") -> DataFrame:
     """``action, src, dest``: keep the keeper of each group, move the others to ``output``, or remove them without one.
 
-    Nothing is carried out here. Destinations that several files would share are numbered, the first in listing order
-    keeping its name.
+    Nothing is carried out here. Of files that would share a destination the first in listing order keeps its name, and
+    the others are numbered from above the largest number that a name of that kind has, so all destinations differ.
     """
     joined = members.join(keepers, key).withColumn("keep", F.col("id") == F.col("keeper"))
+    action = F.when(F.col("keep"), "keep").otherwise("move" if output is not None else "remove")
     if output is None:
-        return joined.select(F.when(F.col("keep"), "keep").otherwise("remove").alias("action"), F.col("path").alias("src"), F.lit(None).cast("string").alias("dest"))
+        return joined.select(action.alias("action"), F.col("path").alias("src"), F.lit(None).cast("string").alias("dest"))
     name = scalars.base_name(F.col("path"))
-    turn = F.row_number().over(Window.partitionBy("keep", "name").orderBy("ord"))
-    named = joined.withColumn("name", name).withColumn("turn", turn)
-    stem, ext = F.regexp_replace("name", r"(?<=[^.])\.[^.]+$", ""), F.regexp_extract("name", r"(?<=[^.])(\.[^.]+)$", 1)
-    dest = F.concat(F.lit(output.rstrip("/") + "/"), F.when(F.col("turn") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), (F.col("turn") - 1).cast("string"), F.lit(")"), ext)))
-    return named.select(F.when(F.col("keep"), "keep").otherwise("move").alias("action"), F.col("path").alias("src"), F.when(~F.col("keep"), dest).alias("dest"))
+    ending = r"(?<=[^.])(\.[^.]+)$"
+    named = with_order(joined.select("keep", "path", name.alias("name"), F.col("ord").alias("_ord")), "keep", "name", "_ord", name="_place")
+    named = named.withColumns({"stem": F.regexp_replace("name", ending, ""), "ext": F.regexp_extract("name", ending, 1)})
+    moved = named.where(~F.col("keep"))
+    first = moved.groupBy("name").agg(F.min("_place").alias("_first"))
+    marked = r"^(.*) \((\d{1,17})\)$"
+    taken = moved.select(F.regexp_extract("stem", marked, 1).alias("stem"), "ext", F.regexp_extract("stem", marked, 2).try_cast("long").alias("n"))
+    most = taken.where("n IS NOT NULL").groupBy("stem", "ext").agg(F.max("n").alias("_most"))
+    turned = moved.join(first, "name").join(most, ["stem", "ext"], "left").withColumn("_turn", F.col("_place") - F.col("_first"))
+    number = (F.col("_turn") + F.coalesce("_most", F.lit(0))).cast("string")
+    new = F.when(F.col("_turn") == 0, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), number, F.lit(")"), "ext"))
+    moves = turned.select(F.lit("move").alias("action"), F.col("path").alias("src"), F.concat(F.lit(output.rstrip("/") + "/"), new).alias("dest"))
+    return joined.where("keep").select(F.lit("keep").alias("action"), F.col("path").alias("src"), F.lit(None).cast("string").alias("dest")).unionByName(moves)

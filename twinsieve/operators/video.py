@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions import kernels
 from twinsieve.operators import pairs as pair_ops
+from twinsieve.plans.workspace import Workspace
 
 
 def target_frames(duration: Column, rate: float = 1.0, least: int = 4, most: int = 32) -> Column:
@@ -24,11 +25,6 @@ def keyframe_indices(total: Column, target: Column) -> Column:
     return F.when(total <= 0, F.array().cast("array<int>")).when(target >= total, every).otherwise(evenly)
 
 
-def reads_in_order(total: Column, target: Column) -> Column:
-    """Whether reading through beats seeking: more than half of the frames are wanted."""
-    return target / total > 0.5
-
-
 def duration_seconds(frames: Column, fps: Column) -> Column:
     return F.when((frames > 0) & (fps > 0), frames / fps).otherwise(0.0)
 
@@ -44,32 +40,71 @@ def average_resolution(videos: DataFrame) -> DataFrame:
     return first.agg(*[F.coalesce(F.floor(F.avg(c)), F.lit(d)).cast("int").alias(c) for c, d in (("width", 1920), ("height", 1080))])
 
 
-def mean_max_pairs(frames: DataFrame, threshold: float = 0.90, block_videos: int = 64) -> DataFrame:
+#: Frames that a block holds, more or less, and that a piece of a video holds; longer videos are cut into pieces.
+BLOCK_FRAMES, PIECE_FRAMES = 2048, 512
+_BEST = "id1 long, id2 long, piece int, total double, frames long, best array<double>"
+_BEST_ARROW = pa.schema([("id1", pa.int64()), ("id2", pa.int64()), ("piece", pa.int32()), ("total", pa.float64()), ("frames", pa.int64()), ("best", pa.list_(pa.float64()))])
+
+
+class _Pieces:
+    """A block's frames in order, and where its pieces begin."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([(c, "ascending") for c in ("video_id", "piece", "frame_idx", "tie")])
+        ids, piece = table["video_id"].to_numpy(), table["piece"].to_numpy()
+        change = (np.diff(ids) != 0) | (np.diff(piece) != 0)
+        self.starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        self.ids, self.piece, self.pieces = ids[self.starts], piece[self.starts], table["pieces"].to_numpy()[self.starts]
+        self.counts = np.diff(np.append(self.starts, len(ids)))
+        self.v = kernels.unit(pair_ops._matrix(table["v"]))
+
+
+def _best_frames(own: _Pieces, other: _Pieces, best: np.ndarray, threshold: float) -> list[dict]:
+    """What the pieces of ``own`` add to its videos' scores with larger ids; ``best`` is (own frames, other pieces)."""
+    best = (np.clip(best, -1, 1) + 1) / 2
+    totals = np.add.reduceat(best, own.starts, axis=0)
+    less = own.ids[:, None] < other.ids
+    whole = other.pieces[None, :] == 1
+    settled = whole & (own.pieces == 1)[:, None]
+    out = []
+    for i, j in zip(*np.nonzero(less & whole & (~settled | (totals / own.counts[:, None] >= threshold))), strict=True):
+        out.append({"id1": own.ids[i], "id2": other.ids[j], "total": totals[i, j], "frames": own.counts[i]})
+    for i, j in zip(*np.nonzero(less & ~whole), strict=True):
+        at = own.starts[i]
+        out.append({"id1": own.ids[i], "id2": other.ids[j], "piece": own.piece[i], "best": best[at : at + own.counts[i], j]})
+    return out
+
+
+def mean_max_pairs(frames: DataFrame, threshold: float = 0.90, block_frames: int | None = None, piece_frames: int | None = None) -> DataFrame:
     """Pairs of videos by the mean, over the frames of the smaller id, of the best cosine score (0..1) with the other.
 
-    Videos are dealt whole into blocks; a task scores the frames of two blocks with one matrix product. Videos without
-    frames take no part; null frames are left out.
+    Videos are dealt into blocks, long ones in pieces, and a task scores the frames of two blocks with one matrix
+    product. Where the other video is whole, a piece adds up its frames' best scores at once; where it is cut, the
+    frames' best scores with each of its pieces are merged first. No task holds more than two blocks, whatever the
+    length of a video. Videos without frames take no part; null frames are left out.
     """
-    fine = frames.where(F.col("video_id").isNotNull() & F.col("v").isNotNull()).select("video_id", "frame_idx", F.col("v").cast("array<double>").alias("v"))
-    videos = fine.agg(F.count_distinct("video_id")).first()[0]
-    blocks = max(1, -(-videos // block_videos))
-    own = F.pmod(F.xxhash64("video_id"), F.lit(blocks)).cast("int")
-    ends = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("own", k).alias("a"), F.greatest("own", k).alias("b")))
-    sent = fine.withColumn("own", own).select("video_id", "frame_idx", "v", "own", F.explode(ends).alias("p")).select("video_id", "frame_idx", "v", "own", "p.a", "p.b")
-
-    def score(key, table):
-        a, b = key[0].as_py(), key[1].as_py()
-        ids, block = table["video_id"].to_numpy(), table["own"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        v = kernels.unit(pair_ops._matrix(table["v"])[order])
-        names, starts = np.unique(ids[order], return_index=True)
-        home = block[order][starts]
-        counts = np.diff(np.append(starts, len(order)))
-        similar = (np.clip(v @ v.T, -1, 1) + 1) / 2
-        best = np.maximum.reduceat(similar, starts, axis=1)
-        means = np.add.reduceat(best, starts, axis=0) / counts[:, None]
-        i, j = np.nonzero((names[:, None] < names[None, :]) & (means >= threshold))
-        across = (home[i] != home[j]) if a != b else np.ones(len(i), bool)
-        return pa.table({"id1": names[i[across]], "id2": names[j[across]], "score": means[i, j][across]})
-
-    return sent.groupBy("a", "b").applyInArrow(score, pair_ops.PAIRS)
+    block_frames, piece_frames = block_frames or BLOCK_FRAMES, piece_frames or PIECE_FRAMES
+    fine = frames.where(F.col("video_id").isNotNull() & F.col("v").isNotNull()).select(F.col("video_id").cast("long"), F.col("frame_idx").cast("long"), F.col("v").cast("array<double>").alias("v"))
+    counts = fine.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_frames))
+    pieces = F.ceil(F.col("n") / piece_frames).cast("int")
+    tie = F.xxhash64("v")
+    cut = fine.join(counts, "video_id").withColumns({"pieces": pieces, "tie": tie, "piece": F.pmod(F.xxhash64("frame_idx", tie), pieces).cast("int")}).drop("n")
+    block = F.pmod(F.xxhash64("video_id", "piece"), F.lit(blocks))
+
+    def score(a, b, left, right):
+        if not left.num_rows:
+            return _BEST_ARROW.empty_table()
+        x, y = _Pieces(left), _Pieces(right)
+        similar = x.v @ y.v.T
+        found = _best_frames(x, y, np.maximum.reduceat(similar, y.starts, axis=1), threshold)
+        if a != b:
+            found += _best_frames(y, x, np.maximum.reduceat(similar, x.starts, axis=0).T, threshold)
+        return pa.Table.from_pylist(found, schema=_BEST_ARROW)
+
+    found = Workspace(frames.sparkSession, "frames").table(pair_ops.block_pairs(cut, block, blocks, (), score, _BEST), "best")
+    merged = found.where("best IS NOT NULL").select("id1", "id2", "piece", F.posexplode("best").alias("place", "score")).groupBy("id1", "id2", "piece", "place").agg(F.max("score").alias("total"))
+    parts = found.where("best IS NULL").select("id1", "id2", "total", "frames").unionByName(merged.select("id1", "id2", "total", F.lit(1).cast("long").alias("frames")))
+    means = parts.groupBy("id1", "id2").agg((F.sum("total") / F.sum("frames")).alias("score"))
+    return means.where(F.col("score") >= threshold)

@@ -27,6 +27,27 @@ class Progress:
         return min(100, int(self.current / self.total * 100)) if self.total > 0 else 0
 
 
+class Phases:
+    """Progress over a scan's three phases, frames, features and pairs: each counts as many units as there are files."""
+
+    ORDER = ("frames", "features", "pairs")
+
+    def __init__(self, tell: Callable[[Progress], None] | None):
+        self.tell, self.total = tell, 0
+
+    def watcher(self, phase: str) -> Callable[[Progress], None] | None:
+        """Turns what is known of a phase's tasks into units of the whole."""
+        if self.tell is None:
+            return None
+        done, n = self.ORDER.index(phase), max(1, self.total)
+
+        def report(tasks: Progress) -> None:
+            share = tasks.current / tasks.total if tasks.total else 0.0
+            self.tell(Progress(phase, done * n + int(n * share), len(self.ORDER) * n, tasks.stage))
+
+        return report
+
+
 class Run:
     """A piece of work whose jobs carry a tag: it can be cancelled from another thread, and reports its tasks."""
 

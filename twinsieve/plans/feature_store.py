@@ -25,15 +25,22 @@ class FeatureStore:
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.parquet(self._folder(method)) if there else None
 
+    def missing(self, media: DataFrame, method: str) -> DataFrame:
+        """The rows of ``media`` that are new or have changed: a changed file has another key."""
+        known = self.stored(method)
+        return media if known is None else media.join(known.select(*KEY), list(KEY), "left_anti")
+
     def features(self, media: DataFrame, method: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """``id, f`` of all media (``ord, path, mtime, size``); ``extract`` is called for those that are new or changed.
+        """``id, f`` and what else ``extract`` gives, of all media (``ord, path, mtime, size``).
 
-        A file that changed has another key, so its old feature is passed over. Keys join by equality: no file that is
-        known is read again.
+        ``extract`` (media to rows with ``path`` and ``f``) is called for the files that the store lacks, if there are
+        any. Keys join by equality: no file that is known is read again.
         """
-        known = self.stored(method)
-        new = media if known is None else media.join(known.select(*KEY), list(KEY), "left_anti")
-        made = extract(new).withColumnRenamed("id", "ord")
-        made.join(new.select("ord", *KEY), "ord").select(*KEY, "f").write.mode("append").parquet(self._folder(method))
-        rows = self.spark.read.parquet(self._folder(method)).dropDuplicates(list(KEY))
-        return media.join(rows, list(KEY)).select(F.col("ord").alias("id"), "f")
+        new = self.missing(media, method)
+        if not new.isEmpty():
+            new.select(*KEY).join(extract(new), "path").write.mode("append").parquet(self._folder(method))
+        rows = self.stored(method)
+        if rows is None:
+            return extract(media).withColumn("id", F.lit(None).cast("long")).drop("path").limit(0)
+        own = media.select(F.col("ord").alias("id"), *KEY)
+        return own.join(rows.dropDuplicates(list(KEY)), list(KEY)).drop(*KEY)

@@ -17,13 +17,18 @@ def store_pairs(new: DataFrame, store: DataFrame, most: int, bands: int | None =
         cuts.append((at, width))
         at += width
 
+    def bands_of(f: str):
+        return [F.shiftrightunsigned(F.col(f), s).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) for s, w in cuts]
+
     def keyed(df: DataFrame, i: str, f: str) -> DataFrame:
-        keys = F.array(*[F.shiftrightunsigned(F.col("f"), s).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) for s, w in cuts])
-        return df.where("f IS NOT NULL").select(F.col("id").alias(i), F.col("f").alias(f), F.posexplode(keys).alias("band", "key"))
+        plain = df.where("f IS NOT NULL").select(F.col("id").alias(i), F.col("f").alias(f)).distinct()
+        return plain.select(i, f, F.posexplode(F.array(*bands_of(f))).alias("band", "key"))
 
     joined = keyed(new, "id1", "f1").join(keyed(store, "id2", "f2"), ["band", "key"])
     distance = F.bit_count(F.col("f1").bitwiseXOR(F.col("f2")))
-    return joined.where(distance <= most).select("id1", "id2", (1 - distance / F.lit(64.0)).alias("score")).distinct()
+    # A pair counts only in the first band in which it agrees, so no pair has to be made distinct.
+    first = F.coalesce(*[F.when(a == b, k) for k, (a, b) in enumerate(zip(bands_of("f1"), bands_of("f2"), strict=True))])
+    return joined.where((distance <= most) & (first == F.col("band"))).select("id1", "id2", (1 - distance / F.lit(64.0)).alias("score"))
 
 
 def match_stream(stream: DataFrame, store_path: str, out_path: str, checkpoint: str, most: int = 9):
