@@ -28,31 +28,50 @@ def _workspace(spark: SparkSession, name: str) -> storage.Workspace:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects, those with a score under 0.3."""
+    """Drop the documents that the classifier rejects, those with a score under 0.3.
+
+    Null and empty texts are scored as texts without terms, long ones whole, repeated rows each alike. Rows with a null
+    id are scored, and not learned from. A column called score stays. An empty table stays empty.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = storage.free_name(docs.columns, "score")
     return quality.scored(docs, model, column=score).where(F.col(score) >= quality.KEEP_FROM).drop(score)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the row with the smallest id."""
+    """Of equal texts, keep the row with the smallest id.
+
+    A null text is equal to an empty one; a null id comes last; of rows alike one stays. Texts are compared whole.
+    Further columns stay, whatever their names.
+    """
     return exact_dedup.exact_dedup(docs, _workspace(spark, "exact"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near duplicates, keep the row with the smallest id."""
+    """Of documents connected by near duplicates, keep the row with the smallest id.
+
+    Null and empty texts have no shingles and are near nothing: all of them stay. Of ties in the id, null ids included,
+    one row stays. Texts are compared whole. Further columns stay, whatever their names.
+    """
     return jaccard.near_dedup(docs, _workspace(spark, "near"), NEAR_SHINGLE, NEAR_THRESHOLD)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it."""
+    """Repeat each document as often as the mix takes it; one that isn't taken goes.
+
+    A null source is a source of its own. Null and empty texts have no words and follow their source's whole
+    repetitions. Rows alike are each mixed. Further columns stay, whatever their names.
+    """
     whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("doc"))
     mixed = mixing.mix(whole, _workspace(spark, "mixing"), keep=["doc"])
     return mixed.select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc")).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents, repeats included, into sequences of 4096 tokens."""
+    """Pack all documents, repeats included, into sequences of 4096 tokens: a row for each piece.
+
+    A null or empty text is one end id; only texts of over 4096 tokens are cut. Null ids stay null. Other columns go.
+    """
     return packing.pack(docs, work=_workspace(spark, "packing"))
 
 

@@ -1,4 +1,5 @@
 import collections
+import math
 
 import duckdb
 import numpy as np
@@ -69,11 +70,49 @@ def test_pipeline_stages(spark):
 def test_stages_take_odd_tables(spark, tmp_path):
     import corpus_pipeline as p
 
-    rows = [(None, None, None, None, None, 1, "x"), (1, "", "en", "", 0, 2, "y"), (2, "a b " * 400, "en", "s", 9, 3, None), (2, "a b " * 400, "en", "s", 9, 3, None), (3, "word", None, None, None, None, None)]
+    long = "a b " * 400
+    rows = [(None, None, None, None, None, 1, "x"), (1, "", "en", "", 0, 2, "y"), (2, long, "en", "s", 9, 3, None), (2, long, "en", "s", 9, 3, None), (3, "word", None, None, None, None, None), (5, long, "en", "s", 9, 4, "z")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, row int, score string"
+    found = {}
     for some in (rows, []):
         docs = spark.createDataFrame(some, schema)
         path = f"file://{tmp_path}/{len(some)}"
         docs.write.parquet(path)
-        for _, stage in p.STAGES:
-            stage(spark, spark.read.parquet(path), SF).write.mode("overwrite").parquet(f"file://{tmp_path}/out")
+        for name, stage in p.STAGES:
+            out = stage(spark, spark.read.parquet(path), SF)
+            found[name, len(some)] = [tuple(r) for r in out.collect()]
+            if name != "best-fit packing":
+                assert out.columns == docs.columns
+    n = len(rows)
+    assert all(not found[name, 0] for name, _ in p.STAGES)
+    assert set(found["quality classifier", n]) <= set(rows)
+    assert sorted(found["exact dedup", n], key=str) == sorted([rows[1], rows[2], rows[4]], key=str)  # the null text equals the empty one
+    assert sorted(found["n-gram jaccard join", n], key=str) == sorted([rows[0], rows[1], rows[2], rows[4]], key=str)
+    mixed = collections.Counter(found["mixing", n])
+    assert set(mixed) <= set(rows) and all(mixed[r] <= 2 * rows.count(r) for r in mixed)
+    pieces = found["best-fit packing", n]
+    assert collections.Counter(r[0] for r in pieces) == collections.Counter(r[0] for r in rows) and len({r[5] for r in pieces}) == 1
+
+
+def test_votes_equal_plain_cosines():
+    """Each score by a loop over the whole sample, ties at the border included."""
+    rng = np.random.default_rng(12)
+    words = [f"{a}{b}" for a in ("ba", "lo", "ti", "##", "9") for b in ("na", "ri", "$$", "so")]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)))).encode() for _ in range(60)]
+    texts += texts[:10] + [b"", b""]  # equal vectors
+    labels = rng.integers(0, 2, len(texts))
+    matrix = np.stack([quality.terms(t) for t in texts])
+    model = quality.LatentVotes(matrix, labels, 12)
+    asked = np.concatenate([matrix[:20], np.stack([quality.terms(t) for t in (None, b"bana lori", b"$$$$ 9so " * 50)])])
+    got = model.score(asked, 5, 8.0)
+    own, prior = model.latent(asked) @ model.vectors.T, float(labels.astype(np.float32).mean())
+    for cosines, score in zip(own, got, strict=True):
+        near = sorted(range(len(texts)), key=lambda i: (-cosines[i], i))[:5]
+        weights = [math.exp(8.0 * (cosines[i] - cosines[near[0]])) * max(0.0, cosines[i]) for i in near]
+        assert score == pytest.approx((sum(w * labels[i] for w, i in zip(weights, near, strict=True)) + 1e-3 * prior) / (sum(weights) + 1e-3), abs=1e-5)
+
+
+def test_clashing_columns_of_vectors_are_ignored(spark):
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0], "s", 1, 2) for i in range(6)], "vec_id long, embedding array<float>, score string, rank int, query_id int")
+    got = topk.top_k(df, df.where("vec_id = 0"), 2)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 2
