@@ -76,7 +76,7 @@ def mix(docs: DataFrame, work: storage.Workspace, share: float = 1.5, max_epochs
     Sizes are words; a null or empty text has none, and is taken as often as its source's whole repetitions say. A null
     source is a source of its own, after the others. Repeated rows are documents of their own. What is taken follows from
     the seed, the ids and the texts, not from how the table is laid out; rows alike in both may stand for one another. Columns named like the
-    added ones are replaced. An empty table gives no rows. ``keep`` names the columns to return, all by default.
+    added ones are replaced. Words of whole texts count, however long. An empty table gives no rows. ``keep`` names the columns to return, all by default.
     """
     added = ["size", "source_size", "target", "copies"]
     own = [c for c in (docs.columns if keep is None else keep) if c not in added]
@@ -100,9 +100,7 @@ def mix(docs: DataFrame, work: storage.Workspace, share: float = 1.5, max_epochs
     state = F.when(F.col("rest") <= 0, 0).when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") >= F.col("rest"), 0).otherwise(2)
     cells = work.table(cells.select("source", "b", state.alias("state"), "rest", (F.col("upto") - F.col("words")).alias("below")), "cells")
     known = work.table(_join(small, cells, "source", "b"), "known")
-    order = Window.partitionBy("source").orderBy("u", "r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = F.sum("size").over(order) - F.col("size") / 2 + F.col("below") <= F.col("rest")
-    inside = known.where("state = 2").withColumn("extra", fits.cast("int"))
+    inside = _selected(known.where("state = 2"), work)
     chosen = known.where("state <> 2").withColumn("extra", F.col("state")).unionByName(inside)
     chosen = work.table(chosen.select("source", "size", "u", "r", "rest", "extra"), "chosen")
     gaps = chosen.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
@@ -117,6 +115,29 @@ def mix(docs: DataFrame, work: storage.Workspace, share: float = 1.5, max_epochs
     return out.select(*own, "size", "source_size", "target", (F.col(f"{spare}w") + F.col(f"{spare}x")).cast("int").alias("copies"))
 
 
+def _selected(inside: DataFrame, work: storage.Workspace) -> DataFrame:
+    """Add ``extra`` to the documents of the cut's cells: 1 for those up to where the words wanted are nearest.
+
+    Alike documents follow one another in any order, so they are counted first: what counts is how many of them are
+    taken. Only where that is some of them are they numbered, by input part.
+    """
+    alike = inside.groupBy("source", "u", "size", "rest", "below").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("source").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = F.col("rest") - F.col("below") - (F.sum(F.col("n") * F.col("size")).over(order) - F.col("n") * F.col("size"))
+    fitting = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).when(room >= 0, F.col("n")).otherwise(0)
+    alike = work.table(alike.select("source", "u", "size", "n", F.greatest(F.lit(0), F.least(F.col("n"), fitting)).cast("long").alias("taken")), "alike")
+    rows = _join(inside, alike, "source", "u", "size")
+    settled = rows.where("taken = 0 OR taken = n").withColumn("extra", (F.col("taken") > 0).cast("int"))
+    some = rows.where("taken > 0 AND taken < n").withColumn("part", F.shiftright("r", 33).cast("int"))
+    counts = some.groupBy("source", "u", "size", "part").agg(F.count(F.lit(1)).alias("here"))
+    before = Window.partitionBy("source", "u", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = counts.select("source", "u", "size", "part", (F.sum("here").over(before) - F.col("here")).alias("first"))
+    turn = F.row_number().over(Window.partitionBy("source", "u", "size", "part").orderBy("r")) - 1
+    numbered = _join(some.withColumn("turn", turn), starts, "source", "u", "size", "part")
+    numbered = numbered.withColumn("extra", (F.col("first") + F.col("turn") < F.col("taken")).cast("int"))
+    return settled.select(*inside.columns, "extra").unionByName(numbered.select(*inside.columns, "extra"))
+
+
 def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Inner join on keys that may be null."""
     named = right.select(*[F.col(c).alias(f"right_of_{c}") if c in keys else F.col(c) for c in right.columns])

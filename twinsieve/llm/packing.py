@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from twinsieve.llm import storage, tokens
 
 CAPACITY = 4096
-SALTS = 16
 
 
 class OpenCapacities:
@@ -93,14 +92,14 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int | None) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, salt`` for each piece of each document."""
+    """``doc_id, piece, start, length, ids_crc32``, and ``part, at``, the input part and the place in it, of each piece."""
     tail = b"" if end_id is None else end_id.to_bytes(4, "little")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "at"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def cut(batches):
         encode = tokens.encoder(path).encode
-        seen = TaskContext.get().partitionId()
+        seen, here = 0, TaskContext.get().partitionId()
         for batch in batches:
             out = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -108,12 +107,12 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int | None) ->
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     seen += 1
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), seen % SALTS), strict=True):
+                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), here, seen), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
+    return plain.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, at long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int | None = 1, work: storage.Workspace | None = None) -> DataFrame:
@@ -126,22 +125,15 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     spark = docs.sparkSession
     work = work or storage.Workspace(spark, "packing")
     pieces = work.table(pieces_of(docs, path or tokens.default_path(), capacity, end_id), "pieces")
-    cells: dict[int, dict[int, int]] = {}
-    for row in pieces.groupBy("length", "salt").count().collect():  # at most capacity * SALTS rows
-        cells.setdefault(row["length"], {})[row["salt"]] = row["count"]
-    bases = []
-    for length, by_salt in cells.items():
-        base = 0
-        for salt in sorted(by_salt):
-            bases.append((length, salt, base))
-            base += by_salt[salt]
-    rules = best_fit_decreasing({k: sum(v.values()) for k, v in cells.items()}, capacity)
-    base_df = spark.createDataFrame(bases, "length long, salt int, base long")
+    counts = work.table(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
+    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    rules = best_fit_decreasing(totals, capacity)
     rule_df = spark.createDataFrame(rules, "length long, lo long, hi long, bin long, offset long")
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("in_cell", F.row_number().over(own) - 1)
-    # Both tables are bounded by the capacity: capacity * SALTS rows, and some rules for each length.
-    ranked = ranked.join(F.broadcast(base_df), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("in_cell"))
+    # Pieces of a length are numbered part by part: no task holds more of them than an input part has.
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = counts.select("length", "part", (F.sum("n").over(before) - F.col("n")).alias("first"))
+    own = Window.partitionBy("length", "part").orderBy("at")
+    ranked = pieces.withColumn("turn", F.row_number().over(own) - 1).join(starts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("turn"))
     near = F.broadcast(rule_df) if len(rules) <= 64 * capacity else rule_df
     placed = ranked.join(near, ["length"]).filter("rank >= lo AND rank < hi")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("bin") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")

@@ -3,10 +3,10 @@
 A shard owns many virtual nodes on a ring of 64-bit positions; a row's arc is the one between two virtual nodes in
 which the hash of its ``doc_id`` lies, and its shards, in order of preference, are the owners met clockwise from there.
 A full shard passes rows on clockwise. Rows of one arc have the same preferences, so the loads are settled on the arcs'
-row counts alone (arcs x salts numbers on the driver, whatever the input), and each row then takes the shard that its
-rank within its cell of the arc falls to. Cells are salted by a hash of
-id and text: different texts of a ``doc_id`` that a third of all rows share are spread too, and the layout of the table
-decides nothing.
+row counts alone, and each row then takes the shard that its rank within its arc falls to. Arcs are cut into cells of
+about ``CELL_ROWS`` rows, by a hash of id and text: different texts of a ``doc_id`` that a third of all rows share are
+spread too, and the layout of the table decides nothing. Rows alike in id and text have one hash; they are counted by
+input part before anything is put in order, and numbered part by part, so that no task has to hold them all.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from twinsieve.llm import storage
 
 SHARDS = 8
 VIRTUAL_NODES = 128
-SALTS = 16
+#: Rows that a cell of an arc holds, more or less; the driver sees a number for each cell.
+CELL_ROWS = 1 << 20
 
 
 def ring(shards: int, virtual_nodes: int) -> tuple[list[int], list[int]]:
@@ -73,7 +74,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NO
 
     A shard holds at most ``(1 + slack)`` times the mean row count, rounded; with no slack, counts are at most one
     apart. ``size`` is the text's UTF-8 bytes plus 1; a null text counts as none, with crc32 0. A null ``doc_id`` has
-    a place on the ring like any other. Repeated rows each get a slot. Other columns are ignored. An empty table gives
+    a place on the ring like any other. Of long texts only size and checksum are kept. Repeated rows each get a slot. Other columns are ignored. An empty table gives
     no rows.
     """
     spark = docs.sparkSession
@@ -86,7 +87,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NO
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         place.alias("place"),
-        F.pmod(F.xxhash64(F.lit("salt"), F.col("doc_id"), text), F.lit(SALTS)).cast("int").alias("salt"),
+        F.xxhash64(F.lit("row"), F.col("doc_id"), text).alias("g"),
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().alias("at"),
     )
     top = F.shiftright(F.col("place"), 52).cast("int") + 2048
     edges = [bisect.bisect_left(positions, (cell - 2048) << 52) for cell in range(4096)] + [len(positions)]
@@ -95,10 +98,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NO
     # The arc: how many virtual nodes lie before the position. 4096 rows, made from the parameters alone, are broadcast.
     rows = rows.withColumn("top", top).join(F.broadcast(nodes), "top")
     rows = rows.withColumn("arc", F.pmod(F.col("base") + F.size(F.filter("within", lambda p: p < F.col("place"))), F.lit(len(positions))))
-    rows = work.table(rows.select("doc_id", "size", "text_crc32", "place", "arc", "salt"), "rows")
+    rows = work.table(rows.select("doc_id", "size", "text_crc32", "g", "arc", "part", "at"), "rows")
+    arcs = [(r["arc"], -(-r["count"] // CELL_ROWS)) for r in rows.groupBy("arc").count().collect()]  # shards * virtual_nodes rows
+    salts = F.broadcast(spark.createDataFrame(arcs, "arc int, salts int"))
+    salt = F.pmod(F.xxhash64(F.lit("salt"), F.col("g")), F.col("salts")).cast("int")
+    rows = rows.join(salts, "arc").withColumn("salt", salt).drop("salts")
+    groups = work.table(rows.groupBy("arc", "salt", "g", "part").agg(F.count(F.lit(1)).alias("n")), "groups")
     cells: dict[int, dict[int, int]] = {}
-    for row in rows.groupBy("arc", "salt").count().collect():  # at most shards * virtual_nodes * SALTS rows
-        cells.setdefault(row["arc"], {})[row["salt"]] = row["count"]
+    for row in groups.groupBy("arc", "salt").agg(F.sum("n").alias("n")).collect():  # arcs, and one for each CELL_ROWS rows
+        cells.setdefault(row["arc"], {})[row["salt"]] = row["n"]
     counts = {arc: sum(by.values()) for arc, by in cells.items()}
     total = sum(counts.values())
     least, more = divmod(total, shards)
@@ -117,10 +125,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NO
                 dealt[0] = (to, room - take)
                 if room == take:
                     dealt.pop(0)
-    # At most cells + arcs * shards rows, whatever the input.
+    # At most cells + arcs * shards rows.
     plan_df = spark.createDataFrame(plan, "arc int, salt int, lo long, hi long, shard int, first long")
-    own = Window.partitionBy("arc", "salt").orderBy("place", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(own) - 1)
+    in_cell = Window.partitionBy("arc", "salt").orderBy("g", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = groups.select("arc", "salt", "g", "part", (F.sum("n").over(in_cell) - F.col("n")).alias("start"))
+    own = Window.partitionBy("arc", "salt", "g", "part").orderBy("at")  # alike rows of one input part
+    ranked = rows.withColumn("turn", F.row_number().over(own) - 1).join(starts, ["arc", "salt", "g", "part"]).withColumn("rank", F.col("start") + F.col("turn"))
     dealt = ranked.join(F.broadcast(plan_df), ["arc", "salt"]).filter("rank >= lo AND rank < hi")
     return dealt.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"))
 

@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     """Encode ``text`` of all rows and write it in ascending ``doc_id`` order (nulls first; equal ids by a hash of the text).
 
     Null and empty texts give ``end_id`` alone, or nothing if it is None. Repeated rows are each written. Other columns
-    are ignored. Returns (shard, documents, ids, ids before the shard) for each shard; no shards for an empty table.
+    are ignored. Texts are whole, however long; a shard's ids are written text by text. Returns (shard, documents, ids, ids before the shard) for each shard; no shards for an empty table.
     """
     path = path or tokens.default_path()
     spark = docs.sparkSession
