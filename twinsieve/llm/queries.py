@@ -23,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_OP1,
     "op6_ngram_jaccard_join": jaccard.ORACLE_OP6,
+    "op8_suffix_array_dedup": suffix_dedup.ORACLE_OP8,
     "op10_exact_top_k": topk.ORACLE_OP10,
     "op12_spelling_variants": spelling.ORACLE_OP12,
     "op13_vector_codes": vector_codes.ORACLE_OP13,

@@ -579,3 +579,27 @@ def suffix_dedup(docs: DataFrame, work: storage.Workspace, min_length: int = MIN
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs, storage.Workspace(spark, "suffix"))
+
+
+# Texts are cut into pieces of 200 places with what their strings need behind them, so that none is searched from its beginning.
+ORACLE_OP8 = """
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), pieces AS (
+  SELECT doc_id, n, p, substr(h, CAST(2 * p + 1 AS INTEGER), 500) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n, 200)) AS p FROM texts)
+), places AS MATERIALIZED (
+  SELECT doc_id, p + i AS i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN p + i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS s
+  FROM (SELECT doc_id, n, p, h, CAST(unnest(range(least(200, n - p))) AS INTEGER) AS i FROM pieces)
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM places WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)
+), marked AS (
+  SELECT x.doc_id, x.i, x.b, count(f.first) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS out
+  FROM places x LEFT JOIN firsts f ON x.s = f.s AND f.first < x.doc_id
+), runs AS (
+  SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked
+), kept AS (
+  SELECT doc_id, count_if(out) AS n_removed, count_if(begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT out) AS h FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, t.n AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
