@@ -58,25 +58,24 @@ def rounded(x: Column, digits: int) -> Column:
     return _fixed(x, digits).cast("double")
 
 
-def format_size(size: Column) -> Column:
-    """B, KB, MB or GB in steps of 1024 with one decimal, GB being the last."""
-    s = size.cast("double")
-    steps = [("B", 1), ("KB", 1024), ("MB", 1024**2)]
-    out = None
-    for unit, by in steps:
-        label = F.concat(_fixed(s / by, 1), F.lit(f" {unit}"))
-        out = F.when(s < by * 1024, label) if out is None else out.when(s < by * 1024, label)
-    return out.otherwise(F.concat(_fixed(s / 1024**3, 1), F.lit(" GB")))
-
-
-def format_bytes(size: Column) -> Column:
-    """B to TB in steps of 1024 with one decimal, then PB. The unit is found first, so that one number is formatted."""
+def _sized(size: Column, units: tuple[str, ...]) -> Column:
+    """The size in steps of 1024 with one decimal, the last unit having no end. One number is formatted, whatever the unit."""
     s, step, unit = size.cast("double"), None, None
-    for power, name in enumerate(("B", "KB", "MB", "GB", "TB")):
+    for power, name in enumerate(units[:-1]):
         near, by = F.abs(s) < 1024.0 ** (power + 1), F.lit(1024.0**power)
         step = F.when(near, by) if step is None else step.when(near, by)
         unit = F.when(near, name) if unit is None else unit.when(near, name)
-    return F.concat(_fixed(s / step.otherwise(F.lit(1024.0**5)), 1), F.lit(" "), unit.otherwise("PB"))
+    return F.concat(_fixed(s / step.otherwise(F.lit(1024.0 ** (len(units) - 1))), 1), F.lit(" "), unit.otherwise(units[-1]))
+
+
+def format_size(size: Column) -> Column:
+    """B, KB, MB or GB, GB being the last; sizes are not negative."""
+    return _sized(size, ("B", "KB", "MB", "GB"))
+
+
+def format_bytes(size: Column) -> Column:
+    """B to TB, then PB."""
+    return _sized(size, ("B", "KB", "MB", "GB", "TB", "PB"))
 
 
 def _two(n: Column) -> Column:

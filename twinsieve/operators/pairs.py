@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -159,31 +160,67 @@ def hash_score(a: Column, b: Column, bits: int = 64) -> Column:
     return F.coalesce(1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(bits)), F.lit(0.0))
 
 
-def _close_pairs(features: DataFrame, most: int, bits: int, fresh: str | None = None) -> DataFrame:
-    """Pairs within a Hamming distance, by pigeonhole: cut the bits in ``most`` + 1 bands; close pairs agree in one."""
-    bands, at, cuts = most + 1, 0, []
+def _ball(width: int, radius: int) -> list[int]:
+    """All patterns of ``width`` bits with up to ``radius`` set."""
+    return [sum(1 << i for i in chosen) for r in range(radius + 1) for chosen in combinations(range(width), r)]
+
+
+def band_plan(most: int, bits: int = 64) -> tuple[int, int, float]:
+    """(bands, radius, share): how close hashes are best found, and the share of all pairs of random hashes that meet.
+
+    Hashes within ``most`` bits differ by ``most // bands`` or fewer in one of the bands. Fewer, wider bands are more
+    selective, but a row has to look up all values within the radius. The smallest radius that lets few pairs meet is
+    taken, or the most selective of those tried.
+    """
+    plans = []
+    for radius in (0, 1, 2):
+        bands = min(most // (radius + 1) + 1, bits)
+        share = sum(len(_ball(width, radius)) / 2.0**width for _, width in _bands(bands, bits))
+        plans.append((bands, radius, share))
+        if share < 0.02:
+            break
+    return min(plans, key=lambda p: p[2])
+
+
+def _bands(bands: int, bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each band."""
+    cuts, at = [], 0
     for k in range(bands):
         width = bits // bands + (k < bits % bands)
         cuts.append((at, width))
         at += width
+    return cuts
+
+
+def _close_pairs(features: DataFrame, most: int, bits: int, fresh: str | None = None) -> DataFrame:
+    """Pairs within a Hamming distance, by pigeonhole: close pairs differ little in one of the bands (``band_plan``)."""
+    bands, radius, _ = band_plan(most, bits)
+    cuts = _bands(bands, bits)
     keys = [F.shiftrightunsigned("f", s).bitwiseAND(F.lit((1 << min(w, 63)) - 1 if w < 64 else -1)) for s, w in cuts]
+    masks = [[m - (1 << 64) if m >> 63 else m for m in _ball(w, radius)] for _, w in cuts]
     new = F.col(fresh) if fresh is not None else F.lit(True)
     rows = features.where("f IS NOT NULL AND id IS NOT NULL").select("id", "f", new.alias("new"), F.array(*keys).alias("bands"))
     left = rows.select("id", "f", "new", "bands", F.posexplode("bands").alias("band", "key"))
-    right = rows.select(F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("new").alias("new2"), F.col("bands").alias("bands2"), F.posexplode("bands").alias("band", "key"))
+    near = F.array(*[F.transform(F.array(*[F.lit(m) for m in own]), lambda m, k=k: F.col("bands")[k].bitwiseXOR(m)) for k, own in enumerate(masks)])
+    right = rows.select(F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("new").alias("new2"), F.col("bands").alias("bands2"), F.posexplode(near).alias("band", "keys"))
+    right = right.select("id2", "f2", "new2", "bands2", "band", F.explode("keys").alias("key"))
     found = left.join(right, ["band", "key"]).where((F.col("id") < F.col("id2")) & (F.col("new") | F.col("new2")))
-    # A pair counts only in the first band in which it agrees, so no pair needs to be made distinct.
-    first = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) - 1
+    # A pair counts only in the first band in which it is near, so no pair needs to be made distinct.
+    first = F.array_position(F.zip_with("bands", "bands2", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius), True) - 1
     close = F.bit_count(F.col("f").bitwiseXOR(F.col("f2"))) <= most
     return found.where(close & (first == F.col("band"))).select(F.col("id").alias("id1"), "id2", hash_score(F.col("f"), F.col("f2"), bits).alias("score"))
 
 
-def hash_pairs(features: DataFrame, threshold: float, bits: int = 64, band_from: float = 0.8, missing_as_zero: bool = False, **options) -> DataFrame:
+#: Up to this share of all pairs, those that meet in a band are fewer than blocks compare in the same time.
+BAND_SHARE = 0.1
+
+
+def hash_pairs(features: DataFrame, threshold: float, bits: int = 64, band_from: float | None = None, missing_as_zero: bool = False, **options) -> DataFrame:
     """Pairs of hashes (``f`` long) that agree in enough bits.
 
-    At strict thresholds bands are selective and the join is an equi-join on them; below ``band_from`` they would be too
-    narrow, and blocks are compared whole. Missing hashes are left out, or, as in a comparison of precomputed hashes,
-    score 0 with every row, which matters at a threshold of 0 only.
+    At strict thresholds bands are selective and the join is an equi-join on them; where too many pairs would meet, or
+    below ``band_from`` if that is given, blocks are compared whole. Missing hashes are left out, or, as in a comparison
+    of precomputed hashes, score 0 with every row, which matters at a threshold of 0 only.
     """
     if missing_as_zero and threshold <= 0:
         options.pop("fresh", None)  # all pairs score
@@ -193,8 +230,10 @@ def hash_pairs(features: DataFrame, threshold: float, bits: int = 64, band_from:
             return np.where(np.multiply.outer(a[:, 1], b[:, 1]) > 0, kernels.hamming_score(a[:, 0], b[:, 0], bits), 0.0)
 
         return blocked_pairs(filled, score, threshold, **options)
-    if threshold >= band_from and "kind" not in features.columns:
-        return _close_pairs(features, int(np.floor((1 - threshold) * bits + 1e-9)), bits, options.get("fresh"))
+    most = int(np.floor((1 - threshold) * bits + 1e-9))
+    banded = band_plan(most, bits)[2] <= BAND_SHARE if band_from is None else threshold >= band_from
+    if banded and 0 <= most < bits and "kind" not in features.columns:
+        return _close_pairs(features, most, bits, options.get("fresh"))
     return blocked_pairs(features, lambda a, b: kernels.hamming_score(a, b, bits), threshold, **options)
 
 
