@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinsieve.config import ScanConfig
 from twinsieve.functions import kernels
 from twinsieve.operators import blocklist, components, groups, pairs, video
 from twinsieve.plans import registry, report, scan
@@ -308,3 +309,65 @@ def test_store_pairs_are_distinct(spark):
     store = spark.createDataFrame([(1, 0), (3, 1), (4, -1)], "id long, f long")
     got = sorted((r["id1"], r["id2"]) for r in incremental.store_pairs(new, store, 2).collect())
     assert got == [(1, 1), (1, 3), (2, 1), (2, 3)]
+
+
+def test_entries_block_by_resolved_paths(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    os.symlink(tmp_path / "real", tmp_path / "link")
+    for n in ("a.mp4", "b.mp4"):
+        (tmp_path / "real" / n).write_text(n)
+    config = ScanConfig((str(tmp_path / "real"),), video_enabled=True)
+    with scan.DuplicateScan(spark, config, decoder=lambda path: [(0, [1.0, 0.0])]) as job:
+        assert job.group_similar().count() == 2
+        shape = "entry_id long, paths array<string>, timestamp double"
+        entries = spark.createDataFrame([(0, [f"{tmp_path}/link/a.mp4", f"{tmp_path}/link/../real/b.mp4", ""], 0.0)], shape)
+        assert job.group_similar(entries).count() == 0
+        other = spark.createDataFrame([(0, [f"{tmp_path}/link/a.mp4", "/else"], 0.0), (1, [], 0.0), (2, None, 0.0)], shape)
+        assert job.group_similar(other).count() == 2
+
+
+def test_sets_compare_by_their_rows(spark):
+    rng = random.Random(6)
+    groups_ = [(i, [rng.choice("abcde") for _ in range(rng.randint(1, 4))]) for i in range(30)]
+    entries = [(i, [rng.choice(["a", "b", "c", "d", "e", ""]) for _ in range(rng.randint(0, 3))]) for i in range(12)]
+    g = spark.createDataFrame(groups_, "root long, paths array<string>")
+    e = spark.createDataFrame([(*x, 0.0) for x in entries], "entry_id long, paths array<string>, timestamp double")
+    want = {}
+    for root, paths in groups_:
+        own, want[root] = set(paths), ("added", None)
+        for i, listed in entries:
+            old = set(listed) - {""}
+            if old and (own <= old or old <= own):
+                want[root] = ("covered" if own <= old else "replaced", i)
+                break
+    got = {r["root"]: (r["status"], r["entry_id"]) for r in blocklist.classify(g, e).collect()}
+    assert got == want
+    blocked = {root for root, (status, _) in want.items() if status != "added"}
+    assert {r["root"] for r in blocklist.unblocked(g, e).collect()} == {root for root, _ in groups_} - blocked
+    assert tuple(blocklist.blocked_count(g, e).first()) == (len(blocked), 30 - len(blocked))
+    rows = e.select("entry_id", F.explode("paths").alias("path"))
+    for paths in (["a"], ["b", "a", "a", ""], []):
+        same = {i for i, listed in entries if set(listed) - {""} == set(paths) - {""}}
+        assert {r["entry_id"] for r in blocklist.removed(e, paths).collect()} == {i for i, _ in entries} - same
+        if paths:
+            assert {r["entry_id"] for r in blocklist.removed_rows(rows, paths).collect()} == {i for i, listed in entries if listed} - same
+
+
+def test_band_plans_find_all_close_hashes(spark):
+    """Every distance up to the limit, spread over the bits in all ways that the bands could miss."""
+    rng = random.Random(2)
+    for threshold in (1.0, 0.95, 0.85, 0.8, 0.7):
+        most = int(np.floor((1 - threshold) * 64 + 1e-9))
+        bands, radius, _ = pairs.band_plan(most)
+        assert most // bands <= radius
+        base, rows = rng.getrandbits(64), []
+        for i in range(60):
+            h = base
+            for bit in rng.sample(range(64), rng.randint(0, min(64, most + 2))):
+                h ^= 1 << bit
+            rows.append((i, h - (1 << 64) if h >> 63 else h))
+        df = spark.createDataFrame(rows, "id long, f long")
+        want = {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= most}
+        assert {(r["id1"], r["id2"]) for r in pairs.hash_pairs(df, threshold, band_from=0.0).collect()} == want
+        found = pairs.hash_pairs(df, threshold, band_from=0.0)
+        assert found.count() == len(want)

@@ -86,14 +86,18 @@ def cosine_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed(df: DataFrame, method: str) -> DataFrame:
-    """``id, f``: hashes of 8x8 grids (``id, f`` with 64 numbers)."""
+    """``id, f``: hashes of 8x8 grids (``id, f`` with 64 numbers); null where there is no such grid."""
 
     def run(batches):
         for batch in batches:
-            grids = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kernels.grid_hashes(grids, method))], names=["id", "f"])
+            fine = np.asarray(batch.column(1).is_valid())
+            grids = batch.column(1).drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            found = np.zeros(len(batch), np.int64)
+            found[fine] = kernels.grid_hashes(grids, method) if fine.any() else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, mask=~fine)], names=["id", "f"])
 
-    return df.where(F.size("f") == 64).select("id", "f").mapInArrow(run, "id long, f long")
+    grid = F.when((F.size("f") == 64) & ~F.exists("f", lambda x: x.isNull()), F.col("f"))
+    return df.select("id", grid.alias("f")).mapInArrow(run, "id long, f long")
 
 
 def _hash_pairs(spark, sf_dir, method, threshold=0.70):
@@ -347,13 +351,16 @@ n AS (SELECT entry_id, list_filter(paths, lambda p: p <> '') AS paths FROM e)
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal documents, and an entry made from each: a part of it, a superset, a stranger."""
+    """Groups of equal documents as ``root, path, first`` rows, and an entry made from each as ``entry_id, path`` rows: a
+    part of it, a superset, a stranger."""
     f = _read(spark, sf_dir, "documents").select(F.md5("text").alias("root"), F.concat(F.lit("p"), "doc_id").alias("path"), "doc_id")
-    g = f.groupBy("root").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    g = Workspace(spark, "lists").table(g, "groups")
-    p, k = F.col("paths"), F.col("first") % 4
-    made = F.when(k == 0, F.slice(p, 1, 1)).when(k == 1, F.array_append(p, F.lit("other"))).when(k == 2, F.array(F.concat(F.lit("x"), "first"))).otherwise(F.array(F.lit(""), p[0]))
-    return g, g.select(F.col("first").alias("entry_id"), made.alias("paths"), F.lit(0.0).alias("timestamp"))
+    g = f.groupBy("root").agg(F.min("path").alias("least"), F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    work, k = Workspace(spark, "lists"), F.col("first") % 4
+    g = work.table(g.select("root", "least", "first"), "groups")
+    members = work.table(f.join(g, "root").select("root", "path", "first"), "members")
+    alone = F.when(k == 0, F.array("least")).when(k == 1, F.array(F.lit("other"))).when(k == 2, F.array(F.concat(F.lit("x"), "first"))).otherwise(F.array(F.lit(""), "least"))
+    entries = g.select(F.col("first").alias("entry_id"), F.explode(alone).alias("path"))
+    return members, entries.unionByName(members.where(k == 1).select(F.col("first").alias("entry_id"), "path"))
 
 
 _BLOCKED = "EXISTS (SELECT 1 FROM n WHERE len(n.paths) > 0 AND (list_has_all(g.paths, n.paths) OR list_has_all(n.paths, g.paths)))"
@@ -362,21 +369,20 @@ _BLOCKED = "EXISTS (SELECT 1 FROM n WHERE len(n.paths) > 0 AND (list_has_all(g.p
 @query(_LISTS + f"SELECT root, first FROM g WHERE NOT {_BLOCKED}")
 def blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, e = _lists(spark, sf_dir)
-    return blocklist.unblocked(g, e).select("root", "first")
+    return g.select("root", "first").distinct().join(blocklist.blocked_keys(g, e), "root", "left_anti")
 
 
 @query(_LISTS + f"SELECT count(*) FILTER (WHERE {_BLOCKED}) AS blocked, count(*) FILTER (WHERE NOT {_BLOCKED}) AS kept FROM g")
 def blocklist_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, e = _lists(spark, sf_dir)
-    return blocklist.blocked_count(g, e)
+    return blocklist.counted_blocked(g.select("root").distinct(), blocklist.blocked_keys(g, e))
 
 
 @query(_LISTS + """, h AS (SELECT g.root, min(n.entry_id) AS entry_id FROM g JOIN n ON len(n.paths) > 0 AND (list_has_all(g.paths, n.paths) OR list_has_all(n.paths, g.paths)) GROUP BY g.root)
 SELECT g.root, CASE WHEN h.entry_id IS NULL THEN 'added' WHEN list_has_all(n.paths, g.paths) THEN 'covered' ELSE 'replaced' END AS status, h.entry_id
 FROM g LEFT JOIN h ON h.root = g.root LEFT JOIN n ON n.entry_id = h.entry_id""")
 def blocklist_add_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, e = _lists(spark, sf_dir)
-    return blocklist.classify(g, e)
+    return blocklist.classified(*_lists(spark, sf_dir))
 
 
 @query("""
@@ -406,12 +412,12 @@ def blocklist_batch_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LISTS + "SELECT entry_id FROM e ORDER BY entry_id DESC LIMIT 15 OFFSET 15")
 def blocklist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocklist.page(_lists(spark, sf_dir)[1], 1).select("entry_id")
+    return blocklist.page(_lists(spark, sf_dir)[1].select("entry_id").distinct(), 1)
 
 
 @query(_LISTS + "SELECT entry_id FROM n WHERE NOT (list_has_all(paths, ['x2']) AND list_has_all(['x2'], paths))")
 def blocklist_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocklist.removed(_lists(spark, sf_dir)[1], ["x2", ""]).select("entry_id")
+    return blocklist.removed_rows(_lists(spark, sf_dir)[1], ["x2", ""])
 
 
 @query("SELECT page_id FROM pages WHERE starts_with(lower(url), 'https://m.')")

@@ -25,25 +25,39 @@ def path_set(paths: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(paths, lambda p: p.isNotNull() & (p != ""))))
 
 
-def _within(a: Column, b: Column) -> Column:
-    return F.size(F.array_except(a, b)) == 0
+def is_blocked(group: Column, entry: Column) -> Column:
+    """An entry blocks a group if either holds the other; empty entries block nothing. For sets that are at hand."""
+    within = [F.size(F.array_except(a, b)) == 0 for a, b in ((entry, group), (group, entry))]
+    return (F.size(entry) > 0) & (within[0] | within[1])
 
 
-def is_blocked(group: Column, entry: Column) -> Column:
-    """An entry blocks a group if either holds the other; empty entries block nothing."""
-    return (F.size(entry) > 0) & (_within(entry, group) | _within(group, entry))
+def path_rows(sets: DataFrame, key: str) -> DataFrame:
+    """``key, path``: one row for each path of a set (``key, paths``), without empty paths and repeats."""
+    return sets.select(key, F.explode(path_set(F.col("paths"))).alias("path"))
+
+
+def _comparable(members: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """``key, entry_id, both, n, m`` where a group (``key, path`` rows) holds an entry (``entry_id, path`` rows) or lies in it.
+
+    One set holds the other only if they share a path, so they meet by an equi-join on paths; no set is gathered.
+    """
+    own, other = members.where("path <> ''").select(key, "path").distinct(), listed.where("path <> ''").select("entry_id", "path").distinct()
+    sizes, counts = own.groupBy(key).agg(F.count("*").alias("n")), other.groupBy("entry_id").agg(F.count("*").alias("m"))
+    shared = own.join(other, "path").groupBy(key, "entry_id").agg(F.count("*").alias("both"))
+    return shared.join(sizes, key).join(counts, "entry_id").where("both = n OR both = m")
+
+
+def blocked_keys(members: DataFrame, listed: DataFrame, key: str = "root") -> DataFrame:
+    """The keys of the groups (``key, path`` rows) that an entry (``entry_id, path`` rows) blocks."""
+    return _comparable(members, listed, key).select(key).distinct()
 
 
 def _blocking(groups: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """Keys of the blocked groups. One set holds the other only if they share a path, so candidates come from an
-    equi-join on paths; an empty group is held by every entry."""
-    own = groups.select(F.col(key).alias("_key"), path_set(F.col("paths")).alias("_group"))
-    listed = entries.select("entry_id", path_set(F.col("paths")).alias("_entry")).where(F.size("_entry") > 0)
-    g = own.select("_key", F.size("_group").alias("_n"), F.explode("_group").alias("_path"))
-    e = listed.select("entry_id", F.size("_entry").alias("_m"), F.explode("_entry").alias("_path"))
-    shared = g.join(e, "_path").groupBy("_key", "_n", "entry_id", "_m").agg(F.count("*").alias("_both"))
-    hit = shared.where("_both = _n OR _both = _m").select("_key").distinct()
-    empty = own.where(F.size("_group") == 0).select("_key")
+    """Keys of the blocked groups; an empty group is held by every entry."""
+    own = groups.select(F.col(key).alias("_key"), "paths")
+    listed = path_rows(entries, "entry_id")
+    hit = blocked_keys(path_rows(own, "_key"), listed, "_key")
+    empty = own.where(F.size(path_set(F.col("paths"))) == 0).select("_key")
     return hit.unionByName(empty.limit(0) if listed.isEmpty() else empty)
 
 
@@ -55,25 +69,30 @@ def unblocked(groups: DataFrame, entries: DataFrame, key: str = "root") -> DataF
 
 def blocked_count(groups: DataFrame, entries: DataFrame, key: str = "root") -> DataFrame:
     """One row: ``blocked, kept``."""
-    blocked = _blocking(groups, entries, key).distinct().withColumn("_hit", F.lit(1))
-    joined = groups.join(blocked, groups[key] == blocked["_key"], "left")
+    return counted_blocked(groups, _blocking(groups, entries, key).withColumnRenamed("_key", key), key)
+
+
+def counted_blocked(groups: DataFrame, blocked: DataFrame, key: str = "root") -> DataFrame:
+    """One row, ``blocked, kept``, for groups and the keys of those that are blocked."""
+    joined = groups.select(key).join(blocked.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
     return joined.agg(F.count("_hit").alias("blocked"), F.count_if(F.col("_hit").isNull()).alias("kept"))
 
 
 def classify(groups: DataFrame, entries: DataFrame, key: str = "root") -> DataFrame:
-    """What adding each group alone would do: ``key, status, entry_id``.
+    """What adding each group (``key, paths``) alone would do; see ``classified``."""
+    return classified(path_rows(groups, key), path_rows(entries, "entry_id"), key)
+
+
+def classified(members: DataFrame, listed: DataFrame, key: str = "root") -> DataFrame:
+    """What adding each group (``key, path`` rows) alone would do: ``key, status, entry_id``.
 
     The first entry in order that is not apart decides: it holds the group (covered) or the group holds it (replaced).
     Without one the group is added, with a null ``entry_id``. Empty groups are left out.
     """
-    own = groups.select(F.col(key), path_set(F.col("paths")).alias("_group")).where(F.size("_group") > 0)
-    listed = entries.select("entry_id", path_set(F.col("paths")).alias("_entry")).where(F.size("_entry") > 0)
-    g = own.select(key, F.size("_group").alias("_n"), F.explode("_group").alias("_path"))
-    e = listed.select("entry_id", F.size("_entry").alias("_m"), F.explode("_entry").alias("_path"))
-    shared = g.join(e, "_path").groupBy(key, "_n", "entry_id", "_m").agg(F.count("*").alias("_both"))
-    status = F.when(F.col("_both") == F.col("_n"), COVERED).otherwise(REPLACED)
-    first = shared.where("_both = _n OR _both = _m").groupBy(key).agg(F.min_by(F.struct(status.alias("status"), F.col("entry_id")), F.col("entry_id")).alias("_first"))
-    return own.select(key).join(first, key, "left").select(key, F.coalesce("_first.status", F.lit(ADDED)).alias("status"), F.col("_first.entry_id").alias("entry_id"))
+    status = F.when(F.col("both") == F.col("n"), COVERED).otherwise(REPLACED)
+    first = _comparable(members, listed, key).groupBy(key).agg(F.min(F.struct("entry_id", status.alias("status"))).alias("_first"))
+    keys = members.where("path <> ''").select(key).distinct()
+    return keys.join(first, key, "left").select(key, F.coalesce("_first.status", F.lit(ADDED)).alias("status"), F.col("_first.entry_id").alias("entry_id"))
 
 
 class Fold:
@@ -159,6 +178,17 @@ def resolved(entries: DataFrame, paths: str = "paths") -> DataFrame:
     return entries.mapInArrow(run, entries.schema)
 
 
+def resolved_rows(rows: DataFrame, path: str = "path") -> DataFrame:
+    """The same for rows with one path each."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(path)
+            yield batch.set_column(at, path, pa.array([p and os.path.realpath(p) for p in batch.column(at).to_pylist()], pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 #: Groups that share paths, and have so many in all or fewer, are added in turn by one task.
 LOCAL_PATHS = 200_000
 _DONE = pa.schema([("ord", pa.int64()), ("paths", pa.list_(pa.string())), ("status", pa.string()), ("slot", pa.int64())])
@@ -256,6 +286,15 @@ def _after(state: DataFrame, done: DataFrame, timestamp: float) -> DataFrame:
     return joined.select("slot", "entry_id", F.coalesce("_paths", "paths").alias("paths"), stamp.alias("timestamp"))
 
 
+def removed_rows(listed: DataFrame, paths: list[str]) -> DataFrame:
+    """The entries (``entry_id, path`` rows) but those whose path set is exactly this one, each as its id."""
+    wanted = sorted({p for p in paths if p})
+    hit = F.col("path").isin(wanted) if wanted else F.lit(False)
+    counts = listed.where("path <> ''").distinct().groupBy("entry_id").agg(F.count("*").alias("m"), F.count_if(hit).alias("both"))
+    same = counts.where((F.col("m") == len(wanted)) & (F.col("both") == len(wanted))).select("entry_id")
+    return listed.select("entry_id").distinct().join(same, "entry_id", "left_anti")
+
+
 def removed(entries: DataFrame, paths: list[str]) -> DataFrame:
     """Without the entries whose path set is exactly this one."""
     wanted = path_set(F.array(*[F.lit(p) for p in paths]).cast("array<string>"))

@@ -201,7 +201,7 @@ def _close_pairs(features: DataFrame, most: int, bits: int, fresh: str | None =
     new = F.col(fresh) if fresh is not None else F.lit(True)
     rows = features.where("f IS NOT NULL AND id IS NOT NULL").select("id", "f", new.alias("new"), F.array(*keys).alias("bands"))
     left = rows.select("id", "f", "new", "bands", F.posexplode("bands").alias("band", "key"))
-    near = F.array(*[F.transform(F.array(*[F.lit(m) for m in own]), lambda m, k=k: F.col("bands")[k].bitwiseXOR(m)) for k, own in enumerate(masks)])
+    near = F.array(*[F.array(*[F.col("bands")[k].bitwiseXOR(F.lit(m)) for m in own]) for k, own in enumerate(masks)])
     right = rows.select(F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("new").alias("new2"), F.col("bands").alias("bands2"), F.posexplode(near).alias("band", "keys"))
     right = right.select("id2", "f2", "new2", "bands2", "band", F.explode("keys").alias("key"))
     found = left.join(right, ["band", "key"]).where((F.col("id") < F.col("id2")) & (F.col("new") | F.col("new2")))

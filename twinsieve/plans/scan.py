@@ -167,7 +167,10 @@ class DuplicateScan:
     find_video_duplicates_large = find_video_duplicates
 
     def members(self, entries: DataFrame | None = None) -> DataFrame:
-        """Members of all groups with metadata; images and videos never meet. Blocked groups are left out."""
+        """Members of all groups with metadata; images and videos never meet. Blocked groups are left out.
+
+        Groups and entries are compared by their files' absolute paths without links.
+        """
         pictures, films = self._image_pairs(), self.find_video_duplicates()
 
         def members() -> DataFrame:
@@ -180,8 +183,9 @@ class DuplicateScan:
         known = self.media().join(sizes, "ord", "left").withColumns({"width": F.coalesce("w", "width", F.lit(0)), "height": F.coalesce("h", "height", F.lit(0))}).drop("w", "h")
         found = found.join(known, "ord").withColumn("type", F.col("media_type")).withColumn("id", F.col("ord"))
         if entries is not None:
-            paths = found.groupBy("root").agg(F.collect_list("path").alias("paths"))
-            found = found.join(blocklist.unblocked(paths, entries).select("root"), "root", "left_semi")
+            listed = blocklist.path_rows(blocklist.resolved(entries.select("entry_id", "paths")), "entry_id")
+            blocked = blocklist.blocked_keys(blocklist.resolved_rows(found.select("root", "path")), listed)
+            found = found.join(blocked, "root", "left_anti")
         return found
 
     def group_similar(self, entries: DataFrame | None = None, kind: str | None = None) -> DataFrame:
