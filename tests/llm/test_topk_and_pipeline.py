@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def _brute(rows, queries, k):
+    rows = [r for r in rows if r[1] != []]
     fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, qv in {i: v for i, v in fine if i in queries}.items():
@@ -19,8 +20,9 @@ def _brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("query_rows", [65536, 8])
+@pytest.mark.parametrize("query_rows", [None, 8])
 def test_top_k_by_brute_force(spark, query_rows, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 32768 if query_rows is None else 70)
     monkeypatch.setattr(topk, "BLOCK_CANDIDATES", 64)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(8)
@@ -28,7 +30,7 @@ def test_top_k_by_brute_force(spark, query_rows, monkeypatch):
     base[50:90] = base[7]  # ties
     base[100:120] *= 30
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(base)]
-    rows += [(300, None), (301, [None, *rows[0][1][1:]]), (302, [float("nan"), *rows[0][1][1:]]), (303, [float("inf"), *rows[0][1][1:]]), (None, rows[1][1]), (304, [0.5, 0.5]), (306, [0.25, 1.0]), rows[7]]
+    rows += [(300, None), (301, [None, *rows[0][1][1:]]), (302, [float("nan"), *rows[0][1][1:]]), (303, [float("inf"), *rows[0][1][1:]]), (None, rows[1][1]), (304, [0.5, 0.5]), (306, [0.25, 1.0]), rows[7], (308, []), (350, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asked = df.where("vec_id % 50 = 0 OR vec_id IN (7, 51, 304)")
     got = {tuple(r) for r in topk.top_k(df, asked, 5, query_rows=query_rows).collect()}
@@ -112,6 +114,15 @@ def test_votes_equal_plain_cosines():
         assert score == pytest.approx((sum(w * labels[i] for w, i in zip(weights, near, strict=True)) + 1e-3 * prior) / (sum(weights) + 1e-3), abs=1e-5)
 
 
+def test_repeated_candidates_fill_no_block(spark):
+    """A third of the rows have one id: each block of candidates has some of them, and they all count."""
+    rows = [(7, [1.0, 2.0])] * 400 + [(i + 10, [i % 7 / 4, 0.5]) for i in range(800)] + [(0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = topk.top_k(df, df.where("vec_id = 0"), 500, candidate_rows=100)
+    ranked = [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()]
+    assert ranked[:400] == [(7, 256 * 256 * 3)] * 400 and len(ranked) == 500 and ranked[400][1] == 256 * (384 + 128)
+
+
 def test_clashing_columns_of_vectors_are_ignored(spark):
     df = spark.createDataFrame([(i, [float(i % 3), 1.0], "s", 1, 2) for i in range(6)], "vec_id long, embedding array<float>, score string, rank int, query_id int")
     got = topk.top_k(df, df.where("vec_id = 0"), 2)

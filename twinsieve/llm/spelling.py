@@ -128,6 +128,8 @@ def spelling_groups(words: DataFrame, work: storage.Workspace, ratio: int = RATI
         ),
         "formed",
     )
+    for name in ("words", "grams", "pairs"):
+        work.drop(name)
     ends = roots(formed.where("form IS NOT NULL").select("word", "form"), work)
     return formed.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 

@@ -1,13 +1,14 @@
 """Exact top-k search by integer inner product: columnar branch-and-bound.
 
-Candidates are read once for each block of queries and held in vertical layout, a few thousand vectors at a time, one
-row for each dimension. Scores grow by one block of dimensions at a time for all queries of a block. After each block
+Queries and candidates are dealt into blocks of bounded size, and each block of either kind meets each of the other in
+a task of its own, by key; nothing is collected or broadcast. Candidates are held in vertical layout, a few thousand
+vectors at a time, one row for each dimension. Scores grow by one block of dimensions at a time for all queries of a block. After each block
 of dimensions a pair survives only if its score so far, plus the most that its remaining dimensions can add (the
 product of the two remaining norms), reaches the query's k-th best score so far; once few pairs survive they are
 compacted to a list, and later dimensions are added for the list alone. Every pruned pair is proven to be below the
 k-th score, so the result is exact.
 
-The query set may grow with the table, so queries go out in blocks of bounded size (``QUERY_ROWS``), one broadcast each.
+A task tells the k best of its candidates for each of its queries, and these are merged for each query.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS = 65_536
+from twinsieve.llm import exchange
+
+#: Rows that a block of queries, or of candidates, holds, more or less.
+QUERY_ROWS = CANDIDATE_ROWS = 32_768
 BLOCK_QUERIES = 128
 BLOCK_CANDIDATES = 4096
 DIMENSIONS_AT_ONCE = 16
@@ -32,12 +36,6 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
 
 
-def _matrix(column: pa.Array, rows: np.ndarray, dims: int) -> np.ndarray:
-    """Vectors of ``dims`` numbers at the given rows of a list column, as rows of an int64 matrix."""
-    flat = column.take(pa.array(rows)).flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), dims)
-
-
 def _order(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
@@ -93,84 +91,78 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, query_tails: np.nda
         best.add(at + j, score[part], ids[ci[part]])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_rows: int = QUERY_ROWS) -> DataFrame:
+def _packed(rows: DataFrame, side: int, own: str, others: str, count: int) -> DataFrame:
+    """Each block of rows (``vec_id, v``, block ``own``) as one value, sent to all blocks of the other kind."""
+
+    def pack(key, table):
+        ids, vectors = table["vec_id"].to_numpy(), table["v"].combine_chunks()
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        if not len(flat) or (flat.min() >= -(2**31) and flat.max() < 2**31):
+            flat = flat.astype("<i4")
+        return pa.table({"dims": [key[0]], own: [key[1]], "payload": pa.array([exchange.pack(ids, flat)], pa.binary())}, schema=schema)
+
+    schema = pa.schema([("dims", pa.int32()), (own, pa.int32()), ("payload", pa.binary())])
+    blocks = rows.groupBy("dims", own).applyInArrow(pack, f"dims int, {own} int, payload binary")
+    sent = blocks.withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return sent.select("dims", "qb", "cb", F.lit(side).alias("side"), "payload")
+
+
+def top_k(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    scale: int = 256,
+    query_rows: int | None = None,
+    candidate_rows: int | None = None,
+) -> DataFrame:
     """The k best rows of ``vectors`` for each row of ``queries``: ``query_id, rank, vec_id, score``.
 
-    Vectors are turned into integers as in ``quantised``; vectors that are null or hold a null or non-finite part, and
-    rows whose id is null, take no part. A row with the query's own id is no candidate. Vectors of another length than
+    Vectors are turned into integers as in ``quantised``; vectors that are null, empty or hold a null or non-finite part,
+    and rows whose id is null, take no part. A row with the query's own id is no candidate. Vectors of another length than
     the query's are no candidates for it. Ties go to the smaller id; repeated candidate rows each count, and a repeated
     query row counts once. Queries with no candidate have no rows. Other columns are ignored. Sums are exact while
     they fit 64 bits.
     """
-    spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
-    candidates = quantised(vectors, id_col, vector_col, scale).where("vec_id IS NOT NULL")
-    asked = quantised(queries, id_col, vector_col, scale).where("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
-    n = asked.count()
-    blocks = max(1, -(-n // max(1, query_rows // 2)))
-    parts = []
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        table = own.toArrow()
-        if table.num_rows > query_rows:
-            raise ValueError("a block of queries is larger than its bound")
-        column = table["v"].combine_chunks()
-        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-        by_dims = {}
-        for dims in np.unique(lengths):
-            rows = np.flatnonzero(lengths == dims)
-            by_dims[int(dims)] = (_matrix(column, rows, int(dims)), table["vec_id"].to_numpy()[rows])
-        sent = spark.sparkContext.broadcast(by_dims)
-        parts.append(candidates.mapInArrow(_search(sent, k), schema))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    candidates = quantised(vectors, id_col, vector_col, scale).where("vec_id IS NOT NULL AND size(v) > 0")
+    asked = quantised(queries, id_col, vector_col, scale).where("vec_id IS NOT NULL AND size(v) > 0").dropDuplicates(["vec_id"])
+    query_blocks = max(1, -(-asked.count() // (query_rows or QUERY_ROWS)))
+    candidate_blocks = max(1, -(-candidates.count() // (candidate_rows or CANDIDATE_ROWS)))
+    dims = F.size("v").alias("dims")
+    # Candidates are dealt by their place, not by id: one that a third of all rows repeat lies in all blocks.
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(candidate_blocks)).cast("int").alias("cb")
+    left = _packed(asked.select("vec_id", "v", dims, F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb")), 0, "qb", "cb", candidate_blocks)
+    right = _packed(candidates.select("vec_id", "v", dims, dealt), 1, "cb", "qb", query_blocks)
+    found = left.unionByName(right).groupBy("dims", "qb", "cb").applyInArrow(_search(k), schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(sent, k: int):
-    def run(batches):
-        by_dims = sent.value
-        state = {}
-
-        def offer(dims: int, m: np.ndarray, ids: np.ndarray) -> None:
-            queries, query_ids = by_dims[dims]
-            best = state.setdefault(dims, Best(len(query_ids), k))
-            most = float(np.abs(queries).max(initial=0)) * float(np.abs(m).max(initial=0)) * dims
-            exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-            block = np.ascontiguousarray(m.T)
+def _search(k: int):
+    """The k best candidates of one block for each query of another."""
+
+    def run(key, table):
+        dims, sides = key[0].as_py(), dict(zip(table["side"].to_pylist(), table["payload"].to_pylist(), strict=True))
+        if len(sides) < 2:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
+        (query_ids, queries), (ids, m) = ((i, v.astype(np.int64).reshape(len(i), dims)) for i, v in (exchange.unpack(sides[s]) for s in (0, 1)))
+        best = Best(len(query_ids), k)
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(m).max(initial=0)) * dims
+        exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+        parts = []
+        for at in range(0, len(query_ids), BLOCK_QUERIES):
+            part = np.ascontiguousarray(queries[at : at + BLOCK_QUERIES].T)
+            parts.append((at, part.astype(exact), _remaining(part, DIMENSIONS_AT_ONCE)))
+        for lo in range(0, len(ids), BLOCK_CANDIDATES):
+            block = np.ascontiguousarray(m[lo : lo + BLOCK_CANDIDATES].T)
             tails, block = _remaining(block, DIMENSIONS_AT_ONCE), block.astype(exact)
-            for at in range(0, len(query_ids), BLOCK_QUERIES):
-                part = np.ascontiguousarray(queries[at : at + BLOCK_QUERIES].T)
-                search_block(part.astype(exact), query_ids[at : at + BLOCK_QUERIES], _remaining(part, DIMENSIONS_AT_ONCE), best, at, block, ids, tails, exact)
-
-        waiting: dict[int, list] = {}
-        for batch in batches:
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-            for dims in set(np.unique(lengths).tolist()) & set(by_dims):
-                rows = np.flatnonzero(lengths == dims)
-                held = waiting.setdefault(dims, [])
-                held.append((_matrix(column, rows, dims), ids[rows]))
-                if sum(len(x) for _, x in held) >= BLOCK_CANDIDATES:
-                    m, own = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                    for at in range(0, len(own), BLOCK_CANDIDATES):
-                        offer(dims, m[at : at + BLOCK_CANDIDATES], own[at : at + BLOCK_CANDIDATES])
-                    waiting[dims] = []
-        for dims, held in waiting.items():
-            if held:
-                m, own = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                for at in range(0, len(own), BLOCK_CANDIDATES):
-                    offer(dims, m[at : at + BLOCK_CANDIDATES], own[at : at + BLOCK_CANDIDATES])
-        for dims, best in state.items():
-            query_ids = by_dims[dims][1]
-            sizes = [len(x) for x in best.ids]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"]
-                )
+            for at, part, own_tails in parts:
+                search_block(part, query_ids[at : at + BLOCK_QUERIES], own_tails, best, at, block, ids[lo : lo + BLOCK_CANDIDATES], tails, exact)
+        sizes = [len(x) for x in best.ids]
+        return pa.table({"query_id": np.repeat(query_ids, sizes), "vec_id": np.concatenate([*best.ids, ids[:0]]), "score": np.concatenate([*best.scores, ids[:0]])})
 
     return run
 
