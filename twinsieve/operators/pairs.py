@@ -1,9 +1,10 @@
 """Pair joins: every pair of rows i < j of a feature table whose score reaches a threshold.
 
 The exact joins are block nested loops. Rows are dealt into blocks of bounded size, each block is packed once, and a
-task gets two blocks and scores all their pairs with one NumPy call. A block is sent to as many tasks as there are
-blocks, so the shuffle grows with rows times blocks and not with pairs, nothing is broadcast, and no task holds more
-than two blocks. Hash joins at strict thresholds use banding, an equi-join that loses no pair.
+task gets two blocks and scores all their pairs tile by tile. A block is sent to as many tasks as there are blocks.
+There are up to ``BLOCKS`` of them, which grow with the table, so the shuffle grows with the rows until a block has
+``BLOCK_BYTES``; from there on the number of blocks grows. Nothing is broadcast, and no task holds more than two blocks.
+Hash joins at strict thresholds use banding, an equi-join that loses no pair.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import types as T
 from twinsieve.functions import kernels
 from twinsieve.plans.workspace import Workspace
 
+#: Rows that are scored at once, and the fewest that a block is meant to have.
 BLOCK_ROWS = 2000
+#: So many blocks are enough work for a cluster, two to a task; blocks grow with the table up to ``BLOCK_BYTES``.
+BLOCKS, BLOCK_BYTES = 24, 32 << 20
 PAIRS = "id1 long, id2 long, score double"
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -65,14 +69,34 @@ def _rows_of(payload: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all()
 
 
-def block_pairs(rows: DataFrame, block: Column, blocks: int, keys: tuple[str, ...], score, schema: str, first: int = 0) -> DataFrame:
+def rows_in_block(rows: int, row_bytes: int, least: int = BLOCK_ROWS) -> int:
+    """Rows that a block of a table has: a share of the table, at least ``least``, at most what ``BLOCK_BYTES`` hold."""
+    return max(least, min(-(-rows // BLOCKS), BLOCK_BYTES // max(1, row_bytes)))
+
+
+def numbers_of(df: DataFrame, column: str) -> Column:
+    """A vector column as numbers that blocks carry: single precision stays, which halves them, the rest is double."""
+    return F.col(column) if df.schema[column].dataType == T.ArrayType(T.FloatType()) else F.col(column).cast("array<double>")
+
+
+def vector_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of one value of a column of numbers or of vectors of one length; 8 if there is no row."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.ArrayType):
+        return 8
+    size = df.where(F.col(column).isNotNull()).select(F.size(column)).first()
+    return max(8, size[0] * (4 if kind.elementType == T.FloatType() else 8)) if size else 8
+
+
+def block_pairs(rows: DataFrame, block: Column, blocks: int, keys: tuple[str, ...], score, schema: str, first: int = 0, columns: list[str] | None = None) -> DataFrame:
     """Call ``score(a, b, left, right)`` for all pairs a <= b of blocks of ``rows``; with a = b both tables are the same.
 
     Each block becomes one value, which is sent once to every task that needs it. ``keys`` are columns that both blocks
-    of a pair have to agree in. Only pairs in which b is ``first`` or later are looked at.
+    of a pair have to agree in. Only pairs in which b is ``first`` or later are looked at. ``columns`` are what a block
+    carries, all if not given.
     """
     named = rows.withColumn("_block", block.cast("int"))
-    columns = rows.columns
+    columns = columns or rows.columns
 
     def pack(key, table):
         return pa.table({**{k: [v] for k, v in zip(keys, key[:-1], strict=True)}, "_block": [key[-1]], "payload": pa.array([_payload(table.select(columns))], pa.binary())}, schema=packed_schema)
@@ -102,57 +126,68 @@ _NO_PAIRS = pa.table({"id1": pa.array([], pa.int64()), "id2": pa.array([], pa.in
 
 
 def blocked_pairs(
-    features: DataFrame, scorer: Scorer, threshold: float, block_rows: int = BLOCK_ROWS, rows: int | None = None, asymmetric: bool = False, fresh: str | None = None
+    features: DataFrame, scorer: Scorer, threshold: float, block_rows: int | None = None, rows: int | None = None, asymmetric: bool = False, fresh: str | None = None
 ) -> DataFrame:
     """Pairs of ``features`` (``id`` long, ``f`` number or array of one length, optional ``kind``) that score enough.
 
     ``scorer(a, b)`` gives the scores of all rows of a with all rows of b. Rows with a null feature or id are left out;
     null elements aren't allowed. Where ``kind`` exists only rows of one kind are paired. ``id1 < id2`` always, and with
     ``asymmetric`` scores are those of the smaller id against the larger. ``fresh`` names a boolean column: pairs of two
-    rows that aren't are not looked at.
+    rows that aren't are not looked at. ``scorer`` gets up to ``BLOCK_ROWS`` rows a side; blocks have ``block_rows`` rows,
+    or as many as ``rows_in_block`` says.
     """
     fine = features.where(F.col("id").isNotNull() & F.col("f").isNotNull())
     kind = (F.col("kind").cast("string") if "kind" in features.columns else F.lit("")).alias("kind")
     old = 0
     if fresh is not None:
         rows, old = fine.agg(F.count(F.lit(1)), F.count_if(~F.col(fresh))).first()
+        block_rows = block_rows or rows_in_block(rows, 8 + vector_bytes(fine, "f"))
         old = -(-old // block_rows)
         blocks = old + max(1, -(-rows // block_rows) - old)
         block = F.when(F.col(fresh), F.pmod(F.xxhash64("id"), F.lit(blocks - old)) + old).otherwise(F.pmod(F.xxhash64("id"), F.lit(max(1, old))))
     else:
-        blocks = max(1, -(-(fine.count() if rows is None else rows) // block_rows))
+        rows = fine.count() if rows is None else rows
+        block_rows = block_rows or rows_in_block(rows, 8 + vector_bytes(fine, "f"))
+        blocks = max(1, -(-rows // block_rows))
         block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     fine = fine.select("id", "f", kind, block.cast("int").alias("own"))
 
     def score(a, b, left, right):
         if not left.num_rows:
             return _NO_PAIRS
-        x, y = left["id"].to_numpy(), right["id"].to_numpy()
-        f, g = _matrix(left["f"]), _matrix(right["f"])
-        s = scorer(f, g)
-        found = [(x, y, (x[:, None] < y) & (s >= threshold), s)]
-        if a != b:
-            t = scorer(g, f).T if asymmetric else s
-            found.append((x, y, (x[:, None] > y) & (t >= threshold), t))
+        x, f = left["id"].to_numpy(), _matrix(left["f"])
+        if a == b:  # in order of ids, a tile below the diagonal has no pair
+            order = np.argsort(x, kind="stable")
+            x, f = x[order], f[order]
+        y, g = (x, f) if a == b else (right["id"].to_numpy(), _matrix(right["f"]))
         i, j, v = [], [], []
-        for lo, hi, keep, values in found:
-            p, q = np.nonzero(keep)
-            i.append(np.minimum(lo[p], hi[q]))
-            j.append(np.maximum(lo[p], hi[q]))
-            v.append(values[p, q])
+        for at in range(0, len(x), BLOCK_ROWS):
+            for to in range(at if a == b else 0, len(y), BLOCK_ROWS):
+                xs, fs, ys, gs = x[at : at + BLOCK_ROWS], f[at : at + BLOCK_ROWS], y[to : to + BLOCK_ROWS], g[to : to + BLOCK_ROWS]
+                s = scorer(fs, gs)
+                found = [(s, np.less)]
+                if a != b:
+                    found.append((scorer(gs, fs).T if asymmetric else s, np.greater))
+                for values, side in found:
+                    p, q = np.nonzero(values >= threshold)
+                    own = side(xs[p], ys[q])
+                    p, q = p[own], q[own]
+                    i.append(np.minimum(xs[p], ys[q]))
+                    j.append(np.maximum(xs[p], ys[q]))
+                    v.append(values[p, q])
         return pa.table({"id1": np.concatenate(i), "id2": np.concatenate(j), "score": np.concatenate(v).astype(np.float64)})
 
-    return block_pairs(fine, F.col("own"), blocks, ("kind",), score, PAIRS, old)
+    return block_pairs(fine, F.col("own"), blocks, ("kind",), score, PAIRS, old, ["id", "f"])
 
 
 def cosine_pairs(features: DataFrame, threshold: float, **options) -> DataFrame:
     """Cosines in 0..1, clipped; a zero vector scores 0.5 with everything."""
-    return blocked_pairs(features.withColumn("f", F.col("f").cast("array<double>")), kernels.cosine_score, threshold, **options)
+    return blocked_pairs(features.withColumn("f", numbers_of(features, "f")), lambda a, b: kernels.cosine_score(a.astype(np.float64), b.astype(np.float64)), threshold, **options)
 
 
 def histogram_pairs(features: DataFrame, threshold: float, **options) -> DataFrame:
     """Correlations of histograms, 0 where negative."""
-    return blocked_pairs(features.withColumn("f", F.col("f").cast("array<double>")), kernels.correlation, threshold, **options)
+    return blocked_pairs(features.withColumn("f", numbers_of(features, "f")), lambda a, b: kernels.correlation(a.astype(np.float64), b.astype(np.float64)), threshold, **options)
 
 
 def hash_score(a: Column, b: Column, bits: int = 64) -> Column:
