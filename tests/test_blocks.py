@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from twinsieve.functions import kernels
-from twinsieve.operators import pairs
+from twinsieve.operators import pairs, video
 
 
 @pytest.fixture
@@ -34,3 +34,18 @@ def test_ten_times_the_rows_are_sent_as_often(spark, monkeypatch, blocks, kind):
         want = {(i, j): score[i, j] for i, j in itertools.combinations(range(n), 2) if score[i, j] >= 0.8}
         assert {(r["id1"], r["id2"]): r["score"] for r in pairs.cosine_pairs(df.where(f"id < {n}"), 0.8).collect()} == pytest.approx(want) and want
     assert max(blocks) <= pairs.BLOCKS
+
+
+def test_long_videos_are_merged_in_their_blocks(spark, monkeypatch, blocks):
+    rng = np.random.default_rng(9)
+    frames = [(int(i % 3), i, rng.normal(size=4).tolist()) for i in range(3000)]
+    by = [np.array([v for i, _, v in frames if i == k]) for k in range(3)]
+    want = {(a, b): kernels.mean_max(kernels.cosine_score(by[a], by[b])) for a, b in itertools.combinations(range(3), 2)}
+    monkeypatch.setattr(video, "BLOCK_FRAMES", 50)
+    df = spark.createDataFrame(frames, "video_id long, frame_idx long, v array<double>")
+    found, table = [], video.Workspace.table
+    monkeypatch.setattr(video.Workspace, "table", lambda self, rows, name: found.append(table(self, rows, name)) or found[-1])
+    got = {(r["id1"], r["id2"]): r["score"] for r in video.mean_max_pairs(df, 0.0, piece_frames=10).collect()}
+    assert got == pytest.approx(want)
+    # Each of the 3 x 100 pieces has one list with a later video for each pair of blocks, not one for each of its pieces.
+    assert blocks[0] <= pairs.BLOCKS and found[0].where("best IS NOT NULL").count() <= 300 * blocks[0]
