@@ -47,6 +47,7 @@ MATCHES = 2_000_000
 RUNS = 48
 SHIFTS = 8
 SCREEN = 1_000_000
+SEGMENT_WORDS = 100_000
 _SLICE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64)
@@ -77,7 +78,8 @@ def minima(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def token_chunks(column: pa.Array, size: int):
-    """(first row, tokens, cuts, words) of a binary column: row i has tokens cuts[i] to cuts[i + 1] - size + 1."""
+    """(first row, tokens, cuts, words) of a binary column: row i has words cuts[i] to cuts[i + 1], and tokens from
+    cuts[i] to cuts[i + 1] - size + 1."""
     data, offsets = exchange.bytes_of(column)
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -90,7 +92,7 @@ def token_chunks(column: pa.Array, size: int):
             starts, words = jaccard.word_hashes(data[lo:hi], offsets[row : last + 1] - lo)
             cuts = np.searchsorted(starts, offsets[row : last + 1] - lo)
         runs = jaccard._combined(words, size) if len(words) >= size else np.empty(0, np.uint64)
-        yield row, runs, cuts, len(words)
+        yield row, runs, cuts, words
         row = last
 
 
@@ -201,18 +203,18 @@ def _row_numbers(rows: list[tuple[int, bytes]], origin: int) -> np.ndarray:
 
 
 def _sequences(rule: Rule, part: int, twins: np.ndarray):
-    """(number of the chunk's first row, ids, tokens, cuts, starts of sequences, their rows) of the part's own texts."""
+    """(number of the chunk's first row, ids, tokens, words, cuts, starts of sequences, their rows) of the part's own texts."""
     base, twin = 0, np.sort(twins)
     for batch in storage.read_part(rule.file("part", part)):
         ids = exchange.ids_of(batch.column(0))
-        for first, tokens, cuts, total in token_chunks(batch.column(1), rule.size):
-            starts, rows = _starts_of(cuts, total, rule.size, rule.width)
+        for first, tokens, cuts, words in token_chunks(batch.column(1), rule.size):
+            starts, rows = _starts_of(cuts, len(words), rule.size, rule.width)
             if len(twin) and len(starts):
                 place = np.minimum(np.searchsorted(twin, base + first + rows), len(twin) - 1)
                 own = twin[place] != base + first + rows
                 starts, rows = starts[own], rows[own]
             if len(starts):
-                yield base + first, ids[first:], tokens, cuts, starts, rows
+                yield base + first, ids[first:], tokens, words, cuts, starts, rows
         base += len(batch)
 
 
@@ -220,7 +222,7 @@ def _send_values(rule: Rule):
     def run(batches):
         for part, sent in exchange.payload_rows(batches).items():
             held, weight = [], 0
-            for _, ids, tokens, _, starts, rows in _sequences(rule, part, _row_numbers(sent, _TWINS)):
+            for _, ids, tokens, _, _, starts, rows in _sequences(rule, part, _row_numbers(sent, _TWINS)):
                 for k in range(rule.hashes):
                     h = values_of(tokens, k)
                     at = minima(h, rule.width)[starts]
@@ -236,19 +238,38 @@ def _send_values(rule: Rule):
     return run
 
 
-_SEGMENT = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("tokens", pa.binary()), ("often", pa.binary())])
+_SEGMENT = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("often", pa.binary())])
 
 
-def _segment_batch(row: int, doc: int, start: int, tokens: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([x], pa.int64()) for x in (row, doc, start)] + [pa.array([x], pa.binary()) for x in (tokens.astype("<u8").tobytes(), often.astype("<u2").tobytes())]
-    return pa.RecordBatch.from_arrays(columns, schema=_SEGMENT)
+def _segment_batches(rows):
+    """Record batches of many (row, doc, start, words, often) each."""
+    held, weight = [], 0
 
+    def batch():
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema=_SEGMENT)
 
-def _read_segments(uri: str):
-    """(row, doc, start, tokens, how many documents have each) of a file, in order."""
+    for row, doc, start, words, often in rows:
+        held.append((row, doc, start, words.astype("<u8").tobytes(), often.astype("<u2").tobytes()))
+        weight += len(words)
+        if weight >= SEGMENT_WORDS:
+            yield batch()
+            held, weight = [], 0
+    if held:
+        yield batch()
+
+
+def _read_words(uri: str):
+    """(row, doc, start, words, how many documents have each token) of a file's segments, in order."""
     for batch in storage.read_part(uri):
-        for row, doc, start, tokens, often in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            yield row, doc, start, np.frombuffer(tokens, "<u8"), np.frombuffer(often, "<u2")
+        for row, doc, start, words, often in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            yield row, doc, start, np.frombuffer(words, "<u8"), np.frombuffer(often, "<u2")
+
+
+def _read_segments(uri: str, size: int):
+    """The same with tokens instead of words."""
+    for row, doc, start, words, often in _read_words(uri):
+        yield row, doc, start, jaccard._combined(words, size), often
 
 
 def _pieces(good: np.ndarray, starts: np.ndarray, rows: np.ndarray, width: int):
@@ -265,7 +286,7 @@ def _keep_shared(rule: Rule):
             known, counted = exchange.known_keys([(o, p) for o, p in sent if o >= 0]), []
 
             def kept():
-                for first, ids, tokens, cuts, starts, rows in _sequences(rule, part, _row_numbers(sent, _TWINS)) if len(known) else ():
+                for first, ids, tokens, words, cuts, starts, rows in _sequences(rule, part, _row_numbers(sent, _TWINS)) if len(known) else ():
                     votes = np.zeros(len(starts), np.int64)
                     for k in range(rule.hashes):
                         h = values_of(tokens, k)
@@ -276,9 +297,9 @@ def _keep_shared(rule: Rule):
                     for some in _pieces(np.flatnonzero(votes >= rule.enough), starts, rows, rule.width):
                         lo, hi, row = int(starts[some[0]]), int(starts[some[-1]]) + rule.width, int(rows[some[0]])
                         counted.append((first + row, tokens[lo:hi]))
-                        yield _segment_batch(first + row, int(ids[row]), lo - int(cuts[row]), tokens[lo:hi], np.empty(0))
+                        yield first + row, int(ids[row]), lo - int(cuts[row]), words[lo : hi + rule.size - 1], np.empty(0)
 
-            storage.write_part(rule.file("shared", part), kept(), _SEGMENT)
+            storage.write_part(rule.file("shared", part), _segment_batches(kept()), _SEGMENT)
             held, weight, at = [], 0, 0
             while at < len(counted):
                 end = at
@@ -312,7 +333,8 @@ def _refine(rule: Rule):
             found: list[tuple[np.ndarray, int, int]] = []
 
             def kept():
-                for row, doc, start, tokens, _ in _read_segments(rule.file("shared", part)) if len(keys) else ():
+                for row, doc, start, words, _ in _read_words(rule.file("shared", part)) if len(keys) else ():
+                    tokens = jaccard._combined(words, rule.size)
                     short = exchange.short_key(tokens, rule.blocks)
                     at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                     often = np.where(keys[at] == short, counts[at], 1)
@@ -320,11 +342,10 @@ def _refine(rule: Rule):
                     places = np.arange(len(tokens))
                     for some in _pieces(good, places, np.zeros(len(places), int), rule.width):
                         lo, hi = int(some[0]), int(some[-1]) + rule.width
-                        own = tokens[lo:hi]
-                        found.append((np.unique(smallest_of_all(own, rule)[0]), doc, len(found)))
-                        yield _segment_batch(row, doc, start + lo, own, often[lo:hi])
+                        found.append((np.unique(smallest_of_all(tokens[lo:hi], rule)[0]), doc, len(found)))
+                        yield row, doc, start + lo, words[lo : hi + rule.size - 1], often[lo:hi]
 
-            storage.write_part(rule.file("segments", part), kept(), _SEGMENT)
+            storage.write_part(rule.file("segments", part), _segment_batches(kept()), _SEGMENT)
             if not found:
                 continue
             n = [len(v) for v, _, _ in found]
@@ -445,14 +466,43 @@ def _serve(rule: Rule):
                 continue
             wanted = np.unique(np.concatenate([n for _, n in asked]))
             own = set(wanted.tolist())
-            held = {i: (doc, tokens) for i, (_, doc, _, tokens, _) in enumerate(_read_segments(rule.file("segments", part))) if i in own}
+            held = [words for i, (_, _, _, words, _) in enumerate(_read_words(rule.file("segments", part))) if i in own]
+            packed = Packed(held)
             for origin, numbers in asked:
-                some = [held[i] for i in numbers.tolist()]
-                yield exchange.batch_of([(origin, part, exchange.pack((part << 32) | numbers, np.array([len(t) for _, t in some], "<u4"), np.concatenate([t for _, t in some])))])
+                yield exchange.batch_of([(origin, part, packed.some((part << 32) | numbers, np.searchsorted(wanted, numbers)))])
 
     return run
 
 
+class Packed:
+    """Segments as numbers of their distinct words. A token is a hash, which no codec shrinks; words come again."""
+
+    def __init__(self, segments: list[np.ndarray]):
+        self.size = np.array([len(w) for w in segments], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.known, self.number = np.unique(np.concatenate(segments), return_inverse=True)
+
+    def some(self, uid: np.ndarray, which: np.ndarray) -> bytes:
+        """The payload of the segments ``which``."""
+        number = self.number[_ranges(self.begin[which], self.size[which])]
+        used = np.zeros(len(self.known), bool)
+        used[number] = True
+        number = (np.cumsum(used) - 1)[number]
+        return exchange.pack(uid, self.size[which].astype("<u4"), self.known[used], number.astype("<u2" if used.sum() <= 1 << 16 else "<u4"))
+
+
+def unpacked(payloads: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, lengths and tokens of the segments of several payloads."""
+    out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]]
+    for payload in payloads:
+        uid, words, known, number = exchange.unpack(payload)
+        n = words.astype(np.int64) - (size - 1)
+        tokens = jaccard._combined(known[number], size)[_ranges(np.cumsum(words, dtype=np.int64) - words, n)]
+        for column, new in zip(out, (uid, n, tokens), strict=True):
+            column.append(new)
+    return tuple(np.concatenate(c) for c in out)
+
+
 def _previous(tokens: np.ndarray) -> np.ndarray:
     """The last earlier place of each token, -1 for none."""
     order = np.argsort(tokens, kind="stable")
@@ -737,11 +787,15 @@ def _window_by_window(x: Segment, y: Segment, starts: np.ndarray, in_y: np.ndarr
     distinct, own = x.numbered
     at = np.minimum(np.searchsorted(distinct, y.tokens), len(distinct) - 1)
     other = np.where(distinct[at] == y.tokens, at, len(distinct))
-    found, has = [], np.zeros(len(distinct) + 1, bool)
+    found, has, longest = [], np.zeros(len(distinct) + 1, bool), y.sizes[-1][0]
     for s in starts.tolist():
         has[own[s : s + width]] = True
         common = has[other]
         has[own[s : s + width]] = False
+        # So many places of one sequence of y at least hold tokens of this one.
+        places, least = np.flatnonzero(common), max(1, int(np.ceil(similarity * int(all_[s]) - 1e-9)))
+        if not (places[least - 1 :] - places[: max(0, len(places) - least + 1)] < longest).any():
+            continue
         if any((both >= similarity * (int(all_[s]) + d - both) - 1e-9).any() for both, d in ((_distinct(y.previous, w, common), d) for w, d in y.sizes)):
             found.append(s)
     return np.array(found, np.int64)
@@ -799,17 +853,18 @@ def _verify(rule: Rule, again: bool):
 
     def run(batches):
         for part, sent in exchange.payload_rows(batches).items():
-            y_uid, y_size, y_tokens = exchange.gathered([p for o, p in sent if o >= 0], 3)
+            y_uid, y_size, y_tokens = unpacked([p for o, p in sent if o >= 0], rule.size)
             others = Others(y_uid, y_size, y_tokens, rule)
             x_of, y_of, d_of, more = _load(rule.file("more" if again else "pairs", part))
             found, open_x, open_near, queries = [], [], [], []
             settled = dict(zip(*_load_open(rule, part), strict=True)) if again else {}
             cuts = np.searchsorted(x_of, np.arange(int(x_of[-1]) + 2)) if len(x_of) else np.zeros(1, np.int64)
-            for number, (row, doc, start, tokens, often) in enumerate(_read_segments(rule.file("segments", part))):
+            for number, (row, doc, start, words, often) in enumerate(_read_words(rule.file("segments", part))):
                 if number + 1 >= len(cuts):
                     break
                 if cuts[number] == cuts[number + 1]:
                     continue
+                tokens = jaccard._combined(words, rule.size)
                 x = Segment(tokens, rule)
                 near = settled[number].copy() if again else np.zeros(len(tokens) - rule.width + 1, bool)
                 lo, hi = cuts[number], cuts[number + 1]
@@ -876,7 +931,7 @@ def _post(rule: Rule):
     def run(batches):
         for part, sent in exchange.payload_rows(batches).items():
             wanted, columns = exchange.known_keys([(o, p) for o, p in sent if o >= 0]), [[], [], []]
-            for number, (_, doc, _, tokens, _) in enumerate(_read_segments(rule.file("segments", part))) if len(wanted) else ():
+            for number, (_, doc, _, tokens, _) in enumerate(_read_segments(rule.file("segments", part), rule.size)) if len(wanted) else ():
                 short = np.unique(exchange.short_key(tokens, rule.blocks))
                 short = short[exchange.is_in(short, wanted)]
                 for column, new in zip(columns, (short, np.full(len(short), number, "<u4"), np.full(len(short), doc)), strict=True):
@@ -923,7 +978,7 @@ def _ask_more(rule: Rule):
                 n, doc, uid = (np.concatenate([c[i] for _, c in answers]) for i in (1, 2, 3))
                 order = np.argsort(short)
                 begins, n, short = (np.cumsum(n, dtype=np.int64) - n)[order], n[order].astype(np.int64), short[order]
-                own = {i: d for i, (_, d, _, _, _) in enumerate(_read_segments(rule.file("segments", part)))}
+                own = {i: d for i, (_, d, _, _, _) in enumerate(_read_words(rule.file("segments", part)))}
                 mine = exchange.short_key(token, rule.blocks)
                 at = np.minimum(np.searchsorted(short, mine), len(short) - 1)
                 hit = short[at] == mine
