@@ -113,19 +113,20 @@ class Rule:
         self.common = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
 
     def file(self, kind: str, part: int) -> str:
-        return f"{self.folder}/{kind}-{part:06d}"
+        return f"{self.folder}/{kind}/{part:06d}"
 
 
-def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Value, place and hash function of the nodes that have a compact window, by function and place."""
+def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value and place of the nodes that have a compact window, by function and place, and the first and the last start of
+    the sequences of the minimal length in it: those whose smallest value is the node's."""
     n = len(tokens) - rule.width + 1
     if len(tokens) > _SLICE:
         each = []
         for k in range(rule.hashes):
             h = values_of(tokens, k)
             at = minima(h, rule.width)
-            c = at[np.concatenate([[True], at[1:] != at[:-1]])]
-            each.append((h[c], c, np.full(len(c), k)))
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            each.append((h[at[first]], at[first], first, np.append(first[1:], n) - 1))
         return tuple(np.concatenate(x) for x in zip(*each, strict=True))
     h = jaccard.mixed(tokens[None, :] + _SEEDS[: rule.hashes, None])
     low, span = (h & ~_LOW) | np.arange(len(tokens), dtype=np.uint64), 1
@@ -138,7 +139,9 @@ def smallest_of_all(tokens: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndar
     new = np.ones(at.shape, bool)
     new[:, 1:] = at[:, 1:] != at[:, :-1]
     k, start = np.nonzero(new)
-    return h[k, at[k, start]], at[k, start], k
+    last = np.append(start[1:], 0) - 1
+    last[last < 0] = n - 1  # the next one begins with the next function
+    return h[k, at[k, start]], at[k, start], start, last
 
 
 def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +193,7 @@ def _measure(folder: str, size: int, words: int):
                 base += len(batch)
                 yield batch
 
-        storage.write_part(f"{folder}/part-{part:06d}", passing(), schema)
+        storage.write_part(f"{folder}/part/{part:06d}", passing(), schema)
         for rows in [[((part << 32), 0, -1, b"")], *out]:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["uid", "doc", "n", "digest"])
@@ -330,7 +333,8 @@ def _refine(rule: Rule):
     def run(batches):
         for part, sent in exchange.payload_rows(batches).items():
             keys, counts = jaccard._frequencies(sent)
-            found: list[tuple[np.ndarray, int, int]] = []
+            found: list[tuple[np.ndarray, int]] = []
+            windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
             def kept():
                 for row, doc, start, words, _ in _read_words(rule.file("shared", part)) if len(keys) else ():
@@ -342,16 +346,18 @@ def _refine(rule: Rule):
                     places = np.arange(len(tokens))
                     for some in _pieces(good, places, np.zeros(len(places), int), rule.width):
                         lo, hi = int(some[0]), int(some[-1]) + rule.width
-                        found.append((np.unique(smallest_of_all(tokens[lo:hi], rule)[0]), doc, len(found)))
+                        value, _, begin, end = smallest_of_all(tokens[lo:hi], rule)
+                        found.append((np.unique(value), doc))
+                        windows.append((value, begin.astype("<u4"), end.astype("<u4")))
                         yield row, doc, start + lo, words[lo : hi + rule.size - 1], often[lo:hi]
 
             storage.write_part(rule.file("segments", part), _segment_batches(kept()), _SEGMENT)
             if not found:
                 continue
-            n = [len(v) for v, _, _ in found]
-            value = np.concatenate([v for v, _, _ in found])
-            _save(rule.file("values", part), value, np.array(n, np.int64), np.array([d for _, d, _ in found], np.int64))
-            doc, number = np.repeat(np.array([d for _, d, _ in found]), n), np.repeat(np.arange(len(found)), n)
+            doc = np.array([d for _, d in found], np.int64)
+            _save(rule.file("values", part), *(np.concatenate(c) for c in zip(*windows, strict=True)), np.array([len(v) for v, _, _ in windows], np.int64), doc)
+            n, value = [len(v) for v, _ in found], np.concatenate([v for v, _ in found])
+            doc, number = np.repeat(doc, n), np.repeat(np.arange(len(found)), n)
             value, listed, total, at = _smallest(value, doc, number, rule.sources)
             ends = np.cumsum(listed)
             out = []
@@ -415,6 +421,29 @@ def _requests(part: int, uid: np.ndarray) -> list[tuple[int, int, bytes]]:
     return [(int(some[0] >> 32), part, (some & 0xFFFFFFFF).astype("<u4").tobytes()) for some in np.split(uid, at[1:]) if len(some)]
 
 
+def vouching(windows: list[np.ndarray], cut: np.ndarray, value: np.ndarray, other: np.ndarray, others: int, enough: int) -> np.ndarray:
+    """Which of so many other segments may share ``enough`` values with a sequence of the minimal length: ``value[i]`` is
+    one that ``other[i]`` has, and those in ``cut`` are taken for all of them. ``windows`` have values, first and last
+    starts."""
+    own, begin, end = windows[0], windows[1].astype(np.int64), windows[2].astype(np.int64)
+    n = int(end.max()) + 2
+    always = exchange.is_in(own, cut)
+    base = np.cumsum(np.bincount(begin[always], minlength=n) - np.bincount(end[always] + 1, minlength=n))
+    if base.max() >= enough:
+        return np.ones(others, bool)
+    order = np.argsort(own, kind="stable")
+    lo, hi = np.searchsorted(own[order], value, "left"), np.searchsorted(own[order], value, "right")
+    at, who = order[_ranges(lo, hi - lo)], np.repeat(other, hi - lo)
+    at, who = at[~always[at]], who[~always[at]]
+    found, step = np.zeros(others, bool), max(1, SCREEN // n)
+    for first in range(0, others, step):
+        some, rows = (who >= first) & (who < first + step), min(step, others - first)
+        place = (who[some] - first) * n
+        change = np.bincount(place + begin[at[some]], minlength=rows * n) - np.bincount(place + end[at[some]] + 1, minlength=rows * n)
+        found[first : first + rows] = (np.cumsum(change.reshape(rows, n), axis=1) + base >= enough).any(axis=1)
+    return found
+
+
 def _ask(rule: Rule):
     """Keep which segments of other documents each segment is to be compared with, and ask for those."""
 
@@ -426,15 +455,19 @@ def _ask(rule: Rule):
             value, n, more = value[order], n[order].astype(np.int64), more[order].astype(bool)
             pairs = [[np.empty(0, np.int64)] for _ in range(4)]
             if len(value):
-                all_values, sizes, owners = _load(rule.file("values", part))
-                for x, (mine, own) in enumerate(zip(np.split(all_values, np.cumsum(sizes)[:-1]), owners.tolist(), strict=True)):
+                *windows, sizes, owners = _load(rule.file("values", part))
+                cuts = np.cumsum(sizes)[:-1]
+                for x, (own, *window) in enumerate(zip(owners.tolist(), *(np.split(c, cuts) for c in windows), strict=True)):
+                    mine = np.unique(window[0])
                     at = np.minimum(np.searchsorted(value, mine), len(value) - 1)
                     at = at[value[at] == mine]
                     some = _ranges(begins[at], n[at])
+                    by = np.repeat(value[at], n[at])[doc[some] < own]
                     some = some[doc[some] < own]
-                    y, first, votes = np.unique(uid[some], return_index=True, return_counts=True)
+                    y, first, inverse, votes = np.unique(uid[some], return_index=True, return_inverse=True, return_counts=True)
                     # What a segment that isn't listed has in common besides can only be as much as is cut off.
                     fine = votes + int(more[at].sum()) >= rule.enough
+                    fine[fine] = vouching(window, value[at][more[at]], by, inverse, len(y), rule.enough)[fine]
                     for column, new in zip(pairs, (np.full(int(fine.sum()), x), y[fine], doc[some][first][fine], votes[fine]), strict=True):
                         column.append(new)
             x, y, d, votes = (np.concatenate(c) for c in pairs)
@@ -488,7 +521,9 @@ class Packed:
         used = np.zeros(len(self.known), bool)
         used[number] = True
         number = (np.cumsum(used) - 1)[number]
-        return exchange.pack(uid, self.size[which].astype("<u4"), self.known[used], number.astype("<u2" if used.sum() <= 1 << 16 else "<u4"))
+        # Hashes in order differ little in their upper bytes; byte by byte, the codec sees that.
+        known = np.diff(self.known[used], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+        return exchange.pack(uid, self.size[which].astype("<u4"), known.ravel(), number.astype("<u2" if used.sum() <= 1 << 16 else "<u4"))
 
 
 def unpacked(payloads: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -496,6 +531,7 @@ def unpacked(payloads: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
     out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]]
     for payload in payloads:
         uid, words, known, number = exchange.unpack(payload)
+        known = np.cumsum(np.ascontiguousarray(known.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
         n = words.astype(np.int64) - (size - 1)
         tokens = jaccard._combined(known[number], size)[_ranges(np.cumsum(words, dtype=np.int64) - words, n)]
         for column, new in zip(out, (uid, n, tokens), strict=True):
@@ -521,6 +557,25 @@ def _distinct(previous: np.ndarray, width: int, counts: np.ndarray | None = None
     return np.cumsum(change)[: len(previous) - width + 1]
 
 
+def _distinct_each(previous: np.ndarray, width: int, counts: np.ndarray) -> np.ndarray:
+    """``_distinct`` for each row of ``counts``."""
+    at = np.arange(len(previous))
+    begin = np.maximum(previous + 1, at - width + 1).clip(0)
+    order = np.argsort(begin, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(begin[order]) != 0]))
+    change = np.zeros((len(counts), len(previous) + 1), np.int32)
+    change[:, begin[order[first]]] = np.add.reduceat(counts[:, order], first, axis=1, dtype=np.int32)
+    change[:, 1:] -= counts
+    return np.cumsum(change, axis=1)[:, : len(previous) - width + 1]
+
+
+def lacking(both, least: int, similarity: float):
+    """How many distinct tokens a sequence may have that the other text lacks, where the texts have ``both`` distinct ones
+    in common and no sequence of the other has under ``least``: a near one of any length lacks no more."""
+    # similarity * (lacking + those of the other sequence) <= those in common <= both
+    return both / similarity - np.maximum(both, least) + 1e-9
+
+
 def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether the Jaccard similarity of two sequences' token sets is enough."""
     a, b = set(x.tolist()), set(y.tolist())
@@ -630,14 +685,12 @@ class Segment:
     @functools.cached_property
     def windows(self) -> tuple[np.ndarray, ...]:
         """Value and place of the compact windows, and the first and last start of sequences of the minimal length in each."""
-        value, place, k = smallest_of_all(self.tokens, self.rule)
-        left, right = _spans(value, place, k, len(self.tokens))
-        return value, place, np.maximum(left, place - self.rule.width + 1), np.minimum(place, right - self.rule.width + 1)
+        return smallest_of_all(self.tokens, self.rule)
 
     @functools.cached_property
     def values(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct values of the windows, and the first and the last place of each."""
-        value, place, _ = smallest_of_all(self.tokens, self.rule)
+        value, place = self.windows[:2]
         order = np.lexsort((place, value))
         value = value[order]
         at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
@@ -700,8 +753,9 @@ class Others:
         return self.made[i]
 
     def screened(self, x: Segment, uid: np.ndarray):
-        """(turn, segment, starts of x that it may settle) of the segments ``uid`` in order that have, for one start at
-        least, as many of its tokens as are needed; the tokens of many segments are looked up at once."""
+        """(turn, segment, starts of x that it may settle, distinct tokens in common, how many distinct ones of each
+        start's sequence it lacks) of the segments ``uid`` in order that have, for one start at least, as many of its
+        tokens as are needed, and lack few enough; the tokens of many segments are looked up at once."""
         distinct, own = x.numbered
         known = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
         has = np.flatnonzero(self.known[known] == distinct)
@@ -718,12 +772,16 @@ class Others:
             common = np.zeros((len(some), len(own) + 1), np.int32)
             np.cumsum(held[:, own], axis=1, out=common[:, 1:])
             may = common[:, width:] - common[:, :-width] >= x.needed
-            for i in np.flatnonzero(may.any(axis=1)).tolist():
-                yield int(some[i]), int(which[some[i]]), may[i]
+            rows, both = np.flatnonzero(may.any(axis=1)), np.count_nonzero(held, axis=1)
+            lacks = _distinct_each(x.previous, width, ~held[rows][:, own])
+            for i, lack in zip(rows.tolist(), lacks, strict=True):
+                if lack.min() <= lacking(int(both[i]), 0, self.rule.similarity):
+                    yield int(some[i]), int(which[some[i]]), may[i], int(both[i]), lack
 
 
-def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
-    """Mark in ``near`` the starts in x of sequences of the minimal length that lie in one near a sequence of y."""
+def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int, both: int | None = None, lack: np.ndarray | None = None) -> None:
+    """Mark in ``near`` the starts in x of sequences of the minimal length that lie in one near a sequence of y. How many
+    distinct tokens they have in common, and how many of each start's y lacks, may be given."""
     rule, width, similarity = x.rule, x.rule.width, x.rule.similarity
     value, first, last = y.values
     own, place, begin, end = x.windows
@@ -738,6 +796,11 @@ def near_starts(x: Segment, y: Segment, near: np.ndarray, enough: int) -> None:
     vouched = np.cumsum(count[:-1]) >= enough
     if not (vouched & ~near).any():
         return
+    if lack is None:
+        in_y = exchange.is_in(x.tokens, y.distinct)
+        both, lack = len(np.unique(x.tokens[in_y])), _distinct(x.previous, width, ~in_y)
+    if not (lack[vouched & ~near] <= lacking(both, y.least, similarity)).any():
+        return
     a, b, at = x.tokens, y.tokens, at[hit]
     shifts = np.concatenate([first[at] - place[hit], (last[at] - place[hit])[last[at] != first[at]]])
     shifts, votes = np.unique(shifts, return_counts=True)
@@ -787,18 +850,16 @@ def _window_by_window(x: Segment, y: Segment, starts: np.ndarray, in_y: np.ndarr
     distinct, own = x.numbered
     at = np.minimum(np.searchsorted(distinct, y.tokens), len(distinct) - 1)
     other = np.where(distinct[at] == y.tokens, at, len(distinct))
-    found, has, longest = [], np.zeros(len(distinct) + 1, bool), y.sizes[-1][0]
-    for s in starts.tolist():
-        has[own[s : s + width]] = True
-        common = has[other]
-        has[own[s : s + width]] = False
-        # So many places of one sequence of y at least hold tokens of this one.
-        places, least = np.flatnonzero(common), max(1, int(np.ceil(similarity * int(all_[s]) - 1e-9)))
-        if not (places[least - 1 :] - places[: max(0, len(places) - least + 1)] < longest).any():
-            continue
-        if any((both >= similarity * (int(all_[s]) + d - both) - 1e-9).any() for both, d in ((_distinct(y.previous, w, common), d) for w, d in y.sizes)):
-            found.append(s)
-    return np.array(found, np.int64)
+    found = []
+    for some in np.array_split(starts, min(len(starts), -(-len(starts) * (len(distinct) + len(other)) // SCREEN))):
+        has = np.zeros((len(some), len(distinct) + 1), bool)
+        has[np.arange(len(some))[:, None], own[some[:, None] + np.arange(width)]] = True
+        common, near = has[:, other], np.zeros(len(some), bool)
+        for w, d in y.sizes:
+            both = _distinct_each(y.previous, w, common)
+            near |= (both >= similarity * (all_[some][:, None] + d - both) - 1e-9).any(axis=1)
+        found.append(some[near])
+    return np.concatenate(found)
 
 
 def _similar_at(a: np.ndarray, b: np.ndarray, s: int, e: int, move: int, width: int, similarity: float) -> bool:
@@ -866,13 +927,13 @@ def _verify(rule: Rule, again: bool):
                     continue
                 tokens = jaccard._combined(words, rule.size)
                 x = Segment(tokens, rule)
-                near = settled[number].copy() if again else np.zeros(len(tokens) - rule.width + 1, bool)
+                near = settled[number] & 1 != 0 if again else np.zeros(len(tokens) - rule.width + 1, bool)
                 lo, hi = cuts[number], cuts[number + 1]
-                for i, y, may in others.screened(x, y_of[lo:hi]):
-                    if not (may & ~near).any():
+                for i, y, may, both, lack in others.screened(x, y_of[lo:hi]):
+                    if not (may & ~near).any() or lack[~near].min() > lacking(both, 0, rule.similarity):
                         continue
                     before = near.copy()
-                    near_starts(x, others.segment(y), near, rule.enough)
+                    near_starts(x, others.segment(y), near, rule.enough, both, lack)
                     at = np.flatnonzero(near & ~before)
                     if len(at):
                         found += [((part << 32) | row, doc, start + int(r[0]), start + int(r[-1]) + rule.width + rule.size - 1, int(d_of[lo + i])) for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)]
@@ -890,14 +951,15 @@ def _verify(rule: Rule, again: bool):
                     asked = _rarest(tokens, often, left, rule)
                     if len(asked):
                         open_x.append(number)
-                        open_near.append(near)
+                        open_near.append(near.astype(np.uint8))
+                        open_near[-1][left] |= 2
                         queries.append(asked)
             if found:
                 yield exchange.batch_of([(part, -1, exchange.pack(*(np.array(c, np.int64) for c in zip(*found, strict=True))))])
             if not again:
                 n = [len(q) for q in queries]
                 tokens = np.concatenate([np.empty(0, np.uint64), *queries])
-                _save(rule.file("open", part), np.array(open_x, np.int64), np.array([len(v) for v in open_near], np.int64), np.concatenate([np.empty(0, bool), *open_near]).view(np.uint8), np.repeat(np.array(open_x, np.int64), n), tokens)
+                _save(rule.file("open", part), np.array(open_x, np.int64), np.array([len(v) for v in open_near], np.int64), np.concatenate([np.empty(0, np.uint8), *open_near]), np.repeat(np.array(open_x, np.int64), n), tokens)
                 wanted = np.unique(tokens)
                 rows = [(b, _QUERY - part, (wanted[at] >> np.uint64(32)).astype("<u4").tobytes()) for b, at in exchange.split(exchange.block_of(wanted, rule.blocks), rule.blocks)]
                 if rows:
@@ -907,8 +969,9 @@ def _verify(rule: Rule, again: bool):
 
 
 def _load_open(rule: Rule, part: int) -> tuple[list[int], list[np.ndarray]]:
-    number, size, near, _, _ = _load(rule.file("open", part))
-    return number.tolist(), np.split(near.view(bool), np.cumsum(size)[:-1]) if len(number) else []
+    """Segments with starts that are left, and each one's starts: 1 for those found near, 2 for those that are left."""
+    number, size, state, _, _ = _load(rule.file("open", part))
+    return number.tolist(), np.split(state, np.cumsum(size)[:-1]) if len(number) else []
 
 
 def _holders(batches):
@@ -965,6 +1028,24 @@ def _answer(batches):
                     yield exchange.batch_of([(_QUERY - origin, block, exchange.pack(own, (hi - lo).astype("<u4"), doc[some], uid[some]))])
 
 
+def possible_holders(x: Segment, often: np.ndarray, left: np.ndarray, tokens: np.ndarray, asked: np.ndarray, other: np.ndarray, others: int) -> np.ndarray:
+    """Which of so many other segments may have a sequence near one of x that holds one from a start in ``left``. The
+    answers say that ``other[i]`` has ``tokens[asked[i]]``; it lacks the other ``tokens``, and those no document has."""
+    rule, (distinct, own) = x.rule, x.numbered
+    place = np.searchsorted(distinct, tokens)
+    every = np.ones(len(distinct), bool)
+    every[own[often <= 1]] = False
+    every[place] = False
+    found, step = np.zeros(others, bool), max(1, SCREEN // len(own))
+    for first in range(0, others, step):
+        some, rows = (other >= first) & (other < first + step), min(step, others - first)
+        held = np.repeat(every[None], rows, axis=0)
+        held[other[some] - first, place[asked[some]]] = True
+        lack = _distinct_each(x.previous, rule.width, ~held[:, own])[:, left].min(axis=1)
+        found[first : first + rows] = lack <= lacking(np.count_nonzero(held, axis=1), 0, rule.similarity)
+    return found
+
+
 def _ask_more(rule: Rule):
     """Ask for the segments that hold one of the rarest tokens of a segment's starts that are left."""
 
@@ -978,16 +1059,23 @@ def _ask_more(rule: Rule):
                 n, doc, uid = (np.concatenate([c[i] for _, c in answers]) for i in (1, 2, 3))
                 order = np.argsort(short)
                 begins, n, short = (np.cumsum(n, dtype=np.int64) - n)[order], n[order].astype(np.int64), short[order]
-                own = {i: d for i, (_, d, _, _, _) in enumerate(_read_words(rule.file("segments", part)))}
+                open_ = {i: state & 2 != 0 for i, state in zip(*_load_open(rule, part), strict=True)}
+                held = {i: (doc, words, often) for i, (_, doc, _, words, often) in enumerate(_read_words(rule.file("segments", part))) if i in open_}
                 mine = exchange.short_key(token, rule.blocks)
                 at = np.minimum(np.searchsorted(short, mine), len(short) - 1)
                 hit = short[at] == mine
-                x, at = x[hit], at[hit]
-                some, x = _ranges(begins[at], n[at]), np.repeat(x, n[at])
-                some, x = (v[doc[some] < np.array([own[i] for i in x.tolist()], np.int64)] for v in (some, x))
-                pairs = [x, uid[some], doc[some]]
+                cuts, columns = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])), []
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    number, which = int(x[lo]), np.flatnonzero(hit[lo:hi]) + lo
+                    own, words, often = held[number]
+                    some, asked = _ranges(begins[at[which]], n[at[which]]), np.repeat(which - lo, n[at[which]])
+                    some, asked = some[doc[some] < own], asked[doc[some] < own]
+                    y, first, inverse = np.unique(uid[some], return_index=True, return_inverse=True)
+                    tokens = jaccard._combined(words, rule.size)
+                    fine = possible_holders(Segment(tokens, rule), often, open_[number], token[lo:hi], asked, inverse, len(y))
+                    columns.append((np.full(int(fine.sum()), number), y[fine], doc[some][first][fine]))
+                pairs = [np.concatenate(c) for c in zip(*columns, strict=True)]
             done = _load(rule.file("pairs", part))
-            pairs = np.unique(np.stack(pairs), axis=1) if len(pairs[0]) else np.empty((3, 0), np.int64)
             tried = {(a, b) for a, b in zip(done[0].tolist(), done[1].tolist(), strict=True)}
             fresh = np.array([(a, b) not in tried for a, b in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True)], bool)
             x, y, d = (p[fresh] for p in pairs)
@@ -1046,8 +1134,11 @@ def passages(docs: DataFrame, work: storage.Workspace, words: int = PASSAGE_WORD
     shared = by_block(sent).mapInArrow(exchange.shared_hashes, exchange.ROW)
     counted = by_part(shared.unionByName(twins)).mapInArrow(_keep_shared(rule), exchange.ROW)
     counts = work.table(by_block(counted).mapInArrow(jaccard._add_counts, exchange.ROW), "counts")
+    work.drop("parts/part")  # read for the last time
     chosen = by_block(by_part(counts).mapInArrow(_refine(rule), exchange.ROW)).mapInArrow(_choose(rule), exchange.ROW)
     asked = work.table(by_part(chosen).mapInArrow(_ask(rule), exchange.ROW), "asked")
+    for name in ("shared", "values"):
+        work.drop(f"parts/{name}")
     served = by_part(asked).mapInArrow(_serve(rule), exchange.ROW)
     first = work.table(by_part(served).mapInArrow(_verify(rule, False), exchange.ROW), "first")
     found, queries = first.where("origin = -1"), first.where("origin <> -1")
