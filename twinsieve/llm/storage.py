@@ -59,13 +59,13 @@ def write_file(uri: str, chunks) -> int:
     return size
 
 
-def write_part(uri: str, batches, schema: pa.Schema) -> None:
+def write_part(uri: str, batches, schema: pa.Schema, level: int = 1) -> None:
     """Write record batches as one compressed Arrow file."""
     fs, path = open_fs(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary, compression=None) as out:
-        with ipc.new_stream(out, schema, options=ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with ipc.new_stream(out, schema, options=ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as writer:
             for batch in batches:
                 writer.write_batch(batch)
     _finish(fs, temporary, path)

@@ -193,7 +193,7 @@ def _measure(folder: str, size: int, words: int):
                 base += len(batch)
                 yield batch
 
-        storage.write_part(f"{folder}/part/{part:06d}", passing(), schema)
+        storage.write_part(f"{folder}/part/{part:06d}", passing(), schema, 3)
         for rows in [[((part << 32), 0, -1, b"")], *out]:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["uid", "doc", "n", "digest"])
@@ -241,19 +241,22 @@ def _send_values(rule: Rule):
     return run
 
 
-_SEGMENT = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("often", pa.binary())])
+_SEGMENT = pa.schema([("segments", pa.binary())])
 
 
 def _segment_batches(rows):
-    """Record batches of many (row, doc, start, words, often) each."""
+    """Record batches of many (row, doc, start, words, often) each, packed together."""
     held, weight = [], 0
 
     def batch():
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema=_SEGMENT)
+        row, doc, start, words, often = zip(*held, strict=True)
+        packed = Packed(list(words)).some(np.stack([row, doc, start], 1).ravel(), np.arange(len(held)))
+        n = np.array([len(o) for o in often], "<u4")
+        often = exchange.pack(n, np.concatenate(often).astype("<u2"))
+        return pa.RecordBatch.from_arrays([pa.array([packed, often], pa.binary())], schema=_SEGMENT)
 
     for row, doc, start, words, often in rows:
-        held.append((row, doc, start, words.astype("<u8").tobytes(), often.astype("<u2").tobytes()))
+        held.append((row, doc, start, words, often))
         weight += len(words)
         if weight >= SEGMENT_WORDS:
             yield batch()
@@ -265,8 +268,12 @@ def _segment_batches(rows):
 def _read_words(uri: str):
     """(row, doc, start, words, how many documents have each token) of a file's segments, in order."""
     for batch in storage.read_part(uri):
-        for row, doc, start, words, often in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            yield row, doc, start, np.frombuffer(words, "<u8"), np.frombuffer(often, "<u2")
+        packed, often = batch.column(0).to_pylist()
+        numbers, size, words = Packed.words(packed)
+        n, often = exchange.unpack(often)
+        cuts = (np.cumsum(c, dtype=np.int64)[:-1] for c in (size, n))
+        for (row, doc, start), *both in zip(numbers.reshape(-1, 3).tolist(), *map(np.split, (words, often), cuts), strict=True):
+            yield row, doc, start, *both
 
 
 def _read_segments(uri: str, size: int):
@@ -518,22 +525,30 @@ class Packed:
     def some(self, uid: np.ndarray, which: np.ndarray) -> bytes:
         """The payload of the segments ``which``."""
         number = self.number[_ranges(self.begin[which], self.size[which])]
-        used = np.zeros(len(self.known), bool)
-        used[number] = True
-        number = (np.cumsum(used) - 1)[number]
-        # Hashes in order differ little in their upper bytes; byte by byte, the codec sees that.
+        # The most frequent words get the smallest numbers. Of equally frequent ones, hashes in order differ little in
+        # their upper bytes; byte by byte, the codec sees that.
+        n = np.bincount(number, minlength=len(self.known))
+        used = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+        rank = np.empty(len(n), np.int64)
+        rank[used] = np.arange(len(used))
         known = np.diff(self.known[used], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-        return exchange.pack(uid, self.size[which].astype("<u4"), known.ravel(), number.astype("<u2" if used.sum() <= 1 << 16 else "<u4"))
+        return exchange.pack(uid, self.size[which].astype("<u4"), known.ravel(), rank[number].astype("<u2" if len(used) <= 1 << 16 else "<u4"))
+
+    @staticmethod
+    def words(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and lengths of the segments of a payload, and their words."""
+        uid, size, known, number = exchange.unpack(payload)
+        known = np.cumsum(np.ascontiguousarray(known.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+        return uid, size, known[number]
 
 
 def unpacked(payloads: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers, lengths and tokens of the segments of several payloads."""
     out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]]
     for payload in payloads:
-        uid, words, known, number = exchange.unpack(payload)
-        known = np.cumsum(np.ascontiguousarray(known.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
-        n = words.astype(np.int64) - (size - 1)
-        tokens = jaccard._combined(known[number], size)[_ranges(np.cumsum(words, dtype=np.int64) - words, n)]
+        uid, n_words, words = Packed.words(payload)
+        n = n_words.astype(np.int64) - (size - 1)
+        tokens = jaccard._combined(words, size)[_ranges(np.cumsum(n_words, dtype=np.int64) - n_words, n)]
         for column, new in zip(out, (uid, n, tokens), strict=True):
             column.append(new)
     return tuple(np.concatenate(c) for c in out)
